@@ -1,0 +1,219 @@
+"""Classification, enrichment and token operators over the documents knowledge base."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidekb import rules
+from tidekb.catalog import inputs as I
+from tidekb.catalog.base import lit, query, s_any, s_count, s_in, s_labels, table
+from tidekb.operators import enrich as E
+
+J = "array_to_string({}, '|')".format
+
+
+@query("e01_category", f"WITH {I.KBC} SELECT seq, category FROM kbc")
+def _(spark, sf):
+    return I.kb_classified(spark, sf).select("seq", "category")
+
+
+@query("e02_difficulty_evergreen", f"WITH {I.KBC} SELECT seq, difficulty, evergreen FROM kbc")
+def _(spark, sf):
+    return I.kb_classified(spark, sf).select("seq", "difficulty", "evergreen")
+
+
+def sql_maturity(src: str, out: str) -> str:
+    adv = " + ".join(f"regexp_matches(answer, {lit(p)})::INT" for p in rules.MATURITY_ADVANCED_PATTERNS)
+    basic = " + ".join(f"regexp_matches(answer, {lit(p)})::INT" for p in rules.MATURITY_BASIC_PATTERNS)
+    return f"""_m0 AS (SELECT *, array_to_string(list_transform(keywords, lambda k: lower(k)), ' ') || ' ' || lower(question) || ' ' || lower(answer) AS f, ({adv}) AS adv FROM {src}),
+_m1 AS (SELECT *, {s_any('f', rules.MATURITY_L4_STRATEGY)} AS strat FROM _m0),
+_m2 AS (SELECT *, 2*{s_count('f', rules.MATURITY_L4)} + {s_count('f', rules.MATURITY_TREND_TOPICS)} + adv + CASE WHEN strat AND {s_any('f', rules.MATURITY_AI_SEARCH)} THEN 2 ELSE 0 END AS a4,
+ 2*{s_count('f', rules.MATURITY_L3)} + adv + (length(answer) > 500)::INT AS a3, {s_count('f', rules.MATURITY_L2)} AS a2,
+ {s_count('f', rules.MATURITY_L1)} + 2*({basic}) + (length(answer) < 100)::INT AS a1 FROM _m1),
+_m3 AS (SELECT *, CASE WHEN NOT contains(f, '預測') AND {s_any('f', rules.MATURITY_FORECAST_LOOKALIKES)} THEN greatest(0, a4 - 2) ELSE a4 END AS b4 FROM _m2),
+_m4 AS (SELECT *, CASE WHEN b4 >= 2 AND NOT (adv > 0 OR strat OR length(answer) > 500) THEN 0 ELSE b4 END AS c4 FROM _m3),
+{out} AS (SELECT * EXCLUDE (f, adv, strat, a4, a3, a2, a1, b4, c4), CASE WHEN greatest(c4,a3,a2,a1) < 2 THEN NULL WHEN c4 = greatest(c4,a3,a2,a1) THEN 'L4' WHEN a3 = greatest(c4,a3,a2,a1) THEN 'L3'
+ WHEN a2 = greatest(c4,a3,a2,a1) THEN 'L2' ELSE 'L1' END AS maturity_relevance FROM _m4)"""
+
+
+@query("e03_maturity_level", f"WITH {I.KB}, {sql_maturity('kb', 'mat')} SELECT seq, maturity_relevance FROM mat")
+def _(spark, sf):
+    return E.maturity_level(I.kb(spark, sf)).select("seq", "maturity_relevance")
+
+
+def s_fresh(ref=I.REF_DATE, floor="0.5::DOUBLE", expo="-0.693::DOUBLE * age / 540"):
+    return f"CASE WHEN evergreen OR age IS NULL OR age <= 0 THEN 1.0::DOUBLE ELSE greatest({floor}, round_even(exp({expo}), 4)) END"
+
+
+AGE = f"date_diff('day', try_cast(source_date AS DATE), DATE '{I.REF_DATE}') AS age"
+
+
+@query("e04_freshness", f"""WITH {I.KBC}, a AS (SELECT *, {AGE} FROM kbc)
+SELECT seq, source_date, {s_fresh()} AS freshness, {s_fresh(floor='0.01::DOUBLE', expo='-ln(2.0::DOUBLE)/540*age')} AS slow FROM a""")
+def _(spark, sf):
+    k = I.kb_classified(spark, sf)
+    import math
+
+    return k.select("seq", "source_date", E.freshness("source_date", "evergreen", I.REF_DATE).alias("freshness"),
+                    E.freshness("source_date", "evergreen", I.REF_DATE, floor=0.01, rate=math.log(2)).alias("slow"))
+
+
+def sql_metadata(src: str, out: str) -> str:
+    hinted = ", ".join(f"CASE WHEN {s_any('x', hs)} AND category <> {lit(c)} THEN {lit(c)} END" for c, hs in rules.CATEGORY_HINTS.items())
+    extra = []
+    for groups, adds in rules.CATEGORY_CO_RULES:
+        cond = " AND ".join(s_any("x", g) for g in groups)
+        extra += [f"CASE WHEN {cond} THEN {lit(a)} END" for a in adds]
+    cats = f"list_filter([category, {hinted}, {', '.join(extra)}], lambda z: z IS NOT NULL)"
+    gran = " ".join(f"WHEN {s_any('x', hs)} THEN {lit(n)}" for n, hs in rules.GRANULARITY_HINTS)
+    dedup = lambda c: f"list_filter({c}, lambda z, i: list_position({c}, z) = i)"
+    return f"""_r0 AS (SELECT *, lower(concat_ws(' ', nullif(question, ''), nullif(answer, ''), array_to_string(keywords, ' '))) AS x,
+ regexp_extract_all(lower(question), '[^\\s]{{2,}}') AS qt FROM {src}),
+_r1 AS (SELECT *, {cats} AS cats0, {s_labels('x', rules.INTENT_HINTS)} AS intent_labels, {s_labels('x', rules.SCENARIO_HINTS)} AS scenario_tags,
+ {s_labels('x', rules.EVIDENCE_HINTS)} AS evidence_scope, CASE {gran} ELSE {lit(rules.GRANULARITY_DEFAULT)} END AS content_granularity,
+ list_concat(list_transform(generate_series(1, len(qt) - 1), lambda i: qt[i] || ' ' || qt[i + 1]), list_transform(keywords, lambda k: lower(k))) AS ph FROM _r0),
+_r2 AS (SELECT * EXCLUDE (cats0, ph), {dedup('cats0')} AS categories, list_slice({dedup('ph')}, 1, 12) AS retrieval_phrases FROM _r1),
+_r3 AS (SELECT *, CASE WHEN len(categories) >= 3 THEN 'high' WHEN len(categories) = 2 THEN 'medium' ELSE 'low' END AS backfill_confidence FROM _r2),
+_r4 AS (SELECT *, CASE WHEN backfill_confidence = 'low' THEN 'supporting' ELSE 'canonical' END AS serving_tier,
+ CASE WHEN backfill_confidence = 'low' THEN ['無關', '不適用', '誤判'] ELSE []::VARCHAR[] END AS hard_negative_terms FROM _r3),
+{out} AS (SELECT * EXCLUDE (x, qt), concat_ws(chr(10), nullif(question,''), nullif(answer,''), nullif(array_to_string(categories, chr(10)),''), nullif(array_to_string(intent_labels, chr(10)),''),
+ nullif(array_to_string(scenario_tags, chr(10)),''), nullif(array_to_string(keywords, chr(10)),'')) AS retrieval_surface_text FROM _r4)"""
+
+
+META = I.KBC + ", " + sql_metadata("kbc", "meta")
+
+
+def metadata(spark, sf):
+    return E.retrieval_metadata(I.kb_classified(spark, sf))
+
+
+@query("e05_multi_categories", f"WITH {META} SELECT seq, {J('categories')} AS categories, backfill_confidence FROM meta")
+def _(spark, sf):
+    return metadata(spark, sf).select("seq", F.array_join("categories", "|").alias("categories"), "backfill_confidence")
+
+
+@query("e06_labels", f"WITH {META} SELECT seq, {J('intent_labels')} AS intents, {J('scenario_tags')} AS scenarios, {J('evidence_scope')} AS evidence, content_granularity FROM meta")
+def _(spark, sf):
+    return metadata(spark, sf).select("seq", F.array_join("intent_labels", "|").alias("intents"), F.array_join("scenario_tags", "|").alias("scenarios"),
+                                      F.array_join("evidence_scope", "|").alias("evidence"), "content_granularity")
+
+
+@query("e07_retrieval_fields", f"WITH {META} SELECT seq, serving_tier, {J('retrieval_phrases')} AS phrases, md5(retrieval_surface_text) AS surface, {J('hard_negative_terms')} AS negatives FROM meta")
+def _(spark, sf):
+    return metadata(spark, sf).select("seq", "serving_tier", F.array_join("retrieval_phrases", "|").alias("phrases"), F.md5("retrieval_surface_text").alias("surface"),
+                                      F.array_join("hard_negative_terms", "|").alias("negatives"))
+
+
+# ---- synonyms ----
+def supplemental(spark, sf):
+    """Second words of product names under the first word: the supplemental layer."""
+    p = table(spark, sf, "part").select(F.split("p_name", " ").alias("w"))
+    return p.groupBy(F.element_at("w", 1).alias("term")).agg(F.array_sort(F.collect_set(F.element_at("w", -1))).alias("synonyms"))
+
+
+def custom(spark, sf):
+    """Terms of long passages get their own list, which replaces the others."""
+    b = I.base_synonyms(spark, sf)
+    return b.filter(F.size("synonyms") > 15).select("term", F.array(F.upper("term")).alias("synonyms"))
+
+
+LAYERS = I.SYN + """, sup AS (SELECT string_split(p_name, ' ')[1] AS term, list_sort(list(DISTINCT string_split(p_name, ' ')[-1])) AS synonyms FROM part GROUP BY 1),
+cus AS (SELECT term, [upper(term)] AS synonyms FROM syn WHERE len(synonyms) > 15),
+soft AS (SELECT term, list_sort(list(DISTINCT s)) AS synonyms FROM (SELECT term, unnest(synonyms) AS s FROM syn UNION ALL SELECT term, unnest(synonyms) FROM sup) GROUP BY 1),
+dict AS (SELECT coalesce(cus.term, soft.term) AS term, coalesce(cus.synonyms, soft.synonyms) AS synonyms, CASE WHEN cus.term IS NULL THEN 'static' ELSE 'custom' END AS origin FROM soft FULL JOIN cus ON soft.term = cus.term)"""
+
+
+def dictionary(spark, sf):
+    return E.merge_synonyms(I.base_synonyms(spark, sf), supplemental(spark, sf), custom(spark, sf))
+
+
+@query("e08_synonym_layers", f"WITH {LAYERS} SELECT term, {J('synonyms')} AS synonyms, origin FROM dict")
+def _(spark, sf):
+    return dictionary(spark, sf).withColumn("synonyms", F.array_join("synonyms", "|"))
+
+
+@query("e09_expanded_tokens", f"""WITH {I.SYN}, raw AS (SELECT DISTINCT doc_id AS seq, unnest(regexp_extract_all(lower(text), '[^\\s]+')) AS token FROM documents),
+links AS (SELECT lower(term) AS token, lower(unnest(synonyms)) AS other FROM syn UNION SELECT lower(unnest(synonyms)), lower(term) FROM syn)
+SELECT seq, count(*) AS n_tokens, md5(string_agg(token, ' ' ORDER BY token)) AS digest FROM (SELECT seq, token FROM raw UNION SELECT seq, other FROM raw JOIN links USING (token)) GROUP BY 1""")
+def _(spark, sf):
+    t = E.expand_tokens(I.kb(spark, sf), "seq", "answer", I.base_synonyms(spark, sf))
+    return t.groupBy("seq").agg(F.count("*").alias("n_tokens"), F.md5(F.array_join(F.array_sort(F.collect_list("token")), " ")).alias("digest"))
+
+
+_TOK = r"tok AS (SELECT seq, token, count(*) AS tf FROM (SELECT doc_id AS seq, unnest(regexp_extract_all(lower(text), '[^\s]{2,}')) AS token FROM documents) GROUP BY 1, 2)"
+
+
+@query("e10_document_frequency", f"WITH {_TOK} SELECT token, count(*) AS df, sum(tf)::BIGINT AS cf FROM tok GROUP BY 1")
+def _(spark, sf):
+    return E.document_frequency(E.corpus_tokens(I.kb(spark, sf), "seq", "answer"))
+
+
+@query("e11_expand_keywords", f"""WITH {I.KB}, {I.SYN}, k AS (SELECT seq, unnest(keywords) AS w FROM kb), x AS (SELECT seq, w FROM k UNION SELECT seq, unnest(synonyms) FROM k JOIN syn ON w = term)
+SELECT kb.seq, coalesce(string_agg(DISTINCT w, '|' ORDER BY w), '') AS expanded FROM kb LEFT JOIN x ON x.seq = kb.seq GROUP BY 1""")
+def _(spark, sf):
+    return E.expand_keywords(I.kb(spark, sf), I.base_synonyms(spark, sf)).select("seq", F.array_join("expanded", "|").alias("expanded"))
+
+
+HITS = "hits AS (SELECT rid, count(*) AS search_hit_count FROM log WHERE event IN ('click','view') AND top_score IS NOT NULL GROUP BY 1)"
+
+
+@query("e12_hit_counts", f"WITH {I.LOG}, {HITS} SELECT rid AS id, search_hit_count FROM hits")
+def _(spark, sf):
+    return E.hit_counts(I.access_log(spark, sf), ["click", "view"])
+
+
+FULL = META + f""", {I.SYN}, {I.LOG}, {HITS}, {sql_maturity('meta', 'mmeta')}, _k AS (SELECT seq, unnest(keywords) AS w FROM mmeta),
+_x AS (SELECT seq, list_sort(list(DISTINCT s)) AS ss FROM (SELECT seq, unnest(synonyms) AS s FROM _k JOIN syn ON w = term) GROUP BY 1),
+_a AS (SELECT m.*, {AGE}, list_filter(coalesce(ss, []::VARCHAR[]), lambda z: NOT list_contains(m.keywords, z)) AS synonyms, coalesce(h.search_hit_count, 0) AS search_hit_count
+ FROM mmeta m LEFT JOIN _x ON _x.seq = m.seq LEFT JOIN hits h ON h.rid = m.seq),
+rich AS (SELECT * EXCLUDE (age), {s_fresh()} AS freshness_score FROM _a)"""
+
+
+def enriched(spark, sf):
+    """The knowledge base with every search and enrichment column."""
+    return E.enrich(I.kb_classified(spark, sf), I.base_synonyms(spark, sf), E.hit_counts(I.access_log(spark, sf), ["click", "view"]), I.REF_DATE)
+
+
+URLS = r"urls AS (SELECT 'src' || regexp_extract(url, '/[a-z]+/(\d+)', 1) || '/' || page_id || '.md' AS source_file, min(url) AS url FROM pages GROUP BY 1)"
+
+
+@query("e13_full_enrichment", f"""WITH {FULL}, u AS (SELECT d.source || '/' || page_id || '.md' AS source_file, url FROM pages JOIN documents d ON doc_id = page_id)
+SELECT seq, category, {J('categories')} AS categories, serving_tier, maturity_relevance, freshness_score, {J('synonyms')} AS synonyms, search_hit_count,
+ CASE WHEN lang = 'en' THEN 'doc:' || seq ELSE u.url END AS source_url FROM rich LEFT JOIN u USING (source_file)""")
+def _(spark, sf):
+    k = I.kb_classified(spark, sf).withColumn("source_type", F.when(F.col("lang") == "en", "article").otherwise("meeting"))
+    k = k.withColumn("source_url", F.concat(F.lit("doc:"), "seq"))
+    d = table(spark, sf, "documents").select("doc_id", "source")
+    urls = table(spark, sf, "pages").join(d, F.col("page_id") == F.col("doc_id")).select(
+        F.concat("source", F.lit("/"), F.col("page_id").cast("string"), F.lit(".md")).alias("source_file"), "url")
+    r = E.enrich(k, I.base_synonyms(spark, sf), E.hit_counts(I.access_log(spark, sf), ["click", "view"]), I.REF_DATE, url_map=urls)
+    return r.select("seq", "category", F.array_join("categories", "|").alias("categories"), "serving_tier", "maturity_relevance", "freshness_score",
+                    F.array_join("synonyms", "|").alias("synonyms"), "search_hit_count", "source_url")
+
+
+@query("e14_enrichment_stats", f"""WITH {FULL} SELECT count(*) AS rows, round(avg(len(synonyms)),6) AS avg_synonyms, round(avg(freshness_score),6) AS avg_freshness, round(avg((maturity_relevance IS NOT NULL)::INT),6) AS maturity_share,
+ round(avg((len(intent_labels)>0)::INT),6) AS intent_share, round(avg((len(scenario_tags)>0)::INT),6) AS scenario_share, round(avg((search_hit_count>0)::INT),6) AS hit_share,
+ count(*) FILTER (backfill_confidence='high') AS n_high, count(*) FILTER (backfill_confidence='medium') AS n_medium, count(*) FILTER (backfill_confidence='low') AS n_low FROM rich""")
+def _(spark, sf):
+    return E.enrichment_stats(enriched(spark, sf))
+
+
+@query("e15_reclassify_matrix", f"""WITH {I.KB}, {sql_maturity('kb', 'mat')}, o AS (SELECT mat.*, CASE WHEN quality = 1 THEN 'L4' ELSE 'L2' END AS old_level FROM mat JOIN labels ON doc_id = seq)
+SELECT coalesce(maturity_relevance, 'L3') AS to_level, count(*) AS n FROM o WHERE old_level = 'L4' GROUP BY 1""")
+def _(spark, sf):
+    l = table(spark, sf, "labels").select(F.col("doc_id").alias("seq"), F.when(F.col("quality") == 1, "L4").otherwise("L2").alias("old_level"))
+    return E.reclassify_l4(E.maturity_level(I.kb(spark, sf), "new_level").join(l, "seq"))
+
+
+@query("e16_query_labels", f"""WITH q AS (SELECT conv_id, turn, lower(text) AS q FROM conversations) SELECT conv_id, turn, {J(s_labels('q', rules.QUERY_CATEGORY_HINTS))} AS categories,
+ {J(s_labels('q', rules.QUERY_INTENT_HINTS))} AS intents, {J(s_labels('q', rules.QUERY_SCENARIO_HINTS))} AS scenarios FROM q""")
+def _(spark, sf):
+    c = E.query_labels(table(spark, sf, "conversations"), "text")
+    return c.select("conv_id", "turn", *[F.array_join(f"query_{n}", "|").alias(n) for n in ("categories", "intents", "scenarios")])
+
+
+@query("e17_source_defaults", """WITH s AS (SELECT doc_id, coalesce(CASE WHEN lang = 'fr' THEN NULL ELSE source END, 'seo-meetings') AS source_collection FROM documents)
+SELECT source_collection, CASE WHEN source_collection = 'seo-meetings' THEN 'meeting' ELSE 'article' END AS source_type, count(*) AS n FROM s GROUP BY 1, 2""")
+def _(spark, sf):
+    d = table(spark, sf, "documents").select(F.when(F.col("lang") != "fr", F.col("source")).alias("source_collection"), F.lit("").alias("source_type"))
+    return E.source_defaults(d).groupBy("source_collection", "source_type").agg(F.count("*").alias("n"))

@@ -114,3 +114,17 @@ def queries(spark, sf) -> DataFrame:
 
 QUERIES_SQL = """queries AS (SELECT item_id AS query_id, text AS query, embedding AS query_vector, [label::VARCHAR] AS expected_categories
   FROM benchmark JOIN embeddings ON item_id = vec_id)"""
+
+
+def markdown_docs(spark, sf) -> DataFrame:
+    """Documents as Markdown files: title, header list, rule, and one paragraph per line of the text."""
+    k = kb_dated(spark, sf)
+    head = F.concat(F.lit("# "), "question", F.lit("\n\n- **發佈日期**: "), F.coalesce("source_date", F.lit("")), F.lit("\n- **來源 URL**: https://docs.example.org/"),
+                    F.col("seq").cast("string"), F.lit("\n- **來源類型**: article\n- **來源集合**: "), "source_collection", F.lit("\n\n---\n"))
+    return k.select("seq", "source_file", "source_collection", F.col("question").alias("title"), "source_date", "lang", F.col("answer").alias("raw"),
+                    F.concat(head, F.replace("answer", F.lit("\n"), F.lit("\n\n"))).alias("text"))
+
+
+MD = KB_DATED + """, md AS (SELECT seq, source_file, source_collection, question AS title, source_date, lang, answer AS raw, '# ' || question || chr(10) || chr(10) || '- **發佈日期**: ' || coalesce(source_date, '')
+ || chr(10) || '- **來源 URL**: https://docs.example.org/' || seq || chr(10) || '- **來源類型**: article' || chr(10) || '- **來源集合**: ' || source_collection || chr(10) || chr(10) || '---' || chr(10)
+ || replace(answer, chr(10), chr(10) || chr(10)) AS text FROM kb_dated)"""

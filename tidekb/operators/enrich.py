@@ -103,7 +103,7 @@ def retrieval_phrases(question: str = "question", keywords: str = "keywords", li
     pairs = F.when(
         F.size(toks) >= 2,
         F.transform(F.arrays_zip(F.slice(toks, F.lit(1), F.size(toks) - 1).alias("a"), F.slice(toks, F.lit(2), F.size(toks)).alias("b")),
-                    lambda p: F.concat_ws(" ", p["0"], p["1"])),
+                    lambda p: F.concat_ws(" ", p["a"], p["b"])),
     ).otherwise(F.array().cast("array<string>"))
     kws = F.filter(F.transform(F.col(keywords), F.lower), lambda k: k != "")
     return F.slice(F.array_distinct(F.concat(pairs, kws)), 1, limit)
