@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidekb.catalog import inputs as I
-from tidekb.catalog.base import query, table
+from tidekb.catalog.base import query, stored, table
 from tidekb.functions.vectors import text_vectors
 from tidekb.operators import dedup as D
 from tidekb.operators import reconcile as R
@@ -54,12 +54,12 @@ grp AS (SELECT d.seq, d.source_collection AS collection, CASE WHEN list_contains
 
 
 def groups(spark, sf):
-    return D.greedy_groups(docs(spark, sf))
+    return stored(spark, sf, "groups", lambda: D.greedy_groups(docs(spark, sf)))
 
 
 @query("d03_greedy_groups", f"WITH RECURSIVE {GREEDY} SELECT collection, seq, leader FROM grp")
 def _(spark, sf):
-    return groups(spark, sf)
+    return D.greedy_groups(docs(spark, sf))
 
 
 def rows_for_merge(spark, sf):

@@ -23,8 +23,8 @@ def _(spark, sf):
 
 
 def sql_maturity(src: str, out: str) -> str:
-    adv = " + ".join(f"regexp_matches(answer, {lit(p)})::INT" for p in rules.MATURITY_ADVANCED_PATTERNS)
-    basic = " + ".join(f"regexp_matches(answer, {lit(p)})::INT" for p in rules.MATURITY_BASIC_PATTERNS)
+    adv = " + ".join(f"regexp_matches(answer, {lit('(?i)(' + '|'.join(p) + ')')})::INT" for p in rules.MATURITY_ADVANCED_PHRASES)
+    basic = " + ".join(f"regexp_matches(answer, {lit('(?i)(' + '|'.join(p) + ')')})::INT" for p in rules.MATURITY_BASIC_PHRASES)
     return f"""_m0 AS (SELECT *, array_to_string(list_transform(keywords, lambda k: lower(k)), ' ') || ' ' || lower(question) || ' ' || lower(answer) AS f, ({adv}) AS adv FROM {src}),
 _m1 AS (SELECT *, {s_any('f', rules.MATURITY_L4_STRATEGY)} AS strat FROM _m0),
 _m2 AS (SELECT *, 2*{s_count('f', rules.MATURITY_L4)} + {s_count('f', rules.MATURITY_TREND_TOPICS)} + adv + CASE WHEN strat AND {s_any('f', rules.MATURITY_AI_SEARCH)} THEN 2 ELSE 0 END AS a4,

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from tidekb import rules
 from tidekb.catalog.base import lit, s_any, s_count, table
+from tidekb.functions.layout import spread
 from tidekb.operators import enrich
 
 REF_DATE = "2002-01-01"
 
 
 def kb(spark, sf) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"), "doc_id")
     q = F.substring_index("text", ".", 1)
     toks = F.array_distinct(F.regexp_extract_all(F.lower(q), F.lit(r"[\p{L}]{3,}"), F.lit(0)))
     ranked = F.slice(F.array_sort(F.transform(toks, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), 1, 5)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,13 +46,12 @@ def text_vectors(df: DataFrame, key: str, text: str, dim: int = DIM, synonyms: D
     return packed.select(key, F.col("c.bucket").alias("buckets"), F.transform("c.w", lambda x: x / F.col("norm")).alias("weights"))
 
 
-def sparse_to_matrix(buckets, weights, dim: int) -> np.ndarray:
-    """Lists of (bucket, weight) as rows of a dense matrix."""
+def list_columns_to_matrix(buckets, weights, dim: int) -> np.ndarray:
+    """Two Arrow list columns of (bucket, weight) as rows of a dense matrix."""
+    buckets, weights = buckets.combine_chunks(), weights.combine_chunks()
     out = np.zeros((len(buckets), dim))
-    if len(buckets):
-        sizes = [len(b) for b in buckets]
-        out[np.repeat(np.arange(len(buckets)), sizes), np.concatenate([np.asarray(b, dtype=np.int64) for b in buckets])] = np.concatenate(
-            [np.asarray(w, dtype=np.float64) for w in weights])
+    sizes = pc.list_value_length(buckets).to_numpy(zero_copy_only=False)
+    out[np.repeat(np.arange(len(buckets)), sizes), buckets.flatten().to_numpy()] = weights.flatten().to_numpy()
     return out
 
 

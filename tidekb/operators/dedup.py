@@ -5,12 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidekb.functions.ranking import top_per_group
-from tidekb.functions.vectors import DIM, sparse_to_matrix, text_vectors
+from tidekb.functions.vectors import DIM, list_columns_to_matrix, text_vectors
 from tidekb.session import cut_lineage
 
 THRESHOLD = 0.88
@@ -48,35 +48,32 @@ def neighbour_summary(vec: DataFrame, threshold: float = THRESHOLD, dim: int = D
     if "is_leader" not in vec.columns:
         vec = vec.withColumn("is_leader", F.lit(False))
 
-    def compare(key, pdf):
-        collection, lo, hi = key
-        a = pdf if lo == hi else pdf[pdf["block"] == lo]
-        b = a if lo == hi else pdf[pdf["block"] == hi]
-        parts = []
-        if len(a) and len(b):
-            ma = sparse_to_matrix(a["buckets"].tolist(), a["weights"].tolist(), dim)
-            mb = ma if lo == hi else sparse_to_matrix(b["buckets"].tolist(), b["weights"].tolist(), dim)
-            sim = ma @ mb.T
-            sa, sb = a["seq"].to_numpy(), b["seq"].to_numpy()
-            la, lb = a["is_leader"].to_numpy(bool), b["is_leader"].to_numpy(bool)
-            hit = (sim >= threshold) & (sa[:, None] != sb[None, :]) & ~(la[:, None] & lb[None, :])
-            views = [(sa, sb, hit, sim)] if lo == hi else [(sa, sb, hit, sim), (sb, sa, hit.T, sim.T)]
+    def compare(key, table):
+        collection, lo, hi = key[0].as_py(), key[1].as_py(), key[2].as_py()
+        block = table["block"].to_numpy()
+        sides = [table] if lo == hi else [table.filter(pa.array(block == x)) for x in (lo, hi)]
+        out = {c: [] for c in ("seq", "n_similar", "n_earlier", "first_earlier", "best")}
+        if all(t.num_rows for t in sides):
+            m = [list_columns_to_matrix(t["buckets"], t["weights"], dim) for t in sides]
+            seqs = [t["seq"].to_numpy() for t in sides]
+            lead = [t["is_leader"].to_numpy(zero_copy_only=False) for t in sides]
+            sim = m[0] @ m[-1].T
+            hit = (sim >= threshold) & (seqs[0][:, None] != seqs[-1][None, :]) & ~(lead[0][:, None] & lead[-1][None, :])
+            views = [(seqs[0], seqs[-1], hit, sim)] + ([(seqs[1], seqs[0], hit.T, sim.T)] if lo != hi else [])
             for s1, s2, h, sm in views:
                 rows = np.flatnonzero(h.any(axis=1))
-                if len(rows) == 0:
-                    continue
                 h, sm = h[rows], sm[rows]
                 earlier = h & (s2[None, :] < s1[rows][:, None])
-                first = np.where(earlier, s2[None, :], np.iinfo(np.int64).max).min(axis=1)
-                parts.append(pd.DataFrame({
-                    "collection": collection, "seq": s1[rows], "n_similar": h.sum(axis=1), "n_earlier": earlier.sum(axis=1),
-                    "first_earlier": first, "best": np.where(h, sm, -1.0).max(axis=1)}))
-        if not parts:
-            return pd.DataFrame({c: [] for c in ("collection", "seq", "n_similar", "n_earlier", "first_earlier", "best")})
-        return pd.concat(parts, ignore_index=True)
+                out["seq"].append(s1[rows])
+                out["n_similar"].append(h.sum(axis=1))
+                out["n_earlier"].append(earlier.sum(axis=1))
+                out["first_earlier"].append(np.where(earlier, s2[None, :], np.iinfo(np.int64).max).min(axis=1))
+                out["best"].append(np.where(h, sm, -1.0).max(axis=1))
+        flat = {c: np.concatenate(v) if v else np.zeros(0, dtype=np.float64 if c == "best" else np.int64) for c, v in out.items()}
+        return pa.table({"collection": pa.array([collection] * len(flat["seq"]), pa.string()), **flat})
 
     schema = "collection string, seq long, n_similar long, n_earlier long, first_earlier long, best double"
-    part = _blocked(vec, block_rows).groupBy("collection", "lo", "hi").applyInPandas(compare, schema)
+    part = _blocked(vec, block_rows).groupBy("collection", "lo", "hi").applyInArrow(compare, schema)
     return part.groupBy("collection", "seq").agg(
         F.sum("n_similar").alias("n_similar"), F.sum("n_earlier").alias("n_earlier"),
         F.min(F.when(F.col("n_earlier") > 0, F.col("first_earlier"))).alias("first_earlier"), F.max("best").alias("best"))

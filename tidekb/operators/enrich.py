@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidekb import rules
-from tidekb.functions.text import col, count_hits, has_any, labels_by_hint, words
+from tidekb.functions.terms import any_found, count_found, find_terms, labels_found
+from tidekb.functions.text import col, words
 
 
 def _pick_max(scored: list[tuple[str, Column]], default: str) -> Column:
@@ -21,48 +22,47 @@ def _pick_max(scored: list[tuple[str, Column]], default: str) -> Column:
 def classify(df: DataFrame, markers: dict[str, list[str]] | None = None) -> DataFrame:
     """Add category, difficulty and evergreen from ``question`` and ``answer``."""
     markers = markers or rules.CATEGORY_MARKERS
-    base = df.withColumn("_t", F.lower(F.concat_ws("\n", "question", "answer")))
-    names = list(markers)
-    for i, n in enumerate(names):
-        base = base.withColumn(f"_s{i}", count_hits("_t", markers[n]))
-    advanced = (F.length("answer") >= rules.ADVANCED_MIN_CHARS) | has_any("_t", rules.ADVANCED_MARKERS)
-    evergreen = ~F.col("_t").rlike(rules.YEAR_PATTERN) & ~has_any("_t", rules.TIME_SENSITIVE_MARKERS)
+    terms = [m for ms in markers.values() for m in ms] + rules.ADVANCED_MARKERS + rules.TIME_SENSITIVE_MARKERS
+    base = df.withColumn("_t", F.lower(F.concat_ws("\n", "question", "answer"))).withColumn("_found", find_terms("_t", terms))
+    scored = [(n, count_found("_found", ms)) for n, ms in markers.items()]
+    advanced = (F.length("answer") >= rules.ADVANCED_MIN_CHARS) | any_found("_found", rules.ADVANCED_MARKERS)
+    evergreen = ~F.col("_t").rlike(rules.YEAR_PATTERN) & ~any_found("_found", rules.TIME_SENSITIVE_MARKERS)
     return (
-        base.withColumn("category", _pick_max([(n, F.col(f"_s{i}")) for i, n in enumerate(names)], rules.CATEGORY_OTHER))
+        base.withColumn("category", _pick_max(scored, rules.CATEGORY_OTHER))
         .withColumn("difficulty", F.when(advanced, rules.DIFFICULTY_ADVANCED).otherwise(rules.DIFFICULTY_BASIC))
-        .withColumn("evergreen", evergreen)
-        .drop("_t", *[f"_s{i}" for i in range(len(names))])
+        .withColumn("evergreen", evergreen).drop("_t", "_found")
     )
 
 
+MATURITY_TERMS = (rules.MATURITY_L4 + rules.MATURITY_TREND_TOPICS + rules.MATURITY_AI_SEARCH + rules.MATURITY_L4_STRATEGY + rules.MATURITY_L3
+                  + rules.MATURITY_L2 + rules.MATURITY_L1 + [rules.MATURITY_FORECAST_TERM] + rules.MATURITY_FORECAST_LOOKALIKES)
+PHRASING_TERMS = [t for ts in rules.MATURITY_ADVANCED_PHRASES + rules.MATURITY_BASIC_PHRASES for t in ts]
+
+
 def maturity_level(df: DataFrame, name: str = "maturity_relevance") -> DataFrame:
     """L1..L4 or null: weighted term hits plus phrasing and length signals, highest level wins ties."""
-    has = lambda ts: has_any("_full", ts)
-    hits = lambda ts: count_hits("_full", ts)
-    ans = F.col("answer")
-    adv = [ans.rlike(p).cast("int") for p in rules.MATURITY_ADVANCED_PATTERNS]
-    basic = [ans.rlike(p).cast("int") for p in rules.MATURITY_BASIC_PATTERNS]
-    base = df.withColumn("_full", F.concat_ws(" ", F.lower(F.array_join("keywords", " ")), F.lower("question"), F.lower("answer")))
-    base = (
-        base.withColumn("_adv", adv[0] + adv[1] + adv[2])
-        .withColumn("_strategy", has(rules.MATURITY_L4_STRATEGY))
-        .withColumn("_l4raw", 2 * hits(rules.MATURITY_L4) + hits(rules.MATURITY_TREND_TOPICS) + F.col("_adv")
-                    + F.when(has(rules.MATURITY_AI_SEARCH) & F.col("_strategy"), 2).otherwise(0))
-        .withColumn("_l3", 2 * hits(rules.MATURITY_L3) + F.col("_adv") + (F.length(ans) > 500).cast("int"))
-        .withColumn("_l2", hits(rules.MATURITY_L2))
-        .withColumn("_l1", hits(rules.MATURITY_L1) + 2 * (basic[0] + basic[1] + basic[2]) + (F.length(ans) < 100).cast("int"))
-        .withColumn("_lookalike", ~F.contains("_full", F.lit(rules.MATURITY_FORECAST_TERM)) & has(rules.MATURITY_FORECAST_LOOKALIKES))
-    )
-    lowered = F.when(F.col("_lookalike"), F.greatest(F.lit(0), F.col("_l4raw") - 2)).otherwise(F.col("_l4raw"))
-    base = base.withColumn("_l4low", lowered)
-    backed = (F.col("_adv") > 0) | F.col("_strategy") | (F.length(ans) > 500)
-    base = base.withColumn("_l4", F.when((F.col("_l4low") >= 2) & ~backed, 0).otherwise(F.col("_l4low")))
-    top = F.greatest("_l4", "_l3", "_l2", "_l1")
+    full = F.concat_ws(" ", F.lower(F.array_join("keywords", " ")), F.lower("question"), F.lower("answer"))
+    base = df.withColumn("_f", find_terms(full, MATURITY_TERMS)).withColumn("_p", find_terms(F.lower("answer"), PHRASING_TERMS))
+    has, hits = lambda ts: any_found("_f", ts), lambda ts: count_found("_f", ts)
+    phrases = lambda groups: sum((any_found("_p", ts).cast("int") for ts in groups), F.lit(0))
+    long_answer, short_answer = F.length("answer") > 500, F.length("answer") < 100
+    base = base.withColumn("_adv", phrases(rules.MATURITY_ADVANCED_PHRASES)).withColumn("_strategy", has(rules.MATURITY_L4_STRATEGY))
+    base = base.select(
+        "*",
+        (2 * hits(rules.MATURITY_L4) + hits(rules.MATURITY_TREND_TOPICS) + F.col("_adv")
+         + F.when(has(rules.MATURITY_AI_SEARCH) & F.col("_strategy"), 2).otherwise(0)).alias("_raw"),
+        (2 * hits(rules.MATURITY_L3) + F.col("_adv") + long_answer.cast("int")).alias("_l3"),
+        hits(rules.MATURITY_L2).alias("_l2"),
+        (hits(rules.MATURITY_L1) + 2 * phrases(rules.MATURITY_BASIC_PHRASES) + short_answer.cast("int")).alias("_l1"),
+        (~has([rules.MATURITY_FORECAST_TERM]) & has(rules.MATURITY_FORECAST_LOOKALIKES)).alias("_lookalike"))
+    lowered = F.when(F.col("_lookalike"), F.greatest(F.lit(0), F.col("_raw") - 2)).otherwise(F.col("_raw"))
+    backed = (F.col("_adv") > 0) | F.col("_strategy") | long_answer
+    l4 = F.when((lowered >= 2) & ~backed, 0).otherwise(lowered)
+    top = F.greatest(l4, "_l3", "_l2", "_l1")
     level = (
-        F.when(top < 2, None).when(F.col("_l4") == top, "L4").when(F.col("_l3") == top, "L3")
-        .when(F.col("_l2") == top, "L2").otherwise("L1")
+        F.when(top < 2, None).when(l4 == top, "L4").when(F.col("_l3") == top, "L3").when(F.col("_l2") == top, "L2").otherwise("L1")
     )
-    return base.withColumn(name, level).drop("_full", "_adv", "_strategy", "_l4raw", "_l3", "_l2", "_l1", "_lookalike", "_l4low", "_l4")
+    return base.withColumn(name, level).drop("_f", "_p", "_adv", "_strategy", "_raw", "_l3", "_l2", "_l1", "_lookalike")
 
 
 def freshness(source_date: Column | str, evergreen: Column | str, ref_date: str, floor: float = 0.5,
@@ -74,15 +74,21 @@ def freshness(source_date: Column | str, evergreen: Column | str, ref_date: str,
     return F.when(col(evergreen) | d.isNull() | (age <= 0), F.lit(1.0)).otherwise(decayed)
 
 
-def infer_categories(df: DataFrame, text: str = "text") -> DataFrame:
-    """Multi-label categories in order of discovery and a confidence by their number."""
+LABEL_TERMS = (
+    [h for table in (rules.CATEGORY_HINTS, rules.INTENT_HINTS, rules.SCENARIO_HINTS, rules.EVIDENCE_HINTS) for hs in table.values() for h in hs]
+    + [t for groups, _ in rules.CATEGORY_CO_RULES for g in groups for t in g] + [t for _, hs in rules.GRANULARITY_HINTS for t in hs]
+)
+
+
+def infer_categories(df: DataFrame, found: str) -> DataFrame:
+    """Multi-label categories in order of discovery, from the column of found label terms, and a confidence by their number."""
     prim = F.col("category")
-    hinted = [F.when(has_any(text, hs) & ~prim.eqNullSafe(F.lit(c)), F.lit(c)) for c, hs in rules.CATEGORY_HINTS.items()]
+    hinted = [F.when(any_found(found, hs) & ~prim.eqNullSafe(F.lit(c)), F.lit(c)) for c, hs in rules.CATEGORY_HINTS.items()]
     extra = []
     for groups, adds in rules.CATEGORY_CO_RULES:
-        cond = has_any(text, groups[0])
+        cond = any_found(found, groups[0])
         for g in groups[1:]:
-            cond = cond & has_any(text, g)
+            cond = cond & any_found(found, g)
         extra += [F.when(cond, F.lit(a)) for a in adds]
     cats = F.array_distinct(F.array_compact(F.array(F.when(prim != "", prim), *hinted, *extra)))
     out = df.withColumn("categories", cats)
@@ -90,10 +96,10 @@ def infer_categories(df: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("backfill_confidence", F.when(n >= 3, "high").when(n == 2, "medium").otherwise("low"))
 
 
-def granularity(text: str) -> Column:
+def granularity(found: str) -> Column:
     out = F.when(F.lit(False), F.lit(None).cast("string"))
     for name, hs in rules.GRANULARITY_HINTS:
-        out = out.when(has_any(text, hs), name)
+        out = out.when(any_found(found, hs), name)
     return out.otherwise(rules.GRANULARITY_DEFAULT)
 
 
@@ -111,10 +117,9 @@ def retrieval_phrases(question: str = "question", keywords: str = "keywords", li
 
 def retrieval_metadata(df: DataFrame) -> DataFrame:
     """Category, intent, scenario and evidence labels, tier, phrases, surface text and negatives in one projection."""
-    df = df.withColumn("_text", F.lower(F.concat_ws(" ", F.when(F.col("question") != "", F.col("question")),
-                                                     F.when(F.col("answer") != "", F.col("answer")),
-                                                     F.array_join("keywords", " "))))
-    df = infer_categories(df, "_text")
+    text = F.lower(F.concat_ws(" ", F.when(F.col("question") != "", F.col("question")), F.when(F.col("answer") != "", F.col("answer")),
+                               F.array_join("keywords", " ")))
+    df = infer_categories(df.withColumn("_found", find_terms(text, LABEL_TERMS)), "_found")
     curation = F.lower(F.concat_ws(" ", *[F.col(c) for c in ("manual_curation_tag", "manual_curation_reason") if c in df.columns]))
     tier = (
         F.when(F.contains(curation, F.lit("booster")), "booster")
@@ -122,10 +127,10 @@ def retrieval_metadata(df: DataFrame) -> DataFrame:
     )
     none = F.array().cast("array<string>")
     df = (
-        df.withColumn("intent_labels", labels_by_hint("_text", rules.INTENT_HINTS))
-        .withColumn("scenario_tags", labels_by_hint("_text", rules.SCENARIO_HINTS))
-        .withColumn("evidence_scope", labels_by_hint("_text", rules.EVIDENCE_HINTS))
-        .withColumn("content_granularity", granularity("_text"))
+        df.withColumn("intent_labels", labels_found("_found", rules.INTENT_HINTS))
+        .withColumn("scenario_tags", labels_found("_found", rules.SCENARIO_HINTS))
+        .withColumn("evidence_scope", labels_found("_found", rules.EVIDENCE_HINTS))
+        .withColumn("content_granularity", granularity("_found"))
         .withColumn("serving_tier", tier)
         .withColumn("retrieval_phrases", retrieval_phrases())
     )
@@ -136,7 +141,7 @@ def retrieval_metadata(df: DataFrame) -> DataFrame:
         .withColumn("booster_target_queries", F.when(F.col("serving_tier") == "booster", F.slice("retrieval_phrases", 1, 5)).otherwise(none))
         .withColumn("hard_negative_terms", F.when(F.col("backfill_confidence") == "low",
                                                   F.array(*[F.lit(t) for t in rules.LOW_CONFIDENCE_NEGATIVES])).otherwise(none))
-        .drop("_text")
+        .drop("_found")
     )
 
 
@@ -203,13 +208,13 @@ def document_frequency(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+QUERY_TABLES = {"query_categories": rules.QUERY_CATEGORY_HINTS, "query_intents": rules.QUERY_INTENT_HINTS, "query_scenarios": rules.QUERY_SCENARIO_HINTS}
+
+
 def query_labels(queries: DataFrame, text: str = "query") -> DataFrame:
-    low = queries.withColumn("_q", F.lower(text))
-    return (
-        low.withColumn("query_categories", labels_by_hint("_q", rules.QUERY_CATEGORY_HINTS))
-        .withColumn("query_intents", labels_by_hint("_q", rules.QUERY_INTENT_HINTS))
-        .withColumn("query_scenarios", labels_by_hint("_q", rules.QUERY_SCENARIO_HINTS)).drop("_q")
-    )
+    terms = [h for table in QUERY_TABLES.values() for hs in table.values() for h in hs]
+    found = queries.withColumn("_found", find_terms(F.lower(text), terms))
+    return found.select("*", *[labels_found("_found", t).alias(n) for n, t in QUERY_TABLES.items()]).drop("_found")
 
 
 def hit_counts(log: DataFrame, kinds: list[str], ident: str = "returned_ids") -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidekb import rules
-from tidekb.functions.text import col, has_any, squeeze, stable_id
+from tidekb.functions.terms import find_terms, flag_terms
+from tidekb.functions.text import col, squeeze, stable_id
 
 NONE = "array<string>"
 
@@ -112,13 +113,15 @@ def all_markers() -> list[str]:
 
 def local_segments(text: Column | str, markers: list[str] | None = None) -> Column:
     """Up to three distinct marker-bearing paragraphs, else up to two longer plain ones."""
-    markers = markers or all_markers()
     blocks = F.transform(F.split(col(text), r"\n\s*\n"), lambda b: clean_excerpt(b))
-    clean = F.filter(blocks, lambda b: ~has_any(F.lower(b), rules.BOILERPLATE_MARKERS))
-    marked = F.filter(clean, lambda b: (F.length(b) >= rules.SEGMENT_MIN_CHARS) & has_any(F.lower(b), markers))
-    marked = F.slice(F.array_distinct(marked), 1, 3)
-    plain = F.slice(F.filter(clean, lambda b: F.length(b) >= rules.FALLBACK_MIN_CHARS), 1, 2)
-    return F.when(F.size(marked) > 0, marked).otherwise(plain)
+    skip = F.transform(blocks, lambda b: F.lower(b))
+    boiler, marked = flag_terms(skip, rules.BOILERPLATE_MARKERS), flag_terms(skip, markers or all_markers())
+    z = F.arrays_zip(blocks.alias("b"), boiler.alias("x"), marked.alias("m"))
+    clean = F.filter(z, lambda r: ~r["x"])
+    bearing = F.filter(clean, lambda r: (F.length(r["b"]) >= rules.SEGMENT_MIN_CHARS) & r["m"])
+    plain = F.filter(clean, lambda r: F.length(r["b"]) >= rules.FALLBACK_MIN_CHARS)
+    text_of = lambda arr: F.transform(arr, lambda r: r["b"])
+    return F.when(F.size(bearing) > 0, F.slice(F.array_distinct(text_of(bearing)), 1, 3)).otherwise(F.slice(text_of(plain), 1, 2))
 
 
 def derive_keywords(title: Column | str, text: Column | str, markers: list[str] | None = None,
@@ -127,7 +130,10 @@ def derive_keywords(title: Column | str, text: Column | str, markers: list[str]
     raw = list(dict.fromkeys(markers or list(chain.from_iterable(rules.CATEGORY_MARKERS.values()))))
     body = col(text) if head_chars is None else F.substring(col(text), 1, head_chars)
     src = F.lower(F.concat(col(title), F.lit("\n"), body))
-    found = F.array_compact(F.array(*[F.when(F.contains(src, F.lit(m.lower())), F.lit(m)) for m in raw]))
+    found = find_terms(src, [m.lower() for m in raw])
+    if any(m != m.lower() for m in raw):
+        spelled = F.create_map(*[F.lit(x) for m in raw for x in (m.lower(), m)])
+        found = F.transform(found, lambda t: spelled[t])
     words = F.regexp_extract_all(col(title), F.lit(r"[A-Za-z][A-Za-z0-9\-]{2,}|[一-鿿]{2,}"), F.lit(0))
     return F.slice(F.array_distinct(F.concat(found, words)), 1, limit)
 

@@ -83,15 +83,16 @@ MATURITY_L1 = [
     "反向連結", "backlink", "on-page", "頁面優化", "google 索引", "google indexing",
     "seo 工具", "seo tool", "搜尋引擎", "search engine",
 ]
-MATURITY_ADVANCED_PATTERNS = [
-    "(?i)(分析|分群|模型|框架|架構|演算法|pipeline)",
-    "(?i)(integrate|integration|orchestrat|automat)",
-    "(?i)(api|sdk|webhook|endpoint)",
+# each inner list is one phrasing signal, tested on the answer only, in any letter case
+MATURITY_ADVANCED_PHRASES = [
+    ["分析", "分群", "模型", "框架", "架構", "演算法", "pipeline"],
+    ["integrate", "integration", "orchestrat", "automat"],
+    ["api", "sdk", "webhook", "endpoint"],
 ]
-MATURITY_BASIC_PATTERNS = [
-    "(?i)(第一步|首先|建議先|可以先)",
-    "(?i)(簡單來說|簡而言之|基本上)",
-    "(?i)(what is|定義是)",
+MATURITY_BASIC_PHRASES = [
+    ["第一步", "首先", "建議先", "可以先"],
+    ["簡單來說", "簡而言之", "基本上"],
+    ["what is", "定義是"],
 ]
 MATURITY_FORECAST_TERM = "預測"
 MATURITY_FORECAST_LOOKALIKES = ["預期", "預設"]
