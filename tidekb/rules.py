@@ -246,3 +246,56 @@ SEGMENT_ADVICE_DEFAULT = "定期檢查此路徑的索引狀態，確認無異常
 # ---- character classes ----
 HAN_CLASS = "\\u4e00-\\u9fff\\u3400-\\u4dbf\\uf900-\\ufaff"
 CJK_CLASS = HAN_CLASS + "\\u3040-\\u309f\\u30a0-\\u30ff\\uac00-\\ud7af"
+
+# ---- report scoring ----
+REPORT_SECTIONS_BASIC = ["## 一、", "## 二、", "## 三、", "## 四、", "## 五、", "## 六、"]
+REPORT_SECTIONS = REPORT_SECTIONS_BASIC + ["## 七、"]
+RESEARCH_KEYWORDS = ["Backlinko", "Semrush", "NavBoost", "First Page Sage", "arxiv", "SEOCausal", "CausalImpact", "E-E-A-T"]
+KB_LINK = r"/admin/seoInsight/(?:[0-9a-f]{16}|\d+)"
+REPORT_METRICS = [
+    "CTR", "曝光", "點擊", "排名", "索引", "Discover", "CLS", "LCP", "FID", "INP", "Core Web Vitals", "反向連結", "外部連結", "內部連結",
+    "跳出率", "停留時間", "轉換率", "流量", "有機搜尋", "AI Overview", "檢索未索引", "收錄", "爬取", "網頁速度", "Position", "E-E-A-T",
+    "佔比", "覆蓋率",
+]
+CAUSAL_CONNECTORS = ["導致", "因此", "因為", "表示", "意味著", "這表示", "這意味", "由於", "造成", "然而", "但", "儘管", "雖然", "進而", "以致", "所以", "反映", "顯示", "源自", "歸因"]
+SPECIFIC_ACTIONS = (
+    r"在\s*(?:GSC|Search Console|PageSpeed|Chrome|Screaming Frog|Ahrefs|Semrush)|篩選|檢查|驗證|使用\s*\S+\s*(?:面板|報表|工具)|部署後\s*\d+|設定\s*\S+"
+    r"|加入\s*\S+|移除\s*\S+|重寫|優化\s*(?i:title|標題|description|meta)|補上|修復|排查|測試"
+)
+QUADRANT_KEYWORDS = ["高曝光低點擊", "低曝光高點擊", "高曝光高點擊", "低曝光低點擊"]
+QUADRANT_SIGNALS = ["建議", "表示", "因為", "利基", "優勢", "需要", "應該", "代表", "意味"]
+TOP_REASONS = ["雖然", "因為", "理由", "原因", "而", "但", "相比", "優先"]
+NUMBER_EVIDENCE = r"(?U)[+-]?\d+(?:\.\d+)?%|\b\d{1,3}(?:,\d{3})+\b|\b\d{3,}\b"
+WEEK_PERCENT = r"週.*?[+-]?\d+(?:\.\d+)?%|[+-]?\d+(?:\.\d+)?%.*?週"
+MONTH_PERCENT = r"月.*?[+-]?\d+(?:\.\d+)?%|[+-]?\d+(?:\.\d+)?%.*?月"
+MATURITY_LABEL = r"\[(?:策略|流程|關鍵字|指標)\s*L[1-4]→L[1-4]\]"
+MATURITY_REFERENCE = "成熟度參考"
+COMPOSITE_V2 = {"overall": 0.30, "cross_metric": 0.15, "action_specificity": 0.15, "data_evidence": 0.12, "citation_integration": 0.10, "quadrant": 0.10, "depth_balance": 0.08}
+COMPOSITE_V3 = {
+    "overall": 0.12, "cross_metric": 0.15, "action_specificity": 0.15, "data_evidence": 0.09, "citation_integration": 0.08, "quadrant": 0.07, "depth_balance": 0.10,
+    "dual_frame": 0.07, "causal_chain": 0.06, "priority_balance": 0.05, "maturity_labeled": 0.04, "top_recommendation": 0.02,
+}
+PREP_SECTIONS = [
+    "Section 0：執行摘要", "Section 1：本週異常地圖", "Section 2：業界最新動態", "Section 3：深度根因假設", "Section 4：顧問視角交叉比對", "Section 5：五層審計缺口清單",
+    "Section 6：E-E-A-T 現況評估", "Section 7：人本七要素分析", "Section 8：SEO 成熟度自評", "Section 9：會議提問清單", "Section 10：會議後行動核查表",
+]
+PREP_QUESTION_RANGES = {"A": (3, 5), "B": (4, 6), "C": (2, 3), "D": (2, 3)}
+PREP_QUESTION_TAG = r"\[(?:NEW|CARRY(?:-W\d+)?|Updated|Validated|Discarded|TS-[A-Z]+|\d+)\]"
+PREP_LEVEL = r"L[1-4](?:\.\d)?"
+PREP_DIMENSIONS = [("strategy", "策略"), ("process", "流程"), ("keywords", "關鍵字"), ("metrics", "指標")]
+PREP_METRIC_PATTERN = (
+    r"Discover|CTR|AMP\s*(?:Article|Ratio)?|Coverage|外部連結|回應時間|KW[:：「]\s*\S+|營運\s*KW[:：「]\s*\S+|檢索未索引|探索比例|"
+    r"結構化\s*Ratio|新網頁|/salon/|/article/|/en/|/tag/|Organic\s*Search|News\s*\(new\)|Video|GPT|Gemini|Perplexity|AI\s*占比"
+)
+PREP_TOOLS = "(?i)GSC|Search Console|PageSpeed|Ahrefs|Screaming Frog|GA4|Google Trends|Semrush|Moz|Chrome DevTools|Lighthouse"
+PREP_VERBS = "排查|篩選|檢查|驗證|監控|建立|設定|測試|分析|規劃|導入"
+PREP_SECTION_CATEGORIES = {
+    "3": ["技術SEO", "索引與檢索", "連結策略", "演算法與趨勢", "Discover與AMP", "搜尋表現分析"],
+    "6": ["技術SEO", "Discover與AMP", "連結策略", "搜尋表現分析", "演算法與趨勢"],
+}
+VALIDATION_SECTIONS = ["一、", "二、", "三、", "四、", "五、", "六、", "七、"]
+SEGMENT_SEVERITY_WORDS = ["警示", "嚴重", "需關注", "穩定", "改善", "🔴", "🟡", "🟢"]
+SEGMENT_ACTION_WORDS = ["GSC", "canonical", "noindex", "robots", "hreflang", "合併", "檢查", "建議", "行動"]
+SEGMENT_UP_WORDS = ["上升", "增加", "惡化", "+"]
+SEGMENT_DOWN_WORDS = ["下降", "減少", "改善", "-"]
+CRAWLER_BOTS = ["GPTBot", "ChatGPT-User", "ClaudeBot", "anthropic-ai", "Google-Extended", "Bytespider", "PerplexityBot", "Applebot-Extended", "cohere-ai", "Meta-ExternalAgent"]
