@@ -1 +1 @@
-
+"""Structured Streaming forms of the log, article, upsert and series operators."""
