@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidekb.catalog import inputs as I
 from tidekb.catalog.base import query, stored, table
+from tidekb.functions.layout import spread
 from tidekb.functions.vectors import text_vectors
 from tidekb.operators import dedup as D
 from tidekb.operators import reconcile as R
@@ -29,7 +30,7 @@ edge AS (SELECT x.c, x.seq AS i, y.seq AS j, sum(x.w * y.w) AS s FROM vc x JOIN
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), F.col("source").alias("source_collection"), "text")
+    return spread(table(spark, sf, "documents"), "doc_id").select(F.col("doc_id").alias("seq"), F.col("source").alias("source_collection"), "text")
 
 
 @query("d01_text_vectors", f"WITH {vec_sql('documents', 'doc_id', 'text')} SELECT k AS seq, b AS bucket, round(w, 6) AS w FROM vec")

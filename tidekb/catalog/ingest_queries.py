@@ -8,6 +8,7 @@ from tidekb import rules
 from tidekb.catalog import inputs as I
 from tidekb.catalog.base import lit, query, s_any, table
 from tidekb.catalog.enrich_queries import J, sql_maturity
+from tidekb.functions.layout import spread
 from tidekb.operators import enrich as E
 from tidekb.operators import ingest as N
 from tidekb.operators import reconcile as R
@@ -56,7 +57,7 @@ def _html_sql(src: str) -> str:
 
 @query("b03_clean_pages", f"WITH c AS (SELECT page_id, {_html_sql('html')} AS content FROM pages) SELECT page_id, length(content) AS n, md5(content) AS digest FROM c WHERE length(content) >= 300")
 def _(spark, sf):
-    return N.clean_pages(table(spark, sf, "pages")).select("page_id", F.length("content").alias("n"), F.md5("content").alias("digest"))
+    return N.clean_pages(spread(table(spark, sf, "pages"), "page_id")).select("page_id", F.length("content").alias("n"), F.md5("content").alias("digest"))
 
 
 # ---- B4 ----

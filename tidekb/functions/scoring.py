@@ -14,6 +14,11 @@ import numpy as np
 from tidekb import rules
 from tidekb.functions.vectors import unit_rows
 
+try:
+    import ahocorasick
+except ImportError:
+    ahocorasick = None
+
 WORD = re.compile(r"[^ \t\n\r\f\v]+")
 CACHE_ENTRIES = 50_000
 
@@ -36,39 +41,69 @@ def words_of(text: str, min_len: int = 2) -> list[str]:
     return [w for w in WORD.findall(text.lower()) if len(w) >= min_len]
 
 
+class Substrings:
+    """Positions of the words of a fixed list that occur inside a string.
+
+    Uses an Aho-Corasick automaton where the library is installed, else looks up every substring.
+    """
+
+    def __init__(self, words: list[str]):
+        self.pos = {w: i for i, w in enumerate(words)}
+        self.longest = max((len(w) for w in words), default=0)
+        self.machine = None
+        if ahocorasick is not None and words:
+            self.machine = ahocorasick.Automaton()
+            for w, i in self.pos.items():
+                self.machine.add_word(w, i)
+            self.machine.make_automaton()
+
+    def __call__(self, s: str) -> tuple[int, ...]:
+        if self.machine is not None:
+            return tuple({i for _, i in self.machine.iter(s)})
+        ends = range(1, self.longest + 1)
+        found = {self.pos.get(s[i:i + n]) for i in range(len(s)) for n in ends if i + n <= len(s)}
+        found.discard(None)
+        return tuple(found)
+
+
 class QueryTexts:
     """Substring relations between any string and the queries, as 0/1 vectors over the queries."""
 
     def __init__(self, texts: list[str], min_len: int = 2):
         self.low = [t.lower() for t in texts]
         self.n = len(texts)
+        self.everything = "\x00".join(self.low)
+        self.shortest = min((len(t) for t in self.low), default=0)
         self.words = [set(words_of(t, min_len)) for t in texts]
-        self.word_mask: dict[str, np.ndarray] = {}
+        listed = sorted(set().union(*self.words)) if self.words else []
+        self.inner_words = Substrings(listed)
+        self.word_mask = np.zeros((len(listed), self.n), dtype=bool)
         for i, ws in enumerate(self.words):
-            for w in ws:
-                self.word_mask.setdefault(w, np.zeros(self.n, dtype=bool))[i] = True
-        self.longest = max((len(w) for w in self.word_mask), default=0)
-        self.having = Memo(lambda s: np.fromiter((s in q for q in self.low), bool, self.n))
-        self.inside = Memo(lambda s: np.fromiter((q in s for q in self.low), bool, self.n))
-        self.word_within = Memo(self._word_within)
+            self.word_mask[[self.inner_words.pos[w] for w in ws], i] = True
+        self.none = np.zeros(self.n, dtype=bool)
+        self.having = Memo(self._having)
+        self.inside = Memo(self._inside)
+        self.word_within = Memo(lambda s: self.word_mask[list(self.inner_words(s))].any(axis=0))
         self.hit = Memo(self._hit)
 
-    def _word_within(self, s: str) -> np.ndarray:
-        """Queries with a word that occurs inside ``s``."""
-        out = np.zeros(self.n, dtype=bool)
-        for i in range(len(s)):
-            for j in range(i + 1, min(len(s), i + self.longest) + 1):
-                m = self.word_mask.get(s[i:j])
-                if m is not None:
-                    out |= m
-        return out
+    def _having(self, s: str) -> np.ndarray:
+        """Queries that contain ``s``."""
+        if s not in self.everything:
+            return self.none
+        return np.fromiter((s in q for q in self.low), bool, self.n)
+
+    def _inside(self, s: str) -> np.ndarray:
+        """Queries that are contained in ``s``."""
+        if len(s) < self.shortest:
+            return self.none
+        return np.fromiter((q in s for q in self.low), bool, self.n)
 
     def _hit(self, keyword: str) -> np.ndarray:
         """Hit weight of one keyword per query: 1 for the three full layers, a half for a shared two-character head."""
         full = self.having[keyword] | self.word_within[keyword]
         for part in words_of(keyword):
             full = full | self.having[part]
-        half = self.having[keyword[:2]] & ~full if len(keyword) >= 2 else np.zeros(self.n, dtype=bool)
+        half = self.having[keyword[:2]] & ~full if len(keyword) >= 2 else self.none
         return full + 0.5 * half
 
     def keyword_boost(self, rows: list[list[str] | None]) -> np.ndarray:
@@ -92,51 +127,28 @@ class TermIndex:
 
     def __init__(self, term_sets: list[set[str]]):
         self.terms = sorted(set().union(*term_sets)) if term_sets else []
-        self.pos = {t: i for i, t in enumerate(self.terms)}
-        self.incidence = np.zeros((len(self.terms), len(term_sets)))
+        self.inner = Substrings(self.terms)
+        self.pos = self.inner.pos
+        self.incidence = np.zeros((len(self.terms), len(term_sets)), dtype=np.float32)
         for q, ts in enumerate(term_sets):
-            for t in ts:
-                self.incidence[self.pos[t], q] = 1.0
-        self.longest = max((len(t) for t in self.terms), default=0)
-        self.substrings = Memo(self._substrings)
-        self.bytes = max(1, (len(self.terms) + 7) // 8)
-
-    def _substrings(self, word: str) -> int:
-        """Bit set of the terms inside one whitespace-free word."""
-        bits = 0
-        for i in range(len(word)):
-            for j in range(i + 1, min(len(word), i + self.longest) + 1):
-                p = self.pos.get(word[i:j])
-                if p is not None:
-                    bits |= 1 << p
-        return bits
-
-    def _counts(self, bit_sets: list[int]) -> np.ndarray:
-        raw = np.frombuffer(b"".join(b.to_bytes(self.bytes, "little") for b in bit_sets), dtype=np.uint8)
-        flags = np.unpackbits(raw.reshape(len(bit_sets), self.bytes), axis=1, bitorder="little")[:, : len(self.terms)]
-        return flags @ self.incidence
+            self.incidence[[self.pos[t] for t in ts], q] = 1.0
+        self.within = Memo(self.inner)
+
+    def _counts(self, found: list[set[int]]) -> np.ndarray:
+        """Rows × queries: how many of each query's terms were found (small whole numbers, exact in single precision)."""
+        flags = np.zeros((len(found), len(self.terms)), dtype=np.float32)
+        for i, f in enumerate(found):
+            flags[i, list(f)] = 1.0
+        return (flags @ self.incidence).astype(np.float64)
 
     def contained(self, texts: list[str]) -> np.ndarray:
         """Number of each query's terms that occur anywhere in each text (terms hold no white space)."""
-        sets = []
-        for t in texts:
-            bits = 0
-            for w in set(WORD.findall(t.lower())):
-                bits |= self.substrings[w]
-            sets.append(bits)
-        return self._counts(sets) if sets else np.zeros((0, self.incidence.shape[1]))
+        return self._counts([set().union(*map(self.within.__getitem__, set(WORD.findall(t.lower())))) for t in texts])
 
     def shared(self, token_lists) -> np.ndarray:
         """Number of each query's terms among each row's distinct tokens."""
-        sets = []
-        for toks in token_lists:
-            bits = 0
-            for t in set(toks):
-                p = self.pos.get(t)
-                if p is not None:
-                    bits |= 1 << p
-            sets.append(bits)
-        return self._counts(sets) if sets else np.zeros((0, self.incidence.shape[1]))
+        pos = self.pos
+        return self._counts([{pos[t] for t in toks if t in pos} for toks in token_lists])
 
 
 def label_overlap(query_labels: list[set[str]], rows: list[list[str] | None]) -> np.ndarray:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidekb import rules
+from tidekb.functions.layout import spread
 from tidekb.functions.ranking import top_per_group
 from tidekb.functions.scoring import WORD, MetadataScore, QueryTexts, TermIndex, cosine, infer_labels, words_of
 from tidekb.functions.text import col
@@ -55,7 +56,7 @@ def scan_top_k(corpus: DataFrame, batch: dict[str, list], make_scorer: Callable[
     ``make_scorer(batch)`` runs once per task; its scorer gets a column reader and returns rows × queries.
     """
     inputs = list(dict.fromkeys(["seq", *needs, *keep]))
-    source = corpus.select(*inputs)
+    source = spread(corpus.select(*inputs), "seq")
     ids = batch["query_id"]
     id_type = pa.int64() if all(isinstance(i, int) for i in ids) else pa.string()
     schema = T.StructType([T.StructField("query_id", T.LongType() if id_type == pa.int64() else T.StringType()),
