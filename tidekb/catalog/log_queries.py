@@ -42,12 +42,12 @@ def _(spark, sf):
 
 
 @query("l04_daily_report", f"""WITH {_F}, a AS (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (event_type='click') AS searches, count(*) FILTER (event_type='view') AS chats, count(*) FILTER (event_type='signup') AS lists FROM events GROUP BY 1),
-f AS (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (event='fetch_page') AS pages, count(*) FILTER (event='fetch_skip') AS skips, round(sum(duration_sec) FILTER (event='fetch_complete'), 1) AS seconds FROM fl GROUP BY 1)
+f AS (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (event='fetch_page') AS pages, count(*) FILTER (event='fetch_skip') AS skips, round(sum(duration_sec) FILTER (event='fetch_complete'), 2) AS seconds FROM fl GROUP BY 1)
 SELECT coalesce(f.day, a.day) AS day, pages, skips, seconds, searches, chats, lists FROM f FULL JOIN a ON a.day = f.day""")
 def _(spark, sf):
     names = {"click": "search", "view": "chat", "signup": "list_qa"}
     ev = F.coalesce(*[F.when(F.col("event") == k, v) for k, v in names.items()], F.col("event"))
-    return G.daily_report(fetch_log(spark, sf), I.access_log(spark, sf).withColumn("event", ev)).drop("approx_clients")
+    return G.daily_report(fetch_log(spark, sf), I.access_log(spark, sf).withColumn("event", ev)).drop("approx_clients").withColumn("seconds", F.round("seconds", 2))
 
 
 @query("l04_daily_top_clients", """WITH c AS (SELECT strftime(ts, '%Y-%m-%d') AS day, user_id AS item, count(*) AS n FROM events GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY n DESC, item) AS rank FROM c) WHERE rank <= 5""")

@@ -51,7 +51,7 @@ def daily_report(fetch: DataFrame, access: DataFrame) -> DataFrame:
     day = F.date_format("ts", "yyyy-MM-dd").alias("day")
     f = fetch.groupBy(day).agg(
         F.count_if(F.col("event") == "fetch_page").alias("pages"), F.count_if(F.col("event") == "fetch_skip").alias("skips"),
-        F.round(F.sum(F.when(F.col("event") == "fetch_complete", F.col("duration_sec"))), 1).alias("seconds"))
+        F.sum(F.when(F.col("event") == "fetch_complete", F.col("duration_sec"))).alias("seconds"))
     a = access.groupBy(day).agg(*[F.count_if(F.col("event") == e).alias(n) for e, n in (("search", "searches"), ("chat", "chats"), ("list_qa", "lists"))],
                                 F.approx_count_distinct("client").alias("approx_clients"))
     return f.join(a, "day", "full_outer")
