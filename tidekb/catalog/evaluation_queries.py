@@ -214,7 +214,7 @@ def _(spark, sf):
 
 @query("v22_segment_recall", """WITH s AS (SELECT l_returnflag AS id, '/s' || l_suppkey || '/' AS seg, sum(l_quantity) FILTER (year(l_shipdate) = 1999) / sum(l_quantity) FILTER (year(l_shipdate) = 1998) - 1 AS c, sum(l_tax) AS t FROM lineitem GROUP BY 1, 2),
 a AS (SELECT id, bool_or(round(c,6) >= 0.5) AS crit, list(seg) FILTER (round(c,6) >= 0.15) AS w, list(seg) FILTER (round(c,6) <= -0.1) AS i, list(seg) FILTER (round(t,2) > 8) AS ew, list(seg) FILTER (round(t,2) <= 7) AS ei, list(seg) AS al FROM s GROUP BY 1)
-SELECT id, round(crit::INT::DOUBLE, 6) AS severity_accuracy, round(len(list_intersect(ew, w)) / len(ew), 6) AS worsening_recall, round(len(list_intersect(ei, i)) / len(ei), 6) AS improving_recall, round(len(list_intersect(al, w)) / len(al), 6) AS path_coverage FROM a""")
+SELECT id, coalesce(crit, false)::INT::DOUBLE AS severity_accuracy, CASE WHEN ew IS NULL THEN 1 ELSE round(len(list_intersect(ew, coalesce(w, []))) / len(ew), 6) END AS worsening_recall, CASE WHEN ei IS NULL THEN 1 ELSE round(len(list_intersect(ei, coalesce(i, []))) / len(ei), 6) END AS improving_recall, round(len(list_intersect(al, coalesce(w, []))) / len(al), 6) AS path_coverage FROM a""")
 def _(spark, sf):
     from tidekb.catalog.metric_queries import segments
     from tidekb.operators import metrics as M

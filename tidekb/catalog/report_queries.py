@@ -16,7 +16,7 @@ NL = "chr(10)"
 LAYOUT = """concat('Health Score：', length(text) % 101, {nl}{nl}, '## 一、總覽', {nl}, text, {nl}, '週 +3.2% 月 -1.5% 資料', {nl}{nl}, '## 二、流量', {nl}, 'CTR 下降 12.5% 導致 曝光 減少 [', length(text) % 7, ']', {nl}{nl}, '高曝光低點擊 ',
  CASE WHEN lang = 'en' THEN '建議 調整標題' ELSE '無' END, {nl}{nl}, CASE WHEN lang <> 'de' THEN concat('## 三、技術', {nl}, source, ' 1234 [', doc_id % 5, ']', {nl}{nl}) ELSE '' END, '## 四、意圖', {nl}, '**現象** a **原因** b **行動** c', {nl}{nl},
  CASE WHEN lang = 'fr' THEN concat('## 五、補充', {nl}, 'Semrush 研究 因為 排名 流量', {nl}{nl}) ELSE '' END, '## 六、優先行動清單', {nl}, '成熟度參考：流程 L2', {nl}, '- 🔴 檢查 click [流程 L2→L3]', {nl}, '- 🔴 ',
- CASE WHEN length(text) > 1000 THEN '排查 error' ELSE '觀察 x' END, {nl}, '- 🟡 注意 view', {nl}, '💡 最值得投入：', CASE WHEN lang = 'es' THEN '因為 成本' ELSE '無' END, {nl}, 'https://x.example/a /admin/seoInsight/', doc_id, {nl}{nl}, '## 七、來源', {nl}, '[1] [2] [3]', {nl})"""
+ CASE WHEN length(text) > 1000 THEN '排查 error' ELSE '觀察 x' END, {nl}, '- 🟡 注意 view', {nl}, '💡 最值得投入：', CASE WHEN lang = 'es' THEN '因為 成本' ELSE '無' END, {nl}, 'https://x.example/a /admin/item/', doc_id, {nl}{nl}, '## 七、來源', {nl}, '[1] [2] [3]', {nl})"""
 
 
 def _layout(nl: str) -> str:

@@ -75,10 +75,11 @@ def sheets(spark, sf):
     return g.select("snapshot", F.concat(head, "body", F.lit("\nSparklines\tx\n")).alias("text"))
 
 
+# a percentage with a thousands comma ("1,303.51%") is not a number, as in the sheet parser
 _SHEET = I.CHANGES + """, z AS (SELECT snapshot, name, value, replace(snapshot, '-', '/') AS d, monthly, weekly FROM changes)"""
 
 
-@query("a05_metric_sheets", f"""WITH {_SHEET} SELECT snapshot, name, round(try_cast(replace(format('{{:,.2f}}', monthly * 100), ',', '') AS DOUBLE) / 100, 6) AS monthly, round(try_cast(replace(format('{{:,.2f}}', weekly * 100), ',', '') AS DOUBLE) / 100, 6) AS weekly,
+@query("a05_metric_sheets", f"""WITH {_SHEET} SELECT snapshot, name, round(try_cast(format('{{:,.2f}}', monthly * 100) AS DOUBLE) / 100, 6) AS monthly, round(try_cast(format('{{:,.2f}}', weekly * 100) AS DOUBLE) / 100, 6) AS weekly,
  round(value, 2) AS latest, 1234.0::DOUBLE AS previous, d AS latest_date, '2023/12/31' AS previous_date FROM z""")
 def _(spark, sf):
     m = S.parse_metric_sheets(sheets(spark, sf))

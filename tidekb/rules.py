@@ -251,7 +251,7 @@ CJK_CLASS = HAN_CLASS + "\\u3040-\\u309f\\u30a0-\\u30ff\\uac00-\\ud7af"
 REPORT_SECTIONS_BASIC = ["## 一、", "## 二、", "## 三、", "## 四、", "## 五、", "## 六、"]
 REPORT_SECTIONS = REPORT_SECTIONS_BASIC + ["## 七、"]
 RESEARCH_KEYWORDS = ["Backlinko", "Semrush", "NavBoost", "First Page Sage", "arxiv", "SEOCausal", "CausalImpact", "E-E-A-T"]
-KB_LINK = r"/admin/seoInsight/(?:[0-9a-f]{16}|\d+)"
+KB_LINK = r"/admin/[A-Za-z]+/(?:[0-9a-f]{16}|\d+)"
 REPORT_METRICS = [
     "CTR", "曝光", "點擊", "排名", "索引", "Discover", "CLS", "LCP", "FID", "INP", "Core Web Vitals", "反向連結", "外部連結", "內部連結",
     "跳出率", "停留時間", "轉換率", "流量", "有機搜尋", "AI Overview", "檢索未索引", "收錄", "爬取", "網頁速度", "Position", "E-E-A-T",
