@@ -1,4 +1,4 @@
 """Every corpus operator as a registered query, with its SQL where there is one."""
 
-from tidekb.llm import exactdedup, mixing  # noqa: F401
+from tidekb.llm import exactdedup, langid, licenses, mixing, pieces, urlgraph  # noqa: F401
 from tidekb.llm.common import ORACLE, QUERIES  # noqa: F401
