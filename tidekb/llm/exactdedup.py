@@ -3,8 +3,7 @@
 Fingerprints (digest, length, stable id, content locator) stream through an aggregation whose state lies in RocksDB on
 the executors' disks and in the shared checkpoint; no watermark is set, so no key ever expires. Each micro-batch is
 aggregated before the shuffle, hence a key that holds a third of all rows reaches the state as one row per task. Every
-hit is then checked: its full normalised bytes are compared with those at the locator of the row that stays, and rows
-that only share the digest are regrouped by their bytes.
+hit is then checked on the full normalised bytes, and rows that only share the digest are regrouped by their bytes.
 """
 
 from __future__ import annotations
@@ -18,6 +17,8 @@ ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each of many small stores takes megabytes ahead
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
@@ -80,25 +81,20 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest
     groups = stored(seen.filter("n > 1"), "groups")
     slot = lambda: F.pmod(F.xxhash64("digest"), F.lit(slots)).alias("slot")
     occupied = groups.select(slot()).distinct()
-    hits = docs.select("at_file", "at_row", normalised(text).alias("t")).withColumn("digest", digest(F.col("t"))).withColumn("n_bytes", F.octet_length("t").cast("long")).withColumn("slot", slot())
-    hits = stored(hits.join(F.broadcast(occupied), "slot", "left_semi").drop("slot"), "hits")
-    pair = ["digest", "n_bytes"]
-    leaders = hits.join(groups.select(*pair, "first.at_file", "first.at_row"), [*pair, "at_file", "at_row"]).select(*pair, F.col("t").alias("leader_text"))
-    odd = hits.join(leaders, pair).filter(F.col("t") != F.col("leader_text")).select(*pair, "at_file", "at_row", "t")
-    odd = stored(odd, "odd")
+    pair, at = ["digest", "n_bytes"], ["at_file", "at_row"]
+    content = docs.select(*at, F.col(key).alias("id"), normalised(text).alias("t")).withColumn("digest", digest(F.col("t"))).withColumn("n_bytes", F.octet_length("t").cast("long"))
+    hits = content.withColumn("slot", slot()).join(F.broadcast(occupied), "slot", "left_semi")
+    # whole bytes of all rows of a digest: its smallest and largest text must coincide; copies meet before the shuffle
+    odd = stored(hits.groupBy(*pair).agg(F.min("t").alias("low"), F.max("t").alias("high")).filter("low != high").select(*pair), "odd")
     plain = prints.join(groups.select(*pair, "first", "n"), pair, "left")
-    at = ["at_file", "at_row"]
     if odd.isEmpty():
-        merged = plain.select("*", F.lit(None).cast(groups.schema["first"].dataType).alias("own_first"), F.lit(None).cast("long").alias("own_n"), F.lit(0).cast("long").alias("fewer"))
+        merged = plain.select("*", F.lit(None).cast(groups.schema["first"].dataType).alias("own_first"), F.lit(None).cast("long").alias("own_n"))
     else:
-        ids = odd.join(prints.select(*at, "id"), at)
-        who = F.struct(F.col("id").isNull().alias("no_id"), "id", *at)
-        own = ids.groupBy(*pair, "t").agg(F.min(who).alias("own_first"), F.count("*").alias("own_n"))
-        regrouped = ids.join(own, [*pair, "t"]).select(*at, "own_first", "own_n")
-        fewer = ids.groupBy(*pair).agg(F.count("*").alias("fewer"))
-        merged = plain.join(regrouped, at, "left").join(fewer, pair, "left")
+        rows = stored(content.join(odd, pair), "odd-rows")
+        own = rows.groupBy(*pair, "t").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", *at)).alias("own_first"), F.count("*").alias("own_n"))
+        merged = plain.join(rows.join(own, [*pair, "t"]).select(*at, "own_first", "own_n"), at, "left")
     stays = F.coalesce("own_first", "first", F.struct(F.col("id").isNull().alias("no_id"), "id", *at))
-    size = F.coalesce(F.col("own_n"), F.col("n") - F.coalesce("fewer", F.lit(0)), F.lit(1)).cast("long")
+    size = F.coalesce("own_n", "n", F.lit(1)).cast("long")
     merged = merged.withColumn("stays", stays)
     kept = (F.col("stays.at_file") == F.col("at_file")) & (F.col("stays.at_row") == F.col("at_row"))
     return merged.select(F.col("id").alias(key), F.col("stays.id").alias("keep_id"), size.alias("group_size"), kept.alias("kept"), "digest", "at_file", "at_row")
