@@ -87,12 +87,18 @@ def test_merge_takes_longest_and_two_supplements(spark):
     assert m["keywords"] == ["A", "b", "c", "d", "e", "f"] and m["question"] == "q1" and m["source_count"] == 5
 
 
-def test_two_level_ids_for_large_groups(spark, monkeypatch):
-    monkeypatch.setattr(D, "ID_LIST_ROWS", 3)
+def test_merged_ids_follow_one_rule_for_every_size(spark):
     m = spark.createDataFrame([(1, f"id{i}") for i in range(10)] + [(2, "x"), (2, "y")], "leader long, stable_id string")
     a = {r["leader"]: r["stable_id"] for r in D._group_ids(m).collect()}
     b = {r["leader"]: r["stable_id"] for r in D._group_ids(m.repartition(7)).collect()}
     import hashlib
 
-    assert a == b and a[2] == hashlib.sha256(b"x::y").hexdigest()[:16] and len(a[1]) == 16
+    def tree(ids):
+        parts = {}
+        for i in sorted(ids):
+            parts.setdefault(hashlib.sha256(i.encode()).hexdigest()[:3], []).append(i)
+        pieces = [hashlib.sha256("::".join(parts[p]).encode()).hexdigest() for p in sorted(parts)]
+        return hashlib.sha256("::".join(pieces).encode()).hexdigest()[:16]
+
+    assert a == b == {1: tree([f"id{i}" for i in range(10)]), 2: tree(["x", "y"])}
     assert m.agg(F.count("*")).first()[0] == 12

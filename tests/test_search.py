@@ -49,13 +49,12 @@ def test_keyword_layers():
     assert boost([""]) == [0.0, 0.0]
 
 
-def test_substring_fallback_equals_automaton(monkeypatch):
+def test_substrings_find_every_word_inside():
     words = ["a", "ab", "bc", "abc", "zz", "é"]
-    fast = scoring.Substrings(words)
-    monkeypatch.setattr(scoring, "ahocorasick", None)
-    slow = scoring.Substrings(words)
+    find = scoring.Substrings(words)
     for s in ("abcab", "", "zzé", "q"):
-        assert sorted(fast(s)) == sorted(slow(s)) == sorted(i for w, i in slow.pos.items() if w in s)
+        assert sorted(find(s)) == sorted(i for w, i in find.pos.items() if w in s)
+    assert scoring.Substrings([])("abc") == ()
 
 
 def test_tier_priors(kb, spark):
@@ -118,3 +117,17 @@ def test_lexical_search_needs_a_lexical_hit(kb, spark):
     t = spark.createDataFrame([(1, "schema"), (2, "qqq")], "query_id long, token string")
     got = S.lexical_search(kb, q, t, 5).collect()
     assert {r["query_id"] for r in got} == {1} and got[0]["rank"] == 1 and got[0]["seq"] == 1
+
+
+def test_search_without_queries_is_empty_and_many_batches_agree(spark):
+    rows = spark.createDataFrame([(i, f"question {i}", f"answer {i % 7} word{i}", [f"kw{i % 5}"]) for i in range(50)], "seq long, question string, answer string, keywords array<string>")
+    qs = spark.createDataFrame([(i, f"word{i} kw{i % 5}") for i in range(40)], "query_id long, query string")
+    none = S.naive_search(rows, qs.limit(0))
+    assert none.count() == 0 and none.columns == S.naive_search(rows, qs).columns
+    want = sorted(map(tuple, S.naive_search(rows, qs).collect()))
+    old = S.top_k.__defaults__
+    S.top_k.__defaults__ = (*old[:-1], 7)
+    try:
+        assert sorted(map(tuple, S.naive_search(rows, qs).collect())) == want
+    finally:
+        S.top_k.__defaults__ = old

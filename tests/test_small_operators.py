@@ -133,3 +133,38 @@ def test_report_sections_and_dates(spark):
     assert sorted(str(d) for d in ds) == ["2024-02-05", "2024-02-27", "2024-03-11", "2024-03-12"]
     d = P.depth_scores(df).first()
     assert d["citation_integration"] == pytest.approx(0.5 * 2 / 7, abs=1e-4)
+
+
+def test_numbered_sections_in_digits_and_chinese_numerals(spark):
+    from tidekb.operators import reports as P
+
+    texts = ["## Section 3：a\nbody three\n## S4、b\nfour", "## 三、a\nbody three\n### x\nmore\n## 四：b\nfour", "## 十、x\nten\n## 一、y\none", "no heading"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    got = {r["id"]: (r["a"], r["b"], r["c"]) for r in df.select("id", P.numbered_section("text", "3").alias("a"), P.numbered_section("text", "10").alias("b"), P.numbered_section("text", "1").alias("c")).collect()}
+    assert got == {0: ("body three\n", "", ""), 1: ("body three\n### x\nmore\n", "", ""), 2: ("", "ten\n", "one"), 3: ("", "", "")}
+
+
+def test_fan_out_follows_line_order_and_ends_with_topics(spark):
+    from tidekb.operators import search as S
+
+    alerts = spark.createDataFrame([("s", "zeta", "ALERT_DOWN", 1), ("s", "alpha", "ALERT_UP", 10), ("s", "beta", "CORE", 2)], "snapshot string, name string, flag string, line int")
+    mapped = spark.createDataFrame([("beta", ["q1", "q2"])], "name string, queries array<string>")
+    got = [r["query"] for r in S.fan_out_queries(alerts, mapped, topics=["t1", "q2", "t2"]).orderBy("pos").collect()]
+    assert got == ["zeta", "zeta 下降", "q1", "q2", "alpha", "alpha 上升", "t1", "t2"]
+
+
+def test_short_signature_keeps_accents(spark):
+    from pyspark.sql import functions as F
+
+    from tidekb.functions.text import signature
+
+    r = spark.range(1).select(signature(F.lit("Où est-ce, là? 漢字"), 80).alias("short"), signature(F.lit("Où est-ce, là? 漢字"), 120).alias("long")).first()
+    assert (r["short"], r["long"]) == ("oùestcelà漢字", "oestcel漢字")
+
+
+def test_results_without_categories_count_by_their_primary_one(spark):
+    from tidekb.operators import evaluation as V
+
+    golden = spark.createDataFrame([(1, ["a"], [], [], False)], "query_id int, expected_categories array<string>, expected_keywords array<string>, expected_intents array<string>, booster_sensitive boolean")
+    hits = spark.createDataFrame([(1, 1, [], "a"), (1, 2, None, "b")], "query_id int, rank int, categories array<string>, category string")
+    assert V.case_metrics(hits, golden).first()["mrr"] == 1.0

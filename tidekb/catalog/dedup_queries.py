@@ -76,7 +76,9 @@ ex AS (SELECT m.leader, trim(answer) AS a, row_number() OVER (PARTITION BY m.lea
 sup AS (SELECT leader, string_agg(a, chr(10) || chr(10) ORDER BY r) AS s FROM ex WHERE r <= 2 GROUP BY 1),
 kx AS (SELECT leader, seq, unnest(keywords) AS kw, generate_subscripts(keywords, 1) AS kp FROM m), kf AS (SELECT leader, lower(kw) AS lw, min((seq, kp, kw)) AS f FROM kx GROUP BY 1, 2),
 ks AS (SELECT leader, string_agg(f[3], '|' ORDER BY f) AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY leader ORDER BY f) AS r FROM kf) WHERE r <= 7 GROUP BY 1),
-mg AS (SELECT m.leader, count(*) AS source_count, substr(sha256(string_agg(stable_id, '::' ORDER BY stable_id)), 1, 16) AS stable_id, arg_min(source_file, seq) AS source_file FROM m GROUP BY 1)"""
+mp AS (SELECT leader, substr(sha256(stable_id), 1, 3) AS part, sha256(string_agg(stable_id, '::' ORDER BY stable_id)) AS piece FROM m GROUP BY 1, 2),
+mi AS (SELECT leader, substr(sha256(string_agg(piece, '::' ORDER BY part)), 1, 16) AS stable_id FROM mp GROUP BY 1),
+mg AS (SELECT m.leader, count(*) AS source_count, mi.stable_id, arg_min(source_file, seq) AS source_file FROM m JOIN mi USING (leader) GROUP BY 1, 3)"""
 
 
 @query("d04_merge_groups", f"""WITH RECURSIVE {MERGE} SELECT leader, source_count, stable_id, source_file, keywords, md5(base || CASE WHEN s IS NULL THEN '' ELSE chr(10) || chr(10) || '補充：' || s END) AS answer

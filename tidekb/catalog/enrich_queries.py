@@ -202,7 +202,7 @@ def _(spark, sf):
 SELECT coalesce(maturity_relevance, 'L3') AS to_level, count(*) AS n FROM o WHERE old_level = 'L4' GROUP BY 1""")
 def _(spark, sf):
     l = table(spark, sf, "labels").select(F.col("doc_id").alias("seq"), F.when(F.col("quality") == 1, "L4").otherwise("L2").alias("old_level"))
-    return E.reclassify_l4(E.maturity_level(I.kb(spark, sf), "new_level").join(l, "seq"))
+    return E.reclassify_l4(E.maturity_level(I.kb(spark, sf).join(l.filter("old_level = 'L4'"), "seq"), "new_level"))
 
 
 @query("e16_query_labels", f"""WITH q AS (SELECT conv_id, turn, lower(text) AS q FROM conversations) SELECT conv_id, turn, {J(s_labels('q', rules.QUERY_CATEGORY_HINTS))} AS categories,

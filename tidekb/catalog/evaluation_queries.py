@@ -154,6 +154,15 @@ def _(spark, sf):
     return V.threshold_gate(avgs, t).select("group", "metric", F.round("value", 6).alias("value"), "minimum", "passed")
 
 
+@query("v16_gate_verdict", """WITH g AS (SELECT o_orderpriority AS "group", o_orderstatus AS metric, avg(o_totalprice) AS value, CASE o_orderstatus WHEN 'F' THEN 149000 ELSE 150000 END AS minimum FROM orders GROUP BY 1, 2)
+SELECT "group", count(*) AS checks, count(*) FILTER (value < minimum) AS failed, bool_and(value >= minimum) AS passed FROM g GROUP BY 1""")
+def _(spark, sf):
+    o = table(spark, sf, "orders")
+    averages = o.groupBy(F.col("o_orderpriority").alias("group"), F.concat_ws("/", "o_orderpriority", "o_orderstatus").alias("metric")).agg(F.avg("o_totalprice").alias("value"))
+    minima = averages.select("group", "metric", F.when(F.col("metric").endswith("/F"), 149000.0).otherwise(150000.0).alias("minimum"))
+    return V.gate_verdict(V.threshold_gate(averages.drop("group"), minima))
+
+
 @query("v17_latest_metrics", """WITH r AS (SELECT o_orderkey AS run_id, o_orderdate AS made, o_orderstatus AS metric, o_totalprice AS value FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 10)
 SELECT metric, max_by(value, (made, run_id)) AS value, min_by(value, (made, run_id)) AS oldest FROM r GROUP BY 1""")
 def _(spark, sf):
@@ -241,7 +250,7 @@ def _(spark, sf):
     return m.select("conv_id", "turn", "has_answer", "has_sources", F.round("answer_keyword_coverage", 6).alias("answer_keyword_coverage"), "top_source_in_category", F.round("appropriateness", 6).alias("appropriateness"))
 
 
-@query("v24_seeded_sample")
+@query("v24_seeded_sample", f"WITH {I.KB}, s AS (SELECT seq, question FROM kb ORDER BY md5('42|' || seq), seq LIMIT 30) SELECT s.*, quality FROM s LEFT JOIN labels ON doc_id = seq")
 def _(spark, sf):
     l = table(spark, sf, "labels").select(F.col("doc_id").alias("seq"), "quality")
     return V.seeded_sample(I.kb(spark, sf).select("seq", "question"), "seq", 30, 42, l)

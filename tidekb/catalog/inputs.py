@@ -13,11 +13,15 @@ from tidekb.operators import enrich
 REF_DATE = "2002-01-01"
 
 
+#: Keywords of a stand-in row: all long words of its whole text.
+KEYWORD = r"[\p{L}]{10,}"
+
+
 def kb(spark, sf) -> DataFrame:
     d = spread(table(spark, sf, "documents"), "doc_id")
     q = F.substring_index("text", ".", 1)
-    toks = F.array_distinct(F.regexp_extract_all(F.lower(q), F.lit(r"[\p{L}]{3,}"), F.lit(0)))
-    ranked = F.slice(F.array_sort(F.transform(toks, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), 1, 5)
+    toks = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(KEYWORD), F.lit(0)))
+    ranked = F.array_sort(F.transform(toks, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
     return d.select(
         F.col("doc_id").alias("seq"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source_file"),
         F.col("source").alias("source_collection"), "lang", q.alias("question"), F.col("text").alias("answer"),
@@ -26,8 +30,8 @@ def kb(spark, sf) -> DataFrame:
 
 KB = r"""kb AS (SELECT doc_id AS seq, source || '/' || doc_id || '.md' AS source_file, source AS source_collection, lang,
   split_part(text, '.', 1) AS question, text AS answer,
-  list_transform(list_slice(list_sort(list_transform(list_distinct(regexp_extract_all(lower(split_part(text, '.', 1)), '[\p{L}]{3,}')),
-    lambda t: {'n': -length(t), 't': t})), 1, 5), lambda s: s.t) AS keywords FROM documents)"""
+  list_transform(list_sort(list_transform(list_distinct(regexp_extract_all(lower(text), '[\p{L}]{10,}')),
+    lambda t: {'n': -length(t), 't': t})), lambda s: s.t) AS keywords FROM documents)"""
 
 
 def kb_dated(spark, sf) -> DataFrame:
@@ -58,14 +62,14 @@ KBC = KB_DATED + ", " + sql_classified("kb_dated")
 
 
 def base_synonyms(spark, sf) -> DataFrame:
-    """Term → related words: the first word of each passage against the other words of its first sentence."""
+    """Term → related words: the first word of each passage against all other words of the passage."""
     b = table(spark, sf, "benchmark")
-    toks = F.regexp_extract_all(F.lower(F.substring_index("text", ".", 1)), F.lit(r"[\p{L}]{2,}"), F.lit(0))
+    toks = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{2,}"), F.lit(0))
     one = b.select(F.get(toks, F.lit(0)).alias("term"), F.explode(toks).alias("syn")).filter("term <> syn")
     return one.groupBy("term").agg(F.array_sort(F.collect_set("syn")).alias("synonyms"))
 
 
-SYN = r"""_bt AS (SELECT regexp_extract_all(lower(split_part(text, '.', 1)), '[\p{L}]{2,}') AS toks FROM benchmark),
+SYN = r"""_bt AS (SELECT regexp_extract_all(lower(text), '[\p{L}]{2,}') AS toks FROM benchmark),
 _bs AS (SELECT toks[1] AS term, unnest(toks) AS syn FROM _bt),
 syn AS (SELECT term, list_sort(list(DISTINCT syn)) AS synonyms FROM _bs WHERE term <> syn GROUP BY term)"""
 
@@ -108,13 +112,13 @@ CORE = ["click", "view"]
 def queries(spark, sf) -> DataFrame:
     """Query batch: every benchmark passage with the vector and label stored under its id."""
     b, e = table(spark, sf, "benchmark"), table(spark, sf, "embeddings")
-    return b.join(e, b["item_id"] == e["vec_id"]).select(
+    return b.join(e, b["item_id"] == e["vec_id"], "left").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.col("embedding").alias("query_vector"),
         F.array(F.col("label").cast("string")).alias("expected_categories"))
 
 
 QUERIES_SQL = """queries AS (SELECT item_id AS query_id, text AS query, embedding AS query_vector, [label::VARCHAR] AS expected_categories
-  FROM benchmark JOIN embeddings ON item_id = vec_id)"""
+  FROM benchmark LEFT JOIN embeddings ON item_id = vec_id)"""
 
 
 def markdown_docs(spark, sf) -> DataFrame:

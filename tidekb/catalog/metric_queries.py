@@ -259,12 +259,21 @@ def _(spark, sf):
 
 
 @query("g19_topic_frequency", f"""WITH {I.KB_DATED}, recent AS (SELECT source_file FROM kb_dated GROUP BY 1 ORDER BY max(source_date) DESC, source_file LIMIT 50)
-SELECT keyword, count(*) AS n FROM (SELECT unnest(keywords) AS keyword FROM kb_dated WHERE source_file IN (SELECT source_file FROM recent)) GROUP BY 1 ORDER BY n DESC, keyword LIMIT 20""")
+SELECT keyword, count(*) AS n FROM (SELECT unnest(list_transform(keywords, lambda x: lower(x))) AS keyword FROM kb_dated WHERE source_file IN (SELECT source_file FROM recent)) GROUP BY 1 ORDER BY n DESC, keyword LIMIT 20""")
 def _(spark, sf):
     k = I.kb_dated(spark, sf).select(F.col("source_file").alias("source"), "source_date", "keywords")
     return M.topic_frequency(k, 50, 20)
 
 
+@query("g19_source_topics", f"""WITH {I.KB}, e AS (SELECT source_collection AS source, unnest(keywords) AS keyword, generate_subscripts(keywords, 1) AS pos FROM kb),
+c AS (SELECT source, keyword, count(*) AS n, min(pos) AS pos FROM e GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, pos, keyword) AS rank FROM c),
+t AS (SELECT source, string_agg(keyword, '|' ORDER BY rank) AS k FROM r WHERE rank <= 5 GROUP BY 1)
+SELECT source, n AS keyword_count, coalesce(k, '') AS top_keywords FROM (SELECT source_collection AS source, sum(len(keywords))::BIGINT AS n FROM kb GROUP BY 1) LEFT JOIN t USING (source)""")
+def _(spark, sf):
+    k = I.kb(spark, sf).select(F.col("source_collection").alias("source"), "keywords")
+    return M.source_topics(k).withColumn("top_keywords", F.array_join("top_keywords", "|"))
+
+
 @query("g20_traffic_quadrant", f"""WITH {I.CHANGES}, w AS (SELECT snapshot, coalesce(max(monthly) FILTER (name='view'),0) AS imp, coalesce(max(monthly) FILTER (name='click'),0) AS click, coalesce(max(monthly) FILTER (name='purchase'),0) AS ctr FROM changes GROUP BY 1)
 SELECT *, CASE WHEN imp >= 0 AND ctr < -0.05 THEN 'high-low' WHEN imp < -0.1 AND ctr >= 0 THEN 'low-high' WHEN imp < -0.05 AND click < -0.05 THEN 'double-low' ELSE 'neutral' END AS quadrant FROM w""")
 def _(spark, sf):

@@ -9,6 +9,7 @@ from tidekb.catalog import inputs as I
 from tidekb.catalog.base import lit, query, s_any, s_count, table
 from tidekb.catalog.metric_queries import ALERTS, alerts
 from tidekb.functions.layout import spread
+from tidekb.operators import enrich as E
 from tidekb.operators import reports as P
 
 NL = "chr(10)"
@@ -128,11 +129,21 @@ def _(spark, sf):
 
 @query("j12_grounding")
 def _(spark, sf):
-    kb = I.kb_classified(spark, sf).select(F.col("seq").cast("string").alias("id"), "category")
-    g = P.grounding(prep_reports(spark, sf), kb)
+    reports = prep_reports(spark, sf)
+    cited = P.comment_blocks(reports).select(F.explode("citations.id").alias("id")).distinct()
+    rows = I.kb_dated(spark, sf).withColumn("id", F.col("seq").cast("string")).join(cited, "id", "left_semi")  # only cited rows are classified
+    g = P.grounding(reports, E.classify(rows).select("id", "category"))
     return r6(g, *g.columns[1:])
 
 
+@query("j00_table_rows", """WITH t AS (SELECT doc_id, ['| ' || lang || ' | ' || source || ' |', '|  ' || length(text) || '|x |'] AS ls FROM documents), r AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) - 1 AS pos FROM t)
+SELECT doc_id, pos, array_to_string(list_transform(string_split(regexp_replace(l, '^\\||\\|$', '', 'g'), '|'), lambda x: trim(x)), '/') AS cells FROM r""")
+def _(spark, sf):
+    d = table(spark, sf, "documents")
+    text = F.concat(F.lit("x | y\n| "), "lang", F.lit(" | "), "source", F.lit(" |\n|---|:--|\n  |  "), F.length("text").cast("string"), F.lit("|x |\nend"))
+    return P.table_rows(d.select("doc_id", text.alias("text"))).select("doc_id", "pos", F.array_join("cells", "/").alias("cells"))
+
+
 @query("j13_coherence")
 def _(spark, sf):
     return r6(P.coherence(prep_reports(spark, sf)), "cross_section_coherence", "action_points", "hypothesis_falsifiability", "citation_relevance")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidekb import rules
 from tidekb.catalog import inputs as I
-from tidekb.catalog.base import query, s_labels, stored, table
+from tidekb.catalog.base import lit, query, s_labels, stored, table
 from tidekb.catalog.enrich_queries import FULL, J, enriched
 from tidekb.catalog.metric_queries import ALERTS, alerts
 from tidekb.operators import enrich as E
@@ -189,26 +189,38 @@ def _(spark, sf):
 
 
 def _query_map(spark, sf):
-    """Mapped queries for two metrics: the longest passages' first sentences."""
-    b = table(spark, sf, "benchmark").select("item_id", F.substring_index("text", ".", 1).alias("t"))
-    name = F.when(F.length("t") > 80, "click").otherwise("view")
-    return b.groupBy(name.alias("name")).agg(F.slice(F.array_sort(F.collect_set("t")), 1, 4).alias("queries"))
+    """Mapped queries of three metrics: every passage, dealt by its number."""
+    b = table(spark, sf, "benchmark").select("item_id", "text")
+    name = F.element_at(F.array(*map(F.lit, MAPPED)), (F.col("item_id") % 3 + 1).cast("int"))
+    packed = b.groupBy(name.alias("name")).agg(F.array_sort(F.collect_list(F.struct("item_id", "text"))).alias("q"))
+    return packed.select("name", F.col("q.text").alias("queries"))
 
 
-_FAN = f"""{ALERTS}, qm AS (SELECT CASE WHEN length(t) > 80 THEN 'click' ELSE 'view' END AS name, list_slice(list_sort(list(DISTINCT t)), 1, 4) AS queries FROM (SELECT split_part(text, '.', 1) AS t FROM benchmark) GROUP BY 1),
+MAPPED = ["click", "view", "purchase"]
+
+
+def _lined(spark, sf):
+    """Alerts with a line number of their own that doesn't follow the names."""
+    return alerts(spark, sf).withColumn("line", F.md5("name"))
+
+
+TOPICS = "[" + ", ".join(map(lit, rules.REPORT_TOPICS)) + "]"
+_FAN = f"""{ALERTS}, qm AS (SELECT ['click', 'view', 'purchase'][item_id % 3 + 1] AS name, list(text ORDER BY item_id) AS queries FROM benchmark GROUP BY 1),
 al AS (SELECT a.snapshot, a.name, coalesce(qm.queries, [a.name, a.name || CASE flag WHEN 'ALERT_DOWN' THEN ' 下降' WHEN 'ALERT_UP' THEN ' 上升' ELSE '' END]) AS qs FROM alerts a LEFT JOIN qm USING (name)),
-mq AS (SELECT snapshot, name, unnest(qs) AS query, generate_subscripts(qs, 1) AS qp FROM al), fq AS (SELECT snapshot, query, min((name, qp)) AS o FROM mq GROUP BY 1, 2),
+mq AS (SELECT snapshot, 0 AS last, md5(name) AS line, unnest(qs) AS query, generate_subscripts(qs, 1) AS qp FROM al
+ UNION ALL SELECT snapshot, 1, '', unnest({TOPICS}), unnest(range(1, {len(rules.REPORT_TOPICS)} + 1)) FROM (SELECT DISTINCT snapshot FROM alerts)),
+fq AS (SELECT snapshot, query, min((last, line, qp)) AS o FROM mq GROUP BY 1, 2),
 fan AS (SELECT * FROM (SELECT snapshot, query, row_number() OVER (PARTITION BY snapshot ORDER BY o) AS pos FROM fq) WHERE pos <= 15)"""
 
 
 @query("f16_query_fan_out", f"WITH {_FAN} SELECT snapshot, pos, query FROM fan")
 def _(spark, sf):
-    return S.fan_out_queries(alerts(spark, sf), _query_map(spark, sf))
+    return S.fan_out_queries(_lined(spark, sf), _query_map(spark, sf))
 
 
 @query("f16_gathered_rows")
 def _(spark, sf):
-    fan = S.fan_out_queries(alerts(spark, sf), _query_map(spark, sf))
+    fan = S.fan_out_queries(_lined(spark, sf), _query_map(spark, sf))
     texts = fan.select(F.col("query").alias("query_id"), "query").distinct()
     hits = S.keyword_search(rich(spark, sf), texts, 5).withColumnRenamed("query_id", "query")
     return S.gather_rows(fan, hits)

@@ -9,16 +9,12 @@ from __future__ import annotations
 
 import re
 
+import ahocorasick
 import numpy as np
 
 from tidekb import rules
 from tidekb.functions.vectors import unit_rows
 
-try:
-    import ahocorasick
-except ImportError:
-    ahocorasick = None
-
 WORD = re.compile(r"[^ \t\n\r\f\v]+")
 CACHE_ENTRIES = 50_000
 
@@ -42,28 +38,19 @@ def words_of(text: str, min_len: int = 2) -> list[str]:
 
 
 class Substrings:
-    """Positions of the words of a fixed list that occur inside a string.
-
-    Uses an Aho-Corasick automaton where the library is installed, else looks up every substring.
-    """
+    """Positions of the words of a fixed list that occur inside a string, by an Aho-Corasick automaton (pyahocorasick is required)."""
 
     def __init__(self, words: list[str]):
         self.pos = {w: i for i, w in enumerate(words)}
-        self.longest = max((len(w) for w in words), default=0)
         self.machine = None
-        if ahocorasick is not None and words:
+        if words:
             self.machine = ahocorasick.Automaton()
             for w, i in self.pos.items():
                 self.machine.add_word(w, i)
             self.machine.make_automaton()
 
     def __call__(self, s: str) -> tuple[int, ...]:
-        if self.machine is not None:
-            return tuple({i for _, i in self.machine.iter(s)})
-        ends = range(1, self.longest + 1)
-        found = {self.pos.get(s[i:i + n]) for i in range(len(s)) for n in ends if i + n <= len(s)}
-        found.discard(None)
-        return tuple(found)
+        return tuple({i for _, i in self.machine.iter(s)}) if self.machine is not None else ()
 
 
 class QueryTexts:
@@ -183,6 +170,7 @@ class MetadataScore:
         out += rules.SCENARIO_OVERLAP * label_overlap(self.scenarios, col("scenario_tags"))
         out += rules.EXACT_TERM * self.terms.contained(surface)
         for i, (tier, targets, negatives) in enumerate(zip(col("serving_tier"), col("booster_target_queries"), col("hard_negative_terms"))):
+            tier = (tier or "canonical").lower()
             if tier == "booster":
                 aimed = np.zeros(self.q.n, dtype=bool)
                 for t in targets or ():

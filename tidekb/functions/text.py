@@ -12,27 +12,6 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def has_any(text: Column | str, terms: Iterable[str]) -> Column:
-    """True if the text contains at least one term."""
-    out = F.lit(False)
-    for t in terms:
-        out = out | F.contains(col(text), F.lit(t))
-    return out
-
-
-def count_hits(text: Column | str, terms: Iterable[str]) -> Column:
-    """Number of distinct terms that occur in the text."""
-    out = F.lit(0)
-    for t in dict.fromkeys(terms):
-        out = out + F.contains(col(text), F.lit(t)).cast("int")
-    return out
-
-
-def labels_by_hint(text: Column | str, hints: dict[str, list[str]]) -> Column:
-    """Labels, in table order, whose hint list is hit."""
-    return F.array_compact(F.array(*[F.when(has_any(text, hs), F.lit(lab)) for lab, hs in hints.items()]))
-
-
 def words(text: Column | str, min_len: int = 2) -> Column:
     """Lower-case whitespace tokens of at least ``min_len`` characters, in order."""
     return F.regexp_extract_all(F.lower(col(text)), F.lit(r"\S{%d,}" % min_len), F.lit(0))
@@ -48,13 +27,12 @@ def stable_id(source_file: Column | str, question: Column | str) -> Column:
     return F.substring(F.sha2(key, 256), 1, 16)
 
 
-def merged_id(ids: Column | str) -> Column:
-    """Row key of a merged row: hash over its sorted source ids."""
-    return F.substring(F.sha2(F.array_join(F.array_sort(col(ids)), "::"), 256), 1, 16)
+#: What a signature drops. The short form (80 characters) keeps accented letters, the long one (120) plain ones and Han.
+SIGNATURE_DROPS = {80: r"[^\p{L}\p{N}_]+", 120: r"[^A-Za-z0-9_\x{4e00}-\x{9fff}]+"}
 
 
 def signature(question: Column | str, length: int = 120) -> Column:
-    return F.substring(F.regexp_replace(F.lower(col(question)), "[^A-Za-z0-9_\\u4e00-\\u9fff]+", ""), 1, length)
+    return F.substring(F.regexp_replace(F.lower(col(question)), SIGNATURE_DROPS[length], ""), 1, length)
 
 
 def int_range(lo: Column, hi: Column) -> Column:

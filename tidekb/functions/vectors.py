@@ -2,48 +2,102 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidekb import rules
+
 RAW_TOKEN = r"[a-z0-9][a-z0-9\-_/]{1,}|[一-鿿]"
+RAW = re.compile(RAW_TOKEN)
+WORDS = re.compile(r"[^ \t\n\v\f\r]+")
+HAN_RUN = re.compile(f"[{rules.HAN_CLASS}]{{2,}}")
+HAN_LONGEST = 4
 DIM = 256
 
 
+def weigh(low: str, extra: list[str] | None = None) -> dict[str, float]:
+    """Weights of a lower-cased text's tokens: raw tokens weigh their count; words, Han n-grams and ``extra`` that are not raw weigh 0.5."""
+    out: dict[str, float] = Counter(RAW.findall(low))
+    for token in set(WORDS.findall(low)):
+        out.setdefault(token, 0.5)
+        if len(token) > 2:
+            for run in HAN_RUN.findall(token):
+                for n in range(2, HAN_LONGEST + 1):
+                    for i in range(len(run) - n + 1):
+                        out.setdefault(run[i:i + n], 0.5)
+    for token in extra or ():
+        out.setdefault(token, 0.5)
+    return out
+
+
+def _with_extra(df: DataFrame, key: str, text: str, synonyms: DataFrame | None) -> DataFrame:
+    """``(key, low, extra)``: the lower-cased text and the tokens that synonyms add to it."""
+    base = df.select(key, F.lower(F.col(text)).alias("low"))
+    if synonyms is None:
+        return base.withColumn("extra", F.lit(None).cast("array<string>"))
+    from tidekb.operators.enrich import expand_tokens
+
+    return base.join(expand_tokens(df, key, text, synonyms).groupBy(key).agg(F.collect_set("token").alias("extra")), key, "left")
+
+
 def token_weights(df: DataFrame, key: str, text: str, synonyms: DataFrame | None = None) -> DataFrame:
-    """``(key, token, weight)``: raw tokens weigh their count, expanded tokens that are not raw weigh 0.5.
+    """``(key, token, weight)`` of each row's text; nothing is shuffled unless synonyms are given."""
+    kind = df.schema[key].dataType.simpleString()
 
-    Rows are hashed by key once; every later grouping starts with the key and reuses that partitioning.
-    """
-    low = F.lower(F.col(text))
-    base = df.select(key, low.alias("_t")).repartition(key)
-    raw = F.regexp_extract_all("_t", F.lit(RAW_TOKEN), F.lit(0))
-    spaced = F.array_distinct(F.regexp_extract_all("_t", F.lit(r"\S+"), F.lit(0)))
-    both = base.select(key, raw.alias("_raw"), spaced.alias("_sp"))
-    toks = both.select(key, F.size("_raw").alias("_n"), F.posexplode(F.concat("_raw", "_sp")).alias("_pos", "token"))
-    counted = toks.groupBy(key, "token").agg(F.sum((F.col("_pos") < F.col("_n")).cast("int")).alias("_c"))
-    if synonyms is not None:
-        from tidekb.operators.enrich import expand_tokens
+    def run(batches):
+        for b in batches:
+            keys, texts, extras = (c.to_pylist() for c in b.columns)
+            for k, low, extra in zip(keys, texts, extras):
+                w = weigh(low or "", extra)
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(w), b.schema.field(0).type), pa.array(list(w), pa.string()), pa.array(list(w.values()), pa.float64())], [key, "token", "weight"])
+
+    return _with_extra(df, key, text, synonyms).mapInArrow(run, f"`{key}` {kind}, token string, weight double")
 
-        extra = expand_tokens(df, key, text, synonyms).select(key, "token", F.lit(0).cast("long").alias("_c"))
-        counted = counted.unionByName(extra).groupBy(key, "token").agg(F.sum("_c").alias("_c"))
-    return counted.select(key, "token", F.when(F.col("_c") > 0, F.col("_c").cast("double")).otherwise(0.5).alias("weight"))
 
+class _Buckets(dict):
+    """Token -> hash bucket: the token's 256-bit digest modulo ``dim``; a bounded number is remembered."""
 
-def bucket_of(token: str = "token", dim: int = DIM):
-    """Hash bucket of a token: the token's 256-bit digest modulo ``dim`` (any power of two up to 2^32)."""
-    if dim & (dim - 1) or dim > 1 << 32:
-        raise ValueError("dim must be a power of two")
-    return (F.conv(F.right(F.sha2(F.col(token), 256), F.lit(8)), 16, 10).cast("long") % dim).cast("int")
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        got = self[token] = int.from_bytes(hashlib.sha256(token.encode()).digest(), "big") % self.dim
+        return got
 
 
 def text_vectors(df: DataFrame, key: str, text: str, dim: int = DIM, synonyms: DataFrame | None = None) -> DataFrame:
-    """Sparse unit vectors ``(key, buckets ARRAY<INT>, weights ARRAY<DOUBLE>)``, at most ``dim`` entries each."""
-    w = token_weights(df, key, text, synonyms)
-    cells = w.groupBy(key, bucket_of("token", dim).alias("bucket")).agg(F.sum("weight").alias("w"))
-    packed = cells.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("bucket", "w"))).alias("c"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return packed.select(key, F.col("c.bucket").alias("buckets"), F.transform("c.w", lambda x: x / F.col("norm")).alias("weights"))
+    """Sparse unit vectors ``(key, buckets ARRAY<INT>, weights ARRAY<DOUBLE>)``, at most ``dim`` entries each.
+
+    A vector depends on its own row only, so texts are not shuffled (synonyms are joined if given). Rows without a token are left out.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        buckets = _Buckets(dim)
+        for b in batches:
+            keys, rows = [], []
+            for k, low, extra in zip(*(c.to_pylist() for c in b.columns)):
+                w = weigh(low or "", extra)
+                if w:
+                    cells = np.bincount(np.fromiter(map(buckets.__getitem__, w), np.int64, len(w)), weights=np.fromiter(w.values(), float, len(w)), minlength=dim)
+                    at = np.flatnonzero(cells)
+                    keys.append(k)
+                    rows.append((at, cells[at] / np.sqrt((cells[at] ** 2).sum())))
+            ends = np.concatenate([[0], np.cumsum([len(at) for at, _ in rows])]).astype(np.int32)
+            flat = [np.concatenate(x) if rows else np.zeros(0) for x in (zip(*rows) if rows else ((), ()))]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.ListArray.from_arrays(ends, pa.array(flat[0].astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(flat[1]))], [key, "buckets", "weights"])
+
+    return _with_extra(df, key, text, synonyms).mapInArrow(run, f"`{key}` {kind}, buckets array<int>, weights array<double>")
 
 
 def list_columns_to_matrix(buckets, weights, dim: int) -> np.ndarray:

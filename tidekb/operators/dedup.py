@@ -132,21 +132,16 @@ def greedy_groups(df: DataFrame, seq: str = "seq", collection: str = "source_col
 
 
 # ---- merging ----
-ID_LIST_ROWS = 50_000
-
-
 def _group_ids(members: DataFrame) -> DataFrame:
-    """Merged id per leader from ``(leader, stable_id)``: hash over the sorted ids.
+    """Merged id per leader from ``(leader, stable_id)``: a hash tree of fixed depth, the same for groups of any size.
 
-    A group above ``ID_LIST_ROWS`` ids is hashed in two levels (per hash bucket, then over the bucket digests in
-    order), so no task ever holds its whole id list.
+    Ids are dealt by the first three hex digits of their hash; each part is hashed over its sorted ids, and the merged
+    id is the hash over the parts' digests in order. No task holds more than one 4,096th of a group's ids.
     """
-    n = members.groupBy("leader").agg(F.count("*").alias("n"))
-    parts = n.select("leader", F.when(F.col("n") > ID_LIST_ROWS, 1024).otherwise(1).alias("parts"))
-    cut = members.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("stable_id"), F.col("parts")))
-    first = cut.groupBy("leader", "parts", "part").agg(F.array_sort(F.collect_list("stable_id")).alias("ids"))
-    lists = first.withColumn("piece", F.when(F.col("parts") == 1, F.array_join("ids", "::")).otherwise(F.sha2(F.array_join("ids", "::"), 256)))
-    joined = lists.groupBy("leader").agg(F.array_sort(F.collect_list(F.struct("part", "piece"))).alias("p"))
+    cut = members.select("leader", "stable_id", F.substring(F.sha2("stable_id", 256), 1, 3).alias("part"))
+    pieces = cut.groupBy("leader", "part").agg(F.array_sort(F.collect_list("stable_id")).alias("ids"))
+    pieces = pieces.select("leader", "part", F.sha2(F.array_join("ids", "::"), 256).alias("piece"))
+    joined = pieces.groupBy("leader").agg(F.array_sort(F.collect_list(F.struct("part", "piece"))).alias("p"))
     return joined.select("leader", F.substring(F.sha2(F.array_join(F.col("p.piece"), "::"), 256), 1, 16).alias("stable_id"))
 
 
@@ -179,13 +174,14 @@ def merge_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def deduplicate(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Merged rows plus the rows that stayed alone."""
+    """Merged rows plus the rows that stayed alone, with all columns of ``rows``; a merged row takes the others from its leader."""
     sizes = groups.groupBy("leader").agg(F.count("*").alias("n"))
     alone = groups.join(sizes.filter("n = 1").select("leader"), "leader", "left_semi").select("seq")
-    cols = ["stable_id", "question", "answer", "keywords", "source_file", "source_date", "is_merged", "source_count"]
     single = rows.join(alone, "seq", "left_semi").withColumn("is_merged", F.lit(False)).withColumn("source_count", F.lit(1).cast("long"))
     merged = merge_groups(rows, groups).withColumnRenamed("leader", "seq")
-    return merged.select("seq", *cols).unionByName(single.select("seq", *cols))
+    rest = [c for c in rows.columns if c not in merged.columns]
+    first = rows.select(F.col("seq"), *rest)  # the leader is the first row of its group
+    return merged.join(first, "seq").select(*single.columns).unionByName(single)
 
 
 def provenance(rows: DataFrame, groups: DataFrame, model: str = "extraction_model") -> DataFrame:

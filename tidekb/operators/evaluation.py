@@ -31,6 +31,8 @@ def case_metrics(results: DataFrame, golden: DataFrame, k: int = 5, cli: bool =
     g = golden.withColumn("_exp", F.array_distinct(_arr("expected_categories")))
     opt = {"keywords": NONE, "intent_labels": NONE, "serving_tier": "string", "question": "string", "answer": "string"}
     r = results.filter(F.col("rank") <= k)
+    if "category" in r.columns:  # a result without categories counts by its primary one
+        r = r.withColumn("categories", F.when(F.size(_arr("categories")) > 0, F.col("categories")).when(F.col("category").isNotNull(), F.array("category")).otherwise(F.col("categories")))
     r = r.select("query_id", "rank", "categories", *[F.col(c) if c in r.columns else F.lit(None).cast(t).alias(c) for c, t in opt.items()])
     j = g.join(r, "query_id", "left")
     rel = F.coalesce(F.arrays_overlap("categories", "_exp"), F.lit(False))
@@ -290,6 +292,6 @@ def synonym_metrics(results: DataFrame, golden: DataFrame, synonyms: DataFrame,
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int, golden: DataFrame | None = None) -> DataFrame:
-    """``n`` rows in hash order: the same rows for any partitioning; golden labels attached where known."""
-    s = df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """``n`` rows in the order of ``md5(seed|key)``: the same rows for any partitioning; golden labels attached where known."""
+    s = df.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key).limit(n)
     return s if golden is None else s.join(golden, key, "left")

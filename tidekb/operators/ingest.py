@@ -125,7 +125,7 @@ def local_segments(text: Column | str, markers: list[str] | None = None) -> Colu
 
 
 def derive_keywords(title: Column | str, text: Column | str, markers: list[str] | None = None,
-                    head_chars: int | None = 4000, limit: int = 6) -> Column:
+                    head_chars: int | None = None, limit: int = 6) -> Column:
     """Markers found in title and text, in table order, then title words; distinct, at most ``limit``."""
     raw = list(dict.fromkeys(markers or list(chain.from_iterable(rules.CATEGORY_MARKERS.values()))))
     body = col(text) if head_chars is None else F.substring(col(text), 1, head_chars)
@@ -139,7 +139,7 @@ def derive_keywords(title: Column | str, text: Column | str, markers: list[str]
 
 
 def extract_qa(docs: DataFrame, title: str = "title", text: str = "text", source_file: str = "source_file",
-               date: str | None = None, markers: list[str] | None = None, head_chars: int | None = 4000) -> DataFrame:
+               date: str | None = None, markers: list[str] | None = None, head_chars: int | None = None) -> DataFrame:
     """Documents to template Q&A rows: one row per segment with question, answer, keywords, confidence and id.
 
     A document with keywords but no segment yields one row from its cleaned text.

@@ -178,12 +178,22 @@ def topic_frequency(df: DataFrame, n_recent: int, top: int) -> DataFrame:
         .orderBy(F.desc("d"), F.asc("source")).limit(n_recent).select("source")
     )
     counts = (
-        df.join(newest, "source", "left_semi").select(F.explode("keywords").alias("keyword"))
+        df.join(newest, "source", "left_semi").select(F.explode(F.transform("keywords", lambda k: F.lower(k))).alias("keyword"))
         .groupBy("keyword").agg(F.count("*").alias("n"))
     )
     return counts.orderBy(F.desc("n"), F.asc("keyword")).limit(top)
 
 
+def source_topics(df: DataFrame, top: int = 5) -> DataFrame:
+    """``(source, keyword_count, top_keywords)``: keywords per source and its ``top`` most frequent ones, ties by first place."""
+    each = df.select("source", F.posexplode("keywords").alias("pos", "keyword"))
+    counted = each.groupBy("source", "keyword").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+    best = top_per_group(counted, "source", [F.desc("n"), F.asc("pos"), F.asc("keyword")], top)
+    packed = best.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("rank", "keyword"))).alias("k")).select("source", F.col("k.keyword").alias("top_keywords"))
+    sizes = df.groupBy("source").agg(F.sum(F.size("keywords")).alias("keyword_count"))
+    return sizes.join(packed, "source", "left").withColumn("top_keywords", F.coalesce("top_keywords", F.array().cast("array<string>")))
+
+
 def previous_by_step(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(order)
     return df.withColumn(f"prev_{value}", F.lag(value).over(w))

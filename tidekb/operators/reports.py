@@ -47,7 +47,10 @@ def prep_section(text: Column | str, title: str) -> Column:
 
 
 def numbered_section(text: Column | str, n: str) -> Column:
-    return F.regexp_extract(col(text), rf"(?ms)^## (?:Section\s+)?(?:S)?{n}[：、:][^\n]*\n(.*?)(?=^## |\z)", 1)
+    """Body of the section with this number, in digits or else as a Chinese numeral (``## 三、…``)."""
+    form = r"(?ms)^## (?:Section\s+)?(?:S)?{}[：、:][^\n]*\n(.*?)(?=^## |\z)"
+    digits, han = (F.regexp_extract(col(text), form.format(x), 1) for x in (n, rules.HAN_NUMERALS[int(n)]))
+    return F.when(digits != "", digits).otherwise(han)
 
 
 def distinct_refs(text: Column) -> Column:

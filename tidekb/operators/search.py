@@ -21,23 +21,28 @@ from tidekb.functions.ranking import top_per_group
 from tidekb.functions.scoring import WORD, MetadataScore, QueryTexts, TermIndex, cosine, infer_labels, words_of
 from tidekb.functions.text import col
 from tidekb.functions.vectors import unit_rows
+from tidekb.session import cut_lineage
 
 QUERY_BATCH_ROWS = 2048
+QUERY_BATCH_CHARS = 4_000_000
 SCORE_DIGITS = 9
 
 Scorer = Callable[[Callable[[str], list]], np.ndarray]
 
 
-def query_batches(queries: DataFrame, columns: list[str], max_rows: int = QUERY_BATCH_ROWS):
-    """The queries as lists of bounded size. A larger query table is cut by hash and read batch by batch."""
+def query_batches(queries: DataFrame, columns: list[str], max_rows: int = QUERY_BATCH_ROWS, max_chars: int = QUERY_BATCH_CHARS):
+    """``(number of batches, batch)``: the queries as lists of about ``max_rows`` rows and ``max_chars`` characters, one at a time.
+
+    Queries are dealt by the hash of their id, whatever their number; the driver holds one batch.
+    """
     q = queries.select(*columns)
-    n = q.count()
-    parts = max(1, -(-n // max_rows))
+    chars = F.sum(F.length("query")) if "query" in columns else F.lit(0)
+    n, size = q.agg(F.count("*"), F.coalesce(chars, F.lit(0))).first()
+    parts = max(1, -(-n // max_rows), -(-size // max_chars))
     for p in range(parts):
-        cut = q if parts == 1 else q.filter(F.pmod(F.xxhash64(columns[0]), F.lit(parts)) == p)
-        rows = cut.collect()
+        rows = q.filter(F.pmod(F.xxhash64(columns[0]), F.lit(parts)) == p).collect()
         if rows:
-            yield {c: [r[c] for r in rows] for c in columns}
+            yield parts, {c: [r[c] for r in rows] for c in columns}
 
 
 def _best(query: np.ndarray, score: np.ndarray, seq: np.ndarray, k: int) -> np.ndarray:
@@ -100,19 +105,27 @@ def scan_top_k(corpus: DataFrame, batch: dict[str, list], make_scorer: Callable[
 
 def top_k(corpus: DataFrame, queries: DataFrame, columns: list[str], make_scorer, k: int, needs: list[str], keep: list[str] = (),
           min_score: float = float("-inf"), strict: bool = False, max_rows: int = QUERY_BATCH_ROWS) -> DataFrame:
-    """Best k rows per query as ``(query_id, rank, seq, score, *keep)``; ties keep row order."""
+    """Best k rows per query as ``(query_id, rank, seq, score, *keep)``; ties keep row order.
+
+    Of several batches each is finished and written before the next is read, so no plan holds more than one. Without
+    queries the result is empty.
+    """
     parts = None
-    for batch in query_batches(queries, ["query_id", *columns], max_rows):
-        part = scan_top_k(corpus, batch, make_scorer, k, needs, keep, min_score, strict)
+    for n, batch in query_batches(queries, ["query_id", *columns], max_rows):
+        part = top_per_group(scan_top_k(corpus, batch, make_scorer, k, needs, keep, min_score, strict), "query_id", [F.desc("score"), F.asc("seq")], k)
+        part = cut_lineage(part) if n > 1 else part
         parts = part if parts is None else parts.unionByName(part)
     if parts is None:
-        raise ValueError("empty query table")
-    return top_per_group(parts, "query_id", [F.desc("score"), F.asc("seq")], k)
+        none = corpus.select("seq", *[c for c in keep if c != "seq"]).limit(0)
+        ident = queries.schema["query_id"].dataType
+        none = none.select(F.lit(None).cast(ident).alias("query_id"), "seq", F.lit(0.0).alias("score"), *[c for c in keep if c != "seq"])
+        parts = top_per_group(none, "query_id", [F.desc("score"), F.asc("seq")], k)
+    return parts
 
 
 # ---- F1, F2 ----
 def _vector_scorer(batch):
-    qv = unit_rows(batch["query_vector"], max(len(v) for v in batch["query_vector"]))
+    qv = unit_rows(batch["query_vector"], max((len(v) for v in batch["query_vector"] if v is not None), default=1))
     wanted = batch.get("category")
 
     def score(read):
@@ -243,7 +256,8 @@ RERANK_COLS = ["question", "categories", "intent_labels", "retrieval_surface_tex
 def _signature(question: str, length: int) -> str:
     import re
 
-    return re.sub("[^A-Za-z0-9_一-鿿]+", "", question.lower())[:length]
+    drop = r"\W+" if length == 80 else "[^A-Za-z0-9_一-鿿]+"
+    return re.sub(drop, "", question.lower())[:length]
 
 
 def _pick(n: int, k: int, base: list[float], gain: Callable[[int, list[int]], float]) -> list[tuple[int, float]]:
@@ -392,6 +406,7 @@ def lexical_search(corpus: DataFrame, queries: DataFrame, tokens: DataFrame, k:
             for field, labels, w in (("categories", meta.cats, 2.2), ("intent_labels", meta.intents, 1.8), ("scenario_tags", meta.scenarios, 1.6)):
                 s += w * TermIndex([set(x) for x in labels]).shared([r or [] for r in read(field)])
             for i, (tier, targets, neg) in enumerate(zip(read("serving_tier"), read("booster_target_queries"), read("hard_negative_terms"))):
+                tier = (tier or "canonical").lower()
                 base = {"canonical": 0.8, "supporting": 0.3, "booster": -0.6}.get(tier, 0.0)
                 aimed = np.zeros(q.n, dtype=bool)
                 for t in (targets or ()) if tier == "booster" else ():
@@ -481,13 +496,17 @@ def multi_query_merge(hits: DataFrame, total: int = 15) -> DataFrame:
     return per_row.orderBy(F.desc("score"), "seq").limit(total)
 
 
-def fan_out_queries(alerts: DataFrame, query_map: DataFrame, by: str = "snapshot", cap: int = 15) -> DataFrame:
-    """``(snapshot, pos, query)`` from flagged metrics: mapped queries, else a template; first occurrences, at most ``cap``."""
+def fan_out_queries(alerts: DataFrame, query_map: DataFrame, by: str = "snapshot", line: str = "line", topics: list[str] = rules.REPORT_TOPICS, cap: int = 15) -> DataFrame:
+    """``(snapshot, pos, query)`` from flagged metrics in the sheet's line order: mapped queries, else a template; then
+    the fixed topics; first occurrences, at most ``cap`` (the report's own limit)."""
     down, up = F.col("flag") == "ALERT_DOWN", F.col("flag") == "ALERT_UP"
     template = F.concat("name", F.when(down, " 下降").when(up, " 上升").otherwise(""))
     j = alerts.join(query_map.select("name", "queries"), "name", "left")
-    many = j.select(by, "name", F.posexplode(F.coalesce("queries", F.array("name", template))).alias("qpos", "query"))
-    first = many.groupBy(by, "query").agg(F.min(F.struct("name", "qpos")).alias("o"))
+    many = j.select(by, F.lit(0).alias("last"), F.col(line).cast("string").alias("line"), F.posexplode(F.coalesce("queries", F.array("name", template))).alias("qpos", "query"))
+    if dict(alerts.dtypes)[line] != "string":
+        many = many.withColumn("line", F.lpad("line", 20, "0"))
+    fixed = alerts.select(by).distinct().select(by, F.lit(1).alias("last"), F.lit("").alias("line"), F.posexplode(F.array(*map(F.lit, topics)).cast("array<string>")).alias("qpos", "query"))
+    first = many.unionByName(fixed).groupBy(by, "query").agg(F.min(F.struct("last", "line", "qpos")).alias("o"))
     return top_per_group(first, by, [F.col("o").asc()], cap, "pos").select(by, "pos", "query")
 
 

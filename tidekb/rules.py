@@ -299,3 +299,9 @@ SEGMENT_ACTION_WORDS = ["GSC", "canonical", "noindex", "robots", "hreflang", "
 SEGMENT_UP_WORDS = ["上升", "增加", "惡化", "+"]
 SEGMENT_DOWN_WORDS = ["下降", "減少", "改善", "-"]
 CRAWLER_BOTS = ["GPTBot", "ChatGPT-User", "ClaudeBot", "anthropic-ai", "Google-Extended", "Bytespider", "PerplexityBot", "Applebot-Extended", "cohere-ai", "Meta-ExternalAgent"]
+
+# ---- fixed values: topics that every report searches for, after those of its metrics ----
+REPORT_TOPICS = ["CTR 下降 改善", "索引覆蓋 問題", "Discover 演算法", "爬蟲 抓取"]
+
+# ---- fixed values: Chinese numerals of section headings, by number ----
+HAN_NUMERALS = ["〇", "一", "二", "三", "四", "五", "六", "七", "八", "九", "十"]
