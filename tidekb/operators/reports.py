@@ -382,13 +382,12 @@ def crawler_rules(robots: DataFrame, bots: list[str] | None = None, site: str =
     """``(site, bot, status)`` from robots texts: agent lines meet the later rules of their block, bots without rules of
     their own fall back to the wildcard."""
     bots = bots or rules.CRAWLER_BOTS
-    ls = F.transform(lines(F.col(text)), trimmed)
-    # a blank line closes a block of agents: block number = blank lines so far
-    numbered = robots.select(site, F.posexplode(ls).alias("pos", "line"), ls.alias("_all"))
-    block = F.size(F.filter(F.slice("_all", F.lit(1), F.col("pos") + 1), lambda x: x == ""))
+    # a blank line closes a block of agents
+    blocks = robots.select(site, F.posexplode(F.split(text, r"\n[ \t\r\x0B\f]*(?=\n)")).alias("block", "_part"))
+    numbered = blocks.select(site, "block", F.posexplode(F.transform(lines(F.col("_part")), trimmed)).alias("pos", "line"))
     d = F.lower(F.trim(F.regexp_extract("line", r"^([^:#]*):", 1)))
     v = F.trim(F.regexp_extract("line", r"^[^:]*:(.*)$", 1))
-    rows = numbered.withColumn("block", block).filter(~F.col("line").startswith("#")).select(site, "block", "pos", d.alias("d"), v.alias("v")).filter("d <> ''")
+    rows = numbered.filter(~F.col("line").startswith("#")).select(site, "block", "pos", d.alias("d"), v.alias("v")).filter("d <> ''")
     agents = rows.filter("d = 'user-agent'").select(site, "block", F.col("pos").alias("apos"), F.lower("v").alias("agent"))
     ruled = rows.filter("d IN ('allow', 'disallow')").select(site, "block", "pos", F.concat("d", F.lit(":"), "v").alias("rule"))
     hit = agents.join(ruled, [site, "block"], "left").withColumn("rule", F.when(F.col("pos") > F.col("apos"), F.col("rule")))

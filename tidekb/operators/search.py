@@ -176,12 +176,19 @@ def probe_search(clustered: DataFrame, queries: DataFrame, centroids: np.ndarray
     def make(batch):
         qv = unit_rows(batch["query_vector"], centroids.shape[1])
         near = np.argsort((centroids**2).sum(axis=1)[None, :] - 2 * qv @ centroids.T, axis=1)[:, :probes]
-        member = np.zeros((len(centroids), len(qv)), dtype=bool)
+        asking: dict[int, list[int]] = {}
         for q, cs in enumerate(near):
-            member[cs, q] = True
+            for c in cs:
+                asking.setdefault(int(c), []).append(q)
 
         def score(read):
-            return np.where(member[np.asarray(read("cluster"))], cosine(qv, read("embedding")), -1.0)
+            cluster, rows = np.asarray(read("cluster")), read("embedding")
+            out = np.full((len(cluster), len(qv)), -1.0)
+            for c in np.unique(cluster):
+                if int(c) in asking:  # rows of a cluster meet only the queries that probe it
+                    at, q = np.flatnonzero(cluster == c), asking[int(c)]
+                    out[np.ix_(at, q)] = cosine(qv[q], [rows[i] for i in at])
+            return out
 
         return score
 
@@ -204,7 +211,7 @@ def hybrid_scorer(semantic: bool = True, metadata: bool = True, freshness: bool
     def make(batch):
         q = QueryTexts(batch["query"])
         meta = MetadataScore(batch["query"], text_chars, max_tokens) if metadata else None
-        qv = unit_rows(batch["query_vector"], max(len(v) for v in batch["query_vector"])) if semantic else None
+        qv = unit_rows(batch["query_vector"], max((len(v) for v in batch["query_vector"] if v is not None), default=1)) if semantic else None
 
         def score(read):
             s = np.zeros((len(read("seq")), q.n))
