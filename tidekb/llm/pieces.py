@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +62,7 @@ class Normaliser:
 class PieceTransducer:
     """The machines of one model; ``encode`` and ``decode`` are exact inverses on texts that normalise to themselves."""
 
-    def __init__(self, model: bytes, memory: int = 400_000):
+    def __init__(self, model: bytes, memory: int = 700_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -80,17 +82,28 @@ class PieceTransducer:
         self.out = [bytes([int(p.piece[1:-1], 16)]) if p.type == BYTE else p.piece.encode() if p.type == NORMAL else b"" for p in proto.pieces]
         self.out[self.unknown] = proto.trainer_spec.unk_surface.encode() if proto.trainer_spec.unk_surface else b" \xe2\x81\x87 "
         self.floor = min([self.scores[i] for i in self.ids.values()], default=0.0) - UNKNOWN_PENALTY
-        #: No piece has the space mark after another character: paths never cross such a place, so parts are independent.
-        self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if not any(SPACE in p.lstrip(SPACE) for p in self.ids) else "(?s).+")
-        self.pairs: dict[tuple[int, int], bool] = {}
+        #: Paths never cross a place that no piece spans, so the parts of a text between such places are independent: where the
+        #: space mark follows another character, and where a mark that follows no letter in any piece follows a letter.
+        spanned = {p[k + 1] for p in self.ids for k in range(len(p) - 1) if p[k].isalpha()}
+        marks = "".join(re.escape(c) for c in "\n\t!\"#$%&()*+,-./:;<=>?@[]^_`{|}~" if c not in spanned)
+        word = f"{SPACE}*[^\\W\\d_]+(?=[{marks}])|" if marks else ""
+        self.cut = re.compile(f"{word}{SPACE}*[^{SPACE}]+|{SPACE}+" if not any(SPACE in p.lstrip(SPACE) for p in self.ids) else "(?s).+")
         self.texts = {i: p for p, i in self.ids.items()}
         self.memory = memory
         self.known: dict[str, bytes] = {}
-
-    def merged(self, text: str) -> list[str]:
-        """Merging proper, used on two pieces at a time to compile arcs of the pair acceptor; the leftmost best pair first."""
+        if self.merging:
+            self.ids = {p: i for p, i in self.ids.items() if self.merged(p) == [p]}  # pieces that merging never yields have no arc
+        times = Counter(self.scores[i] for i in self.ids.values())
+        self.tied = frozenset(i for i in self.ids.values() if times[self.scores[i]] > 1 and len(self.texts[i]) > 1)
+        #: Per piece: the two pieces that the last merge joins; none for single characters.
+        self.halves: dict[int, tuple[int, int] | None] = {}
+        #: Arcs of the pair acceptor compiled so far, by a * number of pieces + b.
+        self.pairs: dict[int, bool] = {}
+
+    def merged(self, text: str, until: int = 1) -> list[str]:
+        """Merging proper, on the text of a piece or two, to compile arcs; the leftmost best pair first, until so many parts are left."""
         parts = list(text)
-        while len(parts) > 1:
+        while len(parts) > until:
             best, at = -math.inf, -1
             for k in range(len(parts) - 1):
                 i = self.ids.get(parts[k] + parts[k + 1])
@@ -101,20 +114,38 @@ class PieceTransducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def half(self, i: int) -> tuple[int, int] | None:
+        if i not in self.halves:
+            parts = self.merged(self.texts[i], 2)
+            self.halves[i] = (self.ids[parts[0]], self.ids[parts[1]]) if len(parts) == 2 else None
+        return self.halves[i]
+
     def accepts(self, a: int, b: int) -> bool:
-        """Whether the pair acceptor has an arc of weight 0 from piece a to piece b; arcs are compiled when first needed."""
-        got = self.pairs.get((a, b))
-        if got is None:
-            if len(self.pairs) > self.memory:
-                self.pairs.clear()
-            got = self.pairs[a, b] = self.merged(self.texts[a] + self.texts[b]) == [self.texts[a], self.texts[b]]
-        return got
+        """Whether merging the text of a and b gives back a and b.
 
-    def reachable(self, i: int) -> bool:
-        """Whether merging yields piece i from its own characters; if not, its arc weighs infinity."""
-        got = self.pairs.get((i, -1))
-        if got is None:
-            got = self.pairs[i, -1] = self.merged(self.texts[i]) == [self.texts[i]]
+        It doesn't if, at some time, the pieces at their border would have merged before the next merge that made a or b.
+        The merges are walked backwards, the latest first; of equal scores the left one comes first. Pieces that share a score are merged outright.
+        """
+        if a in self.tied or b in self.tied:
+            return self.merged(self.texts[a] + self.texts[b]) == [self.texts[a], self.texts[b]]
+        scores, ids, texts, limit, even = self.scores, self.ids, self.texts, -math.inf, False
+        while True:
+            i = ids.get(texts[a] + texts[b])
+            if i is not None and (scores[i] > limit or even and scores[i] == limit):
+                return False
+            left, right = self.half(a), self.half(b)
+            if left and (not right or scores[a] < scores[b]):
+                limit, even, a = scores[a], False, left[1]
+            elif right:
+                limit, even, b = scores[b], True, right[0]
+            else:
+                return True
+
+    def accept(self, at: int) -> bool:
+        if len(self.pairs) > self.memory:
+            self.pairs.clear()
+        a, b = divmod(at, len(self.scores))
+        got = self.pairs[at] = self.accepts(a, b)
         return got
 
     def shortest_path(self, part: str) -> list[int]:
@@ -123,21 +154,26 @@ class PieceTransducer:
         States are (characters read, last piece). For merge models at most one state per place has finite weight, as
         the merging of each prefix is unique; for unigram models the last piece doesn't matter. So one state is kept per place.
         """
-        n, ids, scores = len(part), self.ids, self.scores
-        cost, last, back = [math.inf] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-        cost[0], last[0] = 0.0, -1
+        n, get, scores, merging, longest, pairs, kinds = len(part), self.ids.get, self.scores, self.merging, self.longest, self.pairs, len(self.scores)
+        cost, last, back = [math.inf] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
+        cost[0] = 0.0
         for end in range(1, n + 1):
-            for begin in range(end - 1, max(-1, end - self.longest - 1), -1):
-                i = ids.get(part[begin:end])
-                if i is None or cost[begin] == math.inf:
+            for begin in range(end - 1, max(-1, end - longest - 1), -1):
+                i = get(part[begin:end])
+                if i is None:
                     continue
-                if self.merging:
-                    if (last[begin] < 0 or self.accepts(last[begin], i)) and self.reachable(i):
-                        cost[end], last[end], back[end] = 0.0, i, begin
-                        break
-                elif cost[begin] - scores[i] < cost[end]:
+                if merging:
+                    if (a := last[begin]) >= 0:
+                        ok = pairs.get(at := a * kinds + i)
+                        if not (self.accept(at) if ok is None else ok):
+                            continue
+                    elif cost[begin]:  # no path of finite weight leads here
+                        continue
+                    cost[end], last[end], back[end] = 0.0, i, begin
+                    break
+                if cost[begin] - scores[i] < cost[end]:
                     cost[end], last[end], back[end] = cost[begin] - scores[i], i, begin
-            if part[end - 1] not in ids and (weight := cost[end - 1] - (0.0 if self.merging else self.floor)) < cost[end]:
+            if (weight := cost[end - 1] - (0.0 if merging else self.floor)) < cost[end] and get(part[end - 1]) is None:
                 cost[end], last[end], back[end] = weight, -1 - ord(part[end - 1]), end - 1
         path, at = [], n
         while at:
@@ -155,7 +191,7 @@ class PieceTransducer:
                 out += [self.bytes[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass")]
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
-        ids = np.array(out, np.int32).tobytes()
+        ids = array("i", out).tobytes()
         if len(part) <= 48:
             if len(self.known) >= self.memory:
                 self.known.clear()
@@ -168,7 +204,7 @@ class PieceTransducer:
 
     def decode(self, ids) -> str:
         out = self.out
-        return self.normaliser.backward(b"".join([out[i] for i in ids]).decode("utf-8", "replace"))
+        return self.normaliser.backward(b"".join(map(out.__getitem__, ids)).decode("utf-8", "replace"))
 
 
 _LOADED: dict[str, PieceTransducer] = {}
