@@ -63,6 +63,12 @@ def located(df: DataFrame) -> DataFrame:
         return located(stored(df, "located"))
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns c0, c1, ... that clash with no other name, and the new name of each old one."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def crc_mod(key: str | Column, n: int) -> Column:
     """crc32 of the key as text, modulo n; a null key counts as empty text."""
     col = F.col(key) if isinstance(key, str) else key

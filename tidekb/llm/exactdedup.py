@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidekb.llm.common import BLANKS, located, query, shared_path, stored, table
+from tidekb.llm.common import BLANKS, located, numbered, query, shared_path, stored, table
 
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -72,7 +72,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest
     the only thing broadcast, sorts most of them out during the scan.
     """
     spark = docs.sparkSession
-    docs = located(docs)
+    docs = located(docs.select(key, text))
     prints = stored(docs.select(F.col(key).alias("id"), "at_file", "at_row", normalised(text).alias("t")).select("id", "at_file", "at_row", F.octet_length("t").cast("long").alias("n_bytes"), digest(F.col("t")).alias("digest")), "prints")
     folder = prints.inputFiles()
     if not folder:
@@ -102,9 +102,10 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that exact deduplication keeps, with all their columns."""
-    docs = located(docs)
-    dropped = exact_dedup(docs.drop("at_file", "at_row"), key, text).filter("not kept").select("at_file", "at_row")
-    return docs.join(dropped, ["at_file", "at_row"], "left_anti").drop("at_file", "at_row")
+    plain, names = numbered(docs)
+    rows = located(plain)
+    dropped = exact_dedup(rows.drop("at_file", "at_row"), names[key], names[text]).filter("not kept").select("at_file", "at_row")
+    return rows.join(dropped, ["at_file", "at_row"], "left_anti").drop("at_file", "at_row").toDF(*docs.columns)
 
 
 SQL = f"""

@@ -153,8 +153,9 @@ def mix_to_targets(
     return others.unionByName(chosen).withColumn("taken", taken).drop("_pattern", "_h", "times", "rest", "width", "edge_bucket", "before", "_bucket", "_more")
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("size", word_count("text")).withColumn("members", F.array("source"))
+def sized(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
+    """``docs`` with ``size`` and ``members``, an array of its one source."""
+    return docs.withColumn("size", word_count(text)).withColumn("members", F.array(source))
 
 
 SQL = f"""

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidekb.llm.cluster import components, lowest, runs, split_pairs
-from tidekb.llm.common import located, query, stored, table
+from tidekb.llm.common import located, numbered, query, stored, table
 from tidekb.llm.licenses import words
 from tidekb.session import ship_package
 
@@ -104,17 +104,18 @@ def shared_grams(sets: list[np.ndarray], room: int = 8_000_000) -> np.ndarray:
     return out
 
 
-def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, width: int = WIDTH, recall: float = RECALL, seed: int = SEED, block_rows: int = 1_000, block_grams: int = 1_000_000, slots: int = 1 << 18) -> DataFrame:
+def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, width: int = WIDTH, recall: float = RECALL, seed: int = SEED, block_rows: int = 1_000, block_grams: int = 1_000_000, slots: int = 1 << 20) -> DataFrame:
     """One row per document: key, ``class_id``, ``n_links``, ``kept``, and its place (``at_file``, ``at_row``).
 
     n_links: other documents whose n-gram sets have a Jaccard similarity of the threshold or more; class_id: the smallest key
     that links lead to; kept: exactly one row of a class, the one with the smallest key (null keys last, repeated keys
     by place). Texts without words (null and empty ones too) link with nothing. Words: runs of letters and digits, A-Z
-    lower-cased. An empty table gives an empty result; other columns are ignored.
+    lower-cased. An empty table gives an empty result; other columns are ignored. What is broadcast are at most ``slots`` numbers:
+    the hash slots of shared buckets and of candidates, which keep most other rows out of the shuffles; joins on the keys follow.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    docs = located(docs)
+    docs = located(docs.select(key, text))
     bands, rows = bands_for(threshold, recall)
     at = ["at_file", "at_row"]
     kind = docs.select(key).schema[0].dataType.simpleString()
@@ -165,12 +166,14 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
     reps = stored(reps.withColumn("cid", F.monotonically_increasing_id()), "classes")
     buckets = reps.select("cid", F.posexplode("bands").alias("band", "hash"))
     shared = stored(buckets.groupBy("band", "hash").agg(F.min("cid").alias("lead"), F.max("cid").alias("last")).filter("lead < last").drop("last"), "buckets")
+    place = lambda *key: F.pmod(F.xxhash64(*key), F.lit(slots)).alias("slot")
+    met = lambda df, few, *key: df.withColumn("slot", place(*key)).join(F.broadcast(few.select(place(*key)).distinct()), "slot", "left_semi").drop("slot")
+    buckets = met(buckets, shared, "band", "hash")
     groups = stored(components(buckets.join(shared, ["band", "hash"]).filter("cid != lead").select("cid", "lead"), "cid", "lead"), "groups")
     members = groups.withColumnRenamed("id", "cid").join(reps.select("cid", "n_grams", "copies", "first.at_file", "first.at_row"), "cid")
     blocks = F.greatest(F.ceil(F.count("*") / F.lit(block_rows)), F.ceil(F.sum("n_grams") / F.lit(block_grams)), F.lit(1)).cast("long")
     members = stored(members.join(members.groupBy("comp").agg(F.least(blocks, F.count("*")).alias("blocks")), "comp").drop("n_grams"), "members")
-    slot = lambda: F.pmod(F.xxhash64(*at), F.lit(slots)).alias("slot")
-    wanted = docs.withColumn("slot", slot()).join(F.broadcast(members.select(slot()).distinct()), "slot", "left_semi")  # at most ``slots`` rows
+    wanted = met(docs, members, *at)
     grams = wanted.select(*at, text).mapInArrow(shingle, "at_file string, at_row long, grams binary").join(members, at)
     meets = split_pairs(grams, "cid", "blocks").select("comp", "lo", "hi", "own", "cid", "copies", "blocks", "grams")
     meets = meets.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi")
@@ -188,9 +191,10 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each class is kept, with all their columns."""
-    docs = located(docs)
-    dropped = ngram_join(docs.drop("at_file", "at_row"), key, text, **options).filter("not kept").select("at_file", "at_row")
-    return docs.join(dropped, ["at_file", "at_row"], "left_anti").drop("at_file", "at_row")
+    plain, names = numbered(docs)
+    rows = located(plain)
+    dropped = ngram_join(rows.drop("at_file", "at_row"), names[key], names[text], **options).filter("not kept").select("at_file", "at_row")
+    return rows.join(dropped, ["at_file", "at_row"], "left_anti").drop("at_file", "at_row").toDF(*docs.columns)
 
 
 @query("op3_ngram_join")
