@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidekb.llm.common import crc_mod, query, table
+from tidekb.llm.common import crc_mod, query, stored, table
 from tidekb.session import ship_package
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -55,70 +55,114 @@ def _count(docs: DataFrame, lang: str, text: str, cut) -> DataFrame:
     return counted.groupBy("lang", "item").agg(F.sum("n").alias("n"))
 
 
-def _top(counts: DataFrame, most: int) -> tuple[dict[str, dict[str, int]], dict[str, int]]:
-    """The ``most`` most frequent items over all languages, with counts by language, and each language's total."""
-    total = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    items = counts.groupBy("item").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by")).filter("n > 1").orderBy(F.desc("n"), "item").limit(most)
-    return {r["item"]: {x["lang"]: x["n"] for x in r["by"]} for r in items.collect()}, total
+def _frequent(counts: DataFrame, langs: list[str], most: int) -> tuple[list[str], np.ndarray]:
+    """At most ``most`` items and their counts by language: all whose total reaches the lowest bound (two at least) that admits no more."""
+    by = [F.sum(F.when(F.col("lang") == la, F.col("n")).otherwise(0)).alias(f"n{i}") for i, la in enumerate(langs)]
+    wide = counts.groupBy("item").agg(F.sum("n").alias("n"), *by).filter("n > 1")
+    level = F.floor(F.log2("n") * 64)
+    bound, got = None, 0
+    for r in sorted(wide.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r["level"]):
+        if got + r["k"] > most:
+            break
+        bound, got = r["level"], got + r["k"]
+    if bound is None:
+        return [], np.zeros((0, len(langs)))
+    rows = wide.filter(level >= bound).toArrow()  # columns, not row objects: at most ``most`` short strings and numbers
+    items = rows.column("item").to_pylist()
+    order = sorted(range(len(items)), key=items.__getitem__)
+    return [items[i] for i in order], np.stack([rows.column(f"n{i}").to_numpy() for i in range(len(langs))], 1)[order].astype(float)
 
 
 class Backoff:
     """The fitted model: log frequencies per language of words and n-grams."""
 
-    def __init__(self, langs: list[str], word_counts, word_totals, gram_counts, gram_totals):
+    def __init__(self, langs: list[str], words: list[str], word_counts: np.ndarray, word_totals: np.ndarray, grams: list[str], gram_counts: np.ndarray, gram_totals: np.ndarray):
         self.langs = langs
 
-        def logs(counts, totals):
-            keys = list(counts)
-            table = np.array([[math.log((counts[k].get(la, 0) + 0.1) / (totals.get(la, 0) + 0.1 * (len(keys) + 1))) for la in langs] for k in keys], np.float32).reshape(len(keys), len(langs))
-            return dict(zip(keys, range(len(keys)))), table
+        def logs(keys, counts, totals):
+            return dict(zip(keys, range(len(keys)))), np.log((counts + 0.1) / (totals + 0.1 * (len(keys) + 1))).astype(np.float32).reshape(len(keys), len(langs))
 
-        self.word_at, self.word_log = logs(word_counts, word_totals)
-        self.gram_at, self.gram_log = logs(gram_counts, gram_totals)
+        self.word_at, self.word_log = logs(words, word_counts, word_totals)
+        self.gram_at, self.gram_log = logs(grams, gram_counts, gram_totals)
 
-    def unseen(self, word: str) -> np.ndarray:
-        """Mean log frequency of the longest known n-gram at each place, less a step for each character that it falls short."""
-        w, at, rows, lost = f"<{word}>", self.gram_at, [], 0
+    def places(self, word: str) -> tuple[list[int], int]:
+        """Of an unknown word: the longest known n-gram at each place, and the characters by which they fall short in all."""
+        w, at, rows, lost = f"<{word}>", self.gram_at.get, [], 0
         for i in range(max(1, len(w) - 1)):
             for n in range(min(LONGEST, len(w) - i), 0, -1):
-                k = at.get(w[i : i + n])
+                k = at(w[i : i + n])
                 if k is not None:
                     rows.append(k)
                     lost += LONGEST - n
                     break
-        return self.gram_log[rows].mean(0) - STEP * lost / len(rows) if rows else np.zeros(len(self.langs), np.float32)
+        return rows, lost
+
+    def backed_off(self, words: list[str]) -> np.ndarray:
+        """Per word and language: the mean log frequency at its places, less a step per missing character; 0 if no place is known."""
+        found = [self.places(w) for w in words]
+        rows = np.array([k for r, _ in found for k in r], np.int64)
+        size, lost = np.array([len(r) for r, _ in found]), np.array([x for _, x in found])
+        ends = np.concatenate([[0], np.cumsum(size)])
+        sums = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(self.gram_log[rows], 0, dtype=np.float64)])
+        return (sums[ends[1:]] - sums[ends[:-1]] - STEP * lost[:, None]) / np.maximum(1, size)[:, None]
 
 
 class Scorer(dict):
     """word -> row of ``table``; unseen words get a row when first met. Both are bounded: when full, unseen words are forgotten."""
 
-    def __init__(self, model: Backoff, room: int = 200_000):
+    def __init__(self, model: Backoff, room: int = 300_000):
         self.model, self.base = model, len(model.word_at)
         self.table = np.zeros((self.base + room, len(model.langs)), np.float32)
         self.table[: self.base] = model.word_log
         super().__init__(model.word_at)
+        self.waiting: list[str] = []
         self.used = self.base
 
     def __missing__(self, word: str) -> int:
-        k = self.used
-        self.table[k] = self.model.unseen(word)
-        self[word] = k
-        self.used += 1
+        self[word] = k = self.used + len(self.waiting)
+        self.waiting.append(word)
         return k
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        langs, total, ws = self.model.langs, 0.0, words(text)
-        if not ws or not langs:
-            return "und", 0.0
-        for at in range(0, len(ws), 50_000):
-            if self.used + 50_000 > len(self.table):
-                self.clear()
-                self.update(self.model.word_at)
-                self.used = self.base
-            part = ws[at : at + 50_000]
-            total = total + self.table[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(0, dtype=np.float64)
-        best = int(np.argmax(total))
-        return langs[best], float(1 / np.exp(total - total[best]).sum())
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Rows of at most as many words as there is room; words met for the first time are scored together."""
+        if self.used + len(words) > len(self.table):
+            self.clear()
+            self.update(self.model.word_at)
+            self.used = self.base
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.waiting:
+            self.table[self.used : self.used + len(self.waiting)] = self.model.backed_off(self.waiting)
+            self.used += len(self.waiting)
+            self.waiting = []
+        return self.table[at]
+
+    def predict(self, texts: list[str | None], at_once: int = 50_000) -> list[tuple[str, float]]:
+        """(language, share of the likelihood) of each text; long texts are summed part by part."""
+        langs = self.model.langs
+        split = [words(t) if langs else [] for t in texts]
+        total = np.zeros((len(texts), len(langs)))
+        for owner, part in _parts(split, at_once):
+            got = self.rows(part)
+            for k in range(len(langs)):
+                total[:, k] += np.bincount(owner, weights=got[:, k], minlength=len(texts))
+        best = total.argmax(1) if langs else []
+        return [(langs[best[i]], float(1 / np.exp(total[i] - total[i][best[i]]).sum())) if ws else ("und", 0.0) for i, ws in enumerate(split)]
+
+
+def _parts(split: list[list[str]], at_once: int):
+    """(number of the text per word, words), at most so many words at once, texts in order."""
+    owner: list[np.ndarray] = []
+    held: list[str] = []
+    for i, ws in enumerate(split):
+        for at in range(0, len(ws), at_once):
+            part = ws[at : at + at_once]
+            if len(held) + len(part) > at_once:
+                yield np.concatenate(owner), held
+                owner, held = [], []
+            owner.append(np.full(len(part), i))
+            held += part
+    if held:
+        yield np.concatenate(owner), held
 
 
 _LOADED: dict = {}
@@ -138,9 +182,14 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
     n = labelled.select(lang).count()
     parts = 1 << 20
     sample = labelled.filter(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(parts)) < math.ceil(parts * min(1.0, max_docs / max(1, n))))
-    word_counts, word_totals = _top(_count(sample, lang, text, False), max_words)
-    gram_counts, gram_totals = _top(_count(sample, lang, text, True), max_grams)
-    return Backoff(sorted(word_totals), word_counts, word_totals, gram_counts, gram_totals)
+    fitted = []
+    langs: list[str] = []
+    for cut, most in ((False, max_words), (True, max_grams)):
+        counts = stored(_count(sample, lang, text, cut), "counts")
+        totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+        langs = langs or sorted(totals)
+        fitted += [*_frequent(counts, langs, most), np.array([totals.get(la, 0) for la in langs], float)]
+    return Backoff(langs, *fitted)
 
 
 def identify(docs: DataFrame, model: Backoff, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -165,7 +214,7 @@ def identify(docs: DataFrame, model: Backoff, key: str = "doc_id", text: str = "
             _LOADED[token] = Scorer(shared.value)
         scorer = _LOADED[token]
         for b in batches:
-            got = [scorer.predict(t.as_py()) for t in b.column(place)]
+            got = [x for at in range(0, b.num_rows, 500) for x in scorer.predict(b.column(place).slice(at, 500).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*b.schema.names, "lang_pred", "lang_score"])
 
     return docs.mapInArrow(predict, schema)
