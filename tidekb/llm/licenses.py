@@ -136,7 +136,26 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", phra
     return docs.select(F.col(key).alias("k"), text).mapInArrow(scan, f"k {kind}, {OUT}").withColumnRenamed("k", key)
 
 
-@query("op1_license_scan")
+def _sql(width: int = 48, threshold: float = 0.8) -> str:
+    """The base and the exact containment over all blocks and templates, without the filters that only save work."""
+    text = lambda t: "'" + t + "'"
+    rows = lambda xs: "(VALUES " + ", ".join(xs) + ")"
+    phrases = rows(f"(string_split({text(p)}, ' '), {text(label)})" for p, label in PHRASES.items())
+    templates = rows(f"(list_distinct(string_split({text(t)}, ' ')), {text(label)})" for label, texts in TEMPLATES.items() for t in texts)
+    step = width // 2
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT r, label, unnest(list_filter(range(0, greatest(0, len(w) - len(p) + 1)::BIGINT), lambda i: w[i + 1:i + len(p)] = p)) AS i FROM d, {phrases} AS x(p, label)),
+p AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base FROM b GROUP BY r),
+k AS (SELECT r, list_distinct(w[s + 1:s + {width}]) AS blk FROM (SELECT r, w, unnest(range(0, (greatest(0, ceil((len(w) - {width}) / {step})) * {step} + 1)::BIGINT, {step})) AS s FROM d)),
+m AS (SELECT r, label, len(list_intersect(t, blk)) / len(t) AS c FROM k, {templates} AS x(t, label) WHERE len(list_intersect(t, blk)) >= ceil({threshold} * len(t) - 1e-9)),
+t AS (SELECT r, list(DISTINCT label) AS own, max(c) AS c FROM m GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
+ coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(own, [])))), ','), '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(c, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN p USING (r) LEFT JOIN t USING (r)"""
+
+
+@query("op1_license_scan", _sql())
 def op1_license_scan(spark, sf):
     found = scan_licenses(table(spark, sf, "documents"))
     at = lambda f: f("places.word")
