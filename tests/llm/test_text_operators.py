@@ -168,6 +168,21 @@ def test_language_model_scores(spark, docs, no_docs):
     assert {r.n_known for r in lmscore.score_texts(docs, untrained).collect()} == {0} and lmscore.score_texts(no_docs, untrained).count() == 0
 
 
+def test_language_model_learns_from_every_training_document_once(spark, monkeypatch):
+    seen = Counter()
+
+    def learn(spark, docs, shape, words, weights, rate):
+        seen.update(int(r.text.split()[0]) for r in docs.collect())
+        return weights
+
+    monkeypatch.setattr(lmscore, "_round", learn)
+    text = F.concat(F.col("id").cast("string"), F.repeat(F.lit(" a b"), 400))
+    many = spark.range(4_000).select(F.when(F.col("id") % 10 > 0, F.col("id")).alias("doc_id"), text.alias("text"))
+    model = lmscore.fit(many, F.col("doc_id").isNull() | (F.col("doc_id") % 7 != 2))
+    assert model.total > 2_000_000
+    assert seen == Counter(i for i in range(4_000) if i % 10 == 0 or i % 7 != 2)
+
+
 def test_training_lowers_held_out_surprise():
     rng = np.random.default_rng(3)
 

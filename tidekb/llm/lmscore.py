@@ -2,8 +2,8 @@
 
 Token counts cover every token of all training documents. The recurrent model knows the most frequent tokens; any
 other is the unknown one, times its share among the counts of those others. It is trained by rounds: each task starts
-from the common parameters, trains on its share of a slice that grows with the corpus, and Spark averages what the
-tasks found, weighted by tokens. Counts of rare tokens reach the documents by a join, those of frequent ones (a table
+from the common parameters, trains on its part of the round's documents, and Spark averages what the tasks found,
+weighted by tokens. Over the rounds every training document is learnt from once. Counts of rare tokens reach the documents by a join, those of frequent ones (a table
 of bounded size) with the tasks.
 """
 
@@ -91,11 +91,12 @@ def encode(ws: list[bytes], words: dict[bytes, int]) -> np.ndarray:
     return np.array([*[get(w, UNKNOWN) for w in ws], END], np.int32)
 
 
-def fit(docs: DataFrame, training: Column, text: str = "text", key: str = "doc_id", classes: int = 32, members: int = 48, inputs: int = 16, hidden: int = 24, head: int = 100_000, rounds: int = 3, fraction: float = 0.06, least_tokens: int = 600_000, rate: float = 0.01, seed: int = 5) -> LanguageModel:
+def fit(docs: DataFrame, training: Column, text: str = "text", key: str = "doc_id", classes: int = 32, members: int = 48, inputs: int = 16, hidden: int = 24, head: int = 100_000, rounds: int = 3, fraction: float = 1.0, least_tokens: int = 0, rate: float = 0.01, seed: int = 5) -> LanguageModel:
     """Count and train on the rows that ``training`` selects.
 
-    fraction: share of training documents that the recurrent model learns from, spread over the rounds by hash of the
-    key; on a corpus where that is under ``least_tokens`` tokens the share grows, to all at most. head: bound of the frequent-token table. Without training rows
+    By default the recurrent model learns from every training document once, whatever the size; the rounds divide the
+    documents by hash of the key. fraction: for callers that want less, the share of documents that it learns from;
+    least_tokens: the share grows to about so many tokens. head: bound of the frequent-token table. Without training rows
     every token is unknown and the model knows only the unknown and the end token.
     """
     spark = docs.sparkSession
@@ -118,7 +119,8 @@ def fit(docs: DataFrame, training: Column, text: str = "text", key: str = "doc_i
     parts = 1 << 20
     slot = F.pmod(F.xxhash64(F.lit("slice"), F.col(key)), F.lit(parts))
     for k in range(rounds if total else 0):
-        one = learn.filter((slot >= int(parts * share * k / rounds)) & (slot < math.ceil(parts * share * (k + 1) / rounds))).select(text)
+        first, end = (math.ceil(parts * share * i / rounds) for i in (k, k + 1))
+        one = learn.filter((slot >= first) & (slot < end)).select(text)
         weights = _round(spark, one, shape, words, weights, rate / (1 + k))
     return LanguageModel(counts, total, distinct, ends, top, words, shape, weights)
 
