@@ -57,6 +57,18 @@ def test_language_id(spark, docs, no_docs):
     assert langid.identify(no_docs, none).count() == 0 and {r.lang_pred for r in langid.identify(docs, none).collect()} == {"und"}
 
 
+def test_language_sample_keeps_rare_languages_and_null_keys(spark):
+    vocabulary = {"en": "river stone", "fr": "maison lumière", "de": "wasser fenster"}
+    rows = [(None if i % 2 else i, f"{vocabulary[la]} {vocabulary[la]} {la}{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}", la) for la, n in (("en", 6_000), ("fr", 900), ("de", 4)) for i in range(n)]
+    many = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(many, max_docs=60, max_words=12, max_grams=60)
+    assert model.langs == ["de", "en", "fr"]
+    assert {w for ws in vocabulary.values() for w in ws.split()} <= set(model.word_at)
+    assert [x for x, _ in langid.Scorer(model).predict(["wasser", "river", "maison"])] == ["de", "en", "fr"]
+    nameless = many.filter("lang = 'fr'").withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.concat("text", F.lit(" "), F.monotonically_increasing_id()))
+    assert langid.fit(nameless, max_docs=100).langs == ["fr"]
+
+
 def test_language_scores_match_a_plain_sum(docs):
     model = langid.fit(docs)
     for room in (60, 5_000):

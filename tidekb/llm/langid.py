@@ -55,20 +55,53 @@ def _count(docs: DataFrame, lang: str, text: str, cut) -> DataFrame:
     return counted.groupBy("lang", "item").agg(F.sum("n").alias("n"))
 
 
+def _shares(sizes: list[int], most: int) -> list[int]:
+    """How much of each size is taken so that the sum is at most ``most``: equal parts, and what small ones leave goes to the larger."""
+    out, left = [0] * len(sizes), most
+    for k, i in enumerate(sorted(range(len(sizes)), key=sizes.__getitem__)):
+        out[i] = min(sizes[i], left // (len(sizes) - k))
+        left -= out[i]
+    return out
+
+
+def _sample(labelled: DataFrame, lang: str, text: str, key: str, max_docs: int, least: int = 20) -> DataFrame:
+    """About ``max_docs`` rows by hash of key and text, as many of each language; languages with fewer rows whole, and about ``least`` rows of each at least."""
+    sizes = {r[0]: r["n"] for r in labelled.groupBy(F.col(lang)).agg(F.count("*").alias("n")).collect()}
+    parts = 1 << 20
+    takes = zip(sizes, _shares(list(sizes.values()), max_docs))
+    limits = {la: math.ceil(parts * max(n, least) / sizes[la]) for la, n in takes if max(n, least) < sizes[la]}
+    if not limits:
+        return labelled
+    limit = F.element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col(lang))
+    return labelled.filter(F.pmod(F.xxhash64(F.lit("sample"), F.col(key), F.col(text)), F.lit(parts)) < F.coalesce(limit, F.lit(parts)))
+
+
 def _frequent(counts: DataFrame, langs: list[str], most: int) -> tuple[list[str], np.ndarray]:
-    """At most ``most`` items and their counts by language: all whose total reaches the lowest bound (two at least) that admits no more."""
+    """At most ``most`` items that occur twice at least, and their counts by language.
+
+    Each language has an equal part of ``most`` (more, where others have fewer items) and picks all items whose count in it reaches the lowest bound that admits no more.
+    """
     by = [F.sum(F.when(F.col("lang") == la, F.col("n")).otherwise(0)).alias(f"n{i}") for i, la in enumerate(langs)]
     wide = counts.groupBy("item").agg(F.sum("n").alias("n"), *by).filter("n > 1")
-    level = F.floor(F.log2("n") * 64)
-    bound, got = None, 0
-    for r in sorted(wide.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r["level"]):
-        if got + r["k"] > most:
-            break
-        bound, got = r["level"], got + r["k"]
-    if bound is None:
-        return [], np.zeros((0, len(langs)))
-    rows = wide.filter(level >= bound).toArrow()  # columns, not row objects: at most ``most`` short strings and numbers
+    level = [F.when(F.col(f"n{i}") > 0, F.floor(F.log2(f"n{i}") * 64)) for i in range(len(langs))]
+    found: list[list[tuple[int, int]]] = [[] for _ in langs]
+    if langs:
+        own = wide.select(F.posexplode(F.array(*level)).alias("i", "level")).filter("level IS NOT NULL")
+        for r in own.groupBy("i", "level").agg(F.count("*").alias("k")).collect():
+            found[r["i"]].append((r["level"], r["k"]))
+    picked = F.lit(False)
+    for i, room in enumerate(_shares([sum(k for _, k in x) for x in found], most)):
+        bound, got = None, 0
+        for lv, k in sorted(found[i], reverse=True):
+            if got + k > room:
+                break
+            bound, got = lv, got + k
+        if bound is not None:
+            picked = picked | F.coalesce(level[i] >= bound, F.lit(False))
+    rows = wide.filter(picked).toArrow()  # columns, not row objects: at most ``most`` short strings and numbers
     items = rows.column("item").to_pylist()
+    if not items:
+        return [], np.zeros((0, len(langs)))
     order = sorted(range(len(items)), key=items.__getitem__)
     return [items[i] for i in order], np.stack([rows.column(f"n{i}").to_numpy() for i in range(len(langs))], 1)[order].astype(float)
 
@@ -171,17 +204,16 @@ _LOADED: dict = {}
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", train: Column | None = None, max_docs: int = 8_000, max_words: int = 150_000, max_grams: int = 150_000) -> Backoff:
     """Fit on the labelled rows that ``train`` selects.
 
-    ``max_docs`` bounds the sample of labelled rows (about that many, by hash of the key, so that reruns agree; null keys
-    hash alike); their texts are used whole. ``max_words`` and ``max_grams`` bound the model, which is sent to every task: the most
-    frequent ones that occur twice at least, over all languages. No labelled row gives a model that knows no language.
+    ``max_docs`` bounds the sample of labelled rows: about that many by hash of key and text, so that reruns agree, in equal
+    parts by language. Rarer languages are taken whole; past 400 languages the sample grows by about 20 rows for each. The texts are
+    used whole. ``max_words`` and ``max_grams`` bound the model, which is sent to every task: each language's most frequent
+    ones, of those that occur twice at least over all. No labelled row gives a model that knows no language.
     """
     ship_package(docs.sparkSession)
     labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     if train is not None:
         labelled = labelled.filter(train)
-    n = labelled.select(lang).count()
-    parts = 1 << 20
-    sample = labelled.filter(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(parts)) < math.ceil(parts * min(1.0, max_docs / max(1, n))))
+    sample = _sample(labelled, lang, text, key, max_docs)
     fitted = []
     langs: list[str] = []
     for cut, most in ((False, max_words), (True, max_grams)):
