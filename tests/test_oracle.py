@@ -1,11 +1,13 @@
 """Every registered query runs on the smallest tables; those with a SQL twin must give the same rows."""
 
+import os
+
 import check
 import pytest
-from conftest import SF
 
 import __spark_entry__ as entry
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 
 
