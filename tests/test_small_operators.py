@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tidekb.functions.ranking import with_row_number
+from tidekb.functions.ranking import positions, with_row_number
 from tidekb.functions.terms import find_terms
 from tidekb.operators import enrich as E
 from tidekb.operators import evaluation as V
@@ -39,10 +39,22 @@ def test_constant_series_has_no_fit(spark):
 
 def test_row_numbers_over_ranges(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1009).alias("seq")).repartition(7)
-    got = [r["rn"] for r in with_row_number(df, "seq", rows_per_bucket=90).orderBy("seq").collect()]
+    got = [r["rn"] for r in with_row_number(df, "seq", parts=7).orderBy("seq").collect()]
     assert got == list(range(1, 1001))
 
 
+def test_positions_with_a_hot_group(spark):
+    """Nine rows of ten share one group; the groups, one of them null, are numbered in order of their keys."""
+    g = F.when(F.col("id") % 10 > 0, F.lit("hot")).when(F.col("id") % 20 == 0, F.concat(F.lit("g"), F.col("id") % 7))
+    df = spark.range(2000).select((F.col("id") * 7 % 2003).alias("k"), g.alias("g")).repartition(5)
+    rows = positions(df, ["k"], ["g"], "r", "gn", parts=9).collect()
+    want: dict = {}
+    for r in sorted(rows, key=lambda r: r["k"]):
+        want.setdefault(r["g"], []).append(r["k"])
+    order = {g: i for i, g in enumerate(sorted(want, key=lambda g: (g is not None, g or "")))}
+    assert len(rows) == 2000 and {(r["g"], r["k"], r["r"], r["gn"]) for r in rows} == {(g, k, i, order[g]) for g, ks in want.items() for i, k in enumerate(ks)}
+
+
 def test_find_terms_order_and_null(spark):
     rows = spark.createDataFrame([("beta alpha",), (None,), ("",)], "t string").select(find_terms("t", ["alpha", "beta", "al"]).alias("f")).collect()
     assert [r["f"] for r in rows] == [["alpha", "beta", "al"], [], []]

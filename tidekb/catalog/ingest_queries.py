@@ -380,10 +380,11 @@ def _(spark, sf):
     return fresh_updates(spark, sf).select("seq", F.round("new_score", 4).alias("new_score"))
 
 
-@query("b27_freshness_batches", f"WITH {_FU} SELECT round(new_score, 4) AS new_score, count(*) AS n, sum(seq)::BIGINT AS id_sum FROM upd GROUP BY 1")
+@query("b27_freshness_batches", f"""WITH {_FU}, p AS (SELECT *, (row_number() OVER (PARTITION BY new_score ORDER BY seq) - 1) // 100 AS batch FROM upd)
+SELECT round(new_score, 4) AS new_score, batch, count(*) AS n, sum(seq)::BIGINT AS id_sum FROM p GROUP BY p.new_score, batch""")
 def _(spark, sf):
-    b = R.freshness_batches(fresh_updates(spark, sf))
-    return b.groupBy(F.round("new_score", 4).alias("new_score")).agg(F.sum(F.size("ids")).alias("n"), F.sum(F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)).alias("id_sum"))
+    ids = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)
+    return R.freshness_batches(fresh_updates(spark, sf)).select(F.round("new_score", 4).alias("new_score"), "batch", F.size("ids").cast("long").alias("n"), ids.alias("id_sum"))
 
 
 @query("b28_pipeline_status", f"""WITH {I.KB}, {_ART}, lab AS (SELECT source || '/' || doc_id || '.md' AS source_file FROM labels JOIN documents USING (doc_id))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidekb.functions.ranking import with_row_number
+from tidekb.functions.ranking import positions, with_row_number
 from tidekb.functions.text import col, stable_id
 
 
@@ -93,7 +93,7 @@ def cut_batches(df: DataFrame, seq: str, n_batches: int) -> DataFrame:
     """Contiguous batches of ceil(n / N) rows in ``seq`` order."""
     total = df.count()
     chunk = max(1, -(-total // n_batches))
-    return with_row_number(df, seq, "_rn", total=total).withColumn("batch", (F.floor((F.col("_rn") - 1) / chunk) + 1).cast("int")).drop("_rn")
+    return with_row_number(df, seq, "_rn").withColumn("batch", (F.floor((F.col("_rn") - 1) / chunk) + 1).cast("int")).drop("_rn")
 
 
 # ---- curated rows against raw rows ----
@@ -251,11 +251,10 @@ def freshness_updates(df: DataFrame, new_score: Column, min_diff: float = 0.001)
 
 
 def freshness_batches(updates: DataFrame, key: str = "seq", size: int = 100) -> DataFrame:
-    """Updates grouped by equal score and cut to ``size`` ids per patch; buckets keep a frequent score off one task."""
-    buckets = updates.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(64)))
-    w = Window.partitionBy("new_score", "_b").orderBy(key)
-    cut = buckets.withColumn("_p", F.floor((F.row_number().over(w) - 1) / size))
-    return cut.groupBy("new_score", "_b", "_p").agg(F.array_sort(F.collect_list(key)).alias("ids")).drop("_b", "_p")
+    """``new_score``, ``batch``, ``ids``: updates of equal score, cut to ``size`` ids per patch in key order."""
+    placed = positions(updates.select(key, "new_score"), [key], ["new_score"], "_r")
+    cut = placed.withColumn("batch", F.expr(f"_r div {size}"))
+    return cut.groupBy("new_score", "batch").agg(F.array_sort(F.collect_list(key)).alias("ids"))
 
 
 def pipeline_status(steps: dict[str, tuple[DataFrame, DataFrame]], by: str = "source_collection") -> DataFrame:
