@@ -158,11 +158,13 @@ def _found(frontier: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def _step(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Requests of one block (left) through its segment (right, one row)."""
-    if not left.num_rows or not right.num_rows:
-        raise ValueError("a request for a place that the tree doesn't have")
-    at = {c: right.column(c)[0].as_py() for c in right.column_names}
-    store = dict(zip(at["parents"], zip(at["lefts"], at["rights"])))
+    """Requests of one block (left) through its segment (right, one row). A group of one leaf has no segment."""
+    at = {c: right.column(c)[0].as_py() if right.num_rows else None for c in right.column_names}
+    if not right.num_rows:
+        if any(left.column("place").to_pylist()):
+            raise ValueError("a request for a place that the tree doesn't have")
+        left = left.slice(0, 0)
+    store = dict(zip(at["parents"] or (), zip(at["lefts"] or (), at["rights"] or ())))
     walked = list(_walk(at["digest"], store, left.column("place").to_pylist(), at["levels"]))
     out = left.drop_columns(["block"]).append_column("reached", pa.array([x for x, _ in walked], pa.binary()))
     out = out.append_column("head", pa.array([at["head"]] * len(walked), pa.binary()))
@@ -196,7 +198,6 @@ def descend(tree: Tree, heads: DataFrame, requests: DataFrame) -> DataFrame:
         schema = more if r == 0 else ["grp long", "place long"]
         got = wide.groupBy("grp", "block").cogroup(opened.groupBy("grp", "block")).applyInArrow(_step, f"{', '.join(schema)}, reached binary, head binary, height int, path array<binary>")
         below = got if r == 0 else stored(got, "reached")
-    # in round 0 only groups with a segment are asked: those of one leaf have none
     return out if below is None else out.unionByName(below)
 
 
