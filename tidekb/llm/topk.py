@@ -10,14 +10,14 @@ own; and the rows. Every entry stores its distance to its parent's routing objec
 query the entries are taken in order of their bounds: first the bound that stored distances give without computing
 anything, |d(q, parent) - d(entry, parent)| - radius, then, if the entry may still matter, its own distance less
 the radius. Across units the search runs in waves (the best unit, the next seven, the rest), each with the k-th score so
-far, so a unit is opened only if its bound admits one of the k; in a unit a heap holds the nodes.
+far, so a unit is opened only if its bound admits one of the k; in a unit a query takes nodes in growing batches, best
+first, and stops at the first whose bound is beyond its k-th score.
 
 All rows are indexed; only the choice of routing objects uses the sample. Scores are exact integers.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import numpy as np
@@ -36,6 +36,8 @@ CHUNK, BLOCK = 1024, 4096
 WAVES = ((0, 1), (1, 8), (8, None))
 #: Added to distances on the unit sphere before anything is left out, far above rounding.
 SLACK = 1e-6
+#: No score yet.
+NONE = -(1 << 63)
 
 
 def lifted(x: np.ndarray, top: float) -> np.ndarray:
@@ -90,65 +92,84 @@ def unit_nodes(x: np.ndarray, top: float):
     return heart, float(to_heart.max()), nodes
 
 
+def reach_of(least: np.ndarray, norm2: np.ndarray, top: float) -> np.ndarray:
+    """Distance at which a score is met; without a score, or for a zero query, beyond everything."""
+    unit = np.sqrt(norm2 * top)
+    d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * least / np.where(unit > 0, unit, 1.0))) + SLACK
+    return np.where((least == NONE) | (unit == 0), np.inf, d)
+
+
 class Unit:
     """A unit opened in a task: routing points and entries of its nodes."""
 
     def __init__(self, t: pa.Table, top: float):
-        node = t.column("node").to_numpy()
-        order = np.argsort(node, kind="stable")
-        t = t.take(pa.array(order))
+        t = t.take(pa.array(np.argsort(t.column("node").to_numpy(), kind="stable")))
         points = lifted(unpack(t.column("routing")), top)
-        self.heart, self.points = points[0], points[1:]
+        self.heart, self.points = points[:1], points[1:]
         self.radius, self.parent = t.column("radius").to_numpy()[1:], t.column("parent").to_numpy()[1:]
-        entries = [t.column(c).to_pylist()[1:] for c in ("ids", "keys", "dists", "vecs")]
-        self.ids, self.keys = ([np.array(x, object) if c else np.array(x, np.int64) for x in entries[c]] for c in (0, 1))
-        self.dists = [np.array(x) for x in entries[2]]
+        ids, self.keys, dists, vecs = (t.column(c).to_pylist()[1:] for c in ("ids", "keys", "dists", "vecs"))
+        self.keys = [x for part in self.keys for x in part]
+        self.ids = np.array([x for part in ids for x in part], np.int64)
+        self.edges = np.concatenate([[0], np.cumsum([len(part) for part in ids])])
+        self.dists = np.array([x for part in dists for x in part])
         kind = np.float64 if top < 1 << 53 else np.int64  # either is exact
-        width = points.shape[1] - 1
-        self.vecs = [np.frombuffer(v, "<i4").reshape(-1, width).astype(kind) for v in entries[3]]
+        self.vecs = np.frombuffer(b"".join(vecs), "<i4").reshape(len(self.ids), -1).astype(kind)
+        order = sorted(range(len(self.ids)), key=lambda i: (self.keys[i] is None, self.keys[i] if self.keys[i] is not None else 0, self.ids[i]))
+        self.turn = np.empty(len(order), np.int64)  # places among ties: smaller keys first, null keys last, then by row
+        self.turn[order] = np.arange(len(order))
         self.top = top
         self.computed = 0
 
-    def search(self, row: int, q: np.ndarray, k: int, least: int | None) -> list[tuple]:
-        """The unit's rows that can be among the k best: (score, key, row), given that scores below ``least`` can't."""
-        point = as_query(q[None])[0]
-        length = math.sqrt(float((q.astype(np.float64) ** 2).sum()))
-        unit = length * math.sqrt(self.top)
-
-        def reach(score) -> float:
-            return math.inf if score is None or not length else math.sqrt(max(0.0, 2.0 - 2.0 * score / unit)) + SLACK
-
-        limit, best, q = reach(least), [], q.astype(self.vecs[0].dtype)
-        to_heart = math.sqrt(max(0.0, 2.0 - 2.0 * float(point @ self.heart)))
-        self.computed += 1
-        first = np.abs(to_heart - self.parent) - self.radius if length else np.full(len(self.parent), -1.0)
-        heap = [(b, n, None) for n, b in enumerate(first.tolist()) if b <= limit]
-        heapq.heapify(heap)
-        while heap:
-            bound, n, d = heapq.heappop(heap)
-            if bound > limit:
+    def search(self, rows: np.ndarray, q: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, score, entry) of the unit's entries that can be among each query's k best, given that scores below
+        ``least`` can't. Each query takes its nodes best first: the first one, the next two, the next four, ...; the
+        queries that take the same node do so together.
+        """
+        norm2 = (q.astype(np.float64) ** 2).sum(1)
+        point, free = as_query(q), norm2 == 0
+        q, kth, limit = q.astype(self.vecs.dtype), least.copy(), reach_of(least, norm2, self.top)
+        bound = np.abs(apart(point, self.heart) - self.parent) - self.radius  # from stored distances alone
+        shut = (bound > limit[:, None]) & ~free[:, None]
+        near = np.flatnonzero(~shut.all(0))
+        own = np.full(bound.shape, np.inf)
+        own[:, near] = apart(point, self.points[near])
+        self.computed += len(q) * (1 + len(near))
+        bound = np.where(shut, np.inf, np.maximum(bound, own - self.radius))
+        bound[free] = -1.0
+        order = np.argsort(bound, axis=1, kind="stable")
+        best = [np.zeros(0, np.int64)] * 3
+        at, step = 0, 1
+        while at < order.shape[1]:
+            nodes = order[:, at : at + step]
+            who, where = np.nonzero(np.take_along_axis(bound, nodes, 1) <= limit[:, None])
+            if not len(who):
                 break
-            if d is None:
-                d = math.sqrt(max(0.0, 2.0 - 2.0 * float(point @ self.points[n])))
-                self.computed += 1
-                bound = max(bound, d - self.radius[n]) if length else -1.0
-                if bound <= limit:
-                    heapq.heappush(heap, (bound, n, d))
-                continue
-            may = np.flatnonzero((np.abs(d - self.dists[n]) <= limit) & (self.ids[n] != row)) if length else np.flatnonzero(self.ids[n] != row)
-            self.computed += len(may)
-            scores = self.vecs[n][may] @ q
-            got = [(int(s), self.keys[n][i], int(self.ids[n][i])) for i, s in zip(may, scores)]
-            best = sorted(best + got, key=rank_key)[:k]
-            if len(best) == k:
-                low = best[-1][0] if least is None else max(least, best[-1][0])
-                limit = reach(low)
-        return [b for b in best if least is None or b[0] >= least]
-
-
-def rank_key(x: tuple) -> tuple:
-    """High scores first, ties to the smaller key, null keys last, then by row."""
-    return (-x[0], x[1] is None, x[1] if x[1] is not None else 0, x[2])
+            node = nodes[who, where]
+            by = np.argsort(node, kind="stable")
+            who, node = who[by], node[by]
+            starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+            found = [best]
+            for lo, hi in zip(starts, [*starts[1:], len(node)]):
+                n, qs = node[lo], who[lo:hi]
+                span = np.arange(self.edges[n], self.edges[n + 1])
+                may = (np.abs(own[qs, n][:, None] - self.dists[span]) <= limit[qs][:, None]) | free[qs][:, None]
+                some = may.any(0)
+                span, may = span[some], may[:, some]
+                self.computed += len(qs) * len(span)
+                scores = (q[qs] @ self.vecs[span].T).astype(np.int64)
+                a, c = np.nonzero(may & (scores >= kth[qs][:, None]) & (self.ids[span] != rows[qs][:, None]))
+                found.append([qs[a], scores[a, c], span[c]])
+            owner, score, entry = (np.concatenate(x) for x in zip(*found))
+            by = np.lexsort([self.turn[entry], -score, owner])
+            owner, score, entry = owner[by], score[by], entry[by]
+            first = np.searchsorted(owner, owner)
+            kept = np.arange(len(owner)) - first < k
+            best = [owner[kept], score[kept], entry[kept]]
+            full = np.flatnonzero(np.arange(len(owner)) - first == k - 1)
+            kth[owner[full]] = np.maximum(kth[owner[full]], score[full])
+            limit = reach_of(kth, norm2, self.top)
+            at, step = at + step, step * 2
+        return tuple(best)
 
 
 def scaled(rows: DataFrame, key: str, vector: str, asks: Column, scale: float) -> DataFrame:
@@ -232,14 +253,6 @@ def _pole(dim: int) -> np.ndarray:
     return np.eye(1, dim + 1, dim)
 
 
-def reach_of(least: np.ndarray, norm2: np.ndarray, top: float) -> np.ndarray:
-    """Distance at which a score is met; without a score, or for a zero query, beyond everything."""
-    unit = np.sqrt(norm2 * top)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * least / unit)) + SLACK
-    return np.where(np.isnan(least) | (unit == 0), np.inf, d)
-
-
 def _bounds(points: dict[int, np.ndarray], top: float, most: int | None):
     """Cogroup step: a block of queries (left) against a block of units (right): pairs that bounds don't rule out."""
 
@@ -250,7 +263,7 @@ def _bounds(points: dict[int, np.ndarray], top: float, most: int | None):
             for dim in np.intersect1d(qd, ud).tolist():
                 qs, us = left.filter(pa.array(qd == dim)), right.filter(pa.array(ud == dim))
                 q, norm2 = as_query(unpack(qs.column("vec"))), qs.column("norm2").to_numpy()
-                limit = reach_of(qs.column("least").to_pandas().to_numpy(np.float64, na_value=np.nan), norm2, top)
+                limit = reach_of(qs.column("least").to_numpy(), norm2, top)
                 to_cell = apart(q, points.get(dim, _pole(dim)))[:, us.column("cell").to_numpy()]
                 near, far = np.array(us.column("dists").to_pylist()).T
                 radius, parent = us.column("radius").to_numpy(), us.column("parent").to_numpy()
@@ -296,24 +309,23 @@ def top_k(rows: DataFrame, asks: Column, k: int, key: str = "vec_id", vector: st
         return df.withColumn(own, F.pmod(F.xxhash64(ident), F.lit(n_own)).cast("int")).withColumn(other, every)
 
     def visit(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        rows, score, keys, hit = [], [], [], []
         if left.num_rows and right.num_rows:
-            unit = Unit(right, top)
-            for row, v, least in zip(left.column("row").to_pylist(), left.column("vec").to_pylist(), left.column("least").to_pylist()):
-                out += [(row, *hit) for hit in unit.search(row, np.frombuffer(v, "<i4"), k, least)]
-        cols = list(zip(*out)) or [(), (), (), ()]
+            unit, asking = Unit(right, top), left.column("row").to_numpy()
+            owner, score, entry = unit.search(asking, unpack(left.column("vec")), k, left.column("least").to_numpy())
+            rows, keys, hit = asking[owner], [unit.keys[i] for i in entry.tolist()], unit.ids[entry]
         key_t = right.schema.field("keys").type.value_type
-        return pa.table({"row": pa.array(cols[0], pa.int64()), "score": pa.array(cols[1], pa.int64()), "key": pa.array(cols[2], key_t), "hit": pa.array(cols[3], pa.int64())})
+        return pa.table({"row": pa.array(rows, pa.int64()), "score": pa.array(score, pa.int64()), "key": pa.array(keys, key_t), "hit": pa.array(hit, pa.int64())})
 
     best = seen = None
     units = spread(directory, "unit", "ub", u_blocks, "qb", q_blocks)
     first = Window.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("key"), "hit")
     for lo, hi in WAVES:
         if best is None:
-            asking = asked.withColumn("least", F.lit(None).cast("long"))
+            asking = asked.withColumn("least", F.lit(NONE))
         else:
             worst = best.filter(f"rank = {k}").select("row", F.col("score").alias("least"))
-            asking = stored(asked.join(worst, "row", "left"), "asking")
+            asking = stored(asked.join(worst, "row", "left").withColumn("least", F.coalesce("least", F.lit(NONE))), "asking")
         blocks = spread(asking, "row", "qb", q_blocks, "ub", u_blocks)
         pairs = blocks.groupBy("qb", "ub").cogroup(units.groupBy("qb", "ub")).applyInArrow(_bounds(points, top, hi), "row long, unit long, bound double")
         if seen is not None:
