@@ -1,5 +1,6 @@
 """The pipeline's stages on odd rows, each against a plain restatement on its own input, and on an empty table."""
 
+import random
 import re
 from collections import Counter
 from itertools import combinations
@@ -27,7 +28,8 @@ def test_stages(spark, docs, tmp_path):
         have, want = Counter(rows), Counter(before)
         if name == "language ID":
             model = langid.fit(docs)
-            rejected = [r for r in before if (p := langid.Scorer(model).predict([r.text])[0])[0] == "und" or p[1] < corpus_pipeline.LEAST_SCORE]
+            least, scorer = langid.usual_fit(docs, model), langid.Scorer(model)
+            rejected = [r for r in before if (p := scorer.judged([r.text])[0])[0] == "und" or p[2] < least]
             assert have == want - Counter(rejected) and all(not re.search(r"[^\W\d_]", r.text or "") or r.doc_id == 305 for r in rejected)
         elif name == "exact dedup":
             key = lambda r: re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")
@@ -47,6 +49,16 @@ def test_stages(spark, docs, tmp_path):
         before = rows
 
 
+def test_language_stage_rejects_letter_junk(spark):
+    """Random letters and a language without labels go; every clean document of the smallest table stays."""
+    rng = random.Random(5)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    junk = ["xq zvw kkj qqp wxz", "Ovo je hrvatski tekst koji nitko nije naučio", *("".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(300)) for _ in range(8))]
+    more = spark.createDataFrame([(-1 - i, t, None, "s", len(t)) for i, t in enumerate(junk)], docs.schema)
+    left = {r.doc_id for r in corpus_pipeline.languages(spark, docs.unionByName(more), "").select("doc_id").collect()}
+    assert not any(i < 0 for i in left) and len(left) >= 0.998 * docs.count()
+
+
 def test_empty_table(spark, no_docs, tmp_path):
     at = no_docs
     for _, stage in corpus_pipeline.STAGES:
@@ -59,4 +71,4 @@ def test_run_is_registered(spark):
 
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     numbers = {int(m[1]) for name in entry.queries() if (m := re.match(r"op(\d+)_", name))}
-    assert numbers == set(range(1, 11)) and 4 <= len(corpus_pipeline.STAGES) <= 5
+    assert numbers == set(range(1, 14)) and 4 <= len(corpus_pipeline.STAGES) <= 5

@@ -189,6 +189,31 @@ def test_mixing(docs, no_docs):
     assert mixing.mix_to_targets(mixing.sized(no_docs), "members").count() == 0
 
 
+def test_mixing_keeps_columns_of_any_name(docs):
+    """Columns named like those that the plan uses inside pass through; those named like outputs are replaced."""
+    plain = mixing.sized(docs.select("doc_id", "text", "source"))
+    want = sorted((r["doc_id"] or -1, r["size"], r["taken"]) for r in mixing.mix_to_targets(plain, "members", bucket_rows=8).collect())
+    names = ["rest", "times", "width", "before", "_h", "_p", "_pattern", "_more", "_inside", "edge_bucket", "key"]
+    clash = plain.withColumns({n: F.lit(f"own {n}") for n in names} | {"taken": F.lit("x"), "target_sum": F.lit("x")})
+    got = mixing.mix_to_targets(clash, "members", bucket_rows=8)
+    assert sorted((r["doc_id"] or -1, r["size"], r["taken"]) for r in got.collect()) == want
+    assert all(r[n] == f"own {n}" for r in got.collect() for n in names)
+
+
+def test_repeated_rows_follow_the_mix(docs, no_docs):
+    """Texts as often as the mix takes them, with all their columns; the thin mix and the texts agree row by row."""
+    from collections import Counter
+
+    got = mixing.repeat_to_targets(docs, bucket_rows=8)
+    assert got.columns == docs.columns
+    mixed = mixing.mix_to_targets(mixing.sized(docs.drop("size", "taken")), "members", bucket_rows=8)
+    want = Counter()
+    for r in mixed.filter("size > 0").collect():
+        want[(r["doc_id"], r["text"])] += r["taken"] // r["size"]
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == +want
+    assert mixing.repeat_to_targets(no_docs).count() == 0
+
+
 def test_mixing_of_overlapping_sources(spark):
     rows = [(i, 10, m) for i, m in enumerate([["a"]] * 30 + [["a", "b"]] * 30 + [["b"]] * 5 + [["c", None]] * 5 + [[]] * 3)]
     got = mixing.mix_to_targets(spark.createDataFrame(rows, "doc_id long, size long, members array<string>"), "members").collect()

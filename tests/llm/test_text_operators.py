@@ -82,6 +82,48 @@ def test_language_scores_match_a_plain_sum(docs):
                 assert lang == model.langs[int(np.argmax(total))] and score == pytest.approx(1 / sum(math.exp(t - max(total)) for t in total), abs=1e-4)
 
 
+def test_language_model_and_backoff_restated(docs):
+    """Counts, cuts, log frequencies and the backoff written out plainly, with nothing taken from the operator."""
+    import re
+    from collections import Counter
+
+    labelled = [(r.text, r.lang) for r in docs.collect() if r.text is not None and r.lang is not None]
+    langs = sorted({la for _, la in labelled})
+    split = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    tables = []
+    for items in (lambda w: [w], lambda w: [f"<{w}>"[i:j] for i in range(len(w) + 2) for j in range(i + 1, min(i + 5, len(w) + 2) + 1)]):
+        by = {la: Counter(x for t, l2 in labelled if l2 == la for w in split(t) for x in items(w)) for la in langs}
+        known = [x for x, n in sum(by.values(), Counter()).items() if n > 1]
+        tables.append({x: [math.log((by[la][x] + 0.1) / (sum(by[la].values()) + 0.1 * (len(known) + 1))) for la in langs] for x in known})
+    words, grams = tables
+
+    def word(w):
+        if w in words:
+            return words[w]
+        marked, rows, lost = f"<{w}>", [], 0
+        for i in range(len(marked) - 1):
+            for n in range(min(5, len(marked) - i), 0, -1):
+                if marked[i : i + n] in grams:
+                    rows.append(grams[marked[i : i + n]])
+                    lost += 5 - n
+                    break
+        return [(sum(r[k] for r in rows) - 0.4 * lost) / max(1, len(rows)) for k in range(len(langs))]
+
+    scorer = langid.Scorer(langid.fit(docs))
+    texts = [r.text for r in docs.collect() if len(r.text or "") < 5_000] + ["qwertz housing lumièrement Gärtner", "xq zvw", "licht river"]
+    for text, (lang, score, fit) in zip(texts, scorer.judged(texts)):
+        ws = split(text)
+        if not ws:
+            assert (lang, score, fit) == ("und", 0.0, None)
+            continue
+        total = [sum(x) for x in zip(*map(word, ws))]
+        best = max(total)
+        assert lang == langs[total.index(best)] or sorted(total)[-2] == pytest.approx(best, abs=1e-3)
+        assert score == pytest.approx(1 / sum(math.exp(t - best) for t in total), abs=1e-3)
+        blank = sum(not any(word(w)) for w in ws)
+        assert fit == pytest.approx((best - 15 * blank) / len(ws) + 2 / math.sqrt(len(ws)), abs=1e-3)
+
+
 def test_pieces_equal_the_merging_library(spark, docs):
     import sentencepiece
 

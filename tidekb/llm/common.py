@@ -73,3 +73,16 @@ def crc_mod(key: str | Column, n: int) -> Column:
     """crc32 of the key as text, modulo n; a null key counts as empty text."""
     col = F.col(key) if isinstance(key, str) else key
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+_KEPT: list = [None, None]
+
+
+def kept(token: str | None, build: Callable = lambda: None):
+    """What ``build`` makes, kept by this Python worker for later tasks of the same token. A worker keeps one thing at a
+    time: the next token's tables replace it, and a token of None only lets it go, so stages don't add up in memory.
+    """
+    if _KEPT[0] != token:
+        _KEPT[:] = [None, None]
+        _KEPT[:] = [token, build()]
+    return _KEPT[1]

@@ -16,13 +16,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidekb.llm.common import crc_mod, query, stored, table
+from tidekb.llm.common import crc_mod, kept, query, stored, table
 from tidekb.session import ship_package
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 #: What a place of an unknown word loses for each step down to a shorter n-gram, in natural logarithms.
 STEP = 0.4
+#: Allowance in the fit of a text of one word; it falls with the root of the number of words.
+SHORT = 2.0
+#: What a word counts in the fit if even its single characters are unknown.
+BLANK = -15.0
+#: By how much a text may be explained worse than nearly all of the labelled sample.
+MARGIN = 0.25
+NEW = ["lang_pred", "lang_score", "lang_fit"]
 
 
 def words(text: str | None) -> list[str]:
@@ -143,7 +150,7 @@ class Backoff:
 class Scorer(dict):
     """word -> row of ``table``; unseen words get a row when first met. Both are bounded: when full, unseen words are forgotten."""
 
-    def __init__(self, model: Backoff, room: int = 300_000):
+    def __init__(self, model: Backoff, room: int = 120_000):
         self.model, self.base = model, len(model.word_at)
         self.table = np.zeros((self.base + room, len(model.langs)), np.float32)
         self.table[: self.base] = model.word_log
@@ -170,16 +177,28 @@ class Scorer(dict):
         return self.table[at]
 
     def predict(self, texts: list[str | None], at_once: int = 50_000) -> list[tuple[str, float]]:
-        """(language, share of the likelihood) of each text; long texts are summed part by part."""
+        """(language, share of the likelihood) of each text."""
+        return [x[:2] for x in self.judged(texts, at_once)]
+
+    def judged(self, texts: list[str | None], at_once: int = 50_000) -> list[tuple[str, float, float | None]]:
+        """(language, share of the likelihood, fit) of each text; long texts are summed part by part."""
         langs = self.model.langs
         split = [words(t) if langs else [] for t in texts]
-        total = np.zeros((len(texts), len(langs)))
+        total, blank = np.zeros((len(texts), len(langs))), np.zeros(len(texts))
         for owner, part in _parts(split, at_once):
             got = self.rows(part)
+            blank += np.bincount(owner, weights=~got.any(1), minlength=len(texts))
             for k in range(len(langs)):
                 total[:, k] += np.bincount(owner, weights=got[:, k], minlength=len(texts))
         best = total.argmax(1) if langs else []
-        return [(langs[best[i]], float(1 / np.exp(total[i] - total[i][best[i]]).sum())) if ws else ("und", 0.0) for i, ws in enumerate(split)]
+        out: list[tuple[str, float, float | None]] = []
+        for i, ws in enumerate(split):
+            if not ws:
+                out.append(("und", 0.0, None))
+                continue
+            top = total[i][best[i]]
+            out.append((langs[best[i]], float(1 / np.exp(total[i] - top).sum()), float((top + BLANK * blank[i]) / len(ws) + SHORT / math.sqrt(len(ws)))))
+        return out
 
 
 def _parts(split: list[list[str]], at_once: int):
@@ -198,9 +217,6 @@ def _parts(split: list[list[str]], at_once: int):
         yield np.concatenate(owner), held
 
 
-_LOADED: dict = {}
-
-
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", train: Column | None = None, max_docs: int = 8_000, max_words: int = 150_000, max_grams: int = 150_000) -> Backoff:
     """Fit on the labelled rows that ``train`` selects.
 
@@ -225,33 +241,45 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
 
 
 def identify(docs: DataFrame, model: Backoff, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` (all columns) with ``lang_pred`` and ``lang_score``, the share of the winner's likelihood among the languages.
+    """``docs`` (all columns) with ``lang_pred``; ``lang_score``, the share of the winner's likelihood among the languages;
+    and ``lang_fit``, how well the winner explains the text: the mean log likelihood of its words, plus 2 / sqrt(words) as
+    allowance for short texts (compare it with ``usual_fit``).
 
-    Null texts and texts without a letter are ``und`` with score 0, as are all under a model without languages. Equal likelihoods go to the first
-    language by code point. Columns named like the two new ones are replaced.
+    Null texts and texts without a letter are ``und`` with score 0 and no fit, as are all under a model without languages.
+    Very long texts are summed part by part. Equal likelihoods go to the first language by code point. Columns named
+    like the new ones are replaced.
     """
     spark = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)  # at most max_words + max_grams rows
-    docs = docs.drop("lang_pred", "lang_score")
+    docs = docs.drop(*NEW)
     place = docs.columns.index(text)
     from pyspark.sql.types import DoubleType, StringType, StructType
 
-    schema = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("lang_score", DoubleType())
+    schema = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("lang_score", DoubleType()).add("lang_fit", DoubleType())
     token = f"{spark.sparkContext.applicationId}-{id(shared)}"
 
     def predict(batches):
-        if token not in _LOADED:
-            _LOADED.clear()
-            _LOADED[token] = Scorer(shared.value)
-        scorer = _LOADED[token]
+        scorer = kept(token, lambda: Scorer(shared.value))
         for b in batches:
-            got = [x for at in range(0, b.num_rows, 500) for x in scorer.predict(b.column(place).slice(at, 500).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*b.schema.names, "lang_pred", "lang_score"])
+            got = [x for at in range(0, b.num_rows, 500) for x in scorer.judged(b.column(place).slice(at, 500).to_pylist())]
+            new = [pa.array([g[0] for g in got], pa.string()), *(pa.array([g[k] for g in got], pa.float64()) for k in (1, 2))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *NEW])
 
     return docs.mapInArrow(predict, schema)
 
 
+def usual_fit(docs: DataFrame, model: Backoff, lang: str = "lang", text: str = "text", key: str = "doc_id", share: float = 0.0005, max_docs: int = 8_000) -> float:
+    """``MARGIN`` below the ``lang_fit`` that all but ``share`` of the labelled rows reach, on the sample that ``fit`` takes of them.
+
+    Texts below it are in none of the languages. Without labelled rows nothing is below it.
+    """
+    labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    judged = identify(_sample(labelled, lang, text, key, max_docs).select(key, text), model, key, text)
+    fit = judged.agg(F.percentile_approx("lang_fit", share, 100_000).alias("fit")).first()["fit"]
+    return -math.inf if fit is None else fit - MARGIN
+
+
 @query("op6_language_id")
 def op6_language_id(spark, sf):
     docs = table(spark, sf, "documents")

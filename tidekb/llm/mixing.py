@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import math
 from collections import deque
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidekb.llm.common import BLANKS, query, stored, table
+from tidekb.llm.common import BLANKS, located, numbered, query, stored, table
 
 HASH_BITS = 60
 
@@ -97,25 +98,42 @@ def cycling_weights(sources: list) -> dict:
     return {s: i % 3 + 1 for i, s in enumerate(sorted(sources, key=lambda s: (s is None, s or "")))}
 
 
-def mix_to_targets(
-    docs: DataFrame, members: str, size: str = "size", key: str = "doc_id", weights=cycling_weights, repeats: int = 3, seed: int = 7, max_patterns: int = 5_000, bucket_rows: int = 4_096
-) -> DataFrame:
-    """``docs`` with ``taken``, ``pattern_size`` and ``target_sum``: the words that the mix takes from each document, repeats counted.
+@dataclass
+class Plan:
+    """What to take of each pattern. ``rows``: one row per pattern, at most ``max_patterns``; ``edge``: the rows in the
+    buckets in which flows end, with all columns of the planned table and ``_more``: whether they are taken once more."""
 
-    members: array column of the sources a document belongs to (null is a source of its own name; an empty array serves
-    none, so nothing is taken). A document is taken a whole number of times, at most ``repeats``. All documents of a pattern are taken
-    equally often, but for a seeded choice that is taken once more to meet the pattern's flow to within half a document.
-    Documents with null or repeated keys are ordered by hash, key and size; equal rows are interchangeable.
-    ``max_patterns`` bounds what reaches the driver (one row a pattern) and is an error when passed, never a cut.
-    The tail choice: rows of a pattern are dealt by hash into buckets of about ``bucket_rows`` rows; only the bucket in
-    which the flow ends is ordered row by row.
-    """
-    spark = docs.sparkSession
+    rows: DataFrame
+    edge: DataFrame
+    key: str
+    members: Column
+    seed: int
+
+    def placed(self, docs: DataFrame) -> DataFrame:
+        """``docs`` with the plan of their pattern, ``_inside`` (the row is in ``edge``) and ``_more`` of the others."""
+        dealt = _dealt(docs, self.members, self.key, self.seed).join(F.broadcast(self.rows), F.col("_pattern").eqNullSafe(F.col("_p")))
+        bucket = F.expr("_h div width")
+        inside = (bucket == F.col("edge_bucket")) & (F.col("rest") > 0)
+        return dealt.withColumn("_inside", inside).withColumn("_more", (F.col("rest") > 0) & (bucket < F.col("edge_bucket")))
+
+
+def _dealt(docs: DataFrame, members: Column, key: str, seed: int) -> DataFrame:
     text_key = F.coalesce(F.col(key).cast("string"), F.lit(""))
     digest = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), text_key)), 1, HASH_BITS // 4), 16, 10).cast("long")
-    pattern = F.to_json(F.array_sort(F.array_distinct(F.col(members))), {"ignoreNullFields": "false"})
-    docs = docs.withColumn("_pattern", pattern).withColumn("_h", digest)
-    per_pattern = docs.groupBy("_pattern").agg(F.sum(size).alias("words"), F.count("*").alias("n"), F.first(members).alias("m")).limit(max_patterns + 1).collect()
+    return docs.withColumn("_pattern", F.to_json(F.array_sort(F.array_distinct(members)), {"ignoreNullFields": "false"})).withColumn("_h", digest)
+
+
+def plan_mix(docs: DataFrame, members: Column, size: str, key: str, weights=cycling_weights, repeats: int = 3, seed: int = 7,
+             max_patterns: int = 5_000, bucket_rows: int = 4_096) -> Plan:
+    """The plan for ``docs``, whose columns must not begin with ``_`` or be named like those of the plan (see ``numbered``).
+
+    Patterns are summed by Spark, flows found on the driver (one node per pattern and source); rows of a pattern are dealt
+    by hash into buckets of about ``bucket_rows`` rows, and only the bucket in which the flow ends is ordered row by row.
+    """
+    spark = docs.sparkSession
+    docs = docs.withColumn("_members", members)
+    dealt = _dealt(docs, F.col("_members"), key, seed)
+    per_pattern = dealt.groupBy("_pattern").agg(F.sum(size).alias("words"), F.count("*").alias("n"), F.first("_members").alias("m")).limit(max_patterns + 1).collect()
     if len(per_pattern) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
     rows = sorted(per_pattern, key=lambda r: r["_pattern"] or "")
@@ -128,29 +146,69 @@ def mix_to_targets(
     scale = total / max(1, sum(sizes.values()))  # overlapping sources count a document once each; shares are of all words
     targets = {s: t * scale if scale != 1 else t for s, t in water_fill(sizes, weights(names), repeats).items()} if names else {}
     place = {s: i for i, s in enumerate(names)}
-    flows = cheapest_flow([r["words"] for r in rows], [sorted({place[s] for s in r["m"] or ()}) for r in rows], [math.floor(targets[s] + 0.5) for s in names], repeats)
-    plan = [(r["_pattern"], r["words"], f // max(1, r["words"]), f % max(1, r["words"]), (1 << HASH_BITS) // math.ceil(r["n"] / bucket_rows) + 1, float(sum(targets[s] for s in set(r["m"] or ()))), int(sum(sizes[s] for s in set(r["m"] or ())))) for r, f in zip(rows, flows)]
-    schema = "_pattern string, pattern_size long, times long, rest long, width long, target_sum double, source_sum long"
-    plan_df = spark.createDataFrame(plan, schema)
-    same = F.col("_pattern").eqNullSafe(F.col("_p"))
-
-    def with_plan(df: DataFrame, p: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(p.withColumnRenamed("_pattern", "_p")), same).drop("_p")  # at most max_patterns rows
-
-    dealt = with_plan(docs, plan_df).withColumn("_bucket", F.expr("_h div width"))
-    buckets = dealt.filter("rest > 0").groupBy("_pattern", "_bucket").agg(F.sum(size).alias("words"), F.first("rest").alias("rest"))
-    running = F.sum("words").over(Window.partitionBy("_pattern").orderBy("_bucket"))
+    links = [sorted({place[s] for s in r["m"] or ()}) for r in rows]
+    flows = cheapest_flow([r["words"] for r in rows], links, [math.floor(targets[s] + 0.5) for s in names], repeats)
+    plan = []
+    for r, f in zip(rows, flows):
+        words, own = max(1, r["words"]), set(r["m"] or ())
+        width = (1 << HASH_BITS) // math.ceil(r["n"] / bucket_rows) + 1
+        plan.append((r["_pattern"], r["words"], f // words, f % words, width, float(sum(targets[s] for s in own)), int(sum(sizes[s] for s in own))))
+    schema = "_p string, pattern_size long, times long, rest long, width long, target_sum double, source_sum long"
+    first = spark.createDataFrame(plan, schema)
+    buckets = dealt.join(F.broadcast(first), F.col("_pattern").eqNullSafe(F.col("_p"))).filter("rest > 0")
+    buckets = buckets.groupBy("_p", F.expr("_h div width").alias("_bucket")).agg(F.sum(size).alias("words"), F.first("rest").alias("rest"))
+    running = F.sum("words").over(Window.partitionBy("_p").orderBy("_bucket"))
     edge = buckets.withColumn("upto", running).filter("upto >= rest and upto - words < rest and words > 0")
-    edges = edge.groupBy("_pattern").agg(F.min(F.struct("_bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("edge")).collect()  # one row a pattern
-    where = {r["_pattern"]: (r["edge"]["_bucket"], r["edge"]["before"]) for r in edges}
-    full_plan = spark.createDataFrame([(*p, *where.get(p[0], (-1, 0))) for p in plan], schema + ", edge_bucket long, before long")
-    dealt = with_plan(docs, full_plan).withColumn("_bucket", F.expr("_h div width"))
-    inside = (F.col("_bucket") == F.col("edge_bucket")) & (F.col("rest") > 0)
+    edges = edge.groupBy("_p").agg(F.min(F.struct("_bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("edge")).collect()  # one row a pattern
+    where = {r["_p"]: (r["edge"]["_bucket"], r["edge"]["before"]) for r in edges}
+    full = Plan(spark.createDataFrame([(*p, *where.get(p[0], (-1, 0))) for p in plan], schema + ", edge_bucket long, before long"), first, key, F.col("_members"), seed)
     order = Window.partitionBy("_pattern").orderBy("_h", F.col(key), F.col(size)).rowsBetween(Window.unboundedPreceding, 0)
-    chosen = dealt.filter(inside).withColumn("_more", F.col("before") + F.sum(size).over(order) - F.col(size) / 2.0 <= F.col("rest"))
-    others = dealt.filter(~inside).withColumn("_more", (F.col("rest") > 0) & (F.col("_bucket") < F.col("edge_bucket")))
-    taken = F.col(size) * (F.col("times") + F.col("_more").cast("long"))
-    return others.unionByName(chosen).withColumn("taken", taken).drop("_pattern", "_h", "times", "rest", "width", "edge_bucket", "before", "_bucket", "_more")
+    more = F.col("before") + F.sum(size).over(order) - F.col(size) / 2.0 <= F.col("rest")
+    inside = full.placed(docs).filter("_inside").withColumn("_more", more)
+    return Plan(full.rows, inside.drop("_inside", "_members"), key, members, seed)
+
+
+MIXED = ["taken", "pattern_size", "target_sum", "source_sum"]
+
+
+def mix_to_targets(docs: DataFrame, members: str, size: str = "size", key: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with ``taken``, ``pattern_size``, ``target_sum`` and ``source_sum``: the words that the mix takes from each
+    document, repeats counted, and the sums of its pattern's words, its sources' targets and its sources' words.
+
+    members: array column of the sources a document belongs to (null is a source of its own name; an empty array serves
+    none, so nothing is taken). A document is taken a whole number of times, at most ``repeats``. All documents of a
+    pattern are taken equally often, but for a seeded choice that is taken once more to meet the pattern's flow to within
+    half a document. Documents with null or repeated keys are ordered by hash, key and size; equal rows are
+    interchangeable. An empty table gives no rows. ``max_patterns`` bounds what reaches the driver (one row a pattern) and
+    is an error when passed, never a cut. Columns named like the new ones are replaced, others pass through whatever their
+    names. options: those of ``plan_mix``.
+    """
+    docs = docs.drop(*MIXED)
+    plain, names = numbered(docs)
+    plan = plan_mix(plain, F.col(names[members]), names[size], names[key], **options)
+    taken = (F.col(names[size]) * (F.col("times") + F.col("_more").cast("long"))).alias("taken")
+    out = [*names.values(), taken, *MIXED[1:]]
+    both = plan.placed(plain).filter(~F.col("_inside")).select(*out).unionByName(plan.edge.select(*out))
+    return both.toDF(*docs.columns, *MIXED)
+
+
+def repeat_to_targets(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it: rows without words and those not chosen go; all columns stay.
+
+    Words are counted once, on thin rows that carry their place in the Parquet files; texts are read again only to be
+    written out, with the plan (a row a pattern) and the choice in the edge buckets (at most ``bucket_rows`` or so rows a
+    pattern) joined to them, and are never sorted or shuffled.
+    """
+    plain, names = numbered(docs)
+    at = located(plain)
+    thin = stored(at.select("at_file", "at_row", F.col(names[key]).alias("key"), F.col(names[source]).alias("source"), word_count(names[text]).alias("size")), "sizes")
+    plan = plan_mix(thin, F.array("source"), "size", "key", **options)
+    edge = plan.edge.select("at_file", "at_row", F.col("_more").alias("chosen"))
+    own = Plan(plan.rows, plan.edge, names[key], F.array(names[source]), plan.seed)
+    times = F.col("times") + F.coalesce(F.col("chosen"), F.col("_more")).cast("long")
+    times = F.when(F.col(names[text]).rlike(f"[^{BLANKS}]"), times).otherwise(0).cast("int")
+    placed = own.placed(at).join(edge, ["at_file", "at_row"], "left").withColumn("_times", times).filter("_times > 0")
+    return placed.withColumn("_time", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*names.values()).toDF(*docs.columns)
 
 
 def sized(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidekb.llm.common import query, table
+from tidekb.llm.common import kept, query, table
 from tidekb.session import ship_package
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -62,7 +62,7 @@ class Normaliser:
 class PieceTransducer:
     """The machines of one model; ``encode`` and ``decode`` are exact inverses on texts that normalise to themselves."""
 
-    def __init__(self, model: bytes, memory: int = 700_000):
+    def __init__(self, model: bytes, memory: int = 250_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -207,15 +207,14 @@ class PieceTransducer:
         return self.normaliser.backward(b"".join(map(out.__getitem__, ids)).decode("utf-8", "replace"))
 
 
-_LOADED: dict[str, PieceTransducer] = {}
-
-
 def _transducer(name: str) -> PieceTransducer:
     """One per Python worker, kept between tasks."""
-    if name not in _LOADED:
+
+    def load() -> PieceTransducer:
         with open(SparkFiles.get(name), "rb") as f:
-            _LOADED[name] = PieceTransducer(f.read())
-    return _LOADED[name]
+            return PieceTransducer(f.read())
+
+    return kept(f"pieces {name}", load)
 
 
 def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:
