@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidekb.functions.layout import join_spread
 from tidekb.functions.vectors import text_vectors
 from tidekb.operators import dedup as D
+from tidekb.operators import neighbours as N
 
 
 def texts(seed, n=60):
@@ -57,6 +59,65 @@ def test_summary_is_independent_of_blocks_and_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def plain_pairs(rows, threshold):
+    """Brute force over vectors (collection, seq, vector)."""
+    out = {}
+    for c, i, v in rows:
+        hits = [(j, v @ w) for c2, j, w in rows if c2 == c and j != i and v @ w >= threshold]
+        if hits:
+            earlier = [j for j, _ in hits if j < i]
+            out[i] = (len(hits), len(earlier), min(earlier, default=None), round(max(s for _, s in hits), 9))
+    return out
+
+
+def clusters(seed, n, hot):
+    """Unit vectors around many directions; ``hot`` of the rows are near copies of one, all in one collection."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    centres = np.abs(rng.standard_normal((8, 64))) * (rng.random((8, 64)) < 0.15)
+    for i in range(n):
+        k = 0 if i < hot * n else rng.integers(8)
+        v = centres[k] + 0.08 * np.abs(rng.standard_normal(64)) * (rng.random(64) < 0.3)
+        rows.append(("a" if k == 0 or i % 8 else "b", int(i * 37 % 10_007), v / np.linalg.norm(v)))
+    return rows
+
+
+def vector_table(spark, rows):
+    data = [(c, i, np.flatnonzero(v).tolist(), v[np.flatnonzero(v)].tolist()) for c, i, v in rows]
+    return spark.createDataFrame(data, "collection string, seq long, buckets array<int>, weights array<double>").repartition(5)
+
+
+@pytest.mark.parametrize("seed,hot", [(1, 0.0), (2, 0.9)])
+def test_cosine_join_equals_brute_force_and_skips_blocks(spark, seed, hot):
+    rows = clusters(seed, 1200, hot)
+    blocks = N.vector_blocks(vector_table(spark, rows), 0.88, 64, 32)
+    got = {r["seq"]: (r["n_similar"], r["n_earlier"], r["first_earlier"], round(r["best"], 9)) for r in N.neighbour_summary(blocks).collect()}
+    assert got == plain_pairs(rows, 0.88)
+    kept, all_pairs = blocks.compared()
+    assert kept < all_pairs * (0.5 if not hot else 1.0)
+    leaders = {r["seq"]: r["leader"] for r in N.greedy_leaders(blocks).collect()}
+    want: dict = {}
+    for c, i, v in sorted(rows, key=lambda r: r[1]):
+        want[i] = next((j for c2, j, w in sorted(rows, key=lambda r: r[1]) if c2 == c and j < i and want.get(j) == j and v @ w >= 0.88), i)
+    assert leaders == want
+
+
+def test_null_collection_is_one_of_its_own(spark):
+    rows = [(1, None, "w1 w2 w3 w4"), (2, None, "w1 w2 w3 w4"), (3, "a", "w1 w2 w3 w4"), (4, None, "w1 w2 w3 w4 w4"), (5, "", "w1 w2 w3 w4"), (6, "a", None)]
+    df = spark.createDataFrame(rows, "seq long, source_collection string, text string")
+    assert {(r["seq"], r["collection"], r["leader"]) for r in D.greedy_groups(df).collect()} == {(1, None, 1), (2, None, 1), (3, "a", 3), (4, None, 1), (5, "", 5), (6, "a", 6)}
+    assert {(r["seq"], r["collection"], r["n_similar"]) for r in D.similar_rows(df).collect()} == {(1, None, 1), (4, None, 1)}
+    assert D.greedy_groups(df.filter("seq > 9")).collect() == []
+
+
+def test_join_spread_with_a_hot_key(spark):
+    left = spark.range(3000).select("id", F.when(F.col("id") < 2700, 1).otherwise(F.col("id")).alias("k"))
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("m"))
+    for most in (1, 5, 10_000):
+        got = {(r["id"], r["k"], r["m"]) for r in join_spread(left, right, ["k"], "n", most=most).collect()}
+        assert got == {(i, 1 if i < 2700 else i, 2699 if i < 2700 else i) for i in range(3000)}
+
+
 def test_synonyms_weigh_a_half(spark):
     df = spark.createDataFrame([(1, "ctr up")], "seq long, text string")
     syn = spark.createDataFrame([("CTR", ["click rate"])], "term string, synonyms array<string>")

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidekb.functions.layout import join_spread
 from tidekb.functions.ranking import top_per_group
-from tidekb.functions.vectors import DIM, list_columns_to_matrix, text_vectors
-from tidekb.session import cut_lineage
+from tidekb.functions.vectors import DIM, text_vectors
+from tidekb.operators.neighbours import greedy_leaders, neighbour_summary, vector_blocks
+from tidekb.session import cut_lineage, written
 
 THRESHOLD = 0.88
 BLOCK_ROWS = 1024
@@ -21,114 +21,52 @@ def collapse_copies(df: DataFrame, seq: str, collection: str, text: str) -> Data
     """``(collection, seq, rep)``: the smallest row number among exact copies inside the collection.
 
     ``min`` combines map-side, so a text copied a billion times costs one buffer entry per task. The copies find
-    their representative through the digest; blank texts represent themselves.
+    their representative through the digest, a frequent one without a shuffle; blank texts represent themselves.
     """
     blank = F.trim(F.col(text)) == ""
-    digest = F.when(blank, F.concat(F.lit("blank-"), F.col(seq).cast("string"))).otherwise(F.sha2(F.col(text), 256))
+    digest = F.when(blank, F.concat(F.lit("blank-"), F.col(seq).cast("string"))).otherwise(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
     keyed = df.select(F.col(collection).alias("collection"), F.col(seq).alias("seq"), digest.alias("digest"))
-    reps = keyed.groupBy("collection", "digest").agg(F.min("seq").alias("rep"))
-    return keyed.join(reps, ["collection", "digest"]).select("collection", "seq", "rep")
+    keyed = written(keyed, "digests")
+    reps = written(keyed.groupBy("collection", "digest").agg(F.min("seq").alias("rep"), F.count("*").alias("n")), "reps")
+    return join_spread(keyed, reps, ["collection", "digest"], "n").select("collection", "seq", "rep")
 
 
-def _blocked(vec: DataFrame, block_rows: int) -> DataFrame:
-    """Copy every row to the pair tasks of its block: task (lo, hi) sees the two blocks it compares and nothing else."""
-    sizes = vec.groupBy("collection").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("nb"))
-    b = vec.join(sizes, "collection").withColumn("block", F.pmod(F.xxhash64("seq"), F.col("nb")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    return b.withColumn("_o", other).withColumn("lo", F.least("block", "_o")).withColumn("hi", F.greatest("block", "_o")).drop("_o", "nb")
+# a null collection is one of its own: inside, names begin with = and null is the empty name
+def _named(collection: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(collection)), F.lit(""))
 
 
-def neighbour_summary(vec: DataFrame, threshold: float = THRESHOLD, dim: int = DIM, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Per row of ``(collection, seq, buckets, weights[, is_leader])``: its similar rows in the collection, summarised.
-
-    Output ``(collection, seq, n_similar, n_earlier, first_earlier, best)`` holds only rows that have a partner.
-    Each task multiplies two bounded blocks and emits at most one line per row, so a cluster of near copies that
-    holds a third of the table yields a third of the table, not its square. Pairs of two leaders are skipped.
-    """
-    if "is_leader" not in vec.columns:
-        vec = vec.withColumn("is_leader", F.lit(False))
-
-    def compare(key, table):
-        collection, lo, hi = key[0].as_py(), key[1].as_py(), key[2].as_py()
-        block = table["block"].to_numpy()
-        sides = [table] if lo == hi else [table.filter(pa.array(block == x)) for x in (lo, hi)]
-        out = {c: [] for c in ("seq", "n_similar", "n_earlier", "first_earlier", "best")}
-        if all(t.num_rows for t in sides):
-            m = [list_columns_to_matrix(t["buckets"], t["weights"], dim) for t in sides]
-            seqs = [t["seq"].to_numpy() for t in sides]
-            lead = [t["is_leader"].to_numpy(zero_copy_only=False) for t in sides]
-            sim = m[0] @ m[-1].T
-            hit = (sim >= threshold) & (seqs[0][:, None] != seqs[-1][None, :]) & ~(lead[0][:, None] & lead[-1][None, :])
-            views = [(seqs[0], seqs[-1], hit, sim)] + ([(seqs[1], seqs[0], hit.T, sim.T)] if lo != hi else [])
-            for s1, s2, h, sm in views:
-                rows = np.flatnonzero(h.any(axis=1))
-                h, sm = h[rows], sm[rows]
-                earlier = h & (s2[None, :] < s1[rows][:, None])
-                out["seq"].append(s1[rows])
-                out["n_similar"].append(h.sum(axis=1))
-                out["n_earlier"].append(earlier.sum(axis=1))
-                out["first_earlier"].append(np.where(earlier, s2[None, :], np.iinfo(np.int64).max).min(axis=1))
-                out["best"].append(np.where(h, sm, -1.0).max(axis=1))
-        flat = {c: np.concatenate(v) if v else np.zeros(0, dtype=np.float64 if c == "best" else np.int64) for c, v in out.items()}
-        return pa.table({"collection": pa.array([collection] * len(flat["seq"]), pa.string()), **flat})
-
-    schema = "collection string, seq long, n_similar long, n_earlier long, first_earlier long, best double"
-    part = _blocked(vec, block_rows).groupBy("collection", "lo", "hi").applyInArrow(compare, schema)
-    return part.groupBy("collection", "seq").agg(
-        F.sum("n_similar").alias("n_similar"), F.sum("n_earlier").alias("n_earlier"),
-        F.min(F.when(F.col("n_earlier") > 0, F.col("first_earlier"))).alias("first_earlier"), F.max("best").alias("best"))
+def _unnamed() -> Column:
+    return F.when(F.col("collection") != "", F.substring("collection", 2, 1 << 30)).alias("collection")
 
 
 def document_vectors(df: DataFrame, seq: str, collection: str, text: str, dim: int = DIM, synonyms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Copies table and the vectors of the representatives."""
-    copies = collapse_copies(df, seq, collection, text)
+    copies = written(collapse_copies(df.withColumn(collection, _named(collection)), seq, collection, text), "copies")
     reps = copies.filter("seq = rep").select("collection", "seq")
     texts = df.select(F.col(seq).alias("seq"), F.col(text).alias("text")).join(reps, "seq")
     return copies, text_vectors(texts, "seq", "text", dim, synonyms).join(reps, "seq")
 
 
 def similar_rows(df: DataFrame, seq: str = "seq", collection: str = "source_collection", text: str = "text",
-                 threshold: float = THRESHOLD, dim: int = DIM, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Distinct texts with at least one partner of cosine ``threshold`` or more in the same collection."""
-    _, vec = document_vectors(df, seq, collection, text, dim)
-    return neighbour_summary(vec, threshold, dim, block_rows)
+                 threshold: float = THRESHOLD, dim: int = DIM, block_rows: int = BLOCK_ROWS, synonyms: DataFrame | None = None) -> DataFrame:
+    """Distinct texts with at least one partner of cosine ``threshold`` or more in the same collection; null is a collection."""
+    _, vec = document_vectors(df, seq, collection, text, dim, synonyms)
+    found = neighbour_summary(vector_blocks(vec, threshold, dim, block_rows))
+    return found.select(_unnamed(), *found.columns[1:])
 
 
 def greedy_groups(df: DataFrame, seq: str = "seq", collection: str = "source_collection", text: str = "text",
                   threshold: float = THRESHOLD, dim: int = DIM, block_rows: int = BLOCK_ROWS, synonyms: DataFrame | None = None) -> DataFrame:
     """``(collection, seq, leader)`` of the greedy scan: in row order, an unassigned row leads all later unassigned
-    rows that are similar to it; a row without a group leads itself.
-
-    Leaders are the lexicographically first maximal independent set, and every other row belongs to its smallest
-    leader. Each round settles all rows at once: a row without an earlier open neighbour becomes a leader, a row
-    whose smallest open-or-leader neighbour is a leader joins it. Rows without any partner leave after round one,
-    so later rounds only hold what is still tied up in clusters.
+    rows that are similar to it; a row without a group leads itself. Rows without a token are groups of their own.
     """
     copies, vec = document_vectors(df, seq, collection, text, dim, synonyms)
-    vec = cut_lineage(vec.withColumn("is_leader", F.lit(False)))
-    settled = None
-    active = vec
-    while True:
-        links = neighbour_summary(active, threshold, dim, block_rows)
-        state = active.join(links.select("collection", "seq", "first_earlier", F.lit(True).alias("linked")), ["collection", "seq"], "left")
-        state = cut_lineage(state)
-        open_rows = state.filter(~F.col("is_leader"))
-        led = open_rows.filter("first_earlier IS NULL").select("collection", F.col("seq").alias("first_earlier"), F.lit(True).alias("_led"))
-        known = state.filter("is_leader").select("collection", F.col("seq").alias("first_earlier"), F.lit(True).alias("_led"))
-        join = open_rows.filter("first_earlier IS NOT NULL").join(led.unionByName(known), ["collection", "first_earlier"], "left")
-        new_leaders = led.select("collection", F.col("first_earlier").alias("seq"), F.col("first_earlier").alias("leader"))
-        members = join.filter("_led").select("collection", "seq", F.col("first_earlier").alias("leader"))
-        now = new_leaders.unionByName(members)
-        settled = now if settled is None else settled.unionByName(now)
-        waiting = join.filter("_led IS NULL").select("collection", "seq", "buckets", "weights", "is_leader")
-        if waiting.isEmpty():
-            break
-        # leaders matter on only while they are linked to something
-        lead = state.filter("linked AND (is_leader OR first_earlier IS NULL)").select("collection", "seq", "buckets", "weights", F.lit(True).alias("is_leader"))
-        active = cut_lineage(waiting.unionByName(lead))
-        settled = cut_lineage(settled)
-    out = copies.join(settled.select("collection", F.col("seq").alias("rep"), "leader"), ["collection", "rep"], "left")
-    return out.select("collection", "seq", F.coalesce("leader", "rep").alias("leader"))
+    leaders = greedy_leaders(vector_blocks(vec, threshold, dim, block_rows)).withColumnRenamed("seq", "rep")
+    sizes = copies.groupBy("collection", "rep").agg(F.count("*").alias("n"))
+    leaders = written(sizes.join(leaders, ["collection", "rep"], "left"), "leaders")
+    out = join_spread(copies, leaders, ["collection", "rep"], "n")
+    return out.select(_unnamed(), "seq", F.coalesce("leader", "rep").alias("leader"))
 
 
 # ---- merging ----
