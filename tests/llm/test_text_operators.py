@@ -196,7 +196,7 @@ def test_recurrent_model_gradients_and_carried_state():
 def test_language_model_scores(spark, docs, no_docs):
     from tidekb.llm.common import crc_mod
 
-    model = lmscore.fit(docs, crc_mod("doc_id", 7) != 2, classes=4, members=4, head=12, least_tokens=3_000)
+    model = lmscore.fit(docs, crc_mod("doc_id", 7) != 2, classes=4, members=4, head=12)
     import zlib
 
     rows = docs.select("doc_id", "text").collect()

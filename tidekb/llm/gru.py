@@ -42,81 +42,122 @@ class Gru:
             at += x.size
 
     def states(self, ids: np.ndarray, resets: np.ndarray, h: np.ndarray, keep: bool = False):
-        """States after each step of a window (steps, lanes); with ``keep`` also what the backward pass needs."""
+        """States after each step of a window (steps, lanes, hidden), the last ones, and with ``keep`` what the backward pass needs.
+
+        Inside, lanes are the last axis, so that gates are contiguous blocks; embeddings are projected once a window.
+        """
         p, n = self.p, self.hidden
-        a = (p["emb"] @ p["wx"] + p["b"])[ids]
-        out = np.empty((*ids.shape, n), np.float32)
-        kept = []
-        for t in range(len(ids)):
-            if resets[t].any():
-                h = np.where(resets[t][:, None], np.float32(0), h)
-            g = h @ p["u"]
-            rz = _sigmoid(a[t, :, : 2 * n] + g[:, : 2 * n])
-            r, z = rz[:, :n], rz[:, n:]
-            c = np.tanh(a[t, :, 2 * n :] + r * g[:, 2 * n :])
+        steps, wide = ids.shape
+        half = np.ones(3 * n, p["u"].dtype)
+        half[: 2 * n] = 0.5  # a sigmoid is a tanh of half its argument
+        a = ((p["emb"] @ p["wx"] + p["b"]) * half)[ids.reshape(-1)].reshape(steps, wide, 3 * n).transpose(0, 2, 1)
+        a, u, h = np.ascontiguousarray(a), (p["u"] * half).T.copy(), np.ascontiguousarray(h.T)
+        out = np.empty((steps, n, wide), a.dtype)
+        before, below = (np.empty_like(out), np.empty_like(out)) if keep else (None, None)
+        live = (~resets).astype(a.dtype)
+        fresh = resets.any(1)
+        for t in range(steps):
+            if fresh[t]:
+                h = h * live[t]
+            g, gates = u @ h, a[t]
+            rz, c = gates[: 2 * n], gates[2 * n :]
+            rz += g[: 2 * n]
+            np.tanh(rz, out=rz)
+            rz *= 0.5
+            rz += 0.5
             if keep:
-                kept.append((h, r, z, c, g[:, 2 * n :]))
-            h = c + z * (h - c)
-            out[t] = h
-        return out, h, kept
+                before[t], below[t] = h, g[2 * n :]
+            g[2 * n :] *= rz[:n]
+            c += g[2 * n :]
+            np.tanh(c, out=c)
+            new = out[t]
+            np.subtract(h, c, out=new)
+            new *= rz[n:]
+            new += c
+            h = new
+        return out.transpose(0, 2, 1), h.T, (a, before, below)
 
     def log_probs(self, hs: np.ndarray, targets: np.ndarray, grads: dict | None = None):
-        """Natural log probability of each target; with ``grads`` adds the output layer's gradients and returns those of the states."""
-        p = self.p
-        cls, word = targets // self.members, targets % self.members
-        rows = np.arange(len(hs))
-        logits = hs @ p["wc"] + p["bc"]
-        logits -= logits.max(1, keepdims=True)
-        chosen = logits[rows, cls]
-        e = np.exp(logits)
-        total = e.sum(1)
-        out = chosen - np.log(total)
-        dh = None
-        if grads is not None:
-            d = e / total[:, None]
-            d[rows, cls] -= 1
-            grads["wc"] += hs.T @ d
-            grads["bc"] += d.sum(0)
-            dh = d @ p["wc"].T
+        """Natural log probability of each target; with ``grads`` adds the output layer's gradients and returns those of the states.
+
+        Targets are put in order of their classes once; each class is a slice then, with words as the first axis.
+        """
+        p, size = self.p, self.members
+        cls = (targets // size).astype(np.int16)
         order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        cls, word = cls[order].astype(np.int64), (targets % size)[order]
+        x, rows = hs[order], np.arange(len(hs))
+        logits = p["wc"].T @ x.T + p["bc"][:, None]
+        logits -= logits.max(0)
+        got = logits[cls, rows]
+        np.exp(logits, out=logits)
+        total = logits.sum(0)
+        got -= np.log(total)
+        dx = None
+        if grads is not None:
+            logits /= total
+            logits[cls, rows] -= 1
+            grads["wc"] += (logits @ x).T
+            grads["bc"] += logits.sum(1)
+            dx = p["wc"] @ logits
+        edges = np.searchsorted(cls, np.arange(self.classes + 1))
         for c in np.flatnonzero(edges[1:] > edges[:-1]):
-            at = order[edges[c] : edges[c + 1]]
-            x = hs[at]
-            logits = x @ p["wo"][c] + p["bo"][c]
-            logits -= logits.max(1, keepdims=True)
-            own = np.arange(len(at))
-            chosen = logits[own, word[at]]
-            e = np.exp(logits)
-            total = e.sum(1)
-            out[at] += chosen - np.log(total)
+            lo, hi = edges[c], edges[c + 1]
+            own, at = word[lo:hi], np.arange(hi - lo)
+            logits = p["wo"][c].T @ x[lo:hi].T + p["bo"][c][:, None]
+            logits -= logits.max(0)
+            chosen = logits[own, at]
+            np.exp(logits, out=logits)
+            total = logits.sum(0)
+            got[lo:hi] += chosen - np.log(total)
             if grads is not None:
-                d = e / total[:, None]
-                d[own, word[at]] -= 1
-                grads["wo"][c] += x.T @ d
-                grads["bo"][c] += d.sum(0)
-                dh[at] += d @ p["wo"][c].T
-        return (out, dh) if grads is not None else out
+                logits /= total
+                logits[own, at] -= 1
+                grads["wo"][c] += (logits @ x[lo:hi]).T
+                grads["bo"][c] += logits.sum(1)
+                dx[:, lo:hi] += p["wo"][c] @ logits
+        out = np.empty_like(got)
+        out[order] = got
+        if grads is None:
+            return out
+        dh = np.empty_like(x)
+        dh[order] = dx.T
+        return out, dh
 
     def backward(self, ids, resets, kept, dhs, grads) -> None:
-        """Gradients of a window's states, truncated at its start."""
+        """Gradients of a window's states, truncated at its start. Those of embeddings are summed per word first."""
         p, n = self.p, self.hidden
-        da = np.empty((*ids.shape, 3 * n), np.float32)
+        gates, before, below = kept
+        dhs = np.ascontiguousarray(dhs.transpose(0, 2, 1))
+        da = np.empty_like(gates)
+        dg = np.empty_like(gates[0])
         dh = np.zeros_like(dhs[0])
+        live = (~resets).astype(dh.dtype)
         for t in range(len(ids) - 1, -1, -1):
-            h, r, z, c, gn = kept[t]
-            dh = dh + dhs[t]
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (h - c) * z * (1 - z)
-            dr = dc * gn * r * (1 - r)
-            dg = np.concatenate([dr, dz, dc * r], 1)
-            da[t] = np.concatenate([dr, dz, dc], 1)
-            grads["u"] += h.T @ dg
-            dh = (dh * z + dg @ p["u"].T) * ~resets[t][:, None]
-        flat, at = da.reshape(-1, 3 * n), ids.reshape(-1)
-        grads["wx"] += p["emb"][at].T @ flat
-        grads["b"] += flat.sum(0)
-        np.add.at(grads["emb"], at, flat @ p["wx"].T)
+            h, r, z, c, x = before[t], gates[t][:n], gates[t][n : 2 * n], gates[t][2 * n :], da[t]
+            dh += dhs[t]
+            dz = dh * z
+            np.subtract(dh, dz, out=x[2 * n :])
+            x[2 * n :] *= 1 - c * c
+            np.multiply(dz, 1 - z, out=x[n : 2 * n])
+            x[n : 2 * n] *= h - c
+            np.multiply(x[2 * n :], r, out=dg[2 * n :])
+            np.multiply(dg[2 * n :], below[t], out=x[:n])
+            x[:n] *= 1 - r
+            dg[: 2 * n] = x[: 2 * n]
+            grads["u"] += h @ dg.T
+            dh = p["u"] @ dg
+            dh += dz
+            dh *= live[t]
+        flat = da.transpose(0, 2, 1).reshape(-1, 3 * n)
+        at = ids.reshape(-1)
+        order = np.argsort(at.astype(np.int16), kind="stable") if len(p["emb"]) < 1 << 15 else np.argsort(at, kind="stable")
+        at = at[order]
+        starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        sums, at = np.add.reduceat(flat[order], starts, axis=0), at[starts]
+        grads["wx"] += p["emb"][at].T @ sums
+        grads["b"] += sums.sum(0)
+        grads["emb"][at] += sums @ p["wx"].T
 
 
 class Adam:
@@ -129,11 +170,23 @@ class Adam:
         self.t += 1
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
         scale = min(1.0, clip / max(norm, 1e-9))
+        even = np.float32(1 / np.sqrt(1 - 0.99**self.t))
+        rate = np.float32(self.rate / (1 - 0.9**self.t))
         for k, g in grads.items():
-            g = g * scale
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.01 * (g * g - self.v[k])
-            self.model.p[k] -= self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-6)
+            g *= np.float32(scale)
+            m, v = self.m[k], self.v[k]
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
+            v *= np.float32(0.99)
+            g *= g
+            g *= np.float32(0.01)
+            v += g
+            np.sqrt(v, out=g)
+            g *= even
+            g += np.float32(1e-6)
+            np.divide(m, g, out=g)
+            g *= rate
+            self.model.p[k] -= g
 
 
 def lanes(docs: list[np.ndarray], most: int) -> list[list[int]]:
@@ -152,29 +205,32 @@ def lanes(docs: list[np.ndarray], most: int) -> list[list[int]]:
 def windows(docs: list[np.ndarray], most: int, steps: int):
     """(inputs, resets, targets, document numbers) per window, each (steps, lanes); a target of -1 is no token.
 
-    ``docs`` hold ids that end with END. Lanes that are through fall away at the end, so lane k stays lane k.
+    A lane begins each of ``docs`` anew, with END as its first input. Lanes that are through fall away at the end, so lane
+    k stays lane k.
     """
     plan = lanes(docs, most)
     size = [sum(len(docs[i]) for i in lane) for lane in plan]
     longest = size[0] if size else 0
     lane_ids = [np.concatenate([docs[i] for i in lane]) if lane else np.zeros(0, np.int32) for lane in plan]
-    lane_doc = [np.repeat(np.array(lane, np.int64), [len(docs[i]) for i in lane]) if lane else np.zeros(0, np.int64) for lane in plan]
-    before = [np.full(len(plan), END, np.int32)]
+    lane_doc = [np.repeat(np.array(lane, np.int32), [len(docs[i]) for i in lane]) if lane else np.zeros(0, np.int32) for lane in plan]
+    last, owner = np.full(len(plan), END, np.int32), np.full(len(plan), -1, np.int32)
     for at in range(0, longest, steps):
         wide = sum(n > at for n in size)
-        deep = min(steps, size[0] - at)
-        targets, doc = np.full((deep, wide), -1, np.int32), np.zeros((deep, wide), np.int64)
+        deep = min(steps, longest - at)
+        targets, doc = np.full((deep, wide), -1, np.int32), np.full((deep, wide), -1, np.int32)
         for k in range(wide):
             part = lane_ids[k][at : at + deep]
             targets[: len(part), k] = part
             doc[: len(part), k] = lane_doc[k][at : at + deep]
-        inputs = np.concatenate([before[0][None, :wide], np.where(targets < 0, END, targets)[:-1]]).astype(np.int32)
-        before[0] = np.where(targets[-1] < 0, END, targets[-1]).astype(np.int32)
-        yield inputs, inputs == END, targets, doc
+        resets = doc != np.concatenate([owner[None, :wide], doc[:-1]])
+        inputs = np.concatenate([last[None, :wide], targets[:-1]])
+        inputs[resets | (inputs < 0)] = END
+        last, owner = targets[-1], doc[-1]
+        yield inputs, resets, targets, doc
 
 
 def score(model: Gru, docs: list[np.ndarray], most: int = 384, steps: int = 32) -> np.ndarray:
-    """Natural log probability of each document."""
+    """Natural log probability of each document; its state is carried from its first token to its last."""
     out = np.zeros(len(docs))
     h = None
     for inputs, resets, targets, doc in windows(docs, most, steps):
@@ -185,18 +241,24 @@ def score(model: Gru, docs: list[np.ndarray], most: int = 384, steps: int = 32)
     return out
 
 
-def train(model: Gru, docs: list[np.ndarray], rate: float = 0.01, most: int = 32, steps: int = 24, opt: Adam | None = None) -> Adam:
-    """One pass of truncated backpropagation over the documents, updating the model after each window."""
+def train(model: Gru, docs: list[np.ndarray], rate: float = 0.01, most: int = 256, steps: int = 24, opt: Adam | None = None, segment: int = 1024) -> Adam:
+    """One pass of truncated backpropagation over the documents, updating the model after each window.
+
+    Longer documents are learnt from in segments, so that lanes stay even; every token is a target once.
+    """
     opt, h = opt or Adam(model, rate), None
-    for inputs, resets, targets, _ in windows(docs, most, steps):
+    parts = [d[at : at + segment] for d in docs for at in range(0, len(d), segment)]
+    for inputs, resets, targets, _ in windows(parts, most, steps):
         h = np.zeros((inputs.shape[1], model.hidden), np.float32) if h is None else h[: inputs.shape[1]]
         grads = {k: np.zeros_like(x) for k, x in model.p.items()}
         hs, h, kept = model.states(inputs, resets, h, keep=True)
         real = targets >= 0
         _, dh = model.log_probs(hs[real], targets[real], grads)
-        dhs = np.zeros_like(hs)
+        dhs = np.zeros(hs.shape, dh.dtype)
         dhs[real] = dh
         model.backward(inputs, resets, kept, dhs, grads)
         n = np.float32(max(1, real.sum()))
-        opt.step({k: g / n for k, g in grads.items()})
+        for g in grads.values():
+            g /= n
+        opt.step(grads)
     return opt

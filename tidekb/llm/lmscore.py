@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidekb.functions.blas import one_thread
 from tidekb.llm.common import crc_mod, query, stored, table
 from tidekb.llm.gru import END, UNKNOWN, Gru, score, train
 from tidekb.session import ship_package
@@ -28,9 +29,11 @@ END_TOKEN = b"\n"
 SCALE = 1 << 32
 
 
-def tokens(text: str | None) -> list[bytes]:
+def tokens(text: str | bytes | None) -> list[bytes]:
     """Blank-separated words, A-Z lower-cased, without the end token."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if isinstance(text, str):
+        text = text.encode("utf-8", "surrogatepass")
+    return (text or b"").lower().split()
 
 
 @dataclass
@@ -68,7 +71,7 @@ def count_tokens(docs: DataFrame, text: str, room: int = 300_000) -> DataFrame:
             got[END_TOKEN] += b.num_rows
         yield flush()
 
-    return docs.select(text).mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text).cast("binary")).mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
@@ -91,12 +94,12 @@ def encode(ws: list[bytes], words: dict[bytes, int]) -> np.ndarray:
     return np.array([*[get(w, UNKNOWN) for w in ws], END], np.int32)
 
 
-def fit(docs: DataFrame, training: Column, text: str = "text", key: str = "doc_id", classes: int = 32, members: int = 48, inputs: int = 16, hidden: int = 24, head: int = 100_000, rounds: int = 3, fraction: float = 1.0, least_tokens: int = 0, rate: float = 0.01, seed: int = 5) -> LanguageModel:
+def fit(docs: DataFrame, training: Column, text: str = "text", key: str = "doc_id", classes: int = 32, members: int = 48, inputs: int = 16, hidden: int = 24, head: int = 100_000, rounds: int = 3, fraction: float = 1.0, rate: float = 0.01, seed: int = 5) -> LanguageModel:
     """Count and train on the rows that ``training`` selects.
 
     By default the recurrent model learns from every training document once, whatever the size; the rounds divide the
-    documents by hash of the key. fraction: for callers that want less, the share of documents that it learns from;
-    least_tokens: the share grows to about so many tokens. head: bound of the frequent-token table. Without training rows
+    documents by hash of the key. fraction: for callers that want less, the share of documents that it learns from.
+    head: bound of the frequent-token table. Without training rows
     every token is unknown and the model knows only the unknown and the end token.
     """
     spark = docs.sparkSession
@@ -115,38 +118,38 @@ def fit(docs: DataFrame, training: Column, text: str = "text", key: str = "doc_i
     shape = (classes, members, inputs, hidden)
     model = Gru(*shape, log_freq=np.log(freq / freq.sum()), seed=seed)
     weights = model.flat()
-    share = min(1.0, max(fraction, least_tokens / max(1, total)))
     parts = 1 << 20
     slot = F.pmod(F.xxhash64(F.lit("slice"), F.col(key)), F.lit(parts))
     for k in range(rounds if total else 0):
-        first, end = (math.ceil(parts * share * i / rounds) for i in (k, k + 1))
-        one = learn.filter((slot >= first) & (slot < end)).select(text)
+        first, end = (math.ceil(parts * fraction * i / rounds) for i in (k, k + 1))
+        one = learn.filter((slot >= first) & (slot < end)).select(F.col(text).cast("binary"))
         weights = _round(spark, one, shape, words, weights, rate / (1 + k))
     return LanguageModel(counts, total, distinct, ends, top, words, shape, weights)
 
 
-def _round(spark, docs: DataFrame, shape, words, weights: np.ndarray, rate: float, docs_at_once: int = 400) -> np.ndarray:
+def _round(spark, docs: DataFrame, shape, words, weights: np.ndarray, rate: float, tokens_at_once: int = 1_000_000) -> np.ndarray:
     """Train in every task from the same weights; the average by tokens. One row per weight and task is summed by Spark."""
     given = spark.sparkContext.broadcast((words, weights))
 
     def learn(batches):
+        one_thread()
         words, start = given.value
         model = Gru(*shape)
         model.load(start)
-        opt, held, n = None, [], 0
+        opt, held, n, waiting = None, [], 0, 0
         for b in batches:
             for t in b.column(0):
                 held.append(encode(tokens(t.as_py()), words))
-                n += len(held[-1])
-                if len(held) >= docs_at_once:
+                n, waiting = n + len(held[-1]), waiting + len(held[-1])
+                if waiting >= tokens_at_once:
                     opt = train(model, held, rate, opt=opt)
-                    held = []
+                    held, waiting = [], 0
         if held:
             train(model, held, rate, opt=opt)
         if n:
             moved = np.round((model.flat().astype(np.float64) - start) * SCALE / 1024).astype(np.int64)
             at = np.flatnonzero(moved)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(moved[at] * min(n, 1 << 24) // 1024, min(n, 1 << 24)))], ["at", "moved"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(moved[at] * n // 1024, n))], ["at", "moved"])
 
     sums = docs.mapInArrow(learn, "at long, moved long").groupBy("at").agg(F.sum(F.col("moved").cast("decimal(38,0)")).alias("moved")).collect()
     given.unpersist()
@@ -173,6 +176,7 @@ def score_texts(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text
     tail_t = pa.list_(pa.struct([("token", pa.binary()), ("m", pa.int64())]))
 
     def run(batches):
+        one_thread()
         head, words, weights, ends = given.value
         net = Gru(*shape)
         net.load(weights)
@@ -180,8 +184,8 @@ def score_texts(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text
         n_words = len(words)
         logs = np.log10(np.array([*head.values(), 0], np.float64) + 1)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2500):
-                b = batch.slice(at, 2500)
+            for at in range(0, batch.num_rows, 10_000):
+                b = batch.slice(at, 10_000)
                 ids, rows, tails = [], [], []
                 for t in b.column(1):
                     ws = tokens(t.as_py())
@@ -194,7 +198,7 @@ def score_texts(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.float64()), pa.array(score(net, ids) / math.log(10)), pa.array(tails, tail_t)], names)
 
-    scored = docs.select(F.col(key).alias("k"), text).mapInArrow(run, f"k {kind}, n_tokens long, known long, head_log double, n_other long, other_log double, gru_log double, tail array<struct<token:binary,m:bigint>>")
+    scored = docs.select(F.col(key).alias("k"), F.col(text).cast("binary")).mapInArrow(run, f"k {kind}, n_tokens long, known long, head_log double, n_other long, other_log double, gru_log double, tail array<struct<token:binary,m:bigint>>")
     scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = scored.select("row", F.inline("tail")).join(model.counts, "token", "left")
     # logarithms are summed as integers, so that the order in which rows meet doesn't matter

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidekb.functions.blockstore import grouped
 from tidekb.functions.ranking import positions
 from tidekb.llm.common import query, stored, table
 from tidekb.session import ship_package
@@ -64,26 +65,6 @@ class Manifest:
     root: bytes | None
 
 
-def grouped(batches, keys: int) -> Iterator[pa.Table]:
-    """The rows of one key after another; input is sorted by its first ``keys`` columns. A key's rows may span batches."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for b in batches:
-        start = 0
-        cols = [b.column(k).to_pylist() for k in range(keys)]
-        for i, key in enumerate(zip(*cols)):
-            if key != last:
-                if i > start:
-                    held.append(b.slice(start, i - start))
-                if held:
-                    yield pa.Table.from_batches(held)
-                held, start, last = [], i, key
-        if b.num_rows > start:
-            held.append(b.slice(start))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _segments(batches):
     """One record per block: nodes level by level, each with its one or two children. A lone node in block 0 is a root."""
     for t in grouped(batches, 2):

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidekb.functions.blas import one_thread
+from tidekb.functions.blockstore import grouped
 from tidekb.functions.ranking import positions
 from tidekb.llm.common import query, stored, table
 from tidekb.session import ship_package
@@ -212,6 +214,7 @@ def build(rows: DataFrame, top: float, n: int) -> tuple[DataFrame, dict[int, np.
         points[dim] = u[pick(u, max(1, min(CELLS, n // UNIT)))]
 
     def place(batches):
+        one_thread()
         for b in batches:
             dims = b.column(2).to_numpy()
             cell, dist = np.zeros(len(dims), np.int64), np.zeros(len(dims))
@@ -225,8 +228,7 @@ def build(rows: DataFrame, top: float, n: int) -> tuple[DataFrame, dict[int, np.
     dealt = positions(dealt, ["dist", "row"], ["dim", "cell"], "at", "cell_no").withColumn("unit", F.shiftleft("cell_no", 32) + F.expr(f"at div {UNIT}"))
 
     def grow(batches):
-        from tidekb.llm.merkle import grouped
-
+        one_thread()
         for t in grouped(batches, 1):
             x, ids = unpack(t.column("vec")), t.column("row")
             dist, dim, cell = t.column("dist").to_numpy(), t.column("dim")[0].as_py(), t.column("cell")[0].as_py()
@@ -257,6 +259,7 @@ def _bounds(points: dict[int, np.ndarray], top: float, most: int | None):
     """Cogroup step: a block of queries (left) against a block of units (right): pairs that bounds don't rule out."""
 
     def step(left: pa.Table, right: pa.Table) -> pa.Table:
+        one_thread()
         out = []
         if left.num_rows and right.num_rows:
             qd, ud = left.column("dim").to_numpy(), right.column("dim").to_numpy()
@@ -309,6 +312,7 @@ def top_k(rows: DataFrame, asks: Column, k: int, key: str = "vec_id", vector: st
         return df.withColumn(own, F.pmod(F.xxhash64(ident), F.lit(n_own)).cast("int")).withColumn(other, every)
 
     def visit(left: pa.Table, right: pa.Table) -> pa.Table:
+        one_thread()
         rows, score, keys, hit = [], [], [], []
         if left.num_rows and right.num_rows:
             unit, asking = Unit(right, top), left.column("row").to_numpy()
