@@ -132,3 +132,40 @@ def from_bytes(block: bytes) -> list[np.ndarray]:
         at += 4 + n + a.nbytes
         out.append(a)
     return out
+
+
+def to_ipc(t: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema) as w:
+        w.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+def from_ipc(block: bytes) -> pa.Table:
+    with pa.ipc.open_stream(block) as r:
+        return r.read_all()
+
+
+def write_rows(df: DataFrame, rows: int, name: str) -> DataFrame:
+    """Rows as blocks of at most ``rows``, where they are: nothing is shuffled. Index: place and ``rows``."""
+    folder = new_folder(df.sparkSession, name)
+
+    def run(batches):
+        out = None
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                part = b.slice(at, rows)
+                out = out or Writer(folder)
+                place = out.put(to_ipc(pa.Table.from_batches([part])))
+                yield pa.RecordBatch.from_arrays([pa.array([place[0]]), *(pa.array([x], pa.int64()) for x in (*place[1:], part.num_rows))], ["file", "offset", "bytes", "rows"])
+        if out:
+            out.close()
+
+    return written(df.mapInArrow(run, f"{PLACE}, rows long"), name)
+
+
+def dealt(work: DataFrame, keys: list, n: int, each: int = 16) -> DataFrame:
+    """``n`` small work items over tasks of about ``each`` items, items of equal ``keys`` together. The number is stated, as
+    Spark would put rows that are small but dear into one task."""
+    slots = int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return work.repartition(max(1, min(n, max(slots, n // each), 100_000)), *keys)

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidekb.functions.blockstore import PLACE, Reader, Writer, from_bytes, new_folder, to_bytes, write_blocks
+from tidekb.functions.blas import one_thread
+from tidekb.functions.blockstore import PLACE, Reader, Writer, dealt, from_bytes, new_folder, to_bytes, write_blocks
 from tidekb.functions.ranking import positions
 from tidekb.functions.vectors import DIM, list_columns_to_matrix
 from tidekb.session import written
@@ -127,6 +128,7 @@ def _compare(blocks: Blocks, schema: str, emit) -> DataFrame:
     dim, threshold = blocks.dim, blocks.threshold
 
     def run(batches):
+        one_thread()
         first, second = Reader(lambda x: _Loaded(x, dim), 1), Reader(lambda x: _Loaded(x, dim), 4)
         for batch in batches:
             for p in batch.to_pylist():
@@ -140,8 +142,8 @@ def _compare(blocks: Blocks, schema: str, emit) -> DataFrame:
         yield from emit(None, False, None, None, None, None, None, None)
 
     # pairs are dealt by a and a share of b: a task reads its block a once
-    keyed = blocks.pairs.repartition("collection", "block_a", F.expr("block_b div 16")).sortWithinPartitions("collection", "block_a", "block_b")
-    return keyed.mapInArrow(run, schema)
+    keyed = dealt(blocks.pairs, ["collection", "block_a", F.expr("block_b div 16")], blocks.pairs.count())
+    return keyed.sortWithinPartitions("collection", "block_a", "block_b").mapInArrow(run, schema)
 
 
 def neighbour_summary(blocks: Blocks) -> DataFrame:
@@ -278,7 +280,7 @@ def greedy_leaders(blocks: Blocks) -> DataFrame:
     while True:
         side = {s: state.select("collection", F.col("block").alias(f"block_{s}"), F.col("n_open").alias(f"n_{s}"), F.col("seqs").alias(f"seqs_{s}"), F.col("state").alias(f"state_{s}")) for s in "ab"}
         asked = bits.join(side["a"], ["collection", "block_a"]).join(side["b"], ["collection", "block_b"]).filter("n_a > 0 or n_b > 0")
-        firsts = asked.mapInArrow(first_open, "collection string, block long, row long, first long, led boolean")
+        firsts = dealt(asked, ["block_a", "block_b"], bits.count()).mapInArrow(first_open, "collection string, block long, row long, first long, led boolean")
         firsts = firsts.groupBy("collection", "block", "row").agg(F.min(F.struct("first", "led")).alias("f")).select("collection", "block", "row", "f.first", "f.led")
         busy = state.filter("n_open > 0")
         moved = busy.groupBy("collection", "block").cogroup(firsts.groupBy("collection", "block")).applyInArrow(_settle, STATE)

@@ -1,7 +1,7 @@
 """Batch top-k search over a Q&A table.
 
-One scan of the table per bounded batch of queries: no join between queries and rows, no shuffle of the table.
-Every task keeps k rows per query, and only those meet in one small top-k per query.
+Queries and rows lie in the shared folder as blocks; tasks work off a grid of (query block, row block) items, keep k rows
+per query, and only those meet in one small top-k per query. The driver sees counts alone.
 """
 
 from __future__ import annotations
@@ -16,33 +16,31 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidekb import rules
+from tidekb.functions.blas import one_thread
+from tidekb.functions.blockstore import Reader, dealt, from_ipc, to_ipc, write_blocks, write_rows
 from tidekb.functions.layout import spread
 from tidekb.functions.ranking import top_per_group
 from tidekb.functions.scoring import WORD, MetadataScore, QueryTexts, TermIndex, cosine, infer_labels, words_of
 from tidekb.functions.text import col
 from tidekb.functions.vectors import unit_rows
-from tidekb.session import cut_lineage
 
 QUERY_BATCH_ROWS = 2048
 QUERY_BATCH_CHARS = 4_000_000
+#: Rows of a corpus block, and corpus blocks that a task scores with one scorer.
+CORPUS_BLOCK_ROWS, BLOCKS_PER_SCORER = 2048, 8
 SCORE_DIGITS = 9
 
 Scorer = Callable[[Callable[[str], list]], np.ndarray]
 
 
-def query_batches(queries: DataFrame, columns: list[str], max_rows: int = QUERY_BATCH_ROWS, max_chars: int = QUERY_BATCH_CHARS):
-    """``(number of batches, batch)``: the queries as lists of about ``max_rows`` rows and ``max_chars`` characters, one at a time.
-
-    Queries are dealt by the hash of their id, whatever their number; the driver holds one batch.
-    """
+def query_blocks(queries: DataFrame, columns: list[str], max_rows: int = QUERY_BATCH_ROWS, max_chars: int = QUERY_BATCH_CHARS) -> DataFrame:
+    """Index of the queries as blocks of about ``max_rows`` rows and ``max_chars`` characters, dealt by the hash of their id."""
     q = queries.select(*columns)
     chars = F.sum(F.length("query")) if "query" in columns else F.lit(0)
     n, size = q.agg(F.count("*"), F.coalesce(chars, F.lit(0))).first()
     parts = max(1, -(-n // max_rows), -(-size // max_chars))
-    for p in range(parts):
-        rows = q.filter(F.pmod(F.xxhash64(columns[0]), F.lit(parts)) == p).collect()
-        if rows:
-            yield parts, {c: [r[c] for r in rows] for c in columns}
+    q = q.withColumn("qblock", F.pmod(F.xxhash64(columns[0]), F.lit(parts)))
+    return write_blocks(q, ["qblock"], columns[:1], lambda t: (to_ipc(t.drop_columns(["qblock"])), {}), "", "queries")
 
 
 def _best(query: np.ndarray, score: np.ndarray, seq: np.ndarray, k: int) -> np.ndarray:
@@ -54,73 +52,79 @@ def _best(query: np.ndarray, score: np.ndarray, seq: np.ndarray, k: int) -> np.n
     return order[np.arange(len(q)) - first < k]
 
 
-def scan_top_k(corpus: DataFrame, batch: dict[str, list], make_scorer: Callable[[dict], Scorer], k: int, needs: list[str],
-               keep: list[str] = (), min_score: float = float("-inf"), strict: bool = False) -> DataFrame:
-    """Score every row against one query batch and keep the best k per query and task.
+class _Pool:
+    """Best k rows per query of one query block."""
 
-    ``make_scorer(batch)`` runs once per task; its scorer gets a column reader and returns rows × queries.
-    """
-    inputs = list(dict.fromkeys(["seq", *needs, *keep]))
-    source = spread(corpus.select(*inputs), "seq")
-    ids = batch["query_id"]
-    id_type = pa.int64() if all(isinstance(i, int) for i in ids) else pa.string()
-    schema = T.StructType([T.StructField("query_id", T.LongType() if id_type == pa.int64() else T.StringType()),
-                           T.StructField("seq", source.schema["seq"].dataType), T.StructField("score", T.DoubleType()),
-                           *[source.schema[c] for c in keep if c != "seq"]])
-    arrow_schema = to_arrow_schema(schema)
+    def __init__(self, k: int):
+        self.k, self.held = k, None
 
-    def scan(batches):
-        scorer = make_scorer(batch)
-        id_array = np.array(ids, dtype=object)
-        pool = None  # (query index, score, payload rows)
-        for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            lists: dict[str, list] = {}
-
-            def read(c):
-                if c not in lists:
-                    lists[c] = rb.column(rb.schema.get_field_index(c)).to_pylist()
-                return lists[c]
-
-            s = np.round(scorer(read), SCORE_DIGITS)
-            ok = s > min_score if strict else s >= min_score
-            row, q = np.nonzero(ok)
-            score, seq = s[row, q], np.asarray(read("seq"))[row]
-            pick = _best(q, score, seq, k)
-            rows = pa.Table.from_batches([rb]).take(pa.array(row[pick]))
-            new = (q[pick], score[pick], rows)
-            if pool is None:
-                pool = new
-            else:
-                q2, s2, r2 = np.r_[pool[0], new[0]], np.r_[pool[1], new[1]], pa.concat_tables([pool[2], new[2]])
-                p = _best(q2, s2, r2["seq"].to_numpy(), k)
-                pool = (q2[p], s2[p], r2.take(pa.array(p)).combine_chunks())
-        if pool is not None and len(pool[0]):
-            cols = [pa.array(id_array[pool[0]].tolist(), id_type), pool[2]["seq"], pa.array(pool[1])] + [pool[2][c] for c in keep if c != "seq"]
-            yield from pa.table(cols, names=arrow_schema.names).cast(arrow_schema).combine_chunks().to_batches()
-
-    return source.mapInArrow(scan, schema)
+    def add(self, q: np.ndarray, score: np.ndarray, rows: pa.Table) -> None:
+        if self.held is not None:
+            q, score, rows = np.r_[self.held[0], q], np.r_[self.held[1], score], pa.concat_tables([self.held[2], rows])
+        best = _best(q, score, rows["seq"].to_numpy(), self.k)
+        self.held = (q[best], score[best], rows.take(pa.array(best)).combine_chunks())
 
 
 def top_k(corpus: DataFrame, queries: DataFrame, columns: list[str], make_scorer, k: int, needs: list[str], keep: list[str] = (),
           min_score: float = float("-inf"), strict: bool = False, max_rows: int = QUERY_BATCH_ROWS) -> DataFrame:
     """Best k rows per query as ``(query_id, rank, seq, score, *keep)``; ties keep row order.
 
-    Of several batches each is finished and written before the next is read, so no plan holds more than one. Without
-    queries the result is empty.
+    Queries and corpus are written as blocks to the shared folder, and the work is a grid of (query block, corpus block)
+    items whose tasks read both inside. ``make_scorer(block)`` gets a query block's columns as lists; its scorer gets a
+    column reader of a corpus block and returns rows x queries. A task holds one block of each and the best k rows of
+    the block's queries, whatever the sizes of the tables; only those are shuffled. Nothing passes through the driver.
     """
-    parts = None
-    for n, batch in query_batches(queries, ["query_id", *columns], max_rows):
-        part = top_per_group(scan_top_k(corpus, batch, make_scorer, k, needs, keep, min_score, strict), "query_id", [F.desc("score"), F.asc("seq")], k)
-        part = cut_lineage(part) if n > 1 else part
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        none = corpus.select("seq", *[c for c in keep if c != "seq"]).limit(0)
-        ident = queries.schema["query_id"].dataType
-        none = none.select(F.lit(None).cast(ident).alias("query_id"), "seq", F.lit(0.0).alias("score"), *[c for c in keep if c != "seq"])
-        parts = top_per_group(none, "query_id", [F.desc("score"), F.asc("seq")], k)
-    return parts
+    wide = list(dict.fromkeys(["seq", *needs, *keep]))
+    source = spread(corpus.select(*wide), "seq")
+    extra = [c for c in keep if c != "seq"]
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), source.schema["seq"],
+                           T.StructField("score", T.DoubleType()), *[source.schema[c] for c in extra]])
+    arrow_schema = to_arrow_schema(schema)
+    asked = query_blocks(queries, ["query_id", *columns], max_rows)
+    stored = write_rows(source, CORPUS_BLOCK_ROWS, "corpus")
+
+    def scan(batches):
+        one_thread()
+        ask, read_rows = Reader(from_ipc, 1), Reader(from_ipc, 1)
+        current, ids, scorer, pool = None, None, None, None
+
+        def flush():
+            if pool is not None and pool.held is not None and len(pool.held[0]):
+                q, score, rows = pool.held
+                cols = [ids.take(pa.array(q)), rows["seq"], pa.array(score), *(rows[c] for c in extra)]
+                yield from pa.table(cols, names=arrow_schema.names).cast(arrow_schema).combine_chunks().to_batches()
+
+        for batch in batches:
+            for item in batch.to_pylist():
+                if item["qblock"] != current:
+                    yield from flush()
+                    block = ask.get(item["qfile"], item["qoffset"], item["qbytes"])
+                    ids, current, pool = block["query_id"].combine_chunks(), item["qblock"], _Pool(k)
+                    scorer = make_scorer(block.to_pydict())
+                rows = read_rows.get(item["file"], item["offset"], item["bytes"])
+                lists: dict[str, list] = {}
+
+                def read(c, rows=rows, lists=lists):
+                    if c not in lists:
+                        lists[c] = rows[c].to_pylist()
+                    return lists[c]
+
+                s = np.round(scorer(read), SCORE_DIGITS)
+                row, q = np.nonzero(s > min_score if strict else s >= min_score)
+                score, seq = s[row, q], rows["seq"].to_numpy()[row]
+                pick = _best(q, score, seq, k)
+                pool.add(q[pick], score[pick], rows.take(pa.array(row[pick])))
+        yield from flush()
+
+    ask = asked.select("qblock", *[F.col(c).alias(f"q{c}") for c in ("file", "offset", "bytes")])
+    n, m = stored.count(), asked.count()
+    parts = max(1, -(-n // BLOCKS_PER_SCORER), min(n, int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    # every query block meets every part of the corpus; both indexes hold places only
+    grid = stored.withColumn("part", F.pmod(F.xxhash64("file", "offset"), F.lit(parts)))
+    ask = ask.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    items = dealt(grid.join(ask, "part"), ["qblock", "part"], n * m, BLOCKS_PER_SCORER)
+    found = items.sortWithinPartitions("qblock", "file", "offset").mapInArrow(scan, schema)
+    return top_per_group(found, "query_id", [F.desc("score"), F.asc("seq")], k)
 
 
 # ---- F1, F2 ----
