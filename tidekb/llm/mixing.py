@@ -203,7 +203,8 @@ def repeat_to_targets(docs: DataFrame, text: str = "text", source: str = "source
     at = located(plain)
     thin = stored(at.select("at_file", "at_row", F.col(names[key]).alias("key"), F.col(names[source]).alias("source"), word_count(names[text]).alias("size")), "sizes")
     plan = plan_mix(thin, F.array("source"), "size", "key", **options)
-    edge = plan.edge.select("at_file", "at_row", F.col("_more").alias("chosen"))
+    # stored, so that Spark knows its size before it plans the join with the texts
+    edge = stored(plan.edge.select("at_file", "at_row", F.col("_more").alias("chosen")), "edge")
     own = Plan(plan.rows, plan.edge, names[key], F.array(names[source]), plan.seed)
     times = F.col("times") + F.coalesce(F.col("chosen"), F.col("_more")).cast("long")
     times = F.when(F.col(names[text]).rlike(f"[^{BLANKS}]"), times).otherwise(0).cast("int")
