@@ -10,6 +10,7 @@ from tidekb.functions.layout import spread
 from tidekb.functions.vectors import text_vectors
 from tidekb.operators import dedup as D
 from tidekb.operators import reconcile as R
+from tidekb.operators import search as S
 
 J = "array_to_string({}, '|')".format
 
@@ -93,6 +94,24 @@ def _(spark, sf):
     return D.deduplicate(rows_for_merge(spark, sf), groups(spark, sf)).select("seq", "source_count", "is_merged")
 
 
+_PC = """top AS (SELECT query_id, list(DISTINCT seq) AS ids, list(DISTINCT category) AS cats FROM r GROUP BY 1), pairs AS (SELECT item_id // 2 AS pair_id, min(item_id) AS a, max(item_id) AS b, (item_id // 2) % 2 = 0 AS m FROM benchmark GROUP BY 1, 4 HAVING count(*) = 2),
+j AS (SELECT pair_id, m, coalesce(x.ids, []) AS ia, coalesce(y.ids, []) AS ib, coalesce(x.cats, []) AS ca, coalesce(y.cats, []) AS cb FROM pairs LEFT JOIN top x ON x.query_id = a LEFT JOIN top y ON y.query_id = b),
+c AS (SELECT *, len(list_intersect(ia, ib)) AS o, len(list_intersect(ca, cb)) AS co, len(list_intersect(ia, ib)) / greatest(1, len(list_distinct(list_concat(ia, ib))))::DOUBLE AS jac FROM j)
+SELECT pair_id, len(ia) > 0 AND len(ib) > 0 AS both_have_results, o AS overlap, round(jac, 6) AS jaccard, co AS category_overlap, round(o / greatest(len(ia), len(ib), 1)::DOUBLE, 6) AS result_overlap,
+ round(CASE WHEN m THEN jac ELSE 1 - jac END, 6) AS overlap_consistency, CASE WHEN m THEN (CASE WHEN co > 0 THEN 1.0 ELSE 0.0 END) ELSE (CASE WHEN co = 0 THEN 1.0 ELSE 0.5 END) END::DOUBLE AS category_consistency FROM c"""
+
+
+@query("d06_pair_consistency", f"""WITH {I.QUERIES_SQL}, s AS (SELECT query_id, vec_id AS seq, label::VARCHAR AS category, list_cosine_similarity(embedding::DOUBLE[], query_vector::DOUBLE[]) AS score FROM queries, embeddings),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, seq) AS rank FROM s WHERE score > 0) WHERE rank <= 5), {_PC}""")
+def _(spark, sf):
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("seq"), "embedding", F.array(F.col("label").cast("string")).alias("categories"))
+    found = S.vector_search(v, I.queries(spark, sf), 5, keep=["categories"]).withColumnRenamed("seq", "id")
+    b = table(spark, sf, "benchmark").groupBy(F.expr("item_id div 2").alias("pair_id")).agg(F.min("item_id").alias("query_a"), F.max("item_id").alias("query_b"), F.count("*").alias("n"))
+    pairs = b.filter("n = 2").select("pair_id", "query_a", "query_b", (F.col("pair_id") % 2 == 0).alias("should_merge"))
+    out = D.pair_consistency(found, pairs)
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in out.dtypes])
+
+
 @query("d05_provenance", f"""WITH RECURSIVE {GREEDY}, md AS (SELECT g.leader, g.seq, CASE WHEN lang = 'en' THEN 'model-a' WHEN lang = 'fr' AND length(text) > 2000 THEN 'model-b' ELSE ' ' END AS m FROM grp g JOIN documents ON doc_id = seq),
 f AS (SELECT leader, m, min(seq) AS f FROM md WHERE trim(m) <> '' GROUP BY 1, 2), l AS (SELECT leader, string_agg(m, '|' ORDER BY f) AS ms, count(*) AS n FROM f GROUP BY 1)
 SELECT g.leader, g.source_count, coalesce(ms, '') AS source_models, CASE WHEN n = 1 THEN ms WHEN n > 1 THEN 'mixed' END AS merge_model, CASE WHEN n IS NULL THEN 'unknown' WHEN n = 1 THEN 'single-source' ELSE 'mixed-source' END AS provenance_status

@@ -98,6 +98,19 @@ def _(spark, sf):
     return m.select("query_id", *[F.round(c, 6).alias(c) for c in m.columns[1:]])
 
 
+@query("v10_keyword_hit_rate", """WITH r AS (SELECT item_id AS query_id, row_number() OVER (PARTITION BY item_id ORDER BY o_orderkey) AS rank, string_split(o_orderpriority, '-') AS syns, ['Clerk#' || (o_orderkey % 7)] AS kws FROM benchmark JOIN orders ON o_custkey = item_id),
+t AS (SELECT query_id, list_transform(list_distinct(flatten(list(list_concat(kws, syns)))), lambda x: lower(x)) AS terms FROM r WHERE rank <= 5 GROUP BY 1),
+g AS (SELECT item_id AS query_id, list_concat(['HIGH', 'none'], CASE WHEN item_id % 3 = 0 THEN ['clerk#'] ELSE [] END) AS want, item_id % 5 = 0 AS empty FROM benchmark), w AS (SELECT query_id, CASE WHEN empty THEN [] ELSE want END AS want FROM g)
+SELECT w.query_id, round(CASE WHEN len(want) = 0 THEN 1 WHEN terms IS NULL THEN 0 ELSE len(list_filter(want, lambda k: len(list_filter(terms, lambda x: contains(x, lower(k)) OR contains(lower(k), x))) > 0)) / len(want)::DOUBLE END, 6)::DOUBLE AS keyword_hit_rate FROM w LEFT JOIN t USING (query_id)""")
+def _(spark, sf):
+    b, o = table(spark, sf, "benchmark"), table(spark, sf, "orders")
+    r = b.join(o, F.col("o_custkey") == F.col("item_id")).select(F.col("item_id").alias("query_id"), "o_orderkey", F.array(F.concat(F.lit("Clerk#"), F.col("o_orderkey") % 7)).alias("keywords"), F.split("o_orderpriority", "-").alias("synonyms"))
+    r = top_per_group(r, "query_id", [F.asc("o_orderkey")], 5)
+    want = F.concat(F.array(F.lit("HIGH"), F.lit("none")), F.when(F.col("item_id") % 3 == 0, F.array(F.lit("clerk#"))).otherwise(F.array().cast("array<string>")))
+    g = b.select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 5 != 0, want).alias("expected_keywords"))
+    return V.keyword_hit_rate(r, g).select("query_id", F.round("keyword_hit_rate", 6).alias("keyword_hit_rate"))
+
+
 _BUCKET = """bk AS (SELECT *, CASE WHEN duplicate_rate_at_k > 0.3 THEN 'duplicate_noise' WHEN booster_sensitive AND booster_topk_share >= 0.6 AND precision_at_k < 0.6 THEN 'booster_leakage' WHEN n_expected >= 2 AND recall_at_k < 1 THEN 'dual_intent_miss'
  WHEN recall_at_k = 0 THEN 'category_miss' WHEN keyword_hit_rate < 0.6 THEN 'keyword_surface_miss' WHEN mrr < 1 THEN 'ranking_miss' ELSE 'pass' END AS failure_bucket FROM cm)"""
 

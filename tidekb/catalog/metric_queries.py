@@ -251,6 +251,16 @@ def _(spark, sf):
     return d.select("snapshot", "name", "dimension", M.upgrade_label(F.col("dimension"), level).alias("upgrade"))
 
 
+_CALL = {"策略": "CASE WHEN value > 300 THEN 'L' || (floor(value / 300)::INT) END", "流程": "CASE WHEN name = 'click' THEN 'l2' WHEN name = 'view' THEN 'L2.5' END"}
+
+
+@query("g16_maturity_callout", f"""WITH {I.CHANGES}, c AS (SELECT snapshot, name, list_filter([{', '.join(f"CASE WHEN regexp_matches({v}, '^[Ll][0-9]+$') THEN '{k} ' || {v} END" for k, v in _CALL.items())}], lambda x: x IS NOT NULL) AS p FROM changes)
+SELECT snapshot, name, CASE WHEN len(p) > 0 THEN '> 成熟度參考：' || array_to_string(p, ' / ') END AS callout FROM c""")
+def _(spark, sf):
+    levels = [(k, F.expr(v.replace("(floor(value / 300)::INT)", "cast(floor(value / 300) as int)"))) for k, v in _CALL.items()]
+    return I.metric_changes(spark, sf).select("snapshot", "name", M.maturity_callout(levels).alias("callout"))
+
+
 @query("g17_usage_rollup", r"""SELECT event_type AS endpoint, regexp_extract(props, '"k": (\d)', 1) AS model, count(*) AS calls, sum(user_id)::BIGINT AS tokens, round(avg(value), 4) AS avg_latency
 FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1, 2""")
 def _(spark, sf):

@@ -108,6 +108,19 @@ def _(spark, sf):
     return c.select("report_id", "composite_v2", "composite_v3")
 
 
+_JUDGE = {"reasoning_depth": "report_id % 9 - 1.0", "actionability": "report_id % 4 + 0.5", "insight_originality": "CASE WHEN report_id % 7 > 0 THEN report_id % 6 / 2.0 END"}
+_JUDGED = ", ".join(f"({v})::DOUBLE AS {k}" for k, v in _JUDGE.items())
+_JW = {c: f"greatest(0, least(5, {c})) / 5" for c in rules.JUDGE_COLUMNS}
+
+
+@query("j10_judged_composite", f"""WITH {_DEEP}, jd AS (SELECT *, {_JUDGED} FROM dp) SELECT report_id, CASE WHEN insight_originality IS NOT NULL THEN round_even({_w(rules.COMPOSITE_V2_JUDGED, _SUB | _JW)}, 6)
+ ELSE round_even({_w(rules.COMPOSITE_V2, _SUB)}, 6) END AS composite_judged FROM jd""")
+def _(spark, sf):
+    c = P.composites(P.depth_scores(P.basic_scores(reports(spark, sf))), 6)
+    c = c.withColumns({k: F.expr(f"cast({v} as double)") for k, v in _JUDGE.items()})
+    return P.judged_composite(c, 6).select("report_id", "composite_judged")
+
+
 # ---- meeting-preparation reports (J11 - J15) ----
 PREP = """concat('## Section 0：執行摘要', '\\n', text, '\\n', '## Section 1：本週異常地圖', '\\n| 指標 | 值 |\\n|---|---|\\n| CTR | ', length(text), ' |\\n| ', source, ' | 2 |\\n', '## Section 2：業界最新動態\\n### Search News\\n| 來源 | 日期 |\\n|---|---|\\n| **', lang, ' blog** | ', d, ' |\\n[NEW] a [CF] b ',
  '[x](https://e.org/', source, ')\\n', '## Section 3：深度根因假設\\n### H1：CTR\\n**假設 1（CTR）** 可驗證\\n**假設 2** [1]\\n**假設 3** 可驗證\\n### H2：', source, '\\n**假設 1** x\\n', '## Section 4：顧問視角交叉比對\\n| 主題 | a | b | c | d | e |\\n|---|---|---|---|---|---|\\n| [NEW] ', lang,

@@ -188,6 +188,12 @@ def _(spark, sf):
     return S.multi_query_merge(hits).select("seq", F.round("score", 5).alias("score"), F.array_join("queries", "|").alias("queries"))
 
 
+@query("f15_unweighted", f"""WITH {ranked('cos + kb', 3, 'round(score, 9) >= 0.28')} SELECT seq, round(max(score), 5) AS score, string_agg(query_id::VARCHAR, '|' ORDER BY query_id) AS queries FROM found GROUP BY 1 ORDER BY round(max(found.score), 9) DESC, seq LIMIT 15""")
+def _(spark, sf):
+    hits = S.hybrid_search(rich_vectors(spark, sf), q(spark, sf), 3, 0.28, metadata=False, freshness=False, weight=1.0, parts=("keyword",))
+    return S.multi_query_merge(hits).select("seq", F.round("score", 5).alias("score"), F.array_join("queries", "|").alias("queries"))
+
+
 def _query_map(spark, sf):
     """Mapped queries of three metrics: every passage, dealt by its number."""
     b = table(spark, sf, "benchmark").select("item_id", "text")
@@ -218,7 +224,20 @@ def _(spark, sf):
     return S.fan_out_queries(_lined(spark, sf), _query_map(spark, sf))
 
 
-@query("f16_gathered_rows")
+def _asked(texts: str) -> str:
+    """The scored pairs for other query texts than the passages: ``texts`` selects query_id and query."""
+    return PAIRS.replace(I.QUERIES_SQL, f"queries AS (SELECT query_id, query, NULL::DOUBLE[] AS query_vector FROM ({texts}))")
+
+
+_KW = "(kb + sb + mb) * freshness_score"
+
+
+def _keyword_hits(texts: str, k: int) -> str:
+    return f"{_asked(texts)}, sc AS (SELECT *, {_KW} AS score FROM pr), found AS ({_RANK.format(src='sc', cond='round(score, 9) >= 0.01', k=k)})"
+
+
+@query("f16_gathered_rows", f"""WITH {_FAN}, {_keyword_hits('SELECT DISTINCT query AS query_id, query FROM fan', 5)}, o AS (SELECT snapshot, seq, min((pos, rank)) AS o FROM fan JOIN found ON found.query_id = fan.query GROUP BY 1, 2)
+SELECT snapshot, slot, seq FROM (SELECT *, row_number() OVER (PARTITION BY snapshot ORDER BY o, seq) AS slot FROM o) WHERE slot <= 8""")
 def _(spark, sf):
     fan = S.fan_out_queries(_lined(spark, sf), _query_map(spark, sf))
     texts = fan.select(F.col("query").alias("query_id"), "query").distinct()
@@ -226,6 +245,20 @@ def _(spark, sf):
     return S.gather_rows(fan, hits)
 
 
+_TERMS = "[" + ", ".join(map(lit, rules.BROAD_TERMS)) + "]"
+
+
+@query("f16_term_rows", f"""WITH {ALERTS}, tq AS (SELECT DISTINCT name AS query_id, name AS query, 3 AS wanted FROM alerts UNION ALL SELECT t, t, 2 FROM (SELECT unnest({_TERMS}) AS t) WHERE t NOT IN (SELECT name FROM alerts)),
+{_keyword_hits('SELECT query_id, query FROM tq', 3)} SELECT found.query_id, rank, seq, round(score, 5) AS score FROM found JOIN tq ON tq.query_id = found.query_id WHERE rank <= wanted""")
+def _(spark, sf):
+    return out(S.term_rows(rich(spark, sf), S.term_queries(alerts(spark, sf))))
+
+
+@query("f09_stored_rerank")
+def _(spark, sf):
+    return out(S.stored_search(rich(spark, sf), q(spark, sf)))
+
+
 # ---- F17 - F22 ----
 KEEP = ["category", "categories", "maturity_relevance", "serving_tier", "intent_labels", "freshness_score", "source_date"]
 

@@ -135,7 +135,10 @@ def provenance(rows: DataFrame, groups: DataFrame, model: str = "extraction_mode
 
 
 def pair_consistency(results: DataFrame, pairs: DataFrame, k: int = 5) -> DataFrame:
-    """Golden-pair check. ``results``: ``(query_id, rank, id, categories)``; ``pairs``: ``(pair_id, query_a, query_b)``."""
+    """Golden-pair check. ``results``: ``(query_id, rank, id, categories)``; ``pairs``: ``(pair_id, query_a, query_b,
+    should_merge)``. Pairs to merge should share results and categories, the others shouldn't; a category in common counts
+    half there. Queries without results count as empty.
+    """
     top = results.filter(F.col("rank") <= k).groupBy("query_id").agg(
         F.collect_set("id").alias("ids"), F.array_distinct(F.flatten(F.collect_list("categories"))).alias("cats"))
     a, b = [top.select(F.col("query_id").alias(f"query_{s}"), F.col("ids").alias(f"ids_{s}"), F.col("cats").alias(f"cats_{s}")) for s in "ab"]
@@ -145,11 +148,13 @@ def pair_consistency(results: DataFrame, pairs: DataFrame, k: int = 5) -> DataFr
         j = j.withColumn(c, F.coalesce(c, none.cast(f"array<{t}>")))
     both = (F.size("ids_a") > 0) & (F.size("ids_b") > 0)
     inter, union = F.size(F.array_intersect("ids_a", "ids_b")), F.size(F.array_union("ids_a", "ids_b"))
-    cat_union = F.size(F.array_union("cats_a", "cats_b"))
+    jaccard = inter / F.greatest(union, F.lit(1))
+    cats, merge = F.size(F.array_intersect("cats_a", "cats_b")), F.coalesce("should_merge", F.lit(False))
     return j.select(
-        "pair_id", both.alias("both_have_results"), inter.alias("overlap"),
-        F.when(union > 0, inter / union).otherwise(0.0).alias("jaccard"),
-        F.when(cat_union > 0, F.size(F.array_intersect("cats_a", "cats_b")) / cat_union).otherwise(0.0).alias("category_overlap"))
+        "pair_id", both.alias("both_have_results"), inter.alias("overlap"), jaccard.alias("jaccard"), cats.alias("category_overlap"),
+        (inter / F.greatest(F.size("ids_a"), F.size("ids_b"), F.lit(1))).alias("result_overlap"),
+        F.when(merge, jaccard).otherwise(1 - jaccard).alias("overlap_consistency"),
+        F.when(merge, F.when(cats > 0, 1.0).otherwise(0.0)).otherwise(F.when(cats == 0, 1.0).otherwise(0.5)).alias("category_consistency"))
 
 
 # ---- similar candidates by shared tokens ----

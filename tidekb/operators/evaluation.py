@@ -291,6 +291,17 @@ def synonym_metrics(results: DataFrame, golden: DataFrame, synonyms: DataFrame,
                     F.least(F.lit(1.0), F.coalesce("syn", F.lit(0.0)) / 10).alias("synonym_count_score"))
 
 
+def keyword_hit_rate(results: DataFrame, golden: DataFrame, k: int = 5) -> DataFrame:
+    """``(query_id, keyword_hit_rate)``: share of expected keywords that contain, or lie in, a keyword or synonym of the
+    first ``k`` results, whatever their case. 1 without expected keywords, 0 without results."""
+    terms = results.filter(F.col("rank") <= k).groupBy("query_id").agg(
+        F.transform(F.array_distinct(F.flatten(F.collect_list(F.concat(_arr("keywords"), _arr("synonyms"))))), F.lower).alias("terms"))  # of k rows
+    j = golden.select("query_id", _arr("expected_keywords").alias("want")).join(terms, "query_id", "left")
+    hit = F.filter("want", lambda w: F.exists("terms", lambda t: F.contains(t, F.lower(w)) | F.contains(F.lower(w), t)))
+    rate = F.when(F.size("want") == 0, 1.0).when(F.col("terms").isNull(), 0.0).otherwise(F.size(hit) / F.size("want"))
+    return j.select("query_id", rate.alias("keyword_hit_rate"))
+
+
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int, golden: DataFrame | None = None) -> DataFrame:
     """``n`` rows in the order of ``md5(seed|key)``: the same rows for any partitioning; golden labels attached where known."""
     s = df.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key).limit(n)

@@ -174,6 +174,17 @@ def composites(df: DataFrame, digits: int = 4) -> DataFrame:
     return df.withColumns({"composite_v2": total(rules.COMPOSITE_V2), "composite_v3": total(rules.COMPOSITE_V3)})
 
 
+def judged_composite(df: DataFrame, digits: int = 4) -> DataFrame:
+    """``composite_judged`` from the columns of ``composites`` and a judge's three columns, held to 0 to 5. Rows that lack
+    one of the judge's columns take ``composite_v2``."""
+    part = {c: F.greatest(F.lit(0.0), F.least(F.lit(float(rules.JUDGE_TOP)), F.col(c))) / rules.JUDGE_TOP if c in rules.JUDGE_COLUMNS else F.col(c) for c in rules.COMPOSITE_V2_JUDGED}
+    total = F.bround(sum((part[c] * w for c, w in rules.COMPOSITE_V2_JUDGED.items()), F.lit(0.0)), digits)
+    judged = F.lit(True)
+    for c in rules.JUDGE_COLUMNS:
+        judged = judged & F.col(c).isNotNull()
+    return df.withColumn("composite_judged", F.when(judged, total).otherwise(F.col("composite_v2")))
+
+
 # ---- J11 ----
 def structure_checks(df: DataFrame, text: str = "text") -> DataFrame:
     """The thirteen structure checks of a meeting-preparation report, one column each."""
@@ -312,8 +323,10 @@ def _dates(text: Column, report_date: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(full, ends, days, slashes), lambda d: d.isNotNull()))
 
 
-def source_section_scores(df: DataFrame, text: str = "text", date: str = "report_date", window: int = 30) -> DataFrame:
-    """Industry section: dates near the report date, distinct sources / 5, content lines / 15."""
+def source_section_scores(df: DataFrame, text: str = "text", date: str = "report_date", window: int = 30, aliases: dict[str, str] = rules.SOURCE_ALIASES) -> DataFrame:
+    """Industry section: dates near the report date, distinct sources / 5, content lines / 15. Names that ``aliases`` lists
+    count as their source."""
+    known = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]) if aliases else F.create_map().cast("map<string,string>")
     s2 = numbered_section(F.col(text), "2")
     df = df.withColumn("_s2", s2)
     rd = F.col(date).try_cast("date")
@@ -323,7 +336,7 @@ def source_section_scores(df: DataFrame, text: str = "text", date: str = "report
     cells = F.filter(cells, lambda c: (c != "") & ~c.isin("來源", "日期", "標題", "事件", "狀態", "更新名稱") & ~c.rlike(r"^[\d/\-~～–\s]+$"))
     heads = F.filter(F.transform(F.regexp_extract_all("_s2", F.lit("(?m)^### (.+)$"), F.lit(1)), lambda h: F.trim(h)), lambda h: ~h.isin("Google 官方更新", "業界報導"))
     paren = F.filter(F.transform(F.regexp_extract_all("_s2", F.lit(r"[（(]([^）)\n]{1,50})[）)]"), F.lit(1)), lambda x: F.trim(x)), lambda x: x.rlike("[A-Za-z]"))
-    names = F.array_distinct(F.transform(F.concat(cells, heads, paren), lambda n: F.lower(F.trim(n))))
+    names = F.array_distinct(F.transform(F.concat(cells, heads, paren), lambda n: F.coalesce(F.try_element_at(known, F.lower(F.trim(n))), F.lower(F.trim(n)))))
     content = F.filter(lines(F.col("_s2")), lambda x: (F.trim(x) != "") & ~x.startswith("#") & ~x.startswith("---") & ~x.startswith("|--"))
     fresh = F.size(F.filter("_d", lambda d: F.abs(F.datediff(d, rd)) <= window))
     return df.withColumns({

@@ -528,6 +528,28 @@ def gather_rows(fan: DataFrame, hits: DataFrame, by: str = "snapshot", gather: i
     return top_per_group(seen, by, [F.col("o").asc(), F.col("seq").asc()], min(gather, keep), "slot").select(by, "slot", "seq")
 
 
+def term_queries(alerts: DataFrame, terms: list[str] = rules.BROAD_TERMS, per_metric: int = 3, per_term: int = 2) -> DataFrame:
+    """``(query_id, query, wanted)``: the names of flagged metrics with three rows each, and the broad terms that are no
+    metric's name with two."""
+    names = alerts.select(F.col("name").alias("query")).distinct()
+    broad = alerts.sparkSession.createDataFrame([(t,) for t in terms], "query string").join(names, "query", "left_anti")
+    both = names.withColumn("wanted", F.lit(per_metric)).unionByName(broad.withColumn("wanted", F.lit(per_term)))
+    return both.select(F.col("query").alias("query_id"), "query", "wanted")
+
+
+def term_rows(corpus: DataFrame, asked: DataFrame, **options) -> DataFrame:
+    """Rows of each term of ``term_queries``: ``(query_id, rank, seq, score)`` of keyword searches, ``wanted`` of each."""
+    most = asked.agg(F.max("wanted")).first()[0] or 1
+    found = keyword_search(corpus, asked.select("query_id", "query"), most, **options)
+    return found.join(asked.select("query_id", "wanted"), "query_id").filter("rank <= wanted").drop("wanted")
+
+
+def stored_search(corpus: DataFrame, queries: DataFrame, k: int = 5, candidates: int | None = None) -> DataFrame:
+    """The stored keyword search with its diversity re-rank: rows with a positive score, ``candidates`` (3k) of each query."""
+    found = keyword_search(corpus, queries, candidates or k * rules.OVER_RETRIEVE, keep=RERANK_COLS, stored=True)
+    return diversify(found, queries, k)
+
+
 # ---- F17 - F22 ----
 def maturity_boost(hits: DataFrame, level: Column | str) -> DataFrame:
     want = col(level)
