@@ -242,14 +242,15 @@ def _(spark, sf):
 _NQ = "trim(regexp_replace(question, '\\s+', ' ', 'g'))"
 
 
-@query("b14_sync_curated", f"""WITH {I.KB}, raw AS (SELECT seq, source_collection AS source_file, replace(question, ' ', '  ') || ' ' AS question, upper(lang) AS answer, seq / 1000.0 AS confidence FROM kb WHERE lang <> 'de'),
+@query("b14_sync_curated", f"""WITH {I.KB}, raw AS (SELECT seq, source_collection AS source_file, CASE WHEN lang = 'de' THEN 'neu ' ELSE '' END || replace(question, ' ', '  ') || ' ' AS question, upper(lang) AS answer, seq / 1000.0 AS confidence FROM kb),
 cur AS (SELECT seq, source_collection AS source_file, question, answer, 0.5 AS confidence, CASE WHEN lang = 'de' AND length(answer) > 1000 THEN 'x' END AS rw FROM kb),
 r AS (SELECT source_file, {_NQ} AS nq, arg_max(answer, seq) AS ra, arg_max(confidence, seq) AS rc FROM raw GROUP BY 1, 2)
 SELECT seq, md5(coalesce(ra, answer)) AS answer, round(coalesce(rc, confidence)::DOUBLE, 4) AS confidence, CASE WHEN ra IS NOT NULL THEN 'matched' WHEN rw IS NOT NULL THEN 'preserved-rewritten' ELSE 'preserved-missing' END AS raw_sync_status,
  substr(sha256(cur.source_file || '::' || substr(question, 1, 120)), 1, 16) AS stable_id FROM cur LEFT JOIN r ON r.source_file = cur.source_file AND r.nq = {_NQ}""")
 def _(spark, sf):
     k = I.kb(spark, sf).withColumn("source_file", F.col("source_collection"))
-    raw = k.filter("lang <> 'de'").select("seq", "source_file", F.concat(F.replace("question", F.lit(" "), F.lit("  ")), F.lit(" ")).alias("question"), F.upper("lang").alias("answer"), (F.col("seq") / 1000).alias("confidence"))
+    changed = F.concat(F.when(F.col("lang") == "de", "neu ").otherwise(""), F.replace("question", F.lit(" "), F.lit("  ")), F.lit(" "))
+    raw = k.select("seq", "source_file", changed.alias("question"), F.upper("lang").alias("answer"), (F.col("seq") / 1000).alias("confidence"))
     cur = k.select("seq", "source_file", "question", "answer", F.lit(0.5).alias("confidence"), F.lit(None).cast("string").alias("stable_id"),
                    F.when((F.col("lang") == "de") & (F.length("answer") > 1000), "x").alias("quality_rewritten_from_phrase"))
     s = R.sync_curated(cur, raw, "seq", ["answer", "confidence"])
@@ -293,25 +294,27 @@ def _(spark, sf):
     return R.replace_source(merged_rows(spark, sf), "src3").select("seq", "action")
 
 
-@query("b18_add_unknown", "SELECT doc_id FROM documents WHERE lang = 'fr' OR md5(text) NOT IN (SELECT md5(text) FROM documents WHERE source IN ('src1','src2'))")
+@query("b18_add_unknown", "SELECT doc_id FROM documents WHERE lang = 'fr' OR md5(text) NOT IN (SELECT md5(text || CASE WHEN lang = 'es' THEN ' (old)' ELSE '' END) FROM documents)")
 def _(spark, sf):
     d = table(spark, sf, "documents")
     new = d.select("doc_id", F.when(F.col("lang") != "fr", F.md5("text")).alias("stable_id"))
-    return R.add_unknown(new, d.filter(F.col("source").isin("src1", "src2")).select(F.md5("text").alias("stable_id"))).select("doc_id")
+    known = d.select(F.md5(F.concat("text", F.when(F.col("lang") == "es", " (old)").otherwise(""))).alias("stable_id"))
+    return R.add_unknown(new, known).select("doc_id")
 
 
-@query("b20_snapshot_diff", """WITH b AS (SELECT DISTINCT md5(text) AS stable_id FROM documents WHERE lang <> 'en'), a AS (SELECT DISTINCT md5(text) AS stable_id FROM documents WHERE length(text) > 1000)
+@query("b20_snapshot_diff", """WITH b AS (SELECT DISTINCT md5(text) AS stable_id FROM documents), a AS (SELECT DISTINCT md5(text || CASE WHEN lang = 'en' THEN ' (new)' ELSE '' END) AS stable_id FROM documents)
 SELECT coalesce(a.stable_id, b.stable_id) AS stable_id, CASE WHEN b.stable_id IS NULL THEN 'added' ELSE 'removed' END AS change FROM b FULL JOIN a USING (stable_id) WHERE a.stable_id IS NULL OR b.stable_id IS NULL""".replace("USING (stable_id)", "ON a.stable_id = b.stable_id"))
 def _(spark, sf):
-    d = table(spark, sf, "documents").select(F.md5("text").alias("stable_id"), "lang", "text")
-    return R.snapshot_diff(d.filter("lang <> 'en'"), d.filter("length(text) > 1000"))
+    d = table(spark, sf, "documents")
+    after = d.select(F.md5(F.concat("text", F.when(F.col("lang") == "en", " (new)").otherwise(""))).alias("stable_id"))
+    return R.snapshot_diff(d.select(F.md5("text").alias("stable_id")), after)
 
 
-@query("b21_sync_diff", """SELECT coalesce(a.d, b.d) AS day, CASE WHEN b.d IS NULL THEN 'local-only' WHEN a.d IS NULL THEN 'remote-only' ELSE 'both' END AS side FROM (SELECT DISTINCT o_orderdate::DATE::VARCHAR AS d FROM orders WHERE o_orderpriority = '1-URGENT') a
-FULL JOIN (SELECT DISTINCT l_shipdate::DATE::VARCHAR AS d FROM lineitem WHERE l_returnflag = 'R') b ON a.d = b.d""")
+@query("b21_sync_diff", """SELECT coalesce(a.d, b.d) AS day, CASE WHEN b.d IS NULL THEN 'local-only' WHEN a.d IS NULL THEN 'remote-only' ELSE 'both' END AS side FROM (SELECT DISTINCT o_orderdate::DATE::VARCHAR AS d FROM orders) a
+FULL JOIN (SELECT DISTINCT l_shipdate::DATE::VARCHAR AS d FROM lineitem) b ON a.d = b.d""")
 def _(spark, sf):
-    a = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderdate").cast("date").cast("string").alias("day"))
-    b = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_shipdate").cast("date").cast("string").alias("day"))
+    a = table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").cast("string").alias("day"))
+    b = table(spark, sf, "lineitem").select(F.col("l_shipdate").cast("date").cast("string").alias("day"))
     return R.sync_diff(a, b, "day")
 
 

@@ -13,8 +13,8 @@ from tidekb.operators import enrich
 REF_DATE = "2002-01-01"
 
 
-#: Keywords of a stand-in row: all long words of its whole text.
-KEYWORD = r"[\p{L}]{10,}"
+#: Keywords of a stand-in row: all words of its whole text.
+KEYWORD = r"[\p{L}]{3,}"
 
 
 def kb(spark, sf) -> DataFrame:
@@ -30,7 +30,7 @@ def kb(spark, sf) -> DataFrame:
 
 KB = r"""kb AS (SELECT doc_id AS seq, source || '/' || doc_id || '.md' AS source_file, source AS source_collection, lang,
   split_part(text, '.', 1) AS question, text AS answer,
-  list_transform(list_sort(list_transform(list_distinct(regexp_extract_all(lower(text), '[\p{L}]{10,}')),
+  list_transform(list_sort(list_transform(list_distinct(regexp_extract_all(lower(text), '[\p{L}]{3,}')),
     lambda t: {'n': -length(t), 't': t})), lambda s: s.t) AS keywords FROM documents)"""
 
 

@@ -50,6 +50,11 @@ def _(spark, sf):
     return alerts(spark, sf).select("snapshot", "name", "value", "weekly", "monthly", "flag")
 
 
+@query("g02_zero_is_up", f"WITH {ALERTS.replace('coalesce(monthly,0) > 0', 'coalesce(monthly,0) >= 0')} SELECT snapshot, name, flag FROM alerts")
+def _(spark, sf):
+    return M.flag_alerts(I.metric_changes(spark, sf), I.CORE, zero_is_up=True).select("snapshot", "name", "flag")
+
+
 _HEALTH = ALERTS + """, h AS (SELECT snapshot, count(*) FILTER (flag='CORE' AND (coalesce(monthly,0) < -0.15 OR coalesce(weekly,0) < -0.2)) AS core_breached,
   count(*) FILTER (flag='ALERT_DOWN') AS other_down, count(*) FILTER (flag='CORE' AND coalesce(monthly,0) > 0) AS core_rising,
   count(*) FILTER (flag='CORE' AND coalesce(monthly,0) < 0) AS core_falling, count(*) FILTER (flag='CORE') AS core_total FROM alerts GROUP BY 1),

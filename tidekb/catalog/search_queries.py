@@ -69,18 +69,24 @@ def _(spark, sf):
 
 
 # ---- F3 - F9 in SQL ----
-def _hits(lst: str, half: bool = True) -> str:
-    return f"""coalesce(list_sum(list_transform({lst}, lambda x: CASE WHEN contains(ql, x) OR len(list_filter(qt, lambda t: contains(x, t))) > 0 OR len(list_filter(regexp_extract_all(x, '[^\\s]{{2,}}'), lambda t: contains(ql, t))) > 0 THEN 1.0
- WHEN length(x) >= 2 AND contains(ql, x[1:2]) THEN 0.5 ELSE 0.0 END)), 0.0)::DOUBLE"""
+_WEIGHT = """CASE WHEN contains(ql, x) OR len(list_filter(qt, lambda t: contains(x, t))) > 0 OR len(list_filter(regexp_extract_all(x, '[^\\s]{2,}'), lambda t: contains(ql, t))) > 0 THEN 1.0
+ WHEN length(x) >= 2 AND contains(ql, x[1:2]) THEN 0.5 ELSE 0.0 END"""
+
+
+def _hits(name: str, lst: str, src: str, queries: str, weight: str = _WEIGHT) -> str:
+    """(query_id, seq, h): the summed weights of a row's list entries, each distinct entry weighed once per query."""
+    return f"""{name}_w AS MATERIALIZED (SELECT query_id, x, w FROM (SELECT query_id, x, {weight} AS w FROM {queries}, (SELECT DISTINCT unnest({lst}) AS x FROM {src})) WHERE w > 0),
+{name} AS MATERIALIZED (SELECT query_id, seq, sum(w)::DOUBLE AS h FROM (SELECT seq, unnest({lst}) AS x FROM {src}) JOIN {name}_w USING (x) GROUP BY 1, 2)"""
 
 
 _Q0 = f"""{I.QUERIES_SQL}, q0 AS (SELECT query_id, query, query_vector::DOUBLE[] AS qv, lower(query) AS ql, list_distinct(regexp_extract_all(lower(query), '[^\\s]{{2,}}')) AS qt FROM queries),
 q1 AS (SELECT *, {s_labels('ql', rules.QUERY_CATEGORY_HINTS)} AS qc, {s_labels('ql', rules.QUERY_INTENT_HINTS)} AS qi, {s_labels('ql', rules.QUERY_SCENARIO_HINTS)} AS qs FROM q0)"""
 PAIRS = f"""{FULL}, {_Q0}, kbv AS MATERIALIZED (SELECT r.*, e.embedding::DOUBLE[] AS embedding, lower(retrieval_surface_text) AS sl, list_distinct(regexp_extract_all(lower(retrieval_surface_text), '[^\\s]{{2,}}')) AS st FROM rich r LEFT JOIN embeddings e ON vec_id = seq),
-pr AS (SELECT q1.*, kbv.*, coalesce(list_cosine_similarity(embedding, qv), 0) AS cos, 0.1::DOUBLE * least({_hits('keywords')}, 3.0::DOUBLE) AS kb,
+{_hits('kh', 'keywords', 'kbv', 'q1')}, {_hits('ph', 'retrieval_phrases', 'kbv', 'q1')},
+pr AS (SELECT q1.*, kbv.*, coalesce(list_cosine_similarity(embedding, qv), 0) AS cos, 0.1::DOUBLE * least(coalesce(kh.h, 0), 3.0::DOUBLE) AS kb,
  CASE WHEN len(list_filter(synonyms, lambda s: contains(ql, s) OR contains(s, ql))) > 0 THEN 0.05 ELSE 0 END::DOUBLE AS sb,
- 2.0::DOUBLE * (0.1::DOUBLE * least({_hits('retrieval_phrases')}, 3.0::DOUBLE)) + 0.03::DOUBLE * len(list_intersect(qt, st)) + 0.08::DOUBLE * len(list_intersect(qc, categories)) + 0.06::DOUBLE * len(list_intersect(qi, intent_labels)) + 0.05::DOUBLE * len(list_intersect(qs, scenario_tags))
- + 0.04::DOUBLE * len(list_filter(qt, lambda t: contains(sl, t))) + CASE serving_tier WHEN 'supporting' THEN 0.02 ELSE 0.08 END::DOUBLE - CASE WHEN len(list_filter(hard_negative_terms, lambda t: contains(ql, t))) > 0 THEN 0.05 ELSE 0 END::DOUBLE AS mb FROM q1, kbv)"""
+ 2.0::DOUBLE * (0.1::DOUBLE * least(coalesce(ph.h, 0), 3.0::DOUBLE)) + 0.03::DOUBLE * len(list_intersect(qt, st)) + 0.08::DOUBLE * len(list_intersect(qc, categories)) + 0.06::DOUBLE * len(list_intersect(qi, intent_labels)) + 0.05::DOUBLE * len(list_intersect(qs, scenario_tags))
+ + 0.04::DOUBLE * len(list_filter(qt, lambda t: contains(sl, t))) + CASE serving_tier WHEN 'supporting' THEN 0.02 ELSE 0.08 END::DOUBLE - CASE WHEN len(list_filter(hard_negative_terms, lambda t: contains(ql, t))) > 0 THEN 0.05 ELSE 0 END::DOUBLE AS mb FROM q1 CROSS JOIN kbv LEFT JOIN kh ON kh.query_id = q1.query_id AND kh.seq = kbv.seq LEFT JOIN ph ON ph.query_id = q1.query_id AND ph.seq = kbv.seq)"""
 
 
 def ranked(score: str, k: int, cond: str) -> str:
@@ -176,7 +182,11 @@ def _(spark, sf):
     return out(S.substring_search(I.kb(spark, sf), S.expand_query_text(q(spark, sf), I.base_synonyms(spark, sf)), 5))
 
 
-@query("f14_enriched_search", f"""WITH {FULL}, {I.QUERIES_SQL}, {_QQ}, s AS (SELECT query_id, seq, len(list_filter(list_concat(keywords, synonyms), lambda x: contains(ql, x) OR len(list_filter(qt, lambda t: contains(x, t))) > 0)) * freshness_score AS score FROM qq, rich), {_TOP.format(cond='score > 0', k=5)}""")
+_EITHER = "CASE WHEN contains(ql, x) OR len(list_filter(qt, lambda t: contains(x, t))) > 0 THEN 1 ELSE 0 END"
+
+
+@query("f14_enriched_search", f"""WITH {FULL}, {I.QUERIES_SQL}, {_QQ}, kw AS MATERIALIZED (SELECT seq, list_concat(keywords, synonyms) AS words, freshness_score FROM rich), {_hits('eh', 'words', 'kw', 'qq', _EITHER)},
+s AS (SELECT query_id, seq, h * freshness_score AS score FROM eh JOIN kw USING (seq)), {_TOP.format(cond='score > 0', k=5)}""")
 def _(spark, sf):
     return out(S.enriched_search(rich(spark, sf), q(spark, sf)))
 
