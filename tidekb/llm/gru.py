@@ -77,18 +77,26 @@ class Gru:
             h = new
         return out.transpose(0, 2, 1), h.T, (a, before, below)
 
+    def bounded(self) -> bool:
+        """Whether no logit can leave the range in which exponentials are safe; states lie between -1 and 1."""
+        p = self.p
+        return max(float((np.abs(p["wc"]).sum(0) + np.abs(p["bc"])).max()), float((np.abs(p["wo"]).sum(1) + np.abs(p["bo"])).max())) < 60
+
     def log_probs(self, hs: np.ndarray, targets: np.ndarray, grads: dict | None = None):
         """Natural log probability of each target; with ``grads`` adds the output layer's gradients and returns those of the states.
 
         Targets are put in order of their classes once; each class is a slice then, with words as the first axis.
         """
         p, size = self.p, self.members
+        safe = self.bounded()
         cls = (targets // size).astype(np.int16)
         order = np.argsort(cls, kind="stable")
         cls, word = cls[order].astype(np.int64), (targets % size)[order]
         x, rows = hs[order], np.arange(len(hs))
-        logits = p["wc"].T @ x.T + p["bc"][:, None]
-        logits -= logits.max(0)
+        logits = p["wc"].T @ x.T
+        logits += p["bc"][:, None]
+        if not safe:
+            logits -= logits.max(0)
         got = logits[cls, rows]
         np.exp(logits, out=logits)
         total = logits.sum(0)
@@ -104,8 +112,10 @@ class Gru:
         for c in np.flatnonzero(edges[1:] > edges[:-1]):
             lo, hi = edges[c], edges[c + 1]
             own, at = word[lo:hi], np.arange(hi - lo)
-            logits = p["wo"][c].T @ x[lo:hi].T + p["bo"][c][:, None]
-            logits -= logits.max(0)
+            logits = p["wo"][c].T @ x[lo:hi].T
+            logits += p["bo"][c][:, None]
+            if not safe:
+                logits -= logits.max(0)
             chosen = logits[own, at]
             np.exp(logits, out=logits)
             total = logits.sum(0)

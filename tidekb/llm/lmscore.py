@@ -89,9 +89,18 @@ def frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
     return {bytes(r["token"]): r["n"] for r in sorted(rows, key=lambda r: (-r["n"], bytes(r["token"])))}
 
 
-def encode(ws: list[bytes], words: dict[bytes, int]) -> np.ndarray:
-    get = words.get
-    return np.array([*[get(w, UNKNOWN) for w in ws], END], np.int32)
+class Places(dict):
+    """Token -> place; ``other`` for any other token."""
+
+    def __init__(self, places: dict[bytes, int], other: int):
+        super().__init__(places)
+        self.other = other
+
+    def __missing__(self, token: bytes) -> int:
+        return self.other
+
+    def of(self, ws: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, ws), np.int32, len(ws))
 
 
 def fit(docs: DataFrame, training: Column, text: str = "text", key: str = "doc_id", classes: int = 32, members: int = 48, inputs: int = 16, hidden: int = 24, head: int = 100_000, rounds: int = 3, fraction: float = 1.0, rate: float = 0.01, seed: int = 5) -> LanguageModel:
@@ -136,10 +145,11 @@ def _round(spark, docs: DataFrame, shape, words, weights: np.ndarray, rate: floa
         words, start = given.value
         model = Gru(*shape)
         model.load(start)
+        places = Places(words, UNKNOWN)
         opt, held, n, waiting = None, [], 0, 0
         for b in batches:
             for t in b.column(0):
-                held.append(encode(tokens(t.as_py()), words))
+                held.append(np.append(places.of(tokens(t.as_py())), np.int32(END)))
                 n, waiting = n + len(held[-1]), waiting + len(held[-1])
                 if waiting >= tokens_at_once:
                     opt = train(model, held, rate, opt=opt)
@@ -180,23 +190,37 @@ def score_texts(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text
         head, words, weights, ends = given.value
         net = Gru(*shape)
         net.load(weights)
-        place = {w: i for i, w in enumerate(head)}
+        place = Places({w: i for i, w in enumerate(head)}, -1)
         n_words = len(words)
-        logs = np.log10(np.array([*head.values(), 0], np.float64) + 1)
+        logs = np.log10(np.array([*head.values(), 0], np.float64) + 1)  # the last one is that of no token
+
+        def look_up(texts):
+            """Ids of each text for the network, and the columns that counts give."""
+            split = [tokens(t.as_py()) for t in texts]
+            size = np.array([len(ws) for ws in split], np.int64)
+            at = np.concatenate([place.of(ws) for ws in split]) if split else np.zeros(0, np.int32)
+            doc, other = np.repeat(np.arange(len(split)), size), (at < 0) | (at >= n_words)
+            sums = lambda w: np.bincount(doc, weights=w, minlength=len(split))
+            log = logs[at]
+            cols = [size + 1, sums(at >= 0).astype(np.int64) + (ends > 0), sums(log) + math.log10(ends + 1), sums(other).astype(np.int64), sums(np.where(other, log, 0.0))]
+            rare = at < 0
+            ends_at = np.cumsum(size)
+            ids = np.insert(np.where(other, UNKNOWN, at + 2), ends_at, END).astype(np.int32)
+            first = ends_at - size
+            tails: list[list] = [[] for _ in split]
+            for k in np.unique(doc[rare]).tolist():
+                own = np.flatnonzero(rare[first[k] : ends_at[k]])
+                tails[k] = [{"token": w, "m": m} for w, m in Counter(split[k][j] for j in own).items()]
+            return np.split(ids, (ends_at + np.arange(1, len(split) + 1))[:-1]), cols, tails
+
         for batch in batches:
             for at in range(0, batch.num_rows, 10_000):
                 b = batch.slice(at, 10_000)
-                ids, rows, tails = [], [], []
-                for t in b.column(1):
-                    ws = tokens(t.as_py())
-                    i = np.fromiter([place.get(w, -1) for w in ws], np.int32, len(ws))
-                    other = (i < 0) | (i >= n_words)
-                    ids.append(np.append(np.where(other, UNKNOWN, i + 2), END).astype(np.int32))
-                    known = int((i >= 0).sum())
-                    rows.append((len(ws) + 1, known + (ends > 0), float(logs[i[i >= 0]].sum() + math.log10(ends + 1)), int(other.sum()), float(logs[i[i >= n_words]].sum())))
-                    tails.append([{"token": w, "m": m} for w, m in Counter(ws[j] for j in np.flatnonzero(i < 0)).items()])
-                cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.float64()), pa.array(score(net, ids) / math.log(10)), pa.array(tails, tail_t)], names)
+                parts = [look_up(b.column(1).slice(lo, 1_000)) for lo in range(0, b.num_rows, 1_000)]
+                ids = [x for p in parts for x in p[0]]
+                cols = [np.concatenate([p[1][k] for p in parts]) for k in range(5)]
+                tails = [x for p in parts for x in p[2]]
+                yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, cols), pa.array(score(net, ids) / math.log(10)), pa.array(tails, tail_t)], names)
 
     scored = docs.select(F.col(key).alias("k"), F.col(text).cast("binary")).mapInArrow(run, f"k {kind}, n_tokens long, known long, head_log double, n_other long, other_log double, gru_log double, tail array<struct<token:binary,m:bigint>>")
     scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
