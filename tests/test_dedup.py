@@ -140,6 +140,21 @@ def test_top_overlap_pairs_brute_force(spark, seed):
     assert sorted(got) == sorted(want)
 
 
+def test_top_overlap_pairs_with_a_token_in_most_sets(spark):
+    """Small blocks, one token in nine sets of ten, copies on both sides, too few pairs, empty sides."""
+    rnd = random.Random(8)
+    make = lambda n, o: [(o + i, rnd.sample([f"t{k}" for k in range(60)], rnd.randint(1, 20)) + (["every"] if rnd.random() < 0.9 else [])) for i in range(n)]
+    a, b = make(70, 0), make(90, 1000)
+    b += [(3000 + i, a[3][1]) for i in range(7)]
+    pairs = sorted((-len(set(x) & set(y)), i, j) for i, x in a for j, y in b)
+    mk = lambda rows: spark.createDataFrame(rows, "seq long, toks array<string>")
+    for top in (3, 40):
+        got = [(-r["overlap"], r["new_seq"], r["existing_seq"]) for r in D.top_overlap_pairs(mk(a), mk(b), "seq", "toks", top=top, block_rows=16).collect()]
+        assert got == [p for p in pairs if p[0] <= -2][:top]
+    assert D.top_overlap_pairs(mk([(1, ["x", "y"])]), mk([(2, ["x"])]), "seq", "toks").collect() == []
+    assert D.top_overlap_pairs(mk([]), mk(b), "seq", "toks").collect() == []
+
+
 def test_merge_takes_longest_and_two_supplements(spark):
     rows = [(1, "i1", "q1", "short one", ["A", "b"]), (2, "i2", "q2", "a much longer base answer", ["B", "c"]), (3, "i3", "q3", "base answer", ["d"]), (4, "i4", "q4", "other text here", ["e"]), (5, "i5", "q5", "tiny", ["f"])]
     df = spark.createDataFrame([(*r, "f", "2024-01-01") for r in rows], "seq long, stable_id string, question string, answer string, keywords array<string>, source_file string, source_date string")

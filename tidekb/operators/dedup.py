@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidekb.functions.blas import one_thread
+from tidekb.functions.blockstore import Reader, dealt, from_ipc, to_ipc, write_blocks
 from tidekb.functions.layout import join_spread
-from tidekb.functions.ranking import top_per_group
+from tidekb.functions.ranking import positions, top_per_group
 from tidekb.functions.vectors import DIM, text_vectors
 from tidekb.operators.neighbours import greedy_leaders, neighbour_summary, vector_blocks
-from tidekb.session import cut_lineage, written
+from tidekb.session import written
 
 THRESHOLD = 0.88
 BLOCK_ROWS = 1024
+OVERLAP_ROWS, OVERLAP_BUCKETS = 1024, 8192
 
 
 def collapse_copies(df: DataFrame, seq: str, collection: str, text: str) -> DataFrame:
@@ -165,36 +168,78 @@ def _distinct_sets(df: DataFrame, seq: str, tokens: str, keep: int) -> DataFrame
     return firsts.groupBy("set_id").agg(F.first("toks").alias("toks"), F.array_sort(F.collect_list("seq")).alias("seqs")).filter(F.size("toks") > 0)
 
 
-def top_overlap_pairs(new: DataFrame, existing: DataFrame, seq: str, tokens: str, at_least: int = 2, top: int = 5) -> DataFrame:
-    """The ``top`` (new, existing) pairs by number of shared tokens, at least ``at_least``.
+def top_overlap_pairs(new: DataFrame, existing: DataFrame, seq: str, tokens: str, at_least: int = 2, top: int = 5, block_rows: int = OVERLAP_ROWS) -> DataFrame:
+    """The ``top`` (new, existing) pairs by number of shared tokens, at least ``at_least``: ``(overlap, new_seq, existing_seq)``.
 
-    Two sets that share T tokens also share one among the n-T+1 rarest of each. The search starts at a high T,
-    where only a few rare tokens of each set take part in the join, and halves T until enough pairs are found, so
-    frequent tokens are joined only if nothing better exists. Identical sets count once.
+    A rank join: sets are ordered by size and packed into blocks; no pair of two blocks shares more tokens than the smaller
+    of their largest sets. The blocks of equal place are compared first and give a threshold, the others follow only if
+    their bound reaches it. Inside a pair of blocks, counts of hashed tokens bound all overlaps at once, and pairs of sets
+    are counted exactly in falling order of that bound until it passes the best ``top`` so far. A token that most sets
+    carry costs no more than a rare one. Identical sets count once.
     """
-    a, b = _distinct_sets(new, seq, tokens, top), _distinct_sets(existing, seq, tokens, top)
-    spread_a, spread_b = (x.select("set_id", "seqs", "toks", F.explode("toks").alias("token")) for x in (a, b))
-    df = spread_a.select("token").unionByName(spread_b.select("token")).groupBy("token").agg(F.count("*").alias("df"))
-
-    def by_rarity(x):
-        j = x.select("set_id", "token").join(df, "token").groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
-        return j.select("set_id", F.col("r.token").alias("rare"))
-
-    a = cut_lineage(a.join(by_rarity(spread_a), "set_id"))
-    b = cut_lineage(b.join(by_rarity(spread_b), "set_id"))
-    widest = [x.agg(F.max(F.size("toks")).alias("m")).first()["m"] or 0 for x in (a, b)]
-    t = max(at_least, min(widest))
-    while True:
-        def prefix(x, side):
-            head = F.slice("rare", F.lit(1), F.size("rare") - t + 1)
-            return x.filter(F.size("rare") >= t).select(F.col("set_id").alias(f"{side}_id"), F.explode(head).alias("token"))
-
-        ids = prefix(a, "a").join(prefix(b, "b"), "token").select("a_id", "b_id").distinct()
-        pairs = ids.join(a.select(F.col("set_id").alias("a_id"), F.col("toks").alias("ta"), F.col("seqs").alias("sa")), "a_id").join(
-            b.select(F.col("set_id").alias("b_id"), F.col("toks").alias("tb"), F.col("seqs").alias("sb")), "b_id")
-        pairs = pairs.withColumn("overlap", F.size(F.array_intersect("ta", "tb"))).filter(F.col("overlap") >= t)
-        rows = pairs.select("overlap", F.explode("sa").alias("new_seq"), "sb").select("overlap", "new_seq", F.explode("sb").alias("existing_seq"))
-        best = rows.orderBy(F.desc("overlap"), "new_seq", "existing_seq").limit(top)
-        if t <= at_least or len(best.take(top)) == top:
-            return best
-        t = max(at_least, math.floor(t / 2))
+    sides = []
+    for side, df in (("a", new), ("b", existing)):
+        sets = written(_distinct_sets(df, seq, tokens, top).select("set_id", "toks", "seqs", (-F.size("toks")).alias("order")), "sets")
+        placed = positions(sets, ["order", "set_id"], name="place").withColumn("block", F.expr(f"place div {block_rows}"))
+        placed = placed.select("block", "place", "toks", F.transform("toks", lambda t: F.xxhash64(t)).alias("marks"), "seqs")
+        index = write_blocks(placed, ["block"], ["place"], lambda t: (to_ipc(t), {"widest": max(map(len, t["toks"].to_pylist()))}), "widest long", "sets")
+        sides.append(index.select(*[F.col(c).alias(f"{c}_{side}") for c in index.columns]))
+    a, b = sides
+    n = b.count()
+    parts = max(1, -(-n // 256))
+    a = a.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    pairs = a.join(b.withColumn("part", F.pmod(F.col("block_b"), F.lit(parts)).cast("int")), "part").drop("part")
+    pairs = written(pairs.withColumn("bound", F.least("widest_a", "widest_b")).filter(F.col("bound") >= at_least), "pairs")
+    best = None
+    for wave in ("block_a = block_b", "block_a <> block_b"):
+        least = at_least
+        if best is not None:
+            low = best.agg(F.min("overlap").alias("o"), F.count("*").alias("n")).first()
+            least = max(least, low["o"]) if low["n"] == top else least
+        work = pairs.filter(wave).filter(F.col("bound") >= least)
+        items = dealt(work, ["block_a", "block_b"], work.count(), 8).sortWithinPartitions(F.desc("bound"), "block_a", "block_b")
+        found = items.mapInArrow(_overlaps(least, top), "overlap int, new_seq long, existing_seq long")
+        both = found if best is None else found.unionByName(best)
+        best = written(both.orderBy(F.desc("overlap"), "new_seq", "existing_seq").limit(top), "best")
+    return best.orderBy(F.desc("overlap"), "new_seq", "existing_seq")
+
+
+class _Sets:
+    """A block of sets: the sets, their rows, and how many of their tokens fall into each hash bucket."""
+
+    def __init__(self, block: bytes):
+        t = from_ipc(block)
+        self.sets, self.seqs = [set(x) for x in t["toks"].to_pylist()], t["seqs"].to_pylist()
+        marks = t["marks"].combine_chunks()
+        owner = np.repeat(np.arange(len(self.sets)), np.diff(np.asarray(marks.offsets)))
+        cells = owner * OVERLAP_BUCKETS + (np.asarray(marks.flatten()) & (OVERLAP_BUCKETS - 1))
+        self.counts = np.bincount(cells, minlength=len(self.sets) * OVERLAP_BUCKETS).astype(np.float32).reshape(len(self.sets), -1)
+
+
+def _overlaps(least: int, top: int):
+    def run(batches):
+        one_thread()
+        first, second = Reader(_Sets, 1), Reader(_Sets, 1)
+        best: list[tuple] = []  # (-overlap, new row, existing row)
+        for batch in batches:
+            for p in batch.to_pylist():
+                floor = max(least, -best[-1][0]) if len(best) == top else least
+                if p["bound"] < floor:
+                    continue
+                a = first.get(p["file_a"], p["offset_a"], p["bytes_a"])
+                b = second.get(p["file_b"], p["offset_b"], p["bytes_b"])
+                most = a.counts @ b.counts.T  # at least the overlap: shared tokens fall into the same bucket
+                rows, cols = np.nonzero(most >= floor)
+                bound = most[rows, cols]
+                for k in np.argsort(-bound, kind="stable"):
+                    if bound[k] < floor:
+                        break
+                    i, j = rows[k], cols[k]
+                    n = len(a.sets[i] & b.sets[j])
+                    if n >= floor:
+                        best = sorted(best + [(-n, x, y) for x in a.seqs[i] for y in b.seqs[j]])[:top]
+                        floor = max(least, -best[-1][0]) if len(best) == top else least
+        cols = list(zip(*best)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array([-n for n in cols[0]], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["overlap", "new_seq", "existing_seq"])
+
+    return run
