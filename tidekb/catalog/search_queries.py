@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidekb import rules
@@ -51,21 +52,35 @@ def _(spark, sf):
     return out(S.vector_search(vectors(spark, sf), q(spark, sf).withColumn("category", F.col("expected_categories")[0]), 5, by_category=True))
 
 
-def _clusters(spark, sf):
+def _lists(spark, sf):
+    """The trained lists (a bounded table) and the inverted file over them, both built once."""
     v = vectors(spark, sf)
-    cent = S.train_clusters(v, 50)
-    return v, cent, S.probe_search(S.assign_clusters(v, cent), q(spark, sf), cent, 5)
+
+    def train():
+        return spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(S.train_clusters(v, 50))], "cluster long, centre array<double>")
+
+    rows = stored(spark, sf, "list_centres", train).orderBy("cluster").collect()  # 50 rows
+    centres = np.array([r["centre"] for r in rows])
+    return v, centres, stored(spark, sf, "inverted_file", lambda: S.inverted_file(v, centres))
 
 
 @query("f02_probe_search")
 def _(spark, sf):
-    return out(_clusters(spark, sf)[2])
+    v, centres, index = _lists(spark, sf)
+    return out(S.probe_search(index, v.schema, q(spark, sf), centres, 5))
 
 
 @query("f02_probe_recall")
 def _(spark, sf):
-    v, _, approx = _clusters(spark, sf)
-    return S.recall_against(S.vector_search(v, q(spark, sf), 5), approx)
+    v, centres, index = _lists(spark, sf)
+    return S.recall_against(S.vector_search(v, q(spark, sf), 5), S.probe_search(index, v.schema, q(spark, sf), centres, 5))
+
+
+# what is exact about the search: with all lists probed it is the full search
+@query("f02_all_lists", f"WITH {_V}, r AS ({_RANK.format(src='s', cond='score > 0', k=5)}) SELECT query_id, rank, seq, round(score, 5) AS score FROM r")
+def _(spark, sf):
+    v, centres, index = _lists(spark, sf)
+    return out(S.probe_search(index, v.schema, q(spark, sf), centres, 5, probes=len(centres)))
 
 
 # ---- F3 - F9 in SQL ----

@@ -23,6 +23,7 @@ from tidekb.functions.ranking import top_per_group
 from tidekb.functions.scoring import WORD, MetadataScore, QueryTexts, TermIndex, cosine, infer_labels, words_of
 from tidekb.functions.text import col
 from tidekb.functions.vectors import unit_rows
+from tidekb.session import written
 
 QUERY_BATCH_ROWS = 2048
 QUERY_BATCH_CHARS = 4_000_000
@@ -74,14 +75,26 @@ def top_k(corpus: DataFrame, queries: DataFrame, columns: list[str], make_scorer
     column reader of a corpus block and returns rows x queries. A task holds one block of each and the best k rows of
     the block's queries, whatever the sizes of the tables; only those are shuffled. Nothing passes through the driver.
     """
-    wide = list(dict.fromkeys(["seq", *needs, *keep]))
-    source = spread(corpus.select(*wide), "seq")
-    extra = [c for c in keep if c != "seq"]
-    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), source.schema["seq"],
-                           T.StructField("score", T.DoubleType()), *[source.schema[c] for c in extra]])
-    arrow_schema = to_arrow_schema(schema)
+    source = spread(corpus.select(*dict.fromkeys(["seq", *needs, *keep])), "seq")
     asked = query_blocks(queries, ["query_id", *columns], max_rows)
     stored = write_rows(source, CORPUS_BLOCK_ROWS, "corpus")
+    ask = asked.select("qblock", *[F.col(c).alias(f"q{c}") for c in ("file", "offset", "bytes")])
+    n, m = stored.count(), asked.count()
+    parts = max(1, -(-n // BLOCKS_PER_SCORER), min(n, int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    # every query block meets every part of the corpus; both indexes hold places only
+    grid = stored.withColumn("part", F.pmod(F.xxhash64("file", "offset"), F.lit(parts)))
+    ask = ask.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    items = dealt(grid.join(ask, "part"), ["qblock", "part"], n * m, BLOCKS_PER_SCORER)
+    return score_items(items, queries.schema["query_id"], source.schema, make_scorer, k, keep, min_score, strict)
+
+
+def score_items(items: DataFrame, query_id: T.StructField, fields: T.StructType, make_scorer, k: int, keep: list[str] = (),
+                min_score: float = float("-inf"), strict: bool = False) -> DataFrame:
+    """The best k rows per query over work items (qblock, qfile, qoffset, qbytes, file, offset, bytes), each a query block
+    that meets a row block. A query may be in several query blocks, but meets a row once."""
+    extra = [c for c in keep if c != "seq"]
+    schema = T.StructType([T.StructField("query_id", query_id.dataType), fields["seq"], T.StructField("score", T.DoubleType()), *[fields[c] for c in extra]])
+    arrow_schema = to_arrow_schema(schema)
 
     def scan(batches):
         one_thread()
@@ -116,13 +129,6 @@ def top_k(corpus: DataFrame, queries: DataFrame, columns: list[str], make_scorer
                 pool.add(q[pick], score[pick], rows.take(pa.array(row[pick])))
         yield from flush()
 
-    ask = asked.select("qblock", *[F.col(c).alias(f"q{c}") for c in ("file", "offset", "bytes")])
-    n, m = stored.count(), asked.count()
-    parts = max(1, -(-n // BLOCKS_PER_SCORER), min(n, int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    # every query block meets every part of the corpus; both indexes hold places only
-    grid = stored.withColumn("part", F.pmod(F.xxhash64("file", "offset"), F.lit(parts)))
-    ask = ask.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    items = dealt(grid.join(ask, "part"), ["qblock", "part"], n * m, BLOCKS_PER_SCORER)
     found = items.sortWithinPartitions("qblock", "file", "offset").mapInArrow(scan, schema)
     return top_per_group(found, "query_id", [F.desc("score"), F.asc("seq")], k)
 
@@ -161,42 +167,53 @@ def train_clusters(corpus: DataFrame, lists: int = 50, seed: int = 7) -> np.ndar
     return np.array(model.clusterCenters())
 
 
-def assign_clusters(corpus: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """Nearest centroid per row as column ``cluster``; write ``partitionBy('cluster')`` to prune whole lists."""
-    fields = T.StructType([*corpus.schema.fields, T.StructField("cluster", T.IntegerType())])
+def _nearest(centroids: np.ndarray, vectors, n: int) -> np.ndarray:
+    """The n nearest lists of each vector, best first."""
+    x = unit_rows(vectors, centroids.shape[1])
+    return np.argsort((centroids**2).sum(axis=1)[None, :] - 2 * x @ centroids.T, axis=1, kind="stable")[:, :n]
+
+
+def _with_lists(df: DataFrame, vector: str, centroids: np.ndarray, n: int) -> DataFrame:
+    """Every row once for each of its n nearest lists, column ``cluster``."""
+    fields = T.StructType([*df.schema.fields, T.StructField("cluster", T.LongType())])
+    at = df.columns.index(vector)
 
     def assign(batches):
+        one_thread()
         for rb in batches:
-            m = unit_rows(rb.column(rb.schema.get_field_index("embedding")).to_pylist(), centroids.shape[1])
-            d = (centroids**2).sum(axis=1)[None, :] - 2 * m @ centroids.T
-            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(d.argmin(axis=1).astype(np.int32))], names=[*rb.schema.names, "cluster"])
+            near = _nearest(centroids, rb.column(at).to_pylist(), n)
+            rows = pa.array(np.repeat(np.arange(rb.num_rows), near.shape[1]))
+            yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in rb.columns), pa.array(near.reshape(-1).astype(np.int64))], names=[*rb.schema.names, "cluster"])
 
-    return corpus.filter(F.col("embedding").isNotNull()).mapInArrow(assign, fields)
+    return df.filter(F.col(vector).isNotNull()).mapInArrow(assign, fields)
 
 
-def probe_search(clustered: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int, probes: int = 5, keep: list[str] = ()) -> DataFrame:
-    """Approximate top-k: each query looks only at rows of its ``probes`` nearest clusters."""
+def _listed(df: DataFrame, rows: int, name: str) -> DataFrame:
+    """Blocks of at most about ``rows`` rows per list; a list of any size is many blocks."""
+    sizes = df.groupBy("cluster").agg(F.ceil(F.count("*") / rows).alias("_parts"))
+    key = df.columns[0]
+    cut = df.join(sizes, "cluster").withColumn("part", F.pmod(F.xxhash64(key), F.col("_parts"))).drop("_parts")
+    return write_blocks(cut, ["cluster", "part"], [key], lambda t: (to_ipc(t.drop_columns(["cluster", "part"])), {}), "", name)
 
-    def make(batch):
-        qv = unit_rows(batch["query_vector"], centroids.shape[1])
-        near = np.argsort((centroids**2).sum(axis=1)[None, :] - 2 * qv @ centroids.T, axis=1)[:, :probes]
-        asking: dict[int, list[int]] = {}
-        for q, cs in enumerate(near):
-            for c in cs:
-                asking.setdefault(int(c), []).append(q)
 
-        def score(read):
-            cluster, rows = np.asarray(read("cluster")), read("embedding")
-            out = np.full((len(cluster), len(qv)), -1.0)
-            for c in np.unique(cluster):
-                if int(c) in asking:  # rows of a cluster meet only the queries that probe it
-                    at, q = np.flatnonzero(cluster == c), asking[int(c)]
-                    out[np.ix_(at, q)] = cosine(qv[q], [rows[i] for i in at])
-            return out
+def inverted_file(corpus: DataFrame, centroids: np.ndarray, keep: list[str] = (), rows: int = CORPUS_BLOCK_ROWS) -> DataFrame:
+    """The index of an inverted file: every row of ``corpus`` in the blocks of its nearest list. Searches read the blocks of
+    the lists that they probe and no others."""
+    kept = corpus.select("seq", "embedding", *[c for c in keep if c != "seq"])
+    return _listed(written(_with_lists(kept, "embedding", centroids, 1), "assigned"), rows, "lists")
 
-        return score
 
-    return top_k(clustered, queries, ["query_vector"], make, k, ["embedding", "cluster"], keep, 0.0, strict=True)
+def probe_search(index: DataFrame, fields: T.StructType, queries: DataFrame, centroids: np.ndarray, k: int, probes: int = 5, keep: list[str] = ()) -> DataFrame:
+    """Approximate top-k: each query looks only at rows of its ``probes`` nearest lists.
+
+    ``index``: of ``inverted_file``; ``fields``: the corpus's schema. Queries are grouped into blocks by the lists that they
+    probe, and joined with the lists' blocks by list.
+    """
+    asked = _listed(written(_with_lists(queries.select("query_id", "query_vector"), "query_vector", centroids, probes), "probes"), QUERY_BATCH_ROWS, "probes")
+    asked = asked.select("cluster", F.xxhash64("cluster", "part").alias("qblock"), *[F.col(c).alias(f"q{c}") for c in ("file", "offset", "bytes")])
+    work = written(index.drop("part").join(asked, "cluster"), "items")
+    items = dealt(work, ["qblock", F.expr("offset % 7")], work.count(), BLOCKS_PER_SCORER)
+    return score_items(items, queries.schema["query_id"], fields, _vector_scorer, k, keep, 0.0, strict=True)
 
 
 def recall_against(exact: DataFrame, approx: DataFrame) -> DataFrame:
