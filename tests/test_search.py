@@ -1,4 +1,6 @@
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidekb import rules
 from tidekb.functions import scoring
@@ -131,3 +133,32 @@ def test_search_without_queries_is_empty_and_many_batches_agree(spark):
         assert sorted(map(tuple, S.naive_search(rows, qs).collect())) == want
     finally:
         S.top_k.__defaults__ = old
+
+
+def test_inverted_file_probes_and_hot_list(spark):
+    """Most rows in one list, blocks of few rows; all lists probed give the full search, few lists a part of it."""
+    rng = np.random.default_rng(3)
+    rows = [(i, (np.eye(8)[0 if i % 10 else i // 10 % 8] + 0.2 * rng.standard_normal(8)).tolist(), "c") for i in range(600)] + [(900, None, "c"), (901, [0.0] * 8, "c")]
+    kb = spark.createDataFrame(rows, "seq long, embedding array<double>, category string")
+    qs = spark.createDataFrame([(i, rng.standard_normal(8).tolist()) for i in range(25)], "query_id long, query_vector array<double>")
+    centres = np.eye(8)
+    index = S.inverted_file(kb, centres, keep=["category"], rows=50)
+    key = lambda d: sorted((r["query_id"], r["rank"], r["seq"], round(r["score"], 9)) for r in d.collect())
+    full = S.vector_search(kb, qs, 4)
+    assert key(S.probe_search(index, kb.schema, qs, centres, 4, 8)) == key(full)
+    part = S.probe_search(index, kb.schema, qs, centres, 4, 2, keep=["category"])
+    recall = S.recall_against(full, part).agg(F.avg("recall")).first()[0]
+    assert 0.3 < recall < 1 and {r["category"] for r in part.collect()} == {"c"}
+    assert S.probe_search(index, kb.schema, qs.filter("query_id < 0"), centres, 4).collect() == []
+
+
+def test_five_thousand_queries(spark):
+    """Many query blocks against the rows: the same as a plain scan."""
+    rng = np.random.default_rng(5)
+    x, q = rng.standard_normal((300, 6)), rng.standard_normal((5000, 6))
+    kb = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "seq long, embedding array<double>")
+    qs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id long, query_vector array<double>")
+    cos = np.round((q / np.linalg.norm(q, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, S.SCORE_DIGITS)
+    got = {(r["query_id"], r["rank"]): r["seq"] for r in S.vector_search(kb, qs, 2).collect()}
+    want = {(i, k + 1): j for i in range(5000) for k, j in enumerate(np.lexsort((np.arange(300), -cos[i]))[:2])}
+    assert got == want

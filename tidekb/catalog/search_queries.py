@@ -64,16 +64,20 @@ def _lists(spark, sf):
     return v, centres, stored(spark, sf, "inverted_file", lambda: S.inverted_file(v, centres))
 
 
+#: Lists probed of 50: the least multiple of 5 with a recall of 0.9 on these vectors, which hardly cluster.
+PROBES = 20
+
+
 @query("f02_probe_search")
 def _(spark, sf):
     v, centres, index = _lists(spark, sf)
-    return out(S.probe_search(index, v.schema, q(spark, sf), centres, 5))
+    return out(S.probe_search(index, v.schema, q(spark, sf), centres, 5, PROBES))
 
 
 @query("f02_probe_recall")
 def _(spark, sf):
     v, centres, index = _lists(spark, sf)
-    return S.recall_against(S.vector_search(v, q(spark, sf), 5), S.probe_search(index, v.schema, q(spark, sf), centres, 5))
+    return S.recall_against(S.vector_search(v, q(spark, sf), 5), S.probe_search(index, v.schema, q(spark, sf), centres, 5, PROBES))
 
 
 # what is exact about the search: with all lists probed it is the full search
