@@ -7,6 +7,7 @@ from tidekb.sources import corpus as C
 from tidekb.sources import sheets as S
 from tidekb.sources import tables as W
 from tidekb.streaming import jobs as J
+from tidekb.streaming import versions
 
 
 def test_markdown_files(spark, tmp_path):
@@ -109,5 +110,40 @@ def test_upsert_sink_is_idempotent(spark, tmp_path):
     for batch, i in ((a, 0), (b, 1), (b, 1), (a, 0)):
         write(batch, i)
     assert {tuple(r) for r in J.read_upserted(spark, str(tmp_path / "t"), "id", "version").collect()} == {(1, 2, "y"), (2, 5, "new")}
-    J.compact(spark, str(tmp_path / "t"), str(tmp_path / "c"), "id", "version")
-    assert spark.read.parquet(str(tmp_path / "c")).count() == 2
+    J.compact(spark, str(tmp_path / "t"), "id", "version")
+    for batch, i in ((a, 0), (b, 1)):  # replays of batches that lie in the folded table
+        write(batch, i)
+    assert {tuple(r) for r in J.read_upserted(spark, str(tmp_path / "t"), "id", "version").collect()} == {(1, 2, "y"), (2, 5, "new")}
+
+
+def test_compaction_is_one_step_for_readers(spark, tmp_path):
+    """A reader of the version before, a batch that arrives meanwhile and a second compaction beside the first."""
+    path = str(tmp_path / "t")
+    rows = lambda *x: spark.createDataFrame(list(x), "id long, version long, v string")
+    write = J.upsert_sink(path, "id", "version")
+    write(rows((1, 1, "a"), (2, 1, "b")), 0)
+    write(rows((1, 2, "c")), 1)
+    reader = versions.read_version(spark, path)
+
+    def fold(folded):
+        write(rows((3, 1, "late")), 2)
+        return J._latest(folded, "id", "version")
+
+    number, now = versions.current(spark, path)
+    versions.compact(spark, path, fold)
+    assert reader.count() == 3 and number == 2
+    assert {tuple(r) for r in J.read_upserted(spark, path, "id", "version").collect()} == {(1, 2, "c"), (2, 1, "b"), (3, 1, "late")}
+    assert sorted(sum(versions.current(spark, path)[1]["folders"].values(), [])) == [0, 1, 2]
+
+    def rival(folded):
+        J.compact(spark, path, "id", "version")
+        return folded
+
+    with pytest.raises(RuntimeError):
+        versions.compact(spark, path, rival)
+    for i in range(3, 8):
+        write(rows((i, 1, "x")), i)
+        J.compact(spark, path, "id", "version")
+    assert J.read_upserted(spark, path, "id", "version").count() == 7
+    kept = [d.name for d in (tmp_path / "t").iterdir() if d.name != "_versions"]
+    assert len(kept) <= 2 + 2 * versions.KEEP  # folders retired some versions ago are gone

@@ -85,6 +85,15 @@ def _(spark, sf):
     return J.read_upserted(spark, f"{p}/out", "id", "version")
 
 
+@query("s03_compacted", "SELECT o_custkey AS id, max(o_orderkey) AS version, max_by(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY 1")
+def _(spark, sf):
+    o = source(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("version"), F.col("o_orderstatus").alias("status"))
+    p = work(spark)
+    J.run_batches(o, J.upsert_sink(f"{p}/out", "id", "version"), f"{p}/cp", "append")
+    J.compact(spark, f"{p}/out", "id", "version")
+    return J.read_upserted(spark, f"{p}/out", "id", "version")
+
+
 @query("s04_weekly_deviation", """WITH w AS (SELECT l_returnflag AS metric, floor(epoch(l_shipdate) / 604800)::BIGINT AS wk, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2), lim AS (SELECT max(epoch(l_shipdate)) - 86400 AS m FROM lineitem),
 f AS (SELECT metric, wk, value, count(*) OVER x AS n, sum(value) OVER x AS total FROM w WINDOW x AS (PARTITION BY metric ORDER BY wk RANGE BETWEEN 4 PRECEDING AND CURRENT ROW))
 SELECT metric, strftime(to_timestamp((wk + 1) * 604800), '%Y-%m-%d') AS week_end, round(value, 2) AS latest, round((total - value) / 4, 4) AS ma, CASE WHEN value / ((total - value) / 4) < 0.7 THEN 'critical' WHEN value / ((total - value) / 4) < 0.85 THEN 'warning' ELSE 'ok' END AS severity FROM f, lim WHERE n = 5 AND (wk + 1) * 604800 <= m""")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidekb.sources.tables import upsert
+from tidekb.streaming import versions
 
 
 # ---- S1 ----
@@ -33,28 +34,33 @@ def arriving_articles(arrivals: DataFrame, known: DataFrame, lateness: str = "1
 
 
 # ---- S3 ----
-def upsert_sink(path: str, key: str, version: str):
-    """``foreachBatch`` writer: the latest row per key of each micro-batch goes to its own ``batch_id`` directory.
+def _latest(rows: DataFrame, key: str, version: str) -> DataFrame:
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), version).alias("r")).select(key, "r.*")
 
-    A repeated batch overwrites its directory, so replays change nothing; readers merge on read and
-    ``compact`` folds the batches into one table when they grow many. No micro-batch rewrites the table.
-    """
+
+def upsert_sink(path: str, key: str, version: str):
+    """``foreachBatch`` writer: the latest row per key of each micro-batch becomes a folder of its own and is published by a
+    new version of the table's manifest. A repeated batch changes nothing, also after it was compacted; no micro-batch
+    rewrites the table."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rest = [c for c in batch.columns if c != key]
-        last = batch.groupBy(key).agg(F.max_by(F.struct(*rest), version).alias("r")).select(key, "r.*")
-        last.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        versions.add_batch(_latest(batch, key, version), path, batch_id)
 
     return write
 
 
 def read_upserted(spark: SparkSession, path: str, key: str, version: str) -> DataFrame:
-    rows = spark.read.parquet(path).drop("batch_id")
+    """The latest row per key of the newest version, read as a whole whatever a compaction does meanwhile."""
+    rows = versions.read_version(spark, path)
+    if rows is None:
+        raise ValueError(f"no batch was written to {path}")
     return upsert(rows.limit(0), rows, key, version)
 
 
-def compact(spark: SparkSession, path: str, target: str, key: str, version: str) -> None:
-    read_upserted(spark, path, key, version).write.mode("overwrite").parquet(target)
+def compact(spark: SparkSession, path: str, key: str, version: str) -> int:
+    """Fold all batches of the newest version into one folder that readers see from one version to the next."""
+    return versions.compact(spark, path, lambda rows: _latest(rows, key, version))
 
 
 # ---- S4 ----
