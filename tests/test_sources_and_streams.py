@@ -103,6 +103,32 @@ def test_stream_decline_equals_batch(spark, tmp_path):
     assert got == {r["metric"]: r["longest_decline"] for r in T.series_profile(df).collect()} == {"a": 4, "b": 0}
 
 
+def test_ordered_decline_runs_take_shuffled_and_late_points(spark, tmp_path):
+    """Shuffled points over micro-batches give the whole series' result; a point behind the watermark is left out."""
+    import random
+
+    rng = random.Random(4)
+    points = [(m, f"2024-{1 + d // 28:02d}-{1 + d % 28:02d}", float(rng.randint(0, 9))) for m in "ab" for d in range(120)]
+    blocks = [points[i::6] for i in range(6)]
+    rng.shuffle(blocks)
+    late = [("a", "2023-01-01", 1000.0)]
+    for i, rows in enumerate([*blocks, late]):
+        df = spark.createDataFrame(rows, "metric string, ts string, value double").withColumn("ts", F.to_timestamp("ts"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/part={i}"))
+    stream = spark.readStream.schema("metric string, ts timestamp, value double, part int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    J.run_batches(J.ordered_decline_runs(stream, "150 days"), J.batch_writer(str(tmp_path / "out")), str(tmp_path / "cp"))
+    rows = spark.read.parquet(str(tmp_path / "out")).groupBy("metric").agg(F.max_by("best", "batch_id").alias("best"), F.max_by("run", "batch_id").alias("run"))
+    want = {}
+    for m in "ab":
+        values = [v for k, _, v in sorted(points) if k == m]
+        run = best = 0
+        for x, y in zip(values, values[1:]):
+            run = run + 1 if y < x else 0
+            best = max(best, run)
+        want[m] = (best, run)
+    assert {r["metric"]: (r["best"], r["run"]) for r in rows.collect()} == want
+
+
 def test_upsert_sink_is_idempotent(spark, tmp_path):
     a = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 1, "z")], "id long, version long, v string")
     b = spark.createDataFrame([(2, 5, "new")], "id long, version long, v string")

@@ -125,5 +125,13 @@ def _(spark, sf):
     return b.groupBy("metric").agg(F.max_by("best", "batch_id").alias("longest_decline"))
 
 
+@query("s07_ordered", f"WITH {PROFILE} SELECT metric, longest_decline FROM p")
+def _(spark, sf):
+    d = stored(spark, sf, "daily_by_user", lambda: I.daily_series(spark, sf, "user_id"))
+    p = spark.readStream.schema(d.schema).parquet(_path(spark, sf, "daily_by_user")).withColumn("ts", F.col("ts").cast("timestamp"))
+    b = to_batches(spark, J.ordered_decline_runs(p, "30 days"))
+    return b.groupBy("metric").agg(F.max_by("best", "batch_id").alias("longest_decline"))
+
+
 def _path(spark, sf, name):
     return base._STORED[(spark.sparkContext.applicationId, sf, name)]

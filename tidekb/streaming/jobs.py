@@ -141,6 +141,43 @@ def decline_runs(points: DataFrame) -> DataFrame:
     return points.select("metric", "ts", "value").groupBy("metric").applyInPandasWithState(_decline_step, DECLINE_OUT, DECLINE_STATE, "update", "NoTimeout")
 
 
+ORDERED_STATE = "last double, run long, best long, ts array<timestamp>, value array<double>"
+
+
+def _fold(values: np.ndarray, last: float | None, run: int, best: int) -> tuple[float | None, int, int]:
+    for v in values:
+        run = run + 1 if last is not None and v < last else 0
+        best, last = max(best, run), float(v)
+    return last, int(run), int(best)
+
+
+def _ordered_step(key, frames: Iterator[pd.DataFrame], state):
+    last, run, best, ts, value = state.get if state.exists else (None, 0, 0, [], [])
+    ts, value = np.array(ts, "datetime64[ns]"), np.array(value, float)
+    for f in frames:
+        ts = np.concatenate([ts, f["ts"].to_numpy().astype("datetime64[ns]")])
+        value = np.concatenate([value, f["value"].to_numpy(float)])
+    order = np.lexsort([value, ts])
+    ts, value = ts[order], value[order]
+    settled = int(np.searchsorted(ts, np.datetime64(state.getCurrentWatermarkMs(), "ms"), side="left"))
+    last, run, best = _fold(value[:settled], last, run, best)
+    ts, value = ts[settled:], value[settled:]
+    state.update((last, run, best, [pd.Timestamp(t).to_pydatetime() for t in ts], value.tolist()))
+    _, run, best = _fold(value, last, run, best)
+    yield pd.DataFrame({"metric": [key[0]], "run": [run], "best": [best]})
+
+
+def ordered_decline_runs(points: DataFrame, lateness: str) -> DataFrame:
+    """``decline_runs`` of points ``(metric, ts, value)`` that arrive in any order, up to ``lateness`` late.
+
+    Points wait in the state until the watermark has passed them and are folded in order of time then; Spark drops points
+    behind the watermark. What is given out after each micro-batch counts the waiting points in their order too, so the last
+    output of a metric is that of its whole series.
+    """
+    timed = points.select("metric", "ts", "value").withWatermark("ts", lateness)
+    return timed.groupBy("metric").applyInPandasWithState(_ordered_step, DECLINE_OUT, ORDERED_STATE, "update", "EventTimeTimeout")
+
+
 # ---- running ----
 def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Work off what the source holds and stop: append mode into Parquet."""
