@@ -17,7 +17,7 @@ from tidekb.session import written
 
 THRESHOLD = 0.88
 BLOCK_ROWS = 1024
-OVERLAP_ROWS, OVERLAP_BUCKETS = 1024, 8192
+OVERLAP_ROWS, OVERLAP_TOKENS = 1024, 4096
 
 
 def collapse_copies(df: DataFrame, seq: str, collection: str, text: str) -> DataFrame:
@@ -173,9 +173,9 @@ def top_overlap_pairs(new: DataFrame, existing: DataFrame, seq: str, tokens: str
 
     A rank join: sets are ordered by size and packed into blocks; no pair of two blocks shares more tokens than the smaller
     of their largest sets. The blocks of equal place are compared first and give a threshold, the others follow only if
-    their bound reaches it. Inside a pair of blocks, counts of hashed tokens bound all overlaps at once, and pairs of sets
-    are counted exactly in falling order of that bound until it passes the best ``top`` so far. A token that most sets
-    carry costs no more than a rare one. Identical sets count once.
+    their bound reaches it. Inside a pair of blocks all overlaps are counted at once over the hashes that both blocks have, and pairs
+    of sets are confirmed on their tokens in falling order until the count passes the best ``top`` so far. A token that
+    most sets carry costs no more than a rare one. Identical sets count once.
     """
     sides = []
     for side, df in (("a", new), ("b", existing)):
@@ -205,15 +205,32 @@ def top_overlap_pairs(new: DataFrame, existing: DataFrame, seq: str, tokens: str
 
 
 class _Sets:
-    """A block of sets: the sets, their rows, and how many of their tokens fall into each hash bucket."""
+    """A block of sets: the sets, their rows, and their tokens as numbers into the block's own vocabulary of hashes."""
 
     def __init__(self, block: bytes):
         t = from_ipc(block)
         self.sets, self.seqs = [set(x) for x in t["toks"].to_pylist()], t["seqs"].to_pylist()
         marks = t["marks"].combine_chunks()
-        owner = np.repeat(np.arange(len(self.sets)), np.diff(np.asarray(marks.offsets)))
-        cells = owner * OVERLAP_BUCKETS + (np.asarray(marks.flatten()) & (OVERLAP_BUCKETS - 1))
-        self.counts = np.bincount(cells, minlength=len(self.sets) * OVERLAP_BUCKETS).astype(np.float32).reshape(len(self.sets), -1)
+        self.owner = np.repeat(np.arange(len(self.sets)), np.diff(np.asarray(marks.offsets)))
+        self.vocabulary, self.token = np.unique(np.asarray(marks.flatten()), return_inverse=True)
+
+    def having(self, tokens: np.ndarray) -> np.ndarray:
+        """Sets x tokens: 1 where the set has the token (given by their places in the vocabulary)."""
+        column = np.full(len(self.vocabulary), -1)
+        column[tokens] = np.arange(len(tokens))
+        at = column[self.token]
+        out = np.zeros((len(self.sets), len(tokens)), np.float32)
+        out[self.owner[at >= 0], at[at >= 0]] = 1
+        return out
+
+
+def _counts(a: _Sets, b: _Sets) -> np.ndarray:
+    """Shared tokens of all pairs of sets, over the tokens that both blocks have, part by part."""
+    _, at_a, at_b = np.intersect1d(a.vocabulary, b.vocabulary, assume_unique=True, return_indices=True)
+    out = np.zeros((len(a.sets), len(b.sets)), np.float32)
+    for lo in range(0, len(at_a), OVERLAP_TOKENS):
+        out += a.having(at_a[lo : lo + OVERLAP_TOKENS]) @ b.having(at_b[lo : lo + OVERLAP_TOKENS]).T
+    return out
 
 
 def _overlaps(least: int, top: int):
@@ -228,7 +245,7 @@ def _overlaps(least: int, top: int):
                     continue
                 a = first.get(p["file_a"], p["offset_a"], p["bytes_a"])
                 b = second.get(p["file_b"], p["offset_b"], p["bytes_b"])
-                most = a.counts @ b.counts.T  # at least the overlap: shared tokens fall into the same bucket
+                most = _counts(a, b)  # by hash: tokens of equal hash, if there ever are any, only add
                 rows, cols = np.nonzero(most >= floor)
                 bound = most[rows, cols]
                 for k in np.argsort(-bound, kind="stable"):
