@@ -180,3 +180,10 @@ def test_results_without_categories_count_by_their_primary_one(spark):
     golden = spark.createDataFrame([(1, ["a"], [], [], False)], "query_id int, expected_categories array<string>, expected_keywords array<string>, expected_intents array<string>, booster_sensitive boolean")
     hits = spark.createDataFrame([(1, 1, [], "a"), (1, 2, None, "b")], "query_id int, rank int, categories array<string>, category string")
     assert V.case_metrics(hits, golden).first()["mrr"] == 1.0
+
+
+def test_upper_case_letter_by_letter(spark):
+    from tidekb.functions.text import upper_letters
+
+    got = spark.createDataFrame([("erßie",), ("añß",), ("",), (None,)], "t string").select(upper_letters("t").alias("u")).collect()
+    assert [r["u"] for r in got] == ["ERẞIE", "AÑẞ", "", None]
