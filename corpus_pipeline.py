@@ -15,11 +15,12 @@ from tidekb.session import ship_package
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in none of the languages: null texts, texts without a letter, and texts whose words the best language
-    explains worse than all but 0.05 % of the labelled sample (letter junk, languages without labels)."""
+    explains worse than all but 0.05 % of the labelled documents (letter junk, languages without labels). Each text is judged
+    once, and stored with its fit."""
     plain, names = numbered(docs)
     model = langid.fit(docs)
-    judged = langid.identify(plain, model, names["doc_id"], names["text"])
-    kept = judged.filter((F.col("lang_pred") != "und") & (F.col("lang_fit") >= langid.usual_fit(docs, model)))
+    judged = stored(langid.identify(plain, model, names["doc_id"], names["text"]), "judged")
+    kept = judged.filter((F.col("lang_pred") != "und") & (F.col("lang_fit") >= langid.usual_fit(judged, model, names["lang"])))
     return kept.select(*plain.columns).toDF(*docs.columns)
 
 

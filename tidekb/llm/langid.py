@@ -45,7 +45,7 @@ def grams(word: str) -> list[str]:
 
 def _count(docs: DataFrame, lang: str, text: str, cut) -> DataFrame:
     def count(batches):
-        for b in batches:
+        for b in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             got: dict[str, Counter] = {}
             for la, t in zip(b.column(0), b.column(1)):
                 got.setdefault(la.as_py(), Counter()).update(words(t.as_py()))
@@ -269,13 +269,14 @@ def identify(docs: DataFrame, model: Backoff, key: str = "doc_id", text: str = "
     return docs.mapInArrow(predict, schema)
 
 
-def usual_fit(docs: DataFrame, model: Backoff, lang: str = "lang", text: str = "text", key: str = "doc_id", share: float = 0.0005, max_docs: int = 8_000) -> float:
-    """``MARGIN`` below the ``lang_fit`` that all but ``share`` of the labelled rows reach, on the sample that ``fit`` takes of them.
+def usual_fit(docs: DataFrame, model: Backoff | None, lang: str = "lang", text: str = "text", key: str = "doc_id", share: float = 0.0005) -> float:
+    """``MARGIN`` below the ``lang_fit`` that all but ``share`` of the labelled rows reach; all of them count.
 
-    Texts below it are in none of the languages. Without labelled rows nothing is below it.
+    ``docs`` that ``identify`` has judged aren't judged again. Texts below it are in none of the languages. Without labelled
+    rows nothing is below it.
     """
-    labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    judged = identify(_sample(labelled, lang, text, key, max_docs).select(key, text), model, key, text)
+    labelled = docs.filter(F.col(lang).isNotNull())
+    judged = labelled if "lang_fit" in docs.columns else identify(labelled.select(key, text), model, key, text)
     fit = judged.agg(F.percentile_approx("lang_fit", share, 100_000).alias("fit")).first()["fit"]
     return -math.inf if fit is None else fit - MARGIN
 
