@@ -162,3 +162,45 @@ def test_five_thousand_queries(spark):
     got = {(r["query_id"], r["rank"]): r["seq"] for r in S.vector_search(kb, qs, 2).collect()}
     want = {(i, k + 1): j for i in range(5000) for k, j in enumerate(np.lexsort((np.arange(300), -cos[i]))[:2])}
     assert got == want
+
+
+def test_bits_equal_plain_relations():
+    """Every relation between strings and queries against its plain statement, for more queries than one number has bits."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcñ") for _ in range(rng.randint(1, 4)))
+    texts = [" ".join(word() for _ in range(rng.randint(0, 6))) for _ in range(150)] + ["x" * 80, "ab  c\td"]
+    strings = list(dict.fromkeys([word() for _ in range(60)] + [f"{word()} {word()}" for _ in range(60)] + ["", " ", "x" * 70, "ab  c", "Ab", "zz"]))
+    q = scoring.QueryTexts(texts)
+    low, words = [t.lower() for t in texts], [set(scoring.words_of(t)) for t in texts]
+    for s in (x.lower() for x in strings):
+        full = [s in t or any(w in s for w in ws) or any(p in t for p in scoring.words_of(s)) for t, ws in zip(low, words)]
+        half = [len(s) >= 2 and s[:2] in t and not f for t, f in zip(low, full)]
+        assert q.spread(q.having([s]))[0].tolist() == [s in t for t in low], s
+        assert q.spread(q.inside([s]))[0].tolist() == [t in s for t in low], s
+        assert q.spread(q.word_within([s]))[0].tolist() == [any(w in s for w in ws) for ws in words], s
+        if s:
+            assert q._sums(scoring.Tokens([[s]]), q.hit([s]), (2, 1))[0].tolist() == [2 * f + h for f, h in zip(full, half)], s
+    rows = [" ".join(rng.choices(strings, k=5)) for _ in range(40)] + ["", texts[3]]
+    assert q.whole(rows).tolist() == [[t in r.lower() for t in low] for r in rows]
+    ix = scoring.TermIndex(words)
+    assert ix.contained([*rows, None]).tolist()[:-1] == [[sum(w in r.lower() for w in ws) for ws in words] for r in rows]
+    lists = [rng.choices(strings, k=rng.randint(0, 9)) for _ in range(40)] + [None]
+    assert q.count_of(lists, q.having).tolist() == [[sum(s.lower() in t for s in ls or () if s) for t in low] for ls in lists]
+
+
+def test_few_query_blocks_stream_past_the_rows(kb, qs):
+    """Nothing of the corpus is written when a task can hold the queries."""
+    plan = S.hybrid_search(kb, qs, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "corpus" not in plan and "MapInArrow" in plan
+
+
+def test_look_up_of_a_dictionary(spark):
+    from tidekb.functions.lookup import entries_of
+
+    d = spark.createDataFrame([("a", ["x", "y"]), ("a", ["z"]), ("b", ["y", "é"]), ("c", []), (None, ["n"])], "term string, entries array<string>")
+    rows = spark.createDataFrame([(1, ["a", "b", "q"]), (2, []), (3, None), (4, ["c", "b", "b"])], "seq long, words array<string>")
+    got = {r["seq"]: r["found"] for r in rows.select("seq", entries_of("words", d).alias("found")).collect()}
+    assert got == {1: ["x", "y", "z", "é"], 2: [], 3: [], 4: ["y", "é"]}
+    assert rows.select(entries_of("words", d.filter("false")).alias("f")).first()["f"] == []
