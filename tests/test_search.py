@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,3 +205,37 @@ def test_look_up_of_a_dictionary(spark):
     got = {r["seq"]: r["found"] for r in rows.select("seq", entries_of("words", d).alias("found")).collect()}
     assert got == {1: ["x", "y", "z", "é"], 2: [], 3: [], 4: ["y", "é"]}
     assert rows.select(entries_of("words", d.filter("false")).alias("f")).first()["f"] == []
+
+
+def test_occurrences_match_brute_force():
+    rng = np.random.default_rng(5)
+    words = ["a", "ab", "ba", "abab", "b" * 16, "b" * 17, "b" * 16 + "a", "b" * 40, "ß", "ñandú", "零點", "點", "é"]
+    strings = ["", "ab", "b" * 50, "xñandúx", "零點ab", "é" * 3] + ["".join(rng.choice(list("abßñ點é零"), rng.integers(0, 30))) for _ in range(300)]
+    got = {(int(s), int(w)) for part in scoring.Occurrences(words)(pa.array(strings)[0:]) for s, w in zip(*part)}
+    assert got == {(i, j) for i, s in enumerate(strings) for j, w in enumerate(words) if w in s}
+    assert {(int(s), int(w)) for part in scoring.Occurrences(words)(pa.array(strings)[1:3]) for s, w in zip(*part)} == {(i - 1, j) for i, j in got if i in (1, 2)}
+    assert not list(scoring.Occurrences([])(pa.array(strings))) and not list(scoring.Occurrences(words)(pa.array([], pa.string())))
+
+
+def test_lowered_is_python_lower():
+    words = ["ABC", "ÄÖ", "İx", "ΑΣ", "straße", "", "K"]
+    assert scoring.lowered(pa.array(words)).to_pylist() == [w.lower() for w in words]
+
+
+def test_capped_sums_leave_settled_rows():
+    """Entries behind the first ones are weighed only for rows whose sum is below its cap, with the same sums."""
+    q = scoring.QueryTexts(["alpha beta", "gamma delta"])
+    full = [f"alpha{i}gamma" for i in range(scoring.FIRST_ENTRIES)] + [f"late{i}" for i in range(50)]
+    open_row = [f"none{i}" for i in range(scoring.FIRST_ENTRIES)] + ["alpha", "deltas", "al"]
+    lists = [full, open_row, None, []]
+    got = q.keyword_boost(pa.array(lists, pa.list_(pa.string())))
+    assert not any(f"late{i}" in q.hit.at for i in range(50)) and "deltas" in q.hit.at
+    assert got.tolist() == scoring.QueryTexts(q.low).keyword_boost(scoring.Tokens(lists)).tolist()
+
+
+def test_many_strings_at_once_equal_one_by_one():
+    q = scoring.QueryTexts(["how to fix core web vitals", "straße 零點 ab"])
+    texts = list(dict.fromkeys([w[i:j] for t in q.low for w in [t] for i in range(len(t)) for j in range(i + 1, min(len(t), i + 9))] + ["zz", "", "fix core", "x y"]))
+    assert len(texts) > scoring.TOGETHER
+    got = q.spread(q._having(texts)).astype(bool)
+    assert got.tolist() == [[s in t for t in q.low] for s in texts]
