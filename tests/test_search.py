@@ -239,3 +239,10 @@ def test_many_strings_at_once_equal_one_by_one():
     assert len(texts) > scoring.TOGETHER
     got = q.spread(q._having(texts)).astype(bool)
     assert got.tolist() == [[s in t for t in q.low] for s in texts]
+
+
+def test_lexical_rerank_takes_candidates_without_surface(spark):
+    fields = "query_id long, rank int, seq long, score double, question string, categories array<string>, intent_labels array<string>"
+    cand = spark.createDataFrame([(1, 1, 10, 3.0, "same", ["a"], ["i"]), (1, 2, 11, 2.9, "same", ["a"], ["i"]), (1, 3, 12, 2.0, "other", ["b"], ["k"])], fields)
+    rows = S.diversify(cand, spark.createDataFrame([(1, "q")], "query_id long, query string"), 2, "lexical").orderBy("rank").collect()
+    assert [r["seq"] for r in rows] == [10, 12] and "retrieval_surface_text" not in S.LEXICAL_RERANK_COLS
