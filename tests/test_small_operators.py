@@ -187,3 +187,13 @@ def test_upper_case_letter_by_letter(spark):
 
     got = spark.createDataFrame([("erßie",), ("añß",), ("",), (None,)], "t string").select(upper_letters("t").alias("u")).collect()
     assert [r["u"] for r in got] == ["ERẞIE", "AÑẞ", "", None]
+
+
+def test_workers_get_rows_by_bytes(spark):
+    """Long texts reach Python workers in batches of bounded size, not of ten thousand rows."""
+    from tidekb.session import BATCH_BYTES, ship_package
+
+    ship_package(spark)
+    long = spark.range(0, 40, 1, 1).selectExpr("repeat('x', 1000000) AS text")
+    sizes = long.mapInArrow(lambda batches: (b.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    assert max(r["n"] for r in sizes) <= BATCH_BYTES + 2_000_000 and sum(r["n"] for r in sizes) >= 40_000_000
