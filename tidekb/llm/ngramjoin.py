@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidekb.llm.cluster import components, lowest, runs, split_pairs
-from tidekb.llm.common import located, numbered, query, stored, table
+from tidekb.llm.common import kept, located, numbered, query, stored, table
 from tidekb.llm.licenses import words
 from tidekb.session import ship_package
 
@@ -121,6 +121,7 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
     kind = docs.select(key).schema[0].dataType.simpleString()
 
     def sketch(batches):
+        kept(None)  # tables of an earlier stage, as the language model's, are let go
         cut, mh = Shingler(width), MinHasher(bands, rows, seed)
         for b in batches:
             digests, sizes, hashes = [], [], []
@@ -133,6 +134,7 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists], ["k", *at, "digest", "n_grams", "bands"])
 
     def shingle(batches):
+        kept(None)
         cut = Shingler(width)
         for b in batches:
             for begin in range(0, b.num_rows, 1000):
@@ -140,6 +142,7 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
                 yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array([cut.grams(t.as_py()).tobytes() for t in c.column(2)], pa.binary())], [*at, "grams"])
 
     def verify(batches):
+        kept(None)
         for b, starts, ends in runs(batches, 3):
             own, ids, copies, split = (b.column(i).to_numpy() for i in (3, 4, 5, 6))
             out: list[np.ndarray] = []
@@ -185,8 +188,8 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
     heads = labelled.groupBy("label").agg(F.min("first").alias("head"))
     labelled = stored(labelled.join(heads, "label").select("digest", "n_grams", "head", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "labels")
     out = prints.select("k", *at, "digest", "n_grams").join(labelled, ["digest", "n_grams"], "left")
-    kept = F.coalesce((F.col("head.at_file") == F.col("at_file")) & (F.col("head.at_row") == F.col("at_row")), F.lit(True))
-    return out.select(F.col("k").alias(key), F.when(F.col("head").isNull(), F.col("k")).otherwise(F.col("head.k")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), kept.alias("kept"), *at)
+    stays = F.coalesce((F.col("head.at_file") == F.col("at_file")) & (F.col("head.at_row") == F.col("at_row")), F.lit(True))
+    return out.select(F.col("k").alias(key), F.when(F.col("head").isNull(), F.col("k")).otherwise(F.col("head.k")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), stays.alias("kept"), *at)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
