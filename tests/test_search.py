@@ -246,3 +246,26 @@ def test_lexical_rerank_takes_candidates_without_surface(spark):
     cand = spark.createDataFrame([(1, 1, 10, 3.0, "same", ["a"], ["i"]), (1, 2, 11, 2.9, "same", ["a"], ["i"]), (1, 3, 12, 2.0, "other", ["b"], ["k"])], fields)
     rows = S.diversify(cand, spark.createDataFrame([(1, "q")], "query_id long, query string"), 2, "lexical").orderBy("rank").collect()
     assert [r["seq"] for r in rows] == [10, 12] and "retrieval_surface_text" not in S.LEXICAL_RERANK_COLS
+
+
+def test_parts_of_query_words_and_the_longer_way_agree(monkeypatch):
+    """Strings are looked up among all parts of the query words; where these would be too many, in the words themselves."""
+    texts = ["how to fix core web vitals", "straße 零點 " + "x" * 70, "", "a  b\tab"]
+    strings = list(dict.fromkeys([w[i:j] for t in texts for w in t.split() for i in range(len(w)) for j in range(i + 1, len(w) + 1)] + ["", " ", "zz", "fix core", "xa", "a  b", "x" * 71]))
+    near = scoring.QueryTexts(texts)
+    monkeypatch.setattr(scoring, "PARTS_BYTES", 0)
+    far = scoring.QueryTexts(texts)
+    assert near.parts is not None and far.parts is None and max(len(p) for p in near.parts.to_pylist()) == scoring.SUFFIX
+    want = [[s in t for t in texts] for s in strings]
+    assert len(strings) > scoring.TOGETHER and all(q.spread(q._having(strings)).astype(bool).tolist() == want for q in (near, far))
+    assert near.hit(strings[:-1]).tolist() == far.hit(strings[:-1]).tolist()
+
+
+def test_occurrences_leave_places_where_no_word_begins():
+    """Hashes grow only where some word goes on; words that begin alike, end inside others or are longer than the hash are found."""
+    words = ["ab", "abc", "abcd" * 6, "abcd" * 5 + "x", "q" * 15, "q" * 16, "q" * 17]
+    strings = ["abcd" * 6, "abcd" * 4, "zabc", "q" * 18, "ab", "a", "", "q" * 14 + "ab"]
+    find = scoring.Occurrences(words)
+    assert sorted(find.longer) == list(range(1, find.LONGEST + 1)) and not find.longer[find.LONGEST].any()
+    got = {(int(s), int(w)) for part in find(pa.array(strings)) for s, w in zip(*part)}
+    assert got == {(i, j) for i, s in enumerate(strings) for j, w in enumerate(words) if w in s}
