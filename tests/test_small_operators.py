@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tidekb import rules
 from tidekb.functions.ranking import positions, with_row_number
 from tidekb.functions.terms import find_terms
 from tidekb.operators import enrich as E
@@ -197,3 +198,22 @@ def test_workers_get_rows_by_bytes(spark):
     long = spark.range(0, 40, 1, 1).selectExpr("repeat('x', 1000000) AS text")
     sizes = long.mapInArrow(lambda batches: (b.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
     assert max(r["n"] for r in sizes) <= BATCH_BYTES + 2_000_000 and sum(r["n"] for r in sizes) >= 40_000_000
+
+
+def test_token_lists_read_a_text_once_and_equal_the_grams_of_each_word(spark):
+    """Han runs come from the whole text, by no expression for each word, and give the grams of words of three characters or more."""
+    import re
+
+    han = f"[{rules.HAN_CLASS}]"
+    texts = ["零點 零點計畫 ab零點c零點d  x零", "Plain WORDS a plain", "", None, "點\t零點計畫書寫\n零點", "零點計ab畫書"]
+    df = spark.createDataFrame(list(enumerate(texts)), "seq long, answer string")
+    syn = spark.createDataFrame([("零點", ["Nil"]), ("plain", ["flat"])], "term string, synonyms array<string>")
+    other = {"零點": {"nil"}, "nil": {"零點"}, "plain": {"flat"}, "flat": {"plain"}}
+    out = E.token_lists(df, "answer", syn)
+    for r in out.collect():
+        words = set(re.findall(r"\S+", (r["answer"] or "").lower()))
+        grams = {run[i : i + n] for w in words if len(w) > 2 for run in re.findall(han + "{2,}", w) for n in (2, 3, 4) for i in range(len(run) - n + 1)}
+        want = words | grams
+        want |= set().union(*(other.get(t, set()) for t in want)) if want else set()
+        assert set(r["tokens"] or ()) == want and len(r["tokens"] or ()) == len(want), r["answer"]
+    assert "regexp_extract_all(lambda" not in out._jdf.queryExecution().analyzed().toString()
