@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidekb.functions.layout import join_spread
-from tidekb.functions.vectors import text_vectors
+from tidekb.functions.vectors import text_vectors, weigh
 from tidekb.operators import dedup as D
 from tidekb.operators import neighbours as N
 
@@ -102,6 +103,45 @@ def test_cosine_join_equals_brute_force_and_skips_blocks(spark, seed, hot):
     assert leaders == want
 
 
+@pytest.mark.parametrize("first", [1, 20, 5000])
+def test_first_rows_take_all_that_is_similar_to_them(spark, first):
+    """Near copies join the first rows' leaders, so that the neighbour table holds none of their pairs; groups are those of the plain scan."""
+    rows = clusters(3, 600, 0.8)
+    table = vector_table(spark, rows)
+    vec = {i: (c, v) for c, i, v in rows}
+    left, done, n, joined = N.first_leaders(N.vector_blocks(table, 0.88, 64, 32), first)
+    seqs = {c: sorted(i for c2, i, _ in rows if c2 == c) for c in "ab"}
+    firsts = {i for c in "ab" for i in seqs[c][:first]}
+    led = {int(i): int(j) for r in done.collect() for i, j in zip(np.frombuffer(r["seqs"], np.int64), np.frombuffer(r["leaders"], np.int64))}
+    heads = {i for i in firsts if led[i] == i}
+    rest = {int(i) for r in left.index.collect() for i in np.frombuffer(r["seqs"], np.int64)}
+    assert len(rest) == n and len(led) == len(firsts) + joined and not rest & led.keys() and len(rest) + len(led) == len(rows)
+    assert all(vec[i][0] != vec[j][0] or vec[i][1] @ vec[j][1] < 0.88 for i in rest for j in heads)
+    assert joined > 300 or first == 5000
+    want: dict = {}
+    for c, i, v in sorted(rows, key=lambda r: r[1]):
+        want[i] = next((j for j in seqs[c] if j < i and want.get(j) == j and v @ vec[j][1] >= 0.88), i)
+    assert all(want[i] == j for i, j in led.items())
+    assert {r["seq"]: r["leader"] for r in N.greedy_leaders(N.vector_blocks(table, 0.88, 64, 32), first).collect()} == want
+
+
+def test_vectors_of_whole_batches_equal_the_weights_of_each_text(spark):
+    """Texts are cut for a batch at once: words, raw tokens that begin inside a word, Han letters and blanks of other kinds as in ``weigh``."""
+    rnd = random.Random(3)
+    rows = [(i, "x", "".join(rnd.choices("ab z09-_/,.\n\t\x1c\x85 中文字數åé㐀豈", k=rnd.randrange(50)))) for i in range(300)] + [(300, "x", None), (301, "x", " -- a")]
+    df = spark.createDataFrame(rows, "seq long, kind string, text string")
+    got = {r["seq"]: (r["kind"], r["buckets"], r["weights"]) for r in text_vectors(df, "seq", "text", keep=["kind"]).collect()}
+    want = {}
+    for i, _, t in rows:
+        cells = np.zeros(256)
+        for token, w in weigh((t or "").lower()).items():
+            cells[hashlib.sha256(token.encode()).digest()[-1]] += w
+        if cells.any():
+            at = np.flatnonzero(cells)
+            want[i] = ("x", at.tolist(), (cells[at] / np.sqrt((cells**2).sum())).tolist())
+    assert got == want
+
+
 def test_null_collection_is_one_of_its_own(spark):
     rows = [(1, None, "w1 w2 w3 w4"), (2, None, "w1 w2 w3 w4"), (3, "a", "w1 w2 w3 w4"), (4, None, "w1 w2 w3 w4 w4"), (5, "", "w1 w2 w3 w4"), (6, "a", None)]
     df = spark.createDataFrame(rows, "seq long, source_collection string, text string")

@@ -1,11 +1,12 @@
-"""Exact cosine join inside collections: blocks that pivots keep apart are never compared (D2), and greedy grouping over
-the stored neighbour table (D3).
+"""Exact cosine join inside collections: blocks that pivots keep apart are never compared (D2), and greedy grouping: the first
+rows take what is similar to them, what is left is grouped over a stored neighbour table (D3).
 
 Vectors are unit vectors without negative parts. A bounded sample gives pivots, shared by all collections; every row's
 angle to each pivot is measured once. Rows of a collection are put in order of their nearest pivot and the angle to it
 and cut into blocks of equal size, each with the range of its angles to every pivot. By the triangle inequality on
 angles, two blocks hold no pair within ``limit`` if their ranges to some pivot lie further apart than ``limit``. Blocks are
-packed once in the shared folder and read inside tasks; what goes through shuffles are block numbers and results.
+packed once in the shared folder and read inside tasks; what goes through shuffles are block numbers and results. Products are
+taken in single precision first, and in double precision where these come near the threshold.
 """
 
 from __future__ import annotations
@@ -13,30 +14,43 @@ from __future__ import annotations
 import math
 import zlib
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidekb.functions.blas import one_thread
 from tidekb.functions.blockstore import PLACE, Reader, Writer, dealt, from_bytes, new_folder, to_bytes, write_blocks
-from tidekb.functions.ranking import positions
+from tidekb.functions.ranking import positions, top_per_group
 from tidekb.functions.vectors import DIM, list_columns_to_matrix
 from tidekb.session import written
 
 PIVOTS, SAMPLE, BLOCK_ROWS, STRIP = 32, 2048, 1024, 64
 #: Added to angles before blocks are left out, and taken off bounds before rows are, far above rounding.
 SLACK = 1e-6
+#: More than the error of a cosine in single precision.
+NEAR = 1e-4
+#: Pairs of blocks are dealt in squares of so many blocks a side, so that a task reads a block once for several pairs.
+SIDE = 8
+#: Rows of a collection that lead or join before the others are looked at, and the share of the others that has to go for another such round.
+FIRST_ROWS, FIRST_SHARE = 2048, 0.05
 
 
 @dataclass
 class Blocks:
     index: DataFrame  # collection, block, place, rows, low and high angles to the pivots
-    pairs: DataFrame  # collection, a, b and both places: the pairs that pivots don't keep apart
     dim: int
     threshold: float
 
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """Collection, a, b and both places: the pairs that pivots don't keep apart."""
+        limit = math.acos(min(1.0, self.threshold)) + SLACK
+        return written(_pairs(self.index.drop("seqs"), limit), "pairs")
+
     def compared(self) -> tuple[int, int]:
         """(block pairs compared, block pairs of all collections)."""
         n = self.index.groupBy("collection").count().agg(F.sum(F.expr("count * (count + 1) div 2"))).first()[0]
@@ -64,6 +78,7 @@ def vector_blocks(vec: DataFrame, threshold: float, dim: int = DIM, block_rows:
     """Blocks of ``vec`` (collection, seq, buckets, weights); ``seq`` is unique. A collection may hold all rows."""
     vec = written(vec.select("collection", "seq", "buckets", "weights"), "vectors")
     pivots = choose_pivots(vec, dim)
+    small = np.int16 if dim < 1 << 15 else np.int32
 
     def measure(batches):
         for b in batches:
@@ -72,22 +87,33 @@ def vector_blocks(vec: DataFrame, threshold: float, dim: int = DIM, block_rows:
                 continue
             to = angles(list_columns_to_matrix(t["buckets"], t["weights"], dim), pivots)
             cell = to.argmin(1)
-            far = pa.FixedSizeListArray.from_arrays(pa.array(to.ravel()), to.shape[1]).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(to.min(1)), far], [*b.schema.names, "cell", "near", "far"])
+            sizes = pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False)
+            flat = [_as_binary(b.column(i).flatten().to_numpy(zero_copy_only=False).astype(k), sizes) for i, k in ((2, small), (3, np.float64))]
+            far = _as_binary(to.ravel(), np.full(len(to), to.shape[1]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *flat, pa.array(cell), pa.array(to.min(1)), far], [*b.schema.names, "cell", "near", "far"])
 
     def pack(t: pa.Table) -> tuple[bytes, dict]:
-        far = np.array(t["far"].to_pylist())
-        sizes = np.array([len(x) for x in t["buckets"].to_pylist()], np.int32)
-        flat = [np.concatenate([np.asarray(x, k) for x in t[c].to_pylist()]) for c, k in (("buckets", np.int16 if dim < 1 << 15 else np.int32), ("weights", np.float64))]
-        info = {"rows": t.num_rows, "low": far.min(0).tolist(), "high": far.max(0).tolist(), "seqs": t["seq"].to_numpy().tobytes()}
-        return to_bytes(t["seq"].to_numpy(), sizes, *flat), info
+        far = _flat(t["far"], np.float64).reshape(t.num_rows, -1)
+        seqs = t["seq"].to_numpy()
+        sizes = pc.binary_length(t["buckets"]).to_numpy().astype(np.int32) // small().itemsize
+        info = {"rows": t.num_rows, "low": far.min(0).tolist(), "high": far.max(0).tolist(), "seqs": seqs.tobytes()}
+        return to_bytes(seqs, sizes, _flat(t["buckets"], small), _flat(t["weights"], np.float64)), info
 
-    measured = vec.mapInArrow(measure, "collection string, seq long, buckets array<int>, weights array<double>, cell long, near double, far array<double>")
+    measured = vec.mapInArrow(measure, "collection string, seq long, buckets binary, weights binary, cell long, near double, far binary")
     placed = positions(written(measured, "measured"), ["cell", "near", "seq"], ["collection"], "place")
     placed = placed.withColumn("block", F.expr(f"place div {block_rows}")).drop("cell", "near")
     index = write_blocks(placed, ["collection", "block"], ["place"], pack, "rows long, low array<double>, high array<double>, seqs binary", "vector-blocks")
-    limit = math.acos(min(1.0, threshold)) + SLACK
-    return Blocks(index, written(_pairs(index.drop("seqs"), limit), "pairs"), dim, threshold)
+    return Blocks(index, dim, threshold)
+
+
+def _as_binary(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The bytes of each row's share of ``flat``."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32) * flat.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+def _flat(column, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
 def _pairs(index: DataFrame, limit: float, side: int = 256) -> DataFrame:
@@ -103,33 +129,62 @@ def _pairs(index: DataFrame, limit: float, side: int = 256) -> DataFrame:
 
 
 class _Loaded:
-    """A block as dense rows, with the greatest weight per bucket of each strip of rows."""
+    """A block as dense rows, in double and single precision, with the greatest weight per bucket of each strip of rows."""
 
     def __init__(self, block: bytes, dim: int):
         self.seqs, sizes, buckets, weights = from_bytes(block)
         self.x = np.zeros((len(sizes), dim))
         self.x[np.repeat(np.arange(len(sizes)), sizes), buckets] = weights
-        self.strips = np.stack([self.x[i : i + STRIP].max(0) for i in range(0, len(self.x), STRIP)])
+        self.f = self.x.astype(np.float32)
+        self.strips = np.stack([self.f[i : i + STRIP].max(0) for i in range(0, len(self.f), STRIP)])
+
+
+def _packed(seqs: np.ndarray, x: np.ndarray) -> bytes:
+    """Rows as a block."""
+    row, bucket = np.nonzero(x)
+    return to_bytes(seqs, np.bincount(row, minlength=len(x)).astype(np.int32), bucket.astype(np.int16 if x.shape[1] < 1 << 15 else np.int32), x[row, bucket])
 
 
 def similar(a: _Loaded, b: _Loaded, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows of a, rows of b, cosines between them): all rows that can have a partner in the other block.
+    """(rows of a, rows of b, cosines between them): all rows that have a partner in the other block.
 
     A cosine is at most the product with a strip's greatest weights, as no weight is negative.
     """
-    may = a.x @ b.strips.T >= threshold - SLACK
+    may = a.f @ b.strips.T >= threshold - NEAR
     rows = np.flatnonzero(may.any(1))
-    cols = np.flatnonzero(np.repeat(may.any(0), STRIP)[: len(b.x)])
+    cols = np.flatnonzero(np.repeat(may.any(0), STRIP)[: len(b.f)])
+    if not len(rows) or not len(cols):
+        return rows, cols, np.zeros((len(rows), len(cols)))
+    about = _taken(a.f, rows) @ _taken(b.f, cols).T
+    if about.max() < threshold - NEAR:
+        return rows[:0], cols[:0], np.zeros((0, 0))
+    may = about >= threshold - NEAR
+    rows, cols = rows[may.any(1)], cols[may.any(0)]
     return rows, cols, a.x[rows] @ b.x[cols].T
 
 
+def _taken(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return x if len(rows) == len(x) else x[rows]
+
+
+def _hits(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Rows of a x rows of b: whether their cosine is ``threshold`` or more. Double precision decides where single precision doesn't."""
+    about = a.astype(np.float32) @ b.astype(np.float32).T
+    hits = about >= threshold + NEAR
+    x, y = np.nonzero((about >= threshold - NEAR) & ~hits)
+    for i in range(0, len(x), 1 << 16):
+        part = slice(i, i + (1 << 16))
+        hits[x[part], y[part]] = np.einsum("ij,ij->i", a[x[part]], b[y[part]]) >= threshold
+    return hits
+
+
 def _compare(blocks: Blocks, schema: str, emit) -> DataFrame:
     """``emit(collection, a, b, same block, Loaded a, Loaded b, rows, cols, cosines, hits)`` yields record batches per block pair."""
     dim, threshold = blocks.dim, blocks.threshold
 
     def run(batches):
         one_thread()
-        first, second = Reader(lambda x: _Loaded(x, dim), 1), Reader(lambda x: _Loaded(x, dim), 4)
+        first, second = Reader(lambda x: _Loaded(x, dim), 1), Reader(lambda x: _Loaded(x, dim), SIDE)
         for batch in batches:
             for p in batch.to_pylist():
                 same = p["block_a"] == p["block_b"]
@@ -141,9 +196,13 @@ def _compare(blocks: Blocks, schema: str, emit) -> DataFrame:
                     yield from emit(p, same, a, b, rows, cols, cos, hits)
         yield from emit(None, False, None, None, None, None, None, None)
 
-    # pairs are dealt by a and a share of b: a task reads its block a once
-    keyed = dealt(blocks.pairs, ["collection", "block_a", F.expr("block_b div 16")], blocks.pairs.count())
-    return keyed.sortWithinPartitions("collection", "block_a", "block_b").mapInArrow(run, schema)
+    return _squares(blocks.pairs, blocks.pairs.count()).mapInArrow(run, schema)
+
+
+def _squares(pairs: DataFrame, n: int) -> DataFrame:
+    """``n`` pairs of blocks over tasks, those of one square together: a task reads its blocks few times."""
+    square = [F.expr(f"block_{s} div {SIDE}") for s in "ab"]
+    return dealt(pairs, ["collection", *square], n, SIDE * SIDE).sortWithinPartitions("collection", *square, "block_a", "block_b")
 
 
 def neighbour_summary(blocks: Blocks) -> DataFrame:
@@ -223,13 +282,14 @@ def _unpack_bits(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def first_open(batches):
-    """Per row that is open: its smallest earlier neighbour that is open or a leader. Input: bits' places and both states."""
-    bits = Reader(_unpack_bits, 1)
+    """Per row that is open: its smallest earlier neighbour that is open or a leader. Input: places of the bits and of both states."""
+    bits, states = Reader(_unpack_bits, 1), {"a": Reader(from_bytes, 1), "b": Reader(from_bytes, SIDE)}
     for batch in batches:
         for p in batch.to_pylist():
             rows, cols, hits = bits.get(p["file"], p["offset"], p["bytes"])
-            one = [np.frombuffer(p[f"seqs_{s}"], np.int64)[at] for s, at in (("a", rows), ("b", cols))]
-            state = [np.frombuffer(p[f"state_{s}"], np.uint8)[at] for s, at in (("a", rows), ("b", cols))]
+            of = {s: r.get(p[f"file_{s}"], p[f"offset_{s}"], p[f"bytes_{s}"]) for s, r in states.items()}
+            one = [of[s][0][at] for s, at in (("a", rows), ("b", cols))]
+            state = [of[s][1][at] for s, at in (("a", rows), ("b", cols))]
             views = [("a", rows, 0, 1, hits)] + ([("b", cols, 1, 0, hits.T)] if p["block_a"] != p["block_b"] else [])
             for s, at, own, other, h in views:
                 mine = np.flatnonzero(state[own] == OPEN)
@@ -262,36 +322,143 @@ def _settle(state: pa.Table, firsts: pa.Table) -> pa.Table:
     return pa.table({"collection": state["collection"], "block": state["block"], "n_open": pa.array([int((kind == OPEN).sum())], pa.int64()), "seqs": state["seqs"], "state": pa.array([kind.tobytes()], pa.binary()), "leaders": pa.array([leaders.tobytes()], pa.binary())})
 
 
-def greedy_leaders(blocks: Blocks) -> DataFrame:
+def first_leaders(blocks: Blocks, first_rows: int = FIRST_ROWS) -> tuple[Blocks, DataFrame, int, int]:
+    """One round of greedy grouping: the ``first_rows`` first rows of each collection lead or join, and all rows similar to a new
+    leader join the smallest. (blocks of the rows left, ``(collection, seqs, leaders)`` of the others, rows left, others that joined).
+
+    Whatever the collection, its first rows meet in one task of that size; all others are compared with their leaders in their blocks.
+    """
+    index, dim, threshold, spark = blocks.index, blocks.dim, blocks.threshold, blocks.index.sparkSession
+    n = index.count()
+
+    def spell(batches):
+        for b in batches:
+            for c, seqs in zip(*(col.to_pylist() for col in b.columns)):
+                seqs = np.frombuffer(seqs, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([c] * len(seqs), pa.string()), pa.array(seqs)], ["collection", "seq"])
+
+    rows = index.select("collection", "seqs").mapInArrow(spell, "collection string, seq long")
+    last = top_per_group(rows, "collection", [F.asc("seq")], first_rows).groupBy("collection").agg(F.max("seq").alias("last"))
+    work = written(index.join(last, "collection"), "work")
+
+    def pick(batches):
+        read = Reader(from_bytes, 1)
+        for b in batches:
+            for p in b.to_pylist():
+                seqs, sizes, buckets, weights = read.get(p["file"], p["offset"], p["bytes"])
+                ends = np.r_[0, np.cumsum(sizes)]
+                at = np.flatnonzero(seqs <= p["last"])
+                if len(at):
+                    cut = [pa.array([x[ends[i] : ends[i + 1]].tobytes() for i in at], pa.binary()) for x in (buckets, weights)]
+                    yield pa.RecordBatch.from_arrays([pa.array([p["collection"]] * len(at), pa.string()), pa.array(seqs[at]), *cut], ["collection", "seq", "buckets", "weights"])
+
+    def lead(t: pa.Table) -> tuple[bytes, dict]:
+        one_thread()
+        small, seqs = np.int16 if dim < 1 << 15 else np.int32, t["seq"].to_numpy()
+        sizes = pc.binary_length(t["weights"]).to_numpy() // 8
+        x = np.zeros((len(seqs), dim))
+        x[np.repeat(np.arange(len(seqs)), sizes), _flat(t["buckets"], small)] = _flat(t["weights"], np.float64)
+        hits, leaders = _hits(x, x, threshold), np.full(len(seqs), -1)
+        for i in range(len(seqs)):
+            if leaders[i] < 0:
+                leaders[i] = i
+                at = i + 1 + np.flatnonzero(hits[i, i + 1 :])
+                leaders[at[leaders[at] < 0]] = i
+        heads = np.flatnonzero(leaders == np.arange(len(seqs)))
+        return _packed(seqs[heads], x[heads]), {"seqs": seqs.tobytes(), "leaders": seqs[leaders].tobytes()}
+
+    picked = dealt(work.select("collection", "file", "offset", "bytes", "last"), ["collection", "offset", "file"], n).mapInArrow(pick, "collection string, seq long, buckets binary, weights binary")
+    led = write_blocks(picked, ["collection"], ["seq"], lead, "seqs binary, leaders binary", "leaders")
+    heads = led.select("collection", *[F.col(c).alias(f"{c}_b") for c in ("file", "offset", "bytes")])
+    folder, names = new_folder(spark, "left"), ["collection", "block", "file", "offset", "bytes", "rows", "low", "high", "seqs", "others", "leaders"]
+
+    def leave(batches):
+        one_thread()
+        read, heads, out = Reader(lambda x: _Loaded(x, dim), 1), Reader(lambda x: _Loaded(x, dim), 1), None
+        for b in batches:
+            for p in b.to_pylist():
+                a, to = read.get(p["file"], p["offset"], p["bytes"]), heads.get(p["file_b"], p["offset_b"], p["bytes_b"])
+                at = np.flatnonzero(a.seqs > p["last"])
+                hits = _hits(a.x[at], to.x, threshold)
+                gone = hits.any(1)
+                left, others = at[~gone], at[gone]
+                out = out or Writer(folder)
+                place = out.put(_packed(a.seqs[left], a.x[left]))
+                row = {**{c: p[c] for c in ("collection", "block", "low", "high")}, **dict(zip(("file", "offset", "bytes"), place)), "rows": len(left),
+                       "seqs": a.seqs[left].tobytes(), "others": a.seqs[others].tobytes(), "leaders": to.seqs[hits[gone].argmax(1)].tobytes()}
+                yield pa.RecordBatch.from_pylist([{c: row[c] for c in names}], schema=kept)
+        if out:
+            out.close()
+
+    kept = pa.schema([("collection", pa.string()), ("block", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("bytes", pa.int64()), ("rows", pa.int64()),
+                      ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("seqs", pa.binary()), ("others", pa.binary()), ("leaders", pa.binary())])
+    met = dealt(work.drop("seqs", "rows").join(heads, "collection"), ["collection", "offset", "file"], n).sortWithinPartitions("collection", "file", "offset")
+    left = written(met.mapInArrow(leave, f"collection string, block long, {PLACE}, rows long, low array<double>, high array<double>, seqs binary, others binary, leaders binary"), "left")
+    done = led.select("collection", "seqs", "leaders").unionByName(left.select("collection", F.col("others").alias("seqs"), "leaders"))
+    counts = left.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum(F.expr("octet_length(others) div 8")), F.lit(0))).first()
+    return Blocks(left.filter("rows > 0").select(*index.columns), dim, threshold), done, *map(int, counts)
+
+
+def greedy_leaders(blocks: Blocks, first_rows: int = FIRST_ROWS) -> DataFrame:
     """``(collection, seq, leader)``: in order of ``seq``, a row without a leader leads all later rows without one that are
     similar to it. Leaders are the lexicographically first maximal independent set.
 
-    The pair search runs once. Each round passes messages over the stored bits: open rows ask for their smallest earlier
-    neighbour that is open or leads. States are one packed row per block; pairs of blocks without open rows rest.
+    The first rows of each collection lead or join, and what is similar to their leaders joins, as long as that takes a share of
+    the rows: rows with many neighbours go there, and neighbours among the others are few. The pair search runs once, on those. Each round
+    passes messages over the stored bits: open rows ask for their smallest earlier neighbour that is open or leads. States are
+    one packed row per block, and lie in the shared folder for the tasks that ask; pairs of blocks without open rows rest.
     """
+    settled = []
+    while True:
+        blocks, done, left, joined = first_leaders(blocks, first_rows)
+        settled.append(done)
+        if not left or joined < FIRST_SHARE * (left + joined):
+            break
+
+    def spell(batches):
+        for b in batches:
+            for c, seqs, leaders in zip(*(col.to_pylist() for col in b.columns)):
+                seqs = np.frombuffer(seqs, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([c] * len(seqs), pa.string()), pa.array(seqs), pa.array(np.frombuffer(leaders, np.int64))], ["collection", "seq", "leader"])
+
+    if left:
+        settled.append(_leaders_of_rest(blocks))
+    all_ = settled[0]
+    for more in settled[1:]:
+        all_ = all_.unionByName(more)
+    return all_.mapInArrow(spell, "collection string, seq long, leader long")
+
+
+def _leaders_of_rest(blocks: Blocks) -> DataFrame:
+    """``(collection, seqs, leaders)`` per block, by rounds over the neighbour table."""
     bits = neighbour_bits(blocks)
+    n, folder = bits.count(), new_folder(blocks.index.sparkSession, "states")
 
     def begin(batches):
         for b in batches:
             for c, block, n, seqs in zip(*(col.to_pylist() for col in b.columns)):
                 yield pa.RecordBatch.from_arrays([pa.array([c], pa.string()), pa.array([block]), pa.array([n]), pa.array([seqs], pa.binary()), pa.array([bytes(n)], pa.binary()), pa.array([bytes(8 * n)], pa.binary())], ["collection", "block", "n_open", "seqs", "state", "leaders"])
 
+    def publish(batches):
+        out = None
+        for b in batches:
+            for c, block, n, seqs, kind in zip(*(col.to_pylist() for col in b.columns)):
+                out = out or Writer(folder)
+                place = out.put(to_bytes(np.frombuffer(seqs, np.int64), np.frombuffer(kind, np.uint8)))
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.string()), pa.array([block]), pa.array([n]), pa.array([place[0]]), *(pa.array([x], pa.int64()) for x in place[1:])], ["collection", "block", "n", "file", "offset", "bytes"])
+        if out:
+            out.close()
+
     state = written(blocks.index.select("collection", "block", "rows", "seqs").mapInArrow(begin, STATE), "state")
     while True:
-        side = {s: state.select("collection", F.col("block").alias(f"block_{s}"), F.col("n_open").alias(f"n_{s}"), F.col("seqs").alias(f"seqs_{s}"), F.col("state").alias(f"state_{s}")) for s in "ab"}
+        told = written(state.select("collection", "block", "n_open", "seqs", "state").mapInArrow(publish, f"collection string, block long, n long, {PLACE}"), "told")
+        side = {s: told.select("collection", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "n", "file", "offset", "bytes")]) for s in "ab"}
         asked = bits.join(side["a"], ["collection", "block_a"]).join(side["b"], ["collection", "block_b"]).filter("n_a > 0 or n_b > 0")
-        firsts = dealt(asked, ["block_a", "block_b"], bits.count()).mapInArrow(first_open, "collection string, block long, row long, first long, led boolean")
+        firsts = _squares(asked, n).mapInArrow(first_open, "collection string, block long, row long, first long, led boolean")
         firsts = firsts.groupBy("collection", "block", "row").agg(F.min(F.struct("first", "led")).alias("f")).select("collection", "block", "row", "f.first", "f.led")
         busy = state.filter("n_open > 0")
         moved = busy.groupBy("collection", "block").cogroup(firsts.groupBy("collection", "block")).applyInArrow(_settle, STATE)
         state = written(state.filter("n_open = 0").unionByName(moved), "state")
         if not state.agg(F.sum("n_open")).first()[0]:
             break
-
-    def spell(batches):
-        for b in batches:
-            for c, seqs, leaders in zip(*(col.to_pylist() for col in b.columns)):
-                seqs = np.frombuffer(seqs, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([c] * len(seqs), pa.string()), pa.array(seqs), pa.array(np.frombuffer(leaders, np.int64))], ["collection", "seq", "leader"])
-
-    return state.select("collection", "seqs", "leaders").mapInArrow(spell, "collection string, seq long, leader long")
+    return state.select("collection", "seqs", "leaders")
